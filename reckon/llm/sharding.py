@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def _table(spark: SparkSession, keys: str, lines: list[tuple[int, list[int]]]) -
     text = ";".join(f"{p}:{','.join(map(str, x))}" for p, x in lines)
     row = spark.range(1).select(F.explode(F.split(F.lit(text), ";")).alias("x"))
     part, rest = F.split("x", ":")[0], F.split("x", ":")[1]
-    return row.select(part.cast("int").alias(keys), F.split(rest, ",").cast("array<bigint>").alias("cuts")).where(f"{keys} is not null")
+    return row.select(part.cast("int").alias(keys), F.split(rest, ",").cast("array<bigint>").alias("cuts"))
 
 
 def _hash(seed: int, salt: int) -> Column:
@@ -103,9 +104,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7) ->
     sizes = {r["part"]: r["n"] for r in base.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # at most MOST_PARTITIONS rows
     order = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in order], shard_sizes(n, shards), seed)
-    cuts = []
-    for p, line in zip(order, matrix):
-        cuts.append((p, [sum(line[: k + 1]) for k in range(shards)]))
+    cuts = [(p, list(accumulate(line))) for p, line in zip(order, matrix)] or [(0, [0] * shards)]
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     narrow = base.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), part.alias("part"))
     local = Window.partitionBy("part").orderBy(_hash(seed, 2), "doc_id", "size", "text_crc32")
