@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from reckon.functions.cells import Dialect, FileDialect, key_text
 from reckon.operators import ranks
 from reckon.operators.assignment import assign, pair_costs
+from reckon.ship import ship
 from reckon.store import keep
 
 EXACT_LIMIT = 200
@@ -135,6 +136,7 @@ class KeyedDiff:
             first = group.iloc[0]
             return pd.DataFrame([(first["k"], first["raw_key"], sides[0]["v"][i], sides[0]["raw"][i], sides[1]["v"][j], sides[1]["raw"][j], 1) for i, j in found], columns=["k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n"])
 
+        ship(self.a.sparkSession)
         return some.groupBy("k").applyInPandas(pair, cols)
 
     def _in_order(self) -> DataFrame:
