@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from reckon.ship import ship
+from reckon.store import keep, scratch
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,30 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the folder that driver and executors share.
-
-    The session's spark.checkpoint.dir names that folder; only where it is unset (tests on one
-    machine) a temporary folder is made and set as checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="reckon-")
-            spark.sparkContext.setCheckpointDir(_own_dirs[app])
-        base = _own_dirs[app]
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/reckon/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the folder that driver and executors share (spark.checkpoint.dir)."""
+    return scratch(spark, purpose)
 
 
 def through_store(df: DataFrame, purpose: str) -> DataFrame:
     """df written once as Parquet into the shared folder and read back: cuts the lineage, and
     survives the loss of any executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return keep(df, purpose)
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:
@@ -50,7 +33,7 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def blocks(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str | None], most_chars: int = 500_000) -> Iterator[tuple[int, int]]:
     """Consecutive slices [a, b) of texts of about most_chars characters, at least one text each."""
     a = size = 0
     for i, t in enumerate(texts):
@@ -66,6 +49,8 @@ def blocks(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tup
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are passed over."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

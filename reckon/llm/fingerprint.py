@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckon.llm.common import map_arrow
+from reckon.ship import ship
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003019, 777767777)
@@ -217,6 +218,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
         if out:
             yield _rows(out)
 
+    ship(docs.sparkSession)
     dealt = with_next(docs)
     placed = dealt.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
     return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

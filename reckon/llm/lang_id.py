@@ -192,7 +192,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 #: A document is kept if its language's own trigrams make at least this part of all.
-LEAST_COVERAGE = 0.2
+LEAST_COVERAGE = 0.3
 
 
 def keep_identified(docs: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:

@@ -96,8 +96,11 @@ def _indices() -> tuple[np.ndarray, np.ndarray]:
     errors = np.array(pairs + [a | b | c for i, a in enumerate(single) for j, b in enumerate(single[i + 1 :], i + 1) for c in single[j + 1 :]], np.int64)
     leader = np.zeros(1 << 11, np.int64)
     leader[syndrome(errors)] = errors
-    words = np.arange(1 << 23, dtype=np.int64)
-    return ((words ^ leader[syndrome(words)]) >> 11).astype(np.int16), leader
+    index = np.empty(1 << 23, np.int16)
+    for at in range(0, len(index), 1 << 17):
+        words = np.arange(at, at + (1 << 17))
+        index[at : at + (1 << 17)] = (words ^ leader[syndrome(words)]) >> 11
+    return index, leader
 
 
 def near_indices(words: np.ndarray) -> np.ndarray:
@@ -233,8 +236,8 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
     def make(b: pa.RecordBatch) -> pa.Table:
         fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         tables = []
-        for at in range(0, len(fp), 4096):
-            x = fp[at : at + 4096]
+        for at in range(0, len(fp), 2048):
+            x = fp[at : at + 2048]
             for asked, (r, k) in enumerate(keys(x)):
                 tables.append(pa.table({"key": k, "fp": x[r].view(np.int64), "asked": pa.array(np.full(len(r), asked, bool))}))
         return pa.concat_tables(tables).combine_chunks()

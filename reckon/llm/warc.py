@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.llm.common import shared_dir
+from reckon.ship import ship
 
 MIN_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -149,6 +150,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, types)
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
     return files.mapInArrow(run, out)
 
