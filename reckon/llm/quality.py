@@ -190,9 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"x": [features(t) for t in b.column("text").to_pylist()], "y": b.column("y")})
 
-    rows = map_arrow(texts, run, "x array<double>, y int").orderBy("x", "y").toPandas()  # bounded by `sample`
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
-    return fit(x, rows["y"].to_numpy(float))
+    rows = sorted((r["x"], r["y"]) for r in map_arrow(texts, run, "x array<double>, y int").collect())  # bounded by `sample`
+    x = np.array([r for r, _ in rows], float).reshape(len(rows), len(FEATURES))
+    return fit(x, np.array([y for _, y in rows], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
