@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,12 @@ from reckon.functions import export, literals
 from reckon.operators import catalog, key_guess, keyed_diff, ledger, naming, probes, slicing, verdicts
 from reckon.operators.keyed_diff import KeyedDiff
 from reckon.plans import guard, logic, rewrite, structure
+from reckon.sinks.workbook import write_csv, write_workbook
+from reckon.sources import blocks
+from reckon.sources.delimited import read_delimited, text_table
+from reckon.sources.workbook import sheets, table_of
+from reckon.store import scratch
+from reckon.streaming import ledger_stream
 from reckon.tables import sql, table, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,7 +591,8 @@ def insert_literals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query("""WITH r AS (SELECT '(''' || n_name || ''', ' || n_nationkey || ')' AS x, n_name, (row_number() OVER (ORDER BY n_name) - 1) // 10 AS batch FROM nation)
+ SELECT CAST(batch AS BIGINT) AS batch, 'INSERT INTO t (`id`, `n`) VALUES' || chr(10) || string_agg(x, ',' || chr(10) ORDER BY n_name) || ';' AS sql FROM r GROUP BY batch""")
 def insert_script(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.col("n_name").alias("ID"), F.col("n_nationkey").cast("string").alias("n"))
     return literals.inserts(n, "t", literals.parse_ddl(_DDL)[1], ["ID"], 10)
@@ -623,6 +632,47 @@ def display_values(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(k.alias("id"), export.display(k % 2 == 0, "boolean").alias("flag"), export.display(F.date_trunc("day", "o_orderdate"), "timestamp").alias("day"), export.display(F.col("o_custkey"), "long").alias("n"))
 
 
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'a,\"b\"' || chr(10) || 'c' ELSE '' END AS note FROM nation")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    note = F.when(F.col("n_nationkey") % 3 == 0, 'a,"b"\nc').otherwise(F.lit(None))
+    path = scratch(spark, "csv")
+    write_csv(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), note.alias("note")), path)
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()[0]
+    return read_delimited(spark, file, ",")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS priority FROM orders WHERE o_orderkey <= 200")
+def xlsx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").where("o_orderkey <= 200").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("priority"))
+    with tempfile.NamedTemporaryFile(suffix=".xlsx") as file:  # written and read by the driver
+        write_workbook(file.name, {"orders": rows.orderBy("id")})
+        headers, found = table_of(sheets(Path(file.name).read_bytes())[0])
+    return spark.createDataFrame([tuple(r) for _, r in found], ", ".join(f"`{h}` string" for h in headers))
+
+
+@query("SELECT * FROM (VALUES (2, '1', 'a, b', '2'), (3, '', '', ''), (4, '3', 'c', '')) AS t(_row, 编号, 备注, 金额)")
+def text_table_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return text_table(spark, "\n编号,备注,金额\n1,\"a, b\",2\n\n3,c,\n")
+
+
+@query("SELECT * FROM (VALUES ('i', 1, ['c00', 'c01', 'c02']), ('i', 2, ['c10', 'c11', 'c12']), ('i', 3, ['c20', 'c21', 'c22'])) AS t(image, \"row\", cells)")
+def block_tables(spark: SparkSession, sf: str) -> DataFrame:
+    cells = [("i", f"c{r}{c}", 0.1 + 0.2 * c + 0.001 * r, 0.1 * r, 0.05, 0.04) for r in range(3) for c in range(3)]
+    return blocks.tables(spark.createDataFrame(cells, "image string, text string, x double, y double, w double, h double"))
+
+
+@query(f"{_LEDGER} SELECT pk, col, a, b, kind, first_seen, CASE q WHEN 1 THEN 'r1' ELSE 'r2' END AS last_seen, '未修复' AS state, tag FROM l")
+def ledger_stream_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of differences as two files of a stream, merged one after the other."""
+    source, target = scratch(spark, "diffs"), scratch(spark, "ledger")
+    schema = ledger.DIFF_SCHEMA + ", round string"
+    for i in (0, 1):
+        one = _round(spark, sf, _ROUNDS[i]).withColumn("round", F.lit(f"r{i + 1}"))
+        one.coalesce(1).write.mode("append").parquet(source)
+        ledger_stream.start(spark.readStream.schema(schema).parquet(source), target, f"{target}-checkpoint").awaitTermination()
+    return ledger_stream.current(spark, target)
+
+
 # -- plain relational queries ------------------------------------------------------------------------
 
 _REL = {
