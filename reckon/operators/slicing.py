@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 GRAINS = ("day", "hour", "minute")
 _LENGTH = {"day": "INTERVAL 1 DAY", "hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE"}
-SLICE_SCHEMA = T.StructType.fromDDL("slice int, grain string, start timestamp_ntz, end timestamp_ntz, n long, over boolean")
+SLICE_SCHEMA = "slice int, grain string, start timestamp_ntz, end timestamp_ntz, n long, over boolean"
 
 
 def segment_end(start: str, grain: str):
