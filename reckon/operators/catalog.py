@@ -44,7 +44,7 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def catalog(spark: SparkSession, database: str) -> DataFrame:
     """name, rows (null: a view, or it couldn't be counted) and type of a database's tables."""
-    listed = spark.catalog.listTables(database)
+    listed = [t for t in spark.catalog.listTables(database) if not t.isTemporary]
     meta = spark.createDataFrame([(t.name, t.tableType) for t in listed], "name string, type string")
     real = {t.name: spark.table(f"`{database}`.`{t.name}`") for t in listed if t.tableType not in ("VIEW", "TEMPORARY")}
     counts = row_counts(real) if real else spark.createDataFrame([], "name string, rows long")

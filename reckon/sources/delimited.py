@@ -5,13 +5,19 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reckon.ship import ship
+
 # Encodings tried in this order.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb2312", "gb18030", "latin-1")
-_SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb2312": "GB2312", "gb18030": "GB18030", "latin-1": "ISO-8859-1"}
+#: Those that Spark's own reader takes; files in others are decoded by a Python worker, one task a file.
+_SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 _SNIFF_BYTES = 1 << 20
 
 
@@ -63,6 +69,8 @@ def read_delimited(spark: SparkSession, path: str, separator: str = "") -> DataF
         raise ReadError("the file is empty")
     names = [x.strip() for x in first]
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    if name not in _SPARK_NAMES:
+        return _decoded(spark, path, name, separator, len(names), schema).toDF(*names)
     df = (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", separator).option("encoding", _SPARK_NAMES[name]).option("multiLine", True)
         .option("quote", '"').option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").option("mode", "PERMISSIVE").csv(path)
@@ -70,6 +78,20 @@ def read_delimited(spark: SparkSession, path: str, separator: str = "") -> DataF
     return df.select(*[F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names))]).toDF(*names)
 
 
+def _decoded(spark: SparkSession, path: str, encoding: str, separator: str, width: int, schema: str) -> DataFrame:
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("content"):
+                lines = csv.reader(io.TextIOWrapper(io.BytesIO(data.as_py()), encoding, "replace", newline=""), delimiter=separator)
+                next(lines, None)
+                while rows := [(r + [""] * width)[:width] for r in islice(lines, 10_000) if r]:
+                    yield pa.RecordBatch.from_pydict({f"c{i}": pa.array([r[i] for r in rows], pa.string()) for i in range(width)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """A file by its ending: xlsx and xlsm workbooks, csv with commas, txt and tsv by content."""
     from reckon.sources.workbook import read_sheet
