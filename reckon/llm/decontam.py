@@ -37,8 +37,8 @@ from reckon.llm.common import blocks, map_arrow
 
 Q = 8
 RATE = 0.1
-WINDOW = 100
-STRIDE = 50
+WINDOW = 64
+STRIDE = 32
 SHORTEST = 32
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 22
