@@ -114,7 +114,7 @@ class KeyedDiff:
         )
         more = self.contents.where("na <> nb").select("k", "v", F.explode(own).alias("x")).where("x.n > 0").select("k", "x.side", "v", "x.raw", "x.n")
         g = self.groups.where(self._shared).select("k", "left_a", "left_b", "raw_key")
-        return more.join(g, "k")
+        return keep(more.join(g, "k"), "left")  # only what differs; all pairings read it
 
     def _one_to_one(self) -> DataFrame:
         one = self.left.where("left_a = 1 and left_b = 1")
