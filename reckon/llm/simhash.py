@@ -16,7 +16,7 @@ the indices of all words within one bit of it are at most 6. Three errors over t
   up under the same halves with each of the third's indices.
 
 Each pair within reach so meets under some key of 31 bits or more. Those who meet under a key are
-verified by their bit difference, in tiles, and only a spanning forest of the key's verified links
+verified by their bit difference, component by component, and only a spanning forest of the key's verified links
 is passed on: its members' components are kept, with at most one link for each member, so a
 large group of near copies never makes all its pairs. Copies (equal fingerprints) are one node.
 
@@ -42,7 +42,10 @@ from reckon.llm.graph import components
 
 SHINGLE = 3
 REACH = 3
+#: Groups of up to TILE fingerprints are compared at once; larger ones GROW against SPAN at a time.
 TILE = 2048
+GROW = 32
+SPAN = 1 << 16
 #: Widths of the segments, from the lowest bit.
 WIDTHS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -161,29 +164,37 @@ def keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarra
 def _forest(filed: np.ndarray, asked: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within reach among filed, and of filed with asked
     (both uint64, each without repeats): ends a, b."""
-    nodes = np.concatenate([filed, asked])
-    f, n = len(filed), len(filed) + len(asked)
-    label = np.arange(n)
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    for x in range(0, f, TILE):
-        for y in range(x, n, TILE):
-            near = np.bitwise_count(nodes[x : min(x + TILE, f), None] ^ nodes[None, y : y + TILE]) <= reach
-            r, c = np.nonzero(near)
-            r, c = r + x, c + y
-            keep = (r < c) & (label[r] != label[c])
+    nodes, f = np.concatenate([filed, asked]), len(filed)
+    label = np.arange(len(nodes))
+    if len(nodes) <= TILE:
+        r, c = np.nonzero(np.bitwise_count(filed[:, None] ^ nodes[None, :]) <= reach)
+        while len(r):  # join the labels that the links tie together
+            low = np.minimum(label[r], label[c])
+            np.minimum.at(label, label[r], low)
+            np.minimum.at(label, label[c], low)
+            while (label[label] != label).any():
+                label = label[label]
+            keep = label[r] != label[c]
             r, c = r[keep], c[keep]
-            while len(r):  # join the labels that the tile's links tie together
-                low = np.minimum(label[r], label[c])
-                np.minimum.at(label, label[r], low)
-                np.minimum.at(label, label[c], low)
-                while (label[label] != label).any():
-                    label = label[label]
-                keep = label[r] != label[c]
-                r, c = r[keep], c[keep]
-    other = np.nonzero(label != np.arange(n))[0]
-    hits = (nodes[label[other]], nodes[other])
-    same = hits[0] != hits[1]
-    return hits[0][same], hits[1][same]
+    else:
+        # A component is grown from a seed: only nodes that aren't reached yet are compared, so a
+        # dense group is done after a few of its nodes.
+        left = [np.arange(f), np.arange(f, len(nodes))]
+        while len(left[0]):
+            seed, left[0] = left[0][0], left[0][1:]
+            todo = np.array([seed])
+            while len(todo) and (len(left[0]) or len(left[1])):
+                now, todo = todo[:GROW], todo[GROW:]
+                for k, own in enumerate((now, now[now < f])):
+                    if len(own) and len(left[k]):
+                        near = np.concatenate([(np.bitwise_count(nodes[own][:, None] ^ nodes[left[k][at : at + SPAN]][None, :]) <= reach).any(0) for at in range(0, len(left[k]), SPAN)])
+                        new, left[k] = left[k][near], left[k][~near]
+                        label[new] = seed
+                        todo = np.concatenate([todo, new])
+    other = np.nonzero(label != np.arange(len(nodes)))[0]
+    a, b = nodes[label[other]], nodes[other]
+    same = a != b
+    return a[same], b[same]
 
 
 def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -184,6 +184,30 @@ def test_links_lose_no_pair_within_reach(spark):
         assert {found.get(v, v) for v in group} == {min(group)}
 
 
+def test_forests_of_large_and_small_groups_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, x.shape).astype(np.uint64))
+    nodes = rng.permutation(np.unique(np.concatenate([base, flip(base), flip(flip(base)), flip(flip(flip(flip(base))))])))
+    filed, asked = nodes[:70], nodes[70:]
+    found = []
+    for tile in (2048, 8):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "SPAN", 16)
+        root = {int(x): int(x) for x in nodes}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*simhash._forest(filed, asked, 3)):
+            x, y = top(int(a)), top(int(b))
+            root[max(x, y)] = min(x, y)
+        found.append({x: top(x) for x in root})
+    assert found[0] == found[1] and len(set(found[0].values())) < len(nodes)
+
+
 def test_codewords_near_words():
     index, _ = simhash._indices()
     assert np.bincount(index, minlength=4096).tolist() == [2048] * 4096  # perfect: equal spheres
