@@ -99,6 +99,14 @@ class KeyedDiff:
     def _approximate(self) -> Column:
         return self._shared & (F.greatest("left_a", "left_b") > self.exact_limit) & (F.least("left_a", "left_b") > 0)
 
+    @property
+    def _few(self) -> str:
+        return f"least(left_a, left_b) > 0 and greatest(left_a, left_b) between 2 and {self.exact_limit}"
+
+    @property
+    def _many(self) -> str:
+        return f"least(left_a, left_b) > 0 and greatest(left_a, left_b) > {self.exact_limit}"
+
     def key_column(self) -> Column:
         """The key's text from raw_key and k."""
         parts = [self.dialect.key_part(F.col("raw_key")[i], F.col("k")[i]) for i in range(len(self.keys))]
@@ -122,8 +130,7 @@ class KeyedDiff:
         return a.join(b.drop("raw_key"), "k").withColumn("n", F.lit(1).cast("long"))
 
     def _assigned(self) -> DataFrame:
-        limit = self.exact_limit
-        some = self.left.where(f"least(left_a, left_b) > 0 and greatest(left_a, left_b) between 2 and {limit}")
+        some = self.left.where(self._few)
         cols = "k array<string>, raw_key array<string>, v_a array<string>, raw_a array<string>, v_b array<string>, raw_b array<string>, n long"
 
         def pair(group: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +150,7 @@ class KeyedDiff:
         """Pairs of groups beyond the limit: the n-th row by content of one side with the n-th of
         the other, as spans of equal contents, so rows aren't multiplied out. Spans are placed by
         distributed running counts."""
-        many = self.left.where(f"least(left_a, left_b) > 0 and greatest(left_a, left_b) > {self.exact_limit}")
+        many = self.left.where(self._many)
         placed = keep(ranks.running_counts(many.withColumn("g", F.struct("k", "side")), ["g"], ["v"], "n"), "in-order")
         # placed: before (rows of the group before this content) and n; spans meet where they overlap
         cut = placed.select("k", "raw_key", "side", "v", "raw", F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"), F.least("left_a", "left_b").alias("top")).where("lo < top")
@@ -161,7 +168,10 @@ class KeyedDiff:
     def pairs(self) -> DataFrame:
         """k, raw_key, contents and raw contents of both sides, n: pairs of rows that differ."""
         cols = ("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
-        own = self._one_to_one().select(*cols).union(self._assigned().select(*cols)).union(self._in_order().select(*cols))
+        own = self._one_to_one().select(*cols)
+        for which, pairing in ((self._few, self._assigned), (self._many, self._in_order)):
+            if not self.left.where(which).isEmpty():
+                own = own.union(pairing().select(*cols))
         return keep(own, "pairs")
 
     def cells(self) -> DataFrame:

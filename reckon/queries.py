@@ -402,8 +402,8 @@ def key_guess_orders(spark: SparkSession, sf: str) -> DataFrame:
 # -- ledger ------------------------------------------------------------------------------------------
 
 
-def _round(spark: SparkSession, sf: str, keep: str) -> DataFrame:
-    c = orders(spark, sf).cells().where(f"CAST(key AS BIGINT) % 4 IN ({keep})")
+def _round(cells: DataFrame, keep: str) -> DataFrame:
+    c = cells.where(f"CAST(key AS BIGINT) % 4 IN ({keep})")
     return c.select(F.col("key").alias("pk"), F.col("column").alias("col"), F.col("value_a").alias("a"), F.col("value_b").alias("b"), F.lit("diff").alias("kind"))
 
 
@@ -413,9 +413,10 @@ _ROUNDS = ("0, 1", "0, 2", "1, 2")
 def _ledger(spark: SparkSession, sf: str, rounds: int) -> tuple[DataFrame, DataFrame]:
     """The ledger before and after the last round; keys divisible by 3 are in scope."""
     scope = sql(spark, sf, "SELECT CAST(o_orderkey AS STRING) AS pk FROM orders WHERE o_orderkey % 3 = 0", "orders")
+    cells = orders(spark, sf).cells()
     now = before = spark.createDataFrame([], ledger.SCHEMA)
     for i in range(rounds):
-        before, now = now, ledger.merge(now, _round(spark, sf, _ROUNDS[i]), scope, f"r{i + 1}")
+        before, now = now, ledger.merge(now, _round(cells, _ROUNDS[i]), scope, f"r{i + 1}")
     return before, now
 
 
@@ -666,8 +667,9 @@ def ledger_stream_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Two rounds of differences as two files of a stream, merged one after the other."""
     source, target = scratch(spark, "diffs"), scratch(spark, "ledger")
     schema = ledger.DIFF_SCHEMA + ", round string"
+    cells = orders(spark, sf).cells()
     for i in (0, 1):
-        one = _round(spark, sf, _ROUNDS[i]).withColumn("round", F.lit(f"r{i + 1}"))
+        one = _round(cells, _ROUNDS[i]).withColumn("round", F.lit(f"r{i + 1}"))
         one.coalesce(1).write.mode("append").parquet(source)
         ledger_stream.start(spark.readStream.schema(schema).parquet(source), target, f"{target}-checkpoint").awaitTermination()
     return ledger_stream.current(spark, target)
