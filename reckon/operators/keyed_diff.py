@@ -67,19 +67,21 @@ class KeyedDiff:
         if self.compare is None:
             self.compare = [c for c in common_columns(self.a, self.b) if c not in self.keys]
 
-    def _side(self, df: DataFrame) -> DataFrame:
-        """k, v (normalised key and content), rows, and the least raw key and content of each."""
+    def _rows(self, df: DataFrame, side: str) -> DataFrame:
+        """k, v (normalised key and content) and the raw key and content, as a row of one side."""
         text = {f.name: isinstance(f.dataType, T.StringType) for f in df.schema.fields}
         norm = lambda cs: F.array(*[self.dialect(F.col(f"`{c}`"), text[c]) for c in cs]).cast("array<string>")
-        raw = lambda cs: F.array(*[F.col(f"`{c}`").cast("string") for c in cs]).cast("array<string>")
-        rows = df.select(norm(self.keys).alias("k"), norm(self.compare).alias("v"), F.struct(raw(self.keys).alias("k"), raw(self.compare).alias("v")).alias("raw"))
-        return rows.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
+        raw = F.struct(*[F.array(*[F.col(f"`{c}`").cast("string") for c in cs]).cast("array<string>").alias(n) for n, cs in (("k", self.keys), ("v", self.compare))])
+        none = F.lit(None).cast("struct<k:array<string>,v:array<string>>")
+        mine = [F.lit(int(side == x)).cast("long").alias(f"n{x}") for x in "ab"]
+        return df.select(norm(self.keys).alias("k"), norm(self.compare).alias("v"), *mine, *[(raw if side == x else none).alias(f"raw_{x}") for x in "ab"])
 
     @cached_property
     def contents(self) -> DataFrame:
-        """k, v, na, nb, raw_a, raw_b of each content of each key."""
-        a, b = self._side(self.a).withColumnsRenamed({"n": "na", "raw": "raw_a"}), self._side(self.b).withColumnsRenamed({"n": "nb", "raw": "raw_b"})
-        return a.join(b, ["k", "v"], "full_outer").withColumn("na", F.coalesce("na", F.lit(0))).withColumn("nb", F.coalesce("nb", F.lit(0)))
+        """k, v, na, nb, raw_a, raw_b of each content of each key: one aggregation over the rows of
+        both sides, so the sides aren't joined. raw_x is the least raw row of side x."""
+        both = self._rows(self.a, "a").union(self._rows(self.b, "b"))
+        return both.groupBy("k", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("raw_a").alias("raw_a"), F.min("raw_b").alias("raw_b"))
 
     @cached_property
     def groups(self) -> DataFrame:
