@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that a file's cell may have for no value (compared in lower case).
 NULL_WORDS = ("(null)", "null", "none", "n/a", "na", "nan", "<null>", "#n/a", "")
@@ -22,18 +23,34 @@ MEASURE_HINTS = (
 KEY_NULL, KEY_EMPTY = "（NULL）", "（空字符串）"
 CELL_NULL = "（数据库 NULL）"
 
-#: White space as str.strip() has it; trim() and \s know only part of it.
-SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: White space as str.strip() has it; trim() by itself knows only the blank, and \\s only part of it.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def kind_of(data_type: T.DataType) -> str:
+    """text, whole or decimal numbers, or other: what a column's cells can look like as text."""
+    if isinstance(data_type, T.StringType):
+        return "text"
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "whole"
+    return "decimal" if isinstance(data_type, T.DecimalType) and data_type.scale > 0 else "other"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACE))
 
 
 def trim_number(c: Column) -> Column:
     """Trailing zeros of a plain decimal text, and a then trailing point, removed."""
-    short = F.regexp_replace(F.regexp_replace(c, "0+$", ""), "\\.$", "")
-    return F.when(c.rlike(r"^-?[0-9]+\.[0-9]+$"), short).otherwise(c)
+    return F.when(c.contains(".") & c.rlike(r"^-?[0-9]+\.[0-9]+$"), _short(c)).otherwise(c)
+
+
+def _short(c: Column) -> Column:
+    return F.rtrim(F.rtrim(c, F.lit("0")), F.lit("."))
+
+
+def _plain_decimal(s: Column) -> Column:
+    return s.rlike(r"^-?[0-9]+\.[0-9]+$")
 
 
 @dataclass(frozen=True)
@@ -46,16 +63,19 @@ class FileDialect:
     null_equals_empty: bool = True
     strict_numeric: bool = False
 
-    def __call__(self, c: Column, was_text: bool = True) -> Column:
-        def norm(s: Column) -> Column:
-            low = F.lower(s)
-            out = s if self.case_sensitive else low
-            if not self.strict_numeric:
-                out = trim_number(out)
-            return F.when(low.isin(*NULL_WORDS), "").otherwise(out) if self.null_equals_empty else out
-
+    def __call__(self, c: Column, kind: str = "text") -> Column:
         s = F.coalesce(c.cast("string"), F.lit(""))
-        return let(strip(s), norm) if self.trim_whitespace else norm(s)
+        if kind == "whole":
+            return s
+        if kind == "decimal":
+            return s if self.strict_numeric else trim_number(s)
+        if self.trim_whitespace:
+            s = strip(s)
+        low = F.lower(s)
+        out = s if self.case_sensitive else low
+        if not self.strict_numeric:
+            out = trim_number(out)
+        return F.when(low.isin(*NULL_WORDS), "").otherwise(out) if self.null_equals_empty else out
 
     def key_part(self, raw: Column, norm: Column) -> Column:
         return F.coalesce(raw.cast("string"), F.lit(""))
@@ -99,14 +119,21 @@ class SqlDialect:
     """Equality of result cells: null, blank, number and text are different kinds; numbers compare
     by value, but a text with a leading zero is an identifier. A value is kind and text in one."""
 
-    def __call__(self, c: Column, was_text: bool = True) -> Column:
-        def kind(s: Column) -> Column:
-            code = s.rlike(r"^[+-]?0[0-9]+$") if was_text else F.lit(False)
+    def __call__(self, c: Column, kind: str = "text") -> Column:
+        def of(s: Column) -> Column:
+            code = s.rlike(r"^[+-]?0[0-9]+$") if kind == "text" else F.lit(False)
             text = F.concat(F.lit("text|"), s)
             number = let(plain_number(s), lambda n: F.coalesce(F.concat(F.lit("number|"), n), text))
             return F.when(s == "", "empty|").when(code, text).otherwise(number)
 
-        return F.when(c.isNull(), "null|").otherwise(let(strip(c.cast("string")), kind))
+        number, s = F.lit("number|"), c.cast("string")
+        if kind == "whole":
+            return F.coalesce(F.concat(number, s), F.lit("null|"))
+        if kind == "decimal":  # of one kind, without outer white space or leading zeros
+            return F.when(c.isNull(), "null|").when(_plain_decimal(s), F.concat(number, _short(s))).otherwise(let(s, of))
+        first = F.substr(s, F.lit(1), F.lit(1))
+        word = first.rlike("[A-Za-z]") & (strip(s) == s)  # no number starts so
+        return F.when(c.isNull(), "null|").when(word, F.concat(F.lit("text|"), s)).otherwise(let(strip(s), of))
 
     def key_part(self, raw: Column, norm: Column) -> Column:
         return F.when(norm == "null|", KEY_NULL).when(norm == "empty|", KEY_EMPTY).otherwise(F.substr(norm, F.instr(norm, "|") + 1))

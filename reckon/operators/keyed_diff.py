@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from reckon.functions.cells import Dialect, FileDialect, key_text
+from reckon.functions.cells import Dialect, FileDialect, key_text, kind_of
 from reckon.operators import ranks
 from reckon.operators.assignment import assign, pair_costs
 from reckon.ship import ship
@@ -69,8 +68,8 @@ class KeyedDiff:
 
     def _rows(self, df: DataFrame, side: str) -> DataFrame:
         """k, v (normalised key and content) and the raw key and content, as a row of one side."""
-        text = {f.name: isinstance(f.dataType, T.StringType) for f in df.schema.fields}
-        norm = lambda cs: F.array(*[self.dialect(F.col(f"`{c}`"), text[c]) for c in cs]).cast("array<string>")
+        kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+        norm = lambda cs: F.array(*[self.dialect(F.col(f"`{c}`"), kind[c]) for c in cs]).cast("array<string>")
         raw = F.struct(*[F.array(*[F.col(f"`{c}`").cast("string") for c in cs]).cast("array<string>").alias(n) for n, cs in (("k", self.keys), ("v", self.compare))])
         none = F.lit(None).cast("struct<k:array<string>,v:array<string>>")
         mine = [F.lit(int(side == x)).cast("long").alias(f"n{x}") for x in "ab"]
@@ -222,8 +221,8 @@ class KeyedDiff:
 
 def duplicate_keys(df: DataFrame, keys: list[str], dialect: Dialect) -> DataFrame:
     """key and n of each key that several rows have."""
-    text = {f.name: isinstance(f.dataType, T.StringType) for f in df.schema.fields}
-    norm = F.array(*[dialect(F.col(f"`{c}`"), text[c]) for c in keys])
+    kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    norm = F.array(*[dialect(F.col(f"`{c}`"), kind[c]) for c in keys])
     raw = F.array(*[F.col(f"`{c}`").cast("string") for c in keys])
     g = df.select(norm.alias("k"), raw.alias("raw")).groupBy("k").agg(F.count("*").alias("n"), F.min("raw").alias("raw_key")).where("n > 1")
     return g.select(key_text([dialect.key_part(F.col("raw_key")[i], F.col("k")[i]) for i in range(len(keys))]).alias("key"), "n")

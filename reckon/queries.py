@@ -101,7 +101,7 @@ def norm_file_cells(spark: SparkSession, sf: str) -> DataFrame:
 def norm_sql_cells(spark: SparkSession, sf: str) -> DataFrame:
     d, b = X.SqlDialect(), sql(spark, sf, ORDERS_B, "orders")
     own = _cells(spark).where("v is null or v <> '1_000'").select(F.lit("cell").alias("src"), F.col("id").cast("long").alias("id"), d(F.col("v")).alias("norm"))
-    return own.union(b.select(F.lit("order"), "k", d(F.col("status")))).union(b.select(F.lit("price"), "k", d(F.col("price"), False)))
+    return own.union(b.select(F.lit("order"), "k", d(F.col("status")))).union(b.select(F.lit("price"), "k", d(F.col("price"), "decimal")))
 
 
 # -- keyed differences -------------------------------------------------------------------------------
