@@ -1,7 +1,8 @@
 """Workbooks and CSV files for people: typed cells, no active formulas, headers that stay in view.
 
 A workbook is written by the driver from a row iterator, sheet by sheet, so only one partition's
-rows are held at a time; SHEET_ROWS bounds a sheet, and what is beyond is told, not lost silently.
+rows are held at a time; SHEET_ROWS bounds a sheet, and what is beyond is told, not lost silently, or
+goes to further sheets.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterable
 from datetime import datetime
+from itertools import chain, islice
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -84,19 +86,32 @@ def _sheet(names: list[str], rows: Iterable, styles: _Styles) -> Iterable[str]:
     yield f'</sheetData><autoFilter ref="A1:{last}{n}"/></worksheet>'
 
 
-def write_workbook(path: str, sheets: dict[str, DataFrame], most: int = SHEET_ROWS) -> dict[str, tuple[int, int]]:
-    """Writes each table to a sheet, in the order given; returns (written, total) rows of each."""
+def _parts(rows: Iterable, most: int) -> Iterable[Iterable]:
+    """The rows of each sheet of a table: of a first one always, of further ones while there are rows.
+    Each is to be used up before the next."""
+    rows = iter(rows)
+    yield islice(rows, most)
+    while (first := next(rows, None)) is not None:
+        yield chain([first], islice(rows, most - 1))
+
+
+def write_workbook(path: str, sheets: dict[str, DataFrame], most: int = SHEET_ROWS, split: bool = False) -> dict[str, tuple[int, int]]:
+    """Writes each table to a sheet, in the order given; returns (written, total) rows of each. With
+    split, rows beyond most go to further sheets ("title (2)", ...), so all are written."""
     styles, told = _Styles(), {}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         titles = []
-        for i, (title, df) in enumerate(sheets.items(), 1):
-            titles.append(re.sub(r"[\[\]:*?/\\]", "_", title)[:31])
-            typed = df.limit(most).select(*[cell_kind(F.col(f"`{c}`").cast("string"), c).alias(f"c{k}") for k, c in enumerate(df.columns)])
+        for title, df in sheets.items():
+            name = re.sub(r"[\[\]:*?/\\]", "_", title)
+            typed = (df if split else df.limit(most)).select(*[cell_kind(F.col(f"`{c}`").cast("string"), c).alias(f"c{k}") for k, c in enumerate(df.columns)])
             total = df.count()
-            told[title] = (min(total, most), total)
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
-                for part in _sheet(df.columns, typed.toLocalIterator(), styles):
-                    out.write(part.encode())
+            told[title] = (total if split else min(total, most), total)
+            for k, rows in enumerate(_parts(typed.toLocalIterator(), most), 1):
+                more = f" ({k})" if k > 1 else ""
+                titles.append(name[: 31 - len(more)] + more)
+                with z.open(f"xl/worksheets/sheet{len(titles)}.xml", "w") as out:
+                    for part in _sheet(df.columns, rows, styles):
+                        out.write(part.encode())
         z.writestr("xl/styles.xml", styles.xml())
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_TYPES}/spreadsheetml/2006/main" xmlns:r="{_TYPES}/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(titles, 1)) + "</sheets></workbook>")
         rel = f"{_TYPES}/officeDocument/2006/relationships"

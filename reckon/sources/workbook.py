@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -75,11 +76,15 @@ def _text_of(node) -> str:
 def sheets(data: bytes) -> list[Sheet]:
     """All sheets with their grids of text: numbers plain, dates as ISO, booleans TRUE and FALSE,
     formulas without a stored value as their text."""
+    return list(each_sheet(data))
+
+
+def each_sheet(data: bytes) -> Iterator[Sheet]:
+    """The sheets one after the other, for those who need not hold them all."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = [_text_of(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
     dates = _date_styles(z)
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-    out = []
     for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
         target = targets[s.get(f"{_REL}id")]
         path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
@@ -96,8 +101,7 @@ def sheets(data: bytes) -> list[Sheet]:
                 cells[k] = _value(c, shared, dates, sheet)
             sheet.grid.append(cells)
             row.clear()
-        out.append(sheet)
-    return out
+        yield sheet
 
 
 def _value(c, shared: list[str], dates: set[int], sheet: Sheet) -> str | None:

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from reckon import api
+from reckon import api, queries
 from reckon.functions import export, literals
 from reckon.operators.keyed_diff import KeyedDiff
 from reckon.sinks import report, workbook
@@ -131,3 +131,17 @@ def test_paths(tmp_path):
     with pytest.raises(ValueError):
         workbook.within(str(tmp_path), "../x")
     assert workbook.safe_name("a/b c?.xlsx") == "a_b_c_.xlsx"
+
+
+def test_workbook_of_all_orders(spark, tmp_path):
+    """No order is lost, whatever its key, and full sheets go on in further ones."""
+    df = spark.sql("SELECT id AS o_orderkey, date_add(DATE'1995-01-01', CAST(id % 900 AS INT)) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(190, 300)")
+    df.write.parquet(f"{tmp_path}/orders.parquet")
+    want = sorted((str(r[0]), f"{r[1]}", r[2]) for r in df.collect())
+    assert sorted(map(tuple, queries.QUERIES["xlsx_round_trip_all"](spark, str(tmp_path)).collect())) == want
+    assert sorted(r["id"] for r in queries.QUERIES["xlsx_round_trip"](spark, str(tmp_path)).collect()) == [str(i) for i in range(190, 201)]
+    told = workbook.write_workbook(str(tmp_path / "x.xlsx"), {"orders": df.orderBy("o_orderkey"), "none": df.limit(0)}, most=50, split=True)
+    assert told == {"orders": (110, 110), "none": (0, 0)}
+    found = reader.sheets((tmp_path / "x.xlsx").read_bytes())
+    assert [(s.name, len(s.grid) - 1) for s in found] == [("orders", 50), ("orders (2)", 50), ("orders (3)", 10), ("none", 0)]
+    assert [r[0] for s in found for _, r in reader.table_of(s)[1]] == [str(i) for i in range(190, 300)]
