@@ -6,9 +6,14 @@ S agree once the one that stands earlier is multiplied by B to the distance; the
 extension of two places is found by binary search over span equality.
 
 A fingerprint is the length, the hash of the whole text, and hashes of prefixes and of suffixes at
-multiples of a step, the least power of two that makes at most GRID of them. Two fingerprints share
-the multiples of the larger step, where binary search finds the longest common prefix and suffix;
-their likeness is the part of the longer text that these cover: 1 for equal texts.
+multiples of a step, the least power of two that makes at most GRID of them.
+
+The likeness of two texts is taken from the texts' prefix arrays, not from their fingerprints. A code
+point is shared if it lies in the longest common prefix or suffix, or in a span of at least SPAN code
+points that stands anywhere in the other text: the hashes of all spans of SPAN are looked up among
+the other's. Likeness is the lesser of both texts' shared code points, by the length of the longer
+text: 1 for equal texts. The order of shared spans doesn't count, so texts with the same long spans
+in another order are alike too.
 
 Defined cases: a null text counts as empty; two empty texts have likeness 1; the next document of
 each is that of the next row by doc_id (null first) and then text, of the last the first; a single
@@ -20,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -33,20 +39,23 @@ from reckon.ship import ship
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003019, 777767777)
 GRID = 32
+#: The least length of a span within both texts that counts as shared.
+SPAN = 16
 #: Rows aimed at for one range of doc_id, and the most ranges.
 RANGE_ROWS = 2_000
 MOST_RANGES = 20_000
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = {(k, sign): np.ones(1, np.uint64) for k in (0, 1) for sign in (1, -1)}
 
 
-def powers(k: int, n: int) -> np.ndarray:
-    """B^0 ... B^(n-1) modulo the k-th prime, kept and doubled as longer texts come."""
-    p, have = np.uint64(PRIMES[k]), _powers[k]
+def powers(k: int, n: int, sign: int = 1) -> np.ndarray:
+    """B^0 ... B^(n-1), or with sign -1 their inverses, modulo the k-th prime, kept and doubled as
+    longer texts come."""
+    p, have = np.uint64(PRIMES[k]), _powers[k, sign]
     while len(have) < n:
-        step = np.uint64(pow(BASES[k], len(have), PRIMES[k]))
+        step = np.uint64(pow(BASES[k], sign * len(have), PRIMES[k]))
         have = np.concatenate([have, have * step % p])
-    _powers[k] = have
+    _powers[k, sign] = have
     return have[:n]
 
 
@@ -86,6 +95,49 @@ class PrefixHash:
             low, high = (mid, high) if self.equal(a, other, b, mid) else (low, mid - 1)
         return low
 
+    def suffix(self, other: "PrefixHash") -> int:
+        """The length of the longest common suffix."""
+        low, high = 0, min(self.n, other.n)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.equal(self.n - mid, other, other.n - mid, mid) else (low, mid - 1)
+        return low
+
+    @cached_property
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all spans of SPAN code points, by place and sorted."""
+        n = max(0, self.n - SPAN + 1)
+        out = np.zeros(n, np.uint64)
+        for k, s in enumerate(self.sums if n else ()):
+            p = np.uint64(PRIMES[k])
+            out = (out << np.uint64(31)) | (s[SPAN:] + p - s[:n]) % p * powers(k, n, -1) % p
+        return out, np.sort(out)
+
+    def shared(self, other: "PrefixHash") -> np.ndarray:
+        """Whether each code point lies in a span of SPAN that other has too."""
+        mine, theirs = self.windows[0], other.windows[1]
+        if not len(mine) or not len(theirs):
+            return np.zeros(self.n, bool)
+        starts = np.flatnonzero(theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine)
+        edges = np.zeros(self.n + 1, np.int64)
+        edges[starts] += 1
+        edges[starts + SPAN] -= 1
+        return np.cumsum(edges[:-1]) > 0
+
+    def likeness(self, other: "PrefixHash") -> float:
+        longer, shorter = max(self.n, other.n), min(self.n, other.n)
+        head = self.extension(0, other, 0)
+        if head == longer:
+            return 1.0
+        tail = min(self.suffix(other), shorter - head)
+        covered = []
+        for one, two in ((self, other), (other, self)):
+            own = one.shared(two)
+            own[:head] = True
+            own[one.n - tail :] = True
+            covered.append(int(own.sum()))
+        return min(covered) / longer
+
     def fingerprint(self) -> "Fingerprint":
         n, step = self.n, 1
         while n > GRID * step:
@@ -117,22 +169,6 @@ class Fingerprint:
         short = lambda x: ((x ^ (x >> np.uint64(29))) & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex()
         return f"{self.n:x}.{self.whole:016x}.{self.step:x}.{short(self.head)}.{short(self.tail)}"
 
-    def likeness(self, other: "Fingerprint") -> float:
-        if self.n == other.n and self.whole == other.whole:
-            return 1.0
-        longer = max(self.n, other.n)
-        step = max(self.step, other.step)
-        most = min(self.n, other.n) // step
-        covered = 0
-        for mine, theirs in ((self.head, other.head), (self.tail, other.tail)):
-            x, y = mine[step // self.step - 1 :: step // self.step], theirs[step // other.step - 1 :: step // other.step]
-            low, high = 0, most
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if x[mid - 1] == y[mid - 1] else (low, mid - 1)
-            covered += low * step
-        return min(covered, min(self.n, other.n)) / longer if longer else 1.0
-
 
 def edited(text: str | None, following: str | None) -> str:
     """text with its last quarter (rounded down) of code points replaced by as many of following's
@@ -201,20 +237,20 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(4))) for b in batches)
         out: list[tuple] = []
-        last: tuple | None = None  # part, doc_id, text, fingerprint
+        last: tuple | None = None  # part, doc_id, text, prefix hashes, fingerprint
         size = 0
         for part, doc_id, text, guest in rows:
-            mine = PrefixHash(text).fingerprint()
+            mine = PrefixHash(text)
             if last is not None and last[0] == part:
                 new = edited(last[2], text)
-                theirs = PrefixHash(new).fingerprint()
+                theirs = PrefixHash(new)
                 sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((last[1], len(last[2]), sha, last[3].text(), theirs.text(), last[3].likeness(theirs), last[3].likeness(mine)))
+                out.append((last[1], len(last[2]), sha, last[4], theirs.fingerprint().text(), last[3].likeness(theirs), last[3].likeness(mine)))
                 size += 1
                 if size >= 2000:
                     yield _rows(out)
                     out, size = [], 0
-            last = None if guest else (part, doc_id, text, mine)
+            last = None if guest else (part, doc_id, text, mine, mine.fingerprint().text())
         if out:
             yield _rows(out)
 

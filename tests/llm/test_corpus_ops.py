@@ -54,6 +54,37 @@ def test_edited_and_next(docs, rows, empty, spark):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    head = tail = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    found = []
+    for x, y in ((a, b), (b, a)):
+        own = set(range(head)) | set(range(len(x) - tail, len(x)))
+        for i in range(len(x) - fingerprint.SPAN + 1):
+            if x[i : i + fingerprint.SPAN] in y:
+                own |= set(range(i, i + fingerprint.SPAN))
+        found.append(len(own))
+    return min(found) / max(len(a), len(b))
+
+
+def test_likeness_of_spans_inside(spark):
+    rng = random.Random(3)
+    a = prose(rng, "en", 300)
+    near = "First " + a[:700] + " between " + a[700:] + " last"  # no common prefix or suffix
+    pairs = [(a, near), (a, prose(rng, "en", 300)), (a, a[5:-5]), (a * 3, "x" + a), ("", "a"), ("", ""), ("ab", "b"), ("x𝄞" * 40, "y" + "x𝄞" * 30 + "z")]
+    pairs += [("".join(rng.choice("ab") for _ in range(rng.randint(0, 90))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 90)))) for _ in range(50)]
+    for x, y in pairs:
+        p, q = fingerprint.PrefixHash(x), fingerprint.PrefixHash(y)
+        assert p.likeness(q) == q.likeness(p) == slow_likeness(x, y)
+    got = fingerprint.edited_and_next(spark.createDataFrame([(1, a), (2, near)], "doc_id long, text string")).collect()
+    assert min(r["near_next"] for r in got) > 0.95
+
+
 def test_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     data = [(i * i % 997, f"text number {i} " * (i % 5)) for i in range(300)]
