@@ -8,8 +8,8 @@ a temperature fitted on left-out folds calibrates the probabilities, and below C
 is unknown. The winning family is confirmed if the paragraph holds COVERED of the n-grams of one of
 the family's templates, or if COVERED of the paragraph's n-grams are in the template.
 
-Scanning (JVM only): paragraphs with a cue word (one that has a weight for a family and isn't
-common prose) are cut into n-grams, joined to the broadcast table of weights (as many rows as the
+Scanning (JVM only): paragraphs with a cue word (the cues are chosen from the trained weights so that
+no paragraph without any can reach CONFIDENT for a family) are cut into n-grams, joined to the broadcast table of weights (as many rows as the
 trained n-grams, whatever the input), and summed by paragraph.
 
 Defined cases: null and empty texts have no paragraph and no family; rows that repeat doc_id and
@@ -126,6 +126,8 @@ PROSE = [
 ]
 
 _COMMON = frozenset("a all an and any are as at be been both by can city do for free from had has have he her his if in into is it its law may more most no not of office on or other part people person she so the their they this to two under until use uses was were will with without work you your next new end order source general public open version release released licensed license licence program file copy terms conditions form forms code following met library common software permission granted project that only later possible style written subject except deal prior provided author files charge sa nc universal extent published domain documentation international associated".split())
+#: Frequent words of prose, most frequent first: taken as cues only where others don't do.
+_FREQUENT = "the of and to a in is for that it on as with by are be was at from an all any or this".split()
 _WORDS = re.compile(r"[^a-z0-9]+")
 
 
@@ -182,6 +184,32 @@ def _fit(a: np.ndarray, y: np.ndarray, k: int, rounds: int = 400, sparse: float
     return w, b
 
 
+def reachable(weights: dict[str, tuple[float, ...]], intercepts: tuple[float, ...], cues: set[str]) -> np.ndarray:
+    """By family, how far a text of any n-grams without a cue can be above the class unknown."""
+    b = np.array(intercepts)
+    free = np.array([w for g, w in weights.items() if not set(g.split()) & cues]).reshape(-1, len(b))
+    return (b - b[-1] + np.maximum(0, free - free[:, -1:]).sum(0))[:-1]
+
+
+def _complete(weights: dict[str, tuple[float, ...]], intercepts: tuple[float, ...], temperature: float, cues: set[str]) -> set[str]:
+    """cues and further words, so that no text without any of them can reach CONFIDENT."""
+    most = temperature * float(np.log(CONFIDENT / (1 - CONFIDENT))) - 1e-6
+    cost = {w: 1000.0 / k for k, w in enumerate(_FREQUENT, 1)}
+    own, added = set(cues), []
+    while (over := reachable(weights, intercepts, own) >= most).any():
+        gain: dict[str, float] = {}
+        for g, w in weights.items():
+            if not set(g.split()) & own:
+                for t in set(g.split()):
+                    gain[t] = gain.get(t, 0.0) + float(np.maximum(0, np.array(w[:-1]) - w[-1])[over].sum())
+        added.append(max(sorted(gain), key=lambda t: gain[t] / cost.get(t, 1.0)))
+        own.add(added[-1])
+    for t in sorted(added, key=lambda t: (-cost.get(t, 1.0), t)):  # those that later ones made needless
+        if (reachable(weights, intercepts, own - {t}) < most).all():
+            own.discard(t)
+    return own
+
+
 @lru_cache(maxsize=1)
 def classifier() -> Classifier:
     x, y = _examples()
@@ -208,16 +236,15 @@ def classifier() -> Classifier:
     # a word that stands in a notice and isn't common prose; every notice has one
     cues = sorted({t for family, notices in NOTICES.items() for n in notices for t in words(n) if t not in _COMMON and not t.isdigit() and len(t) > 1})
     cues += ["license", "licensed", "licence"]
+    cues = _complete(weights, tuple(b.round(6).tolist()), temperature, set(cues))
     templates = tuple((family, frozenset(ngrams(n))) for family, notices in NOTICES.items() for n in notices)
-    return Classifier(families, weights, tuple(b.round(6).tolist()), temperature, tuple(sorted(set(cues))), templates)
+    return Classifier(families, weights, tuple(b.round(6).tolist()), temperature, tuple(sorted(cues)), templates)
 
 
 def classify(paragraph: str) -> tuple[str, float, bool]:
-    """Family, calibrated probability and confirmation of one paragraph, as the scan has them (used
-    as the brute-force version in tests)."""
+    """Family, calibrated probability and confirmation of one paragraph, as the scan has them, but
+    without a look at cues (used as the brute-force version in tests)."""
     m, grams = classifier(), ngrams(paragraph)
-    if not set(words(paragraph)) & set(m.cues):
-        return UNKNOWN, 0.0, False
     z = np.array(m.intercepts)
     for g in sorted(grams):
         z = z + np.array(m.weights.get(g, np.zeros(len(z))))

@@ -209,3 +209,16 @@ def test_licences_as_paragraph_by_paragraph(spark, empty):
     assert all(families[i] == "" for i in range(n, n + len(licenses.PROSE)))
     assert families[502] == "mit"
     assert licenses.scan(empty).collect() == []
+
+
+def test_no_licence_without_a_cue(spark):
+    m = licenses.classifier()
+    need = m.temperature * np.log(licenses.CONFIDENT / (1 - licenses.CONFIDENT))
+    assert licenses.reachable(m.weights, m.intercepts, set(m.cues)).max() < need
+    data = []  # of common words only, all those that speak for a family
+    for k in range(len(m.families) - 1):
+        data.append((k, " ".join(sorted(g for g, w in m.weights.items() if w[k] > w[-1] and all(t in licenses._COMMON for t in g.split())))))
+    data.append((99, "This work is released into the public domain."))
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r[0], r["families"], r["n_confirmed"], r["n_unconfirmed"]) for r in got) == sorted((i, *slow_scan(t)) for i, t in data)
+    assert sum(r["n_confirmed"] + r["n_unconfirmed"] for r in got) > 5
