@@ -1,133 +1,49 @@
 """Licence scans: a trained paragraph classifier with template comparison.
 
-Paragraphs are a text's lines and its blocks between blank lines (for notices that are wrapped).
-Training (driver, fixed size): a sparse multinomial logistic regression over word 1- and 2-grams,
-with the notices below, their shortenings and prose of no licence as examples of licence families
-and of the class `unknown`. Weights are driven to zero by soft thresholding, so few n-grams stay;
-a temperature fitted on left-out folds calibrates the probabilities, and below CONFIDENT a paragraph
-is unknown. The winning family is confirmed if the paragraph holds COVERED of the n-grams of one of
-the family's templates, or if COVERED of the paragraph's n-grams are in the template.
-
-Scanning (JVM only): paragraphs with a cue word (the cues are chosen from the trained weights so that
-no paragraph without any can reach CONFIDENT for a family) are cut into n-grams, joined to the broadcast table of weights (as many rows as the
-trained n-grams, whatever the input), and summed by paragraph.
-
-Defined cases: null and empty texts have no paragraph and no family; rows that repeat doc_id and
-text give the same result once each; a null doc_id is carried; a family counts once for a paragraph
-that is both a line and a block; other columns are not looked at.
+Training (driver, fixed size): a sparse multinomial logistic regression over word 1- and 2-grams. Its
+examples are the paragraphs in licence_texts: notices and full texts of licence families, and for the
+class `unknown` those of other licences and prose (contracts, terms of service, talk about licences).
+Weights are driven to zero by soft thresholding. Probabilities are calibrated, by a temperature and a
+bias of the class unknown, on folds left out of training: variants of the families' paragraphs, and
+other licences as a whole; below CONFIDENT a paragraph is unknown. The winning family is confirmed by template
+comparison: n-grams weigh by in how few families they stand, and the paragraph must share COVERED of
+the weight of one of the family's templates (it holds the template), or COVERED of its own weight and
+at least LEAST with one (it is a piece of it). So words that all licences share confirm nothing.
+
+Scanning (JVM only, no shuffle of n-grams): every text is cut into blocks between blank lines, and
+blocks into lines; each line, and each block of several lines as a whole (notices are often wrapped),
+is a paragraph. Hashes of its n-grams (within lines) are looked up in literal arrays (two tables, each
+entry at one of two places), weights and shared weights are summed within the row, and only
+paragraphs of a family go on to be counted by document.
+
+Defined cases: null and empty texts have no paragraph and no family; rows that repeat doc_id and text
+give the same result once each; a null doc_id is carried; a block counts a family once, whether it
+is found in the block, in one of its lines or in several; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from importlib import resources
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 CONFIDENT = 0.6
 COVERED = 0.6
+#: Least weight that a piece of a template must share with it (a rare n-gram weighs about 2).
+LEAST = 8.0
+#: n-grams below this weight are in too many families to tell anything.
+TELLING = 0.5
+ROUNDS = 100
+SPARSE = 1e-4
+FOLDS = 2
 
-# Notices of licence families, in the words of their usual short forms.
-NOTICES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache 2.0 license.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "This software is licensed under the MIT license.",
-        "SPDX-License-Identifier: MIT",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "Distributed under the GPL version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ],
-    "lgpl": [
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software under the terms of the GNU Lesser General Public License.",
-        "SPDX-License-Identifier: LGPL-2.1-only",
-    ],
-    "bsd": [
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Use of this source code is governed by a BSD-style license.",
-        "SPDX-License-Identifier: BSD-2-Clause",
-    ],
-    "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "cc-by": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-4.0",
-    ],
-    "cc-by-nc": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ],
-    "cc-by-sa": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
-    ],
-    "cc0": [
-        "Released into the public domain under CC0 1.0.",
-        "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.",
-        "SPDX-License-Identifier: CC0-1.0",
-    ],
-    "proprietary": [
-        "Copyright, all rights reserved.",
-        "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.",
-        "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.",
-    ],
-}
-
-# Prose that no licence should be found in.
-PROSE = [
-    "He lost his driving license after the accident and had to renew it at the office.",
-    "The restaurant applied for a liquor license in the spring of that year.",
-    "She studied at MIT before moving to the west coast to found a company.",
-    "The museum is open to the general public every day except on Monday.",
-    "An apache helicopter landed near the village early in the morning.",
-    "The doctor is licensed to practise medicine in two states.",
-    "Version 2.0 of the game will be released next month.",
-    "They were free to use the path without restriction until the bridge fell.",
-    "The new version 3 of the program is faster and uses less memory.",
-    "The public library holds a copy of the work in its source language.",
-    "A fishing licence costs twelve pounds for adults and is free of charge for children.",
-    "The film was distributed in many countries and released in four forms.",
-    "Poetic license allows the author to change the order of events.",
-    "The conditions are met in most of the following cases.",
-    "All of the people in the hall were on their feet at the end of the show.",
-    "The attribution of the painting to the master has been contested.",
-    "Creative people are common in this part of the city.",
-    "The rights of the workers were reserved for later talks.",
-    "The foundation gives money for software in schools.",
-    "This file is part of the record of the meeting held in March.",
-    "Permission to enter was granted by the guard at the gate.",
-    "The terms of the treaty were modified by both sides.",
-    "You may not use the lift during a fire.",
-    "The Mozilla office moved to another street.",
-    "Copyright law was the subject of her thesis.",
-    "The work is done and the house is ready to be sold.",
-]
-
-_COMMON = frozenset("a all an and any are as at be been both by can city do for free from had has have he her his if in into is it its law may more most no not of office on or other part people person she so the their they this to two under until use uses was were will with without work you your next new end order source general public open version release released licensed license licence program file copy terms conditions form forms code following met library common software permission granted project that only later possible style written subject except deal prior provided author files charge sa nc universal extent published domain documentation international associated".split())
-#: Frequent words of prose, most frequent first: taken as cues only where others don't do.
-_FREQUENT = "the of and to a in is for that it on as with by are be was at from an all any or this".split()
 _WORDS = re.compile(r"[^a-z0-9]+")
 
 
@@ -136,193 +52,331 @@ def words(text: str) -> list[str]:
 
 
 def ngrams(text: str) -> set[str]:
-    w = words(text)
-    return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+    """Words and pairs of neighbours; a pair doesn't reach over the end of a line."""
+    found: set[str] = set()
+    for line in text.split("\n"):
+        w = words(line)
+        found.update(w, (f"{a} {b}" for a, b in zip(w, w[1:])))
+    return found
+
+
+def gram_hash(gram: str) -> int:
+    """The hash that xxhash64(word) or xxhash64(word, next) has in Spark."""
+    h = 42
+    for w in gram.split(" "):
+        h = xxhash.xxh64_intdigest(w.encode(), h)
+    return h
+
+
+@lru_cache(maxsize=1)
+def paragraphs_of() -> dict[str, list[str]]:
+    """Paragraphs by family, of _other_licences and of _prose."""
+    folder = resources.files(__package__) / "licence_texts"
+    files = sorted((f for f in folder.iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return {f.name[:-4]: [p for p in f.read_text(encoding="utf-8").split("\n\n") if p.strip()] for f in files}
+
+
+def variants(paragraph: str) -> list[str]:
+    """A paragraph, its beginning and end, as they stand in texts that wrap or shorten it, and the
+    whole with each fifth word lost."""
+    w = paragraph.split()
+    if len(w) < 12:
+        return [paragraph, "Note: " + paragraph]
+    return [paragraph, " ".join(w[: 3 * len(w) // 5]), " ".join(w[2 * len(w) // 5 :]), " ".join(x for i, x in enumerate(w) if i % 5 != 2)]
 
 
 @dataclass(frozen=True)
 class Classifier:
+    """weights: by n-gram, for each family (calibrated; the last is unknown); idf: n-grams' weights
+    in comparisons; templates: (family's index, n-grams)."""
+
     families: tuple[str, ...]
     weights: dict[str, tuple[float, ...]]
     intercepts: tuple[float, ...]
-    temperature: float
-    cues: tuple[str, ...]
-    templates: tuple[tuple[str, frozenset[str]], ...]
-
-
-def _examples() -> tuple[list[set[str]], list[str]]:
-    x, y = [], []
-    for family, notices in NOTICES.items():
-        for n in notices:
-            w = n.split()
-            variants = [n, "Note: " + n, n + " See the file for details.", " ".join(w[: max(3, 2 * len(w) // 3)]) if len(w) > 9 else n]
-            x += [ngrams(v) for v in variants]
-            y += [family] * len(variants)
-    for p in PROSE:
-        w = p.split()
-        for v in (p, " ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])):
-            x.append(ngrams(v))
-            y.append(UNKNOWN)
-    return x, y
-
-
-def _fit(a: np.ndarray, y: np.ndarray, k: int, rounds: int = 400, sparse: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts by proximal gradient steps with momentum; sparse is the soft threshold."""
-    w, b = np.zeros((a.shape[1], k)), np.zeros(k)
-    v, last = w.copy(), w.copy()
-    one = np.eye(k)[y]
-    step = 4.0 * len(a) / max(1.0, float(np.linalg.norm(a, 2)) ** 2)
+    idf: dict[str, float]
+    rare: float
+    templates: tuple[tuple[int, frozenset[str]], ...]
+
+
+class _Rows:
+    """Sparse rows of ones: columns by row, and products with dense matrices."""
+
+    def __init__(self, rows: list[list[int]]):
+        sizes = np.array([len(r) for r in rows])
+        self.columns = np.concatenate([np.array(r, np.int64) for r in rows])
+        self.starts = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        self.order = np.argsort(self.columns, kind="stable")
+        self.used, self.column_starts = np.unique(self.columns[self.order], return_index=True)
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(m[self.columns], self.starts, axis=0)
+
+    def transposed_times(self, m: np.ndarray, out: np.ndarray) -> np.ndarray:
+        out[self.used] = np.add.reduceat(m[self.owner[self.order]], self.column_starts, axis=0)
+        return out
+
+
+def _fit(rows: list[list[int]], y: np.ndarray, columns: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts by proximal gradient steps with momentum."""
+    x, one = _Rows(rows), np.eye(k, dtype=np.float32)[y]
+    share = (1 / np.bincount(y, minlength=k).clip(1))[y] ** 0.5  # rare families count for more
+    share = (share / share.sum()).astype(np.float32)[:, None]
+    w, b = np.zeros((columns, k), np.float32), np.zeros(k, np.float32)
+    v, last, gradient = w.copy(), w.copy(), np.zeros_like(w)
+    step = 1.0
     for t in range(rounds):
-        z = a @ v + b
+        z = x.times(v) + b
         q = np.exp(z - z.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        d = (one - q) / len(a)
-        w = v + step * (a.T @ d)
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * sparse)
+        d = (one - q / q.sum(1, keepdims=True)) * share
+        if t == 0:  # the largest curvature, by a few power steps
+            u = np.random.default_rng(1).random((columns, 1), np.float32)
+            for _ in range(8):
+                u = x.transposed_times(x.times(u) * share, np.zeros_like(u))
+                size = float(np.linalg.norm(u))
+                u /= size
+            step = 2.0 / size
+        w = v + step * x.transposed_times(d, gradient)
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * SPARSE)
         b = b + step * d.sum(0)
         v, last = w + t / (t + 3) * (w - last), w
     return w, b
 
 
-def reachable(weights: dict[str, tuple[float, ...]], intercepts: tuple[float, ...], cues: set[str]) -> np.ndarray:
-    """By family, how far a text of any n-grams without a cue can be above the class unknown."""
-    b = np.array(intercepts)
-    free = np.array([w for g, w in weights.items() if not set(g.split()) & cues]).reshape(-1, len(b))
-    return (b - b[-1] + np.maximum(0, free - free[:, -1:]).sum(0))[:-1]
-
-
-def _complete(weights: dict[str, tuple[float, ...]], intercepts: tuple[float, ...], temperature: float, cues: set[str]) -> set[str]:
-    """cues and further words, so that no text without any of them can reach CONFIDENT."""
-    most = temperature * float(np.log(CONFIDENT / (1 - CONFIDENT))) - 1e-6
-    cost = {w: 1000.0 / k for k, w in enumerate(_FREQUENT, 1)}
-    own, added = set(cues), []
-    while (over := reachable(weights, intercepts, own) >= most).any():
-        gain: dict[str, float] = {}
-        for g, w in weights.items():
-            if not set(g.split()) & own:
-                for t in set(g.split()):
-                    gain[t] = gain.get(t, 0.0) + float(np.maximum(0, np.array(w[:-1]) - w[-1])[over].sum())
-        added.append(max(sorted(gain), key=lambda t: gain[t] / cost.get(t, 1.0)))
-        own.add(added[-1])
-    for t in sorted(added, key=lambda t: (-cost.get(t, 1.0), t)):  # those that later ones made needless
-        if (reachable(weights, intercepts, own - {t}) < most).all():
-            own.discard(t)
-    return own
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The temperature and the bias of the last class with the least loss."""
+
+    def loss(t: float, bias: float) -> float:
+        s = z / t
+        s[:, -1] += bias
+        s = s - s.max(1, keepdims=True)
+        return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y]))
+
+    return min(((0.1 * 1.25**i, 0.5 * j) for i in range(16) for j in range(-4, 9)), key=lambda x: loss(*x))
+
+
+def train(texts: dict[str, list[str]]) -> Classifier:
+    """A classifier of paragraphs by family; names that begin with _ are examples of unknown."""
+    names = [f for f in texts if not f.startswith("_")]
+    families = (*names, UNKNOWN)
+    x, y, fold = [], [], []
+    for family, own in texts.items():
+        for i, p in enumerate(own):
+            for j, v in enumerate(variants(p)):
+                x.append(ngrams(v))
+                y.append(families.index(family if family in names else UNKNOWN))
+                # known paragraphs are left out as variants, other licences in runs, so as a whole
+                fold.append((i + j) % FOLDS if family in names else i * FOLDS // len(own) if family == "_other_licences" else i % FOLDS)
+    prose = texts.get("_prose", [])
+    for i in range(0, len(prose), 3):  # long texts, of which each word is there once
+        x.append(set().union(*(ngrams(p) for p in prose[i : i + 20])))
+        y.append(len(names))
+        fold.append(i % FOLDS)
+    column = {g: i for i, g in enumerate(sorted(set().union(*x)))}
+    rows, target, fold = [sorted(column[g] for g in grams) for grams in x], np.array(y), np.array(fold)
+    z = np.zeros((len(x), len(families)))
+    for f in range(FOLDS):
+        own = np.nonzero(fold != f)[0]
+        w, b = _fit([rows[i] for i in own], target[own], len(column), len(families), ROUNDS // 2)
+        out = np.nonzero(fold == f)[0]
+        if len(out):
+            z[out] = _Rows([rows[i] for i in out]).times(w) + b
+    temperature, bias = _calibrated(z, target)
+    w, b = _fit(rows, target, len(column), len(families), ROUNDS)
+    b = b.astype(float) / temperature
+    b[-1] += bias
+    weights = {g: tuple((w[i].astype(float) / temperature).round(5).tolist()) for g, i in column.items() if np.abs(w[i]).max() > 1e-5}
+    seen: dict[str, set[str]] = {}
+    for family, own in texts.items():
+        for p in own:
+            for g in ngrams(p):
+                seen.setdefault(g, set()).add(family)
+    idf = {g: round(float(np.log((len(texts) + 1) / (len(fs) + 0.5))), 5) for g, fs in seen.items()}
+    templates = tuple((k, frozenset(ngrams(p))) for k, family in enumerate(names) for p in texts[family])
+    return Classifier(families, weights, tuple(b.round(5).tolist()), idf, round(float(np.log((len(texts) + 1) / 1.5)), 5), templates)
 
 
 @lru_cache(maxsize=1)
 def classifier() -> Classifier:
-    x, y = _examples()
-    families = (*NOTICES, UNKNOWN)
-    vocabulary = sorted(set().union(*x))
-    column = {g: i for i, g in enumerate(vocabulary)}
-    a = np.zeros((len(x), len(vocabulary)))
-    for r, grams in enumerate(x):
-        a[r, [column[g] for g in grams]] = 1
-    target = np.array([families.index(f) for f in y])
-    z, fold = np.zeros((len(x), len(families))), np.arange(len(x)) % 5
-    for f in range(5):
-        w, b = _fit(a[fold != f], target[fold != f], len(families), 150)
-        z[fold == f] = a[fold == f] @ w + b
-
-    def loss(t: float) -> float:
-        s = z / t
-        s = s - s.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), target]))
-
-    temperature = min((0.25 * 1.2**i for i in range(18)), key=loss)
-    w, b = _fit(a, target, len(families))
-    weights = {g: tuple(w[i].round(6).tolist()) for g, i in column.items() if np.abs(w[i]).max() > 1e-6}
-    # a word that stands in a notice and isn't common prose; every notice has one
-    cues = sorted({t for family, notices in NOTICES.items() for n in notices for t in words(n) if t not in _COMMON and not t.isdigit() and len(t) > 1})
-    cues += ["license", "licensed", "licence"]
-    cues = _complete(weights, tuple(b.round(6).tolist()), temperature, set(cues))
-    templates = tuple((family, frozenset(ngrams(n))) for family, notices in NOTICES.items() for n in notices)
-    return Classifier(families, weights, tuple(b.round(6).tolist()), temperature, tuple(sorted(cues)), templates)
-
-
-def classify(paragraph: str) -> tuple[str, float, bool]:
-    """Family, calibrated probability and confirmation of one paragraph, as the scan has them, but
-    without a look at cues (used as the brute-force version in tests)."""
-    m, grams = classifier(), ngrams(paragraph)
-    z = np.array(m.intercepts)
-    for g in sorted(grams):
-        z = z + np.array(m.weights.get(g, np.zeros(len(z))))
-    z = z / m.temperature
-    q = np.exp(z - z.max())
-    q = q / q.sum()
-    k = int(q.argmax())
-    if m.families[k] == UNKNOWN or q[k] < CONFIDENT:
-        return UNKNOWN, float(q[k]), False
-    share = max(len(grams & t) / min(len(grams), len(t)) for f, t in m.templates if f == m.families[k])
-    return m.families[k], float(q[k]), share >= COVERED
-
-
-def _weights(spark: SparkSession, m: Classifier) -> DataFrame:
-    """gram, w (weights by family) and t (indices of the templates that have it)."""
-    of: dict[str, list[int]] = {}
-    for i, (_, grams) in enumerate(m.templates):
-        for g in grams:
-            of.setdefault(g, []).append(i)
-    zero = (0.0,) * len(m.families)
-    lines = [f"{g}|{','.join(map(str, m.weights.get(g, zero)))}|{','.join(map(str, of.get(g, [])))}" for g in sorted(set(m.weights) | set(of))]
-    parts = F.split("x", r"\|")
-    numbers = lambda c, kind: F.transform(F.filter(F.split(c, ","), lambda v: v != ""), lambda v: v.cast(kind))
-    rows = spark.range(1).select(F.explode(F.split(F.lit(";".join(lines)), ";")).alias("x"))
-    return rows.select(parts[0].alias("gram"), numbers(parts[1], "double").alias("w"), numbers(parts[2], "int").alias("t"))
-
-
-def _cue(m: Classifier) -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(m.cues) + r")(?![a-z0-9])"
+    return train(paragraphs_of())
+
+
+def classify(paragraph: str, m: Classifier | None = None) -> tuple[str, float, bool]:
+    """Family, calibrated probability and confirmation of one paragraph, by sets and sums of plain
+    Python (the brute-force version in tests)."""
+    m = m or classifier()
+    grams = ngrams(paragraph)
+    z = list(m.intercepts)
+    for g in grams:
+        for k, w in enumerate(m.weights.get(g, ())):
+            z[k] += w
+    top = max(z)
+    p = 1 / sum(np.exp(v - top) for v in z)
+    k = z.index(top)
+    if m.families[k] == UNKNOWN or p < CONFIDENT:
+        return UNKNOWN, float(p), False
+    telling = lambda gs: sum(v for g in gs if (v := m.idf.get(g, 0.0)) >= TELLING)
+    # a word of no example counts for itself and for a pair
+    whole, confirmed = telling(grams) + 2 * m.rare * sum(w not in m.idf for w in words(paragraph)), False
+    for family, template in m.templates:
+        if family == k:
+            shared = telling(grams & template)
+            confirmed |= shared > 0 and (shared >= COVERED * telling(template) or (shared >= LEAST and shared >= COVERED * whole))
+    return m.families[k], float(p), confirmed
+
+
+# -- the scan -------------------------------------------------------------------------------------
+
+
+def _numbers(values, kind: str) -> Column:
+    """A literal array, made once from one text (the optimizer folds it)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+@dataclass(frozen=True)
+class _Tables:
+    """The classifier as arrays. Entries are numbered from 1, telling ones (of any weight) first."""
+
+    mask: int
+    hashes: tuple[tuple[int, ...], tuple[int, ...]]
+    entries: tuple[tuple[int, ...], tuple[int, ...]]
+    strong: int
+    weights: tuple[float, ...]
+    idf: tuple[float, ...]
+    template_entries: tuple[int, ...]
+    first: tuple[int, ...]
+    size: tuple[int, ...]
+    total: tuple[float, ...]
+    families: tuple[tuple[int, int], ...]
+
+
+def _two_places(hashes: list[int], bits: int) -> list[dict[int, int]] | None:
+    """Each hash at the place of its low bits in one table or of its bits from the 33rd in the other."""
+    mask, tables = (1 << bits) - 1, [{}, {}]
+    for i in range(len(hashes)):
+        item, side = i, 0
+        for _ in range(500):
+            place = (hashes[item] >> (32 * side)) & mask
+            item, tables[side][place] = tables[side].get(place, -1), item
+            if item < 0:
+                break
+            side = 1 - side
+        else:
+            return None
+    return tables
+
+
+@lru_cache(maxsize=1)
+def _tables() -> _Tables:
+    m = classifier()
+    k = len(m.families)
+    used = lambda g: g in m.weights or m.idf.get(g, 0.0) >= TELLING
+    grams = sorted(set(m.weights) | set(m.idf), key=lambda g: (not used(g), g))
+    entry = {g: i for i, g in enumerate(grams, 1)}
+    strong = sum(map(used, grams))
+    hashes = [gram_hash(g) for g in grams]
+    bits = max(8, int(np.ceil(np.log2(len(grams) * 1.5))))
+    while (places := _two_places(hashes, bits)) is None:
+        bits += 1
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    sides = []
+    for t in places:
+        h, e = [0] * (1 << bits), [0] * (1 << bits)
+        for place, i in t.items():
+            h[place], e[place] = signed(hashes[i]), i + 1
+        sides.append((tuple(h), tuple(e)))
+    zero = (0.0,) * k
+    idf = [v if (v := m.idf.get(g, 0.0)) >= TELLING else 0.0 for g in grams[:strong]]
+    order = sorted(range(len(m.templates)), key=lambda i: m.templates[i][0])
+    lists = [sorted(e for g in m.templates[i][1] if (e := entry[g]) <= strong and idf[e - 1]) for i in order]
+    of = [m.templates[i][0] for i in order]
+    return _Tables(
+        (1 << bits) - 1, (sides[0][0], sides[1][0]), (sides[0][1], sides[1][1]), strong,
+        tuple(x for g in grams[:strong] for x in m.weights.get(g, zero)), tuple(idf),
+        tuple(e for x in lists for e in x), tuple(np.cumsum([0, *map(len, lists)])[:-1].tolist()), tuple(map(len, lists)),
+        tuple(round(sum(idf[e - 1] for e in x), 6) for x in lists), tuple((of.index(f), len(of) - 1 - of[::-1].index(f)) for f in range(k - 1)),
+    )
+
+
+def _entry(t: _Tables):
+    """The entry of an n-gram's hash, as a function of columns; 0 if it has none."""
+    mask = F.lit(t.mask).cast("long")
+    hashes, entries = [_numbers(x, "bigint") for x in t.hashes], [_numbers(x, "int") for x in t.entries]
+
+    def of(h: Column) -> Column:
+        a, b = h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
+        return F.when(F.get(hashes[0], a) == h, F.get(entries[0], a)).when(F.get(hashes[1], b) == h, F.get(entries[1], b)).otherwise(F.lit(0))
+
+    return of
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """key (doc_id, text_hash), place and paragraph of those of docs that have a cue word; equal
-    paragraphs of a text come once."""
-    cue = _cue(classifier())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").rlike(cue))
-    both = F.array_union(F.split("text", r"\n"), F.split("text", r"\n[ \t\r]*\n"))
-    found = F.filter(F.transform(both, lambda p: F.trim(F.translate(p, "\r\n\t", "   "))), lambda p: p.rlike(cue))
-    return base.select("doc_id", "text_hash", F.explode(F.array_distinct(found)).alias("paragraph"))
+    """doc_id, text_hash, block (its number), line (its number in the block; -1 for a block of
+    several lines), e (entries of its n-grams) and n (how many of its words are in no example)."""
+    t = _tables()
+    entry = _entry(t)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("block", "body"))
+    ids = ["doc_id", "text_hash", "block"]
+    # each step works on all lines of a block; arrays within arrays, so that nothing is shuffled
+    lines = cut.select(*ids, F.transform(F.split(F.lower("body"), r"\n"), lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: w != "")).alias("w"))
+    lines = lines.withColumn("one", F.transform("w", lambda ws: F.transform(ws, lambda x: entry(F.xxhash64(x)))))
+    # a pair can have an entry only if both its words have
+    two = F.zip_with("w", "one", lambda ws, es: F.transform(ws, lambda x, i: F.when((F.get(es, i) > 0) & (F.get(es, i + 1) > 0), entry(F.xxhash64(x, F.get(ws, i + 1)))).otherwise(F.lit(0))))
+    lines = lines.withColumn("two", two)
+    strong = lambda es: F.filter(es, lambda x: (x > 0) & (x <= t.strong))
+    each = F.zip_with("one", "two", lambda a, b: F.struct(F.array_distinct(strong(F.concat(a, b))).alias("e"), F.size(F.filter(a, lambda x: x == 0)).alias("n")))
+    lines = lines.select(*ids, each.alias("each"))
+    whole = F.struct(F.array_distinct(F.flatten(F.transform("each", lambda x: x["e"]))).alias("e"), F.aggregate("each", F.lit(0), lambda acc, x: acc + x["n"]).alias("n"))
+    own = F.concat(F.array(F.when(F.size("each") > 1, whole)), F.col("each"))
+    return lines.select(*ids, F.posexplode(own).alias("line", "own")).where("size(own.e) > 0").select(*ids, (F.col("line") - 1).alias("line"), "own.e", "own.n")
 
 
 def scan_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, paragraph_hash, family, probability and confirmed of the paragraphs with a
-    cue word, once for each doc_id and text."""
-    m = classifier()
+    """doc_id, text_hash, block, line, family, probability and confirmed of every paragraph but those
+    that no family can have: the sum of each n-gram's best lead over unknown doesn't reach CONFIDENT."""
+    m, t = classifier(), _tables()
     k = len(m.families)
-    own = paragraphs(docs)
-    toks = F.filter(F.split(F.lower("paragraph"), "[^a-z0-9]+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = own.select("doc_id", "text_hash", F.xxhash64("paragraph").alias("paragraph_hash"), toks.alias("w"))
-    grams = grams.select("doc_id", "text_hash", "paragraph_hash", F.array_distinct(F.concat("w", pairs)).alias("g"))
-    rows = grams.select("doc_id", "text_hash", "paragraph_hash", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    met = rows.join(F.broadcast(_weights(docs.sparkSession, m)), "gram")
-    sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)]
-    shared = [F.sum(F.array_contains("t", i).cast("int")).alias(f"s{i}") for i in range(len(m.templates))]
-    # repeated rows: a gram of a paragraph counts once
-    summed = met.dropDuplicates(["doc_id", "text_hash", "paragraph_hash", "gram"]).groupBy("doc_id", "text_hash", "paragraph_hash", "n").agg(*sums, *shared)
-    z = F.array(*[(F.col(f"z{i}") + F.lit(m.intercepts[i])) / F.lit(m.temperature) for i in range(k)])
-    summed = summed.withColumn("z", z).withColumn("top", F.array_max("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
-    summed = summed.withColumn("probability", 1 / total).withColumn("winner", F.array_position("z", F.col("top")).cast("int") - 1)
-    names = F.lit(list(m.families))
-    family = F.when(F.col("probability") >= CONFIDENT, F.element_at(names, F.col("winner") + 1)).otherwise(UNKNOWN)
-    covered = F.lit(False)
-    for i, (name, grams_of) in enumerate(m.templates):
-        covered = covered | ((F.col("family") == name) & (F.col(f"s{i}") >= F.lit(COVERED) * F.least("n", F.lit(len(grams_of)))))
-    return summed.withColumn("family", family).withColumn("confirmed", covered).select("doc_id", "text_hash", "paragraph_hash", "family", "probability", "confirmed")
+    leads = [max(0.0, max(t.weights[i : i + k - 1]) - t.weights[i + k - 1]) for i in range(0, len(t.weights), k)]
+    need = float(np.log(CONFIDENT / (1 - CONFIDENT))) + m.intercepts[-1] - max(m.intercepts[:-1]) - 1e-6
+    lead = _numbers([0, *(round(x, 6) for x in leads)], "double")
+    rows = paragraphs(docs).where(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + F.get(lead, x)) >= need)
+
+    def logit(c: int) -> Column:
+        own = _numbers([0, *t.weights[c::k]], "double")
+        return F.aggregate("e", F.lit(m.intercepts[c]), lambda acc, x: acc + F.get(own, x))
+
+    z = F.array(*map(logit, range(k)))
+    rows = rows.withColumn("z", z).withColumn("top", F.array_max("z"))
+    rows = rows.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top"))))
+    rows = rows.withColumn("winner", F.array_position("z", F.col("top")).cast("int") - 1)
+    found = (F.col("winner") < k - 1) & (F.col("probability") >= CONFIDENT)
+    # template comparison, of the winner's templates only
+    idf, ids = _numbers([0, *t.idf], "double"), _numbers(t.template_entries, "int")
+    first, size, total = _numbers(t.first, "int"), _numbers(t.size, "int"), _numbers(t.total, "double")
+    low, high = (_numbers([x[i] for x in t.families], "int") for i in (0, 1))
+    weigh = lambda es: F.aggregate(es, F.lit(0.0), lambda acc, x: acc + F.get(idf, x))
+    rows = rows.withColumn("whole", F.when(found, 2 * F.col("n") * m.rare + weigh(F.col("e"))))
+    shared = F.transform(F.sequence(F.get(low, F.col("winner")), F.get(high, F.col("winner"))), lambda i: F.struct(
+        weigh(F.array_intersect("e", F.slice(ids, F.get(first, i) + 1, F.get(size, i)))).alias("s"), F.get(total, i).alias("t")))
+    rows = rows.withColumn("shared", F.when(found, shared))
+    agrees = F.exists("shared", lambda x: (x["s"] > 0) & ((x["s"] >= x["t"] * COVERED) | ((x["s"] >= LEAST) & (x["s"] >= F.col("whole") * COVERED))))
+    family = F.when(found, F.element_at(F.lit(list(m.families)), F.col("winner") + 1)).otherwise(UNKNOWN)
+    return rows.select("doc_id", "text_hash", "block", "line", family.alias("family"), "probability", F.when(found, agrees).otherwise(F.lit(False)).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, families (confirmed, in alphabetical order, comma-joined), n_confirmed and
-    n_unconfirmed paragraphs, and score (highest probability of a confirmed one, else 0) of each row
-    of docs (doc_id, text)."""
+    n_unconfirmed (blocks by family), and score (highest probability of a confirmed paragraph, else
+    0) of each row of docs (doc_id, text). A block that confirms a family isn't counted as
+    unconfirmed for it."""
     found = scan_paragraphs(docs).where(F.col("family") != UNKNOWN)
-    by_doc = found.groupBy("doc_id", "text_hash").agg(
+    blocks = found.groupBy("doc_id", "text_hash", "block", "family").agg(
+        F.max("confirmed").alias("confirmed"), F.max(F.when(F.col("confirmed"), F.round("probability", 6))).alias("score")
+    )
+    by_doc = blocks.groupBy("doc_id", "text_hash").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
         F.sum(F.col("confirmed").cast("long")).alias("n_confirmed"), F.sum((~F.col("confirmed")).cast("long")).alias("n_unconfirmed"),
-        F.max(F.when(F.col("confirmed"), F.round("probability", 6))).alias("score"),
+        F.max("score").alias("score"),
     )
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     a, b = base.alias("a"), by_doc.alias("b")
