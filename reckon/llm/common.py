@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from reckon.ship import ship
 from reckon.store import keep, scratch
@@ -46,15 +47,50 @@ def blocks(texts: list[str | None], most_chars: int = 500_000) -> Iterator[tuple
         yield a, len(texts)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over."""
-
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with a function of a partition's batches; empty ones are passed over. f's columns
+    come in the schema's order. Names may be anything: columns travel under plain ones."""
     ship(df.sparkSession)
+    out = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    coded = StructType([StructField(f"c{i}", x.dataType, x.nullable) for i, x in enumerate(out.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in f(b.rename_columns(names) for b in batches if b.num_rows):
+            yield b.rename_columns(coded.names)
+
+    return df.toDF(*plain).mapInArrow(run, coded).toDF(*out.names)
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
+    """mapInArrow with a function of one batch; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = f(b)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            out = f(b)
+            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+
+    return map_batches(df, run, schema)
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever it has in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores before it until no column of df has it (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
 
-    return df.mapInArrow(run, schema)
+def meet(rows: DataFrame, one: DataFrame, key: str, hot: str) -> DataFrame:
+    """The inner join of rows with `one` (a row for each key). Keys for which the condition `hot` on
+    `one` holds must be few; their rows are met by broadcast, so none of them is gathered in one task."""
+    few, rest = one.where(hot), one.where(f"not ({hot})")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))

@@ -5,7 +5,8 @@ ties the smaller neighbours of each node to their least one (small star). Both s
 components and only lessen the ends, so the links become stars around each component's least node;
 that takes about log2 of the longest path rounds. Nothing but one number a round comes to the
 driver. Each round is written to the shared folder, so lineage stays short and a lost executor
-costs no more than a round.
+costs no more than a round. Nodes of more than HOT links, of which there are at most 2 / HOT of the
+links' number (the roots of large components), are met by broadcast, so no task gathers their links.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckon.llm.common import through_store
+from reckon.llm.common import meet, through_store
+
+HOT = 100_000
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,14 +24,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     type). Loops, repeats and null ends of links are without effect; no links give no rows."""
     two = links.where("a is not null and b is not null and a <> b")
     now = through_store(two.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    hot = f"d > {HOT}"
     for _ in range(most_rounds):
         # large star: of each node's neighbours with itself the least, for the larger neighbours
         both = now.union(now.select(F.col("u"), F.col("v")).toDF("v", "u"))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count("*").alias("d"))
+        large = meet(both.where("u > v"), least, "v", hot).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         # small star: a node and its smaller neighbours to the least of them
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        tied = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("d"))
+        tied = meet(large, least, "v", hot).where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         new = through_store(tied.union(least.select("v", F.col("m").alias("u"))).distinct(), "links")
         # stars are reached when no node is both a root and below another
         if new.join(new.select(F.col("v").alias("w")), new["u"] == F.col("w"), "left_semi").isEmpty() and new.groupBy("v").count().where("count > 1").isEmpty():

@@ -19,11 +19,15 @@ Each pair within reach so meets under some key of 31 bits or more. Those who mee
 verified by their bit difference, component by component, and only a spanning forest of the key's verified links
 is passed on: its members' components are kept, with at most one link for each member, so a
 large group of near copies never makes all its pairs. Copies (equal fingerprints) are one node.
+A key with more than CROWDED filed fingerprints is split, twice if need be: each member is put under
+its key with each of four 16-bit parts of the fingerprint, of which two within reach have one in
+common, so nothing is lost; and since members are distinct, a part's group is bounded by the bits
+that are left.
 
 Defined cases: null and empty texts have fingerprint zero and are linked with each other (and with
 any other within reach); rows with a null doc_id take part, but component_id is the smallest
 non-null doc_id of the component (null if it has none); repeated rows each give a row; other
-columns are not looked at.
+columns are not looked at, but `one_of_each` carries them, and settles ties by them.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from reckon.llm.common import map_arrow, through_store
+from reckon.llm.common import fresh, map_arrow, meet, quoted, through_store
 from reckon.llm.graph import components
 
 SHINGLE = 3
@@ -46,6 +51,12 @@ REACH = 3
 TILE = 2048
 GROW = 32
 SPAN = 1 << 16
+#: Keys with more filed fingerprints are split.
+CROWDED = 1 << 16
+#: Texts of more rows are met by broadcast (there are at most rows / HOT of them).
+HOT = 100_000
+#: The four parts of a fingerprint at each splitting: 16-bit runs, and every fourth bit.
+PARTS = (tuple(0xFFFF << 16 * i for i in range(4)), tuple(0x1111111111111111 << i for i in range(4)))
 #: Widths of the segments, from the lowest bit.
 WIDTHS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -122,14 +133,14 @@ def _segments(fp: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(row, key) under which fingerprints (uint64) are filed, and under which they are looked up
-    beside those; a key tells its family in its top bits."""
+def keys(fp: np.ndarray, both: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) under which fingerprints (uint64) are filed, and (unless not wanted) under which
+    they are looked up beside those; a key tells its family in its top bits."""
     seg, index = _segments(fp), _indices()[0]
     own = [index[s].astype(np.int64) for s in seg]
     rows = np.arange(len(fp))
     near = []  # (row, other index) by segment
-    for s, o in zip(seg, own):
+    for s, o in zip(seg, own) if both else ():
         n = near_indices(s)
         new = np.ones(n.shape, bool)
         new[:, 1:] = n[:, 1:] != n[:, :-1]
@@ -141,8 +152,9 @@ def keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarra
     def family(tag: int, rest: np.ndarray, j: int) -> None:
         base = (np.int64(tag) << np.int64(58)) | (rest << np.int64(12))
         filed.append((rows, base | own[j]))
-        r, other = near[j]
-        asked.append((r, base[r] | other))
+        if both:
+            r, other = near[j]
+            asked.append((r, base[r] | other))
 
     tag = 0
     for i in range(3):
@@ -158,7 +170,7 @@ def keys(fp: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarra
             family(tag, (first << np.int64(11)) | second, 2)
             tag += 1
     flat = lambda xs: (np.concatenate([x[0] for x in xs]), np.concatenate([x[1] for x in xs]))
-    return flat(filed), flat(asked)
+    return [flat(filed), flat(asked)] if both else [flat(filed)]
 
 
 def _forest(filed: np.ndarray, asked: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,58 +256,76 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
     if reach > 3:
         raise ValueError("the keys are complete for up to 3 bits")
 
-    def make(b: pa.RecordBatch) -> pa.Table:
+    def make(b: pa.RecordBatch, sides: tuple[int, ...] = (0, 1)) -> pa.Table:
         fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         tables = []
         for at in range(0, len(fp), 2048):
             x = fp[at : at + 2048]
-            for asked, (r, k) in enumerate(keys(x)):
+            for asked, (r, k) in zip(sides, keys(x, len(sides) > 1)):
                 tables.append(pa.table({"key": k, "fp": x[r].view(np.int64), "asked": pa.array(np.full(len(r), asked, bool))}))
         return pa.concat_tables(tables).combine_chunks()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp, asked in _all(batches):
             a, b = _links_in(key, fp.view(np.uint64), asked, reach)
             pairs = np.unique(np.stack([np.maximum(a.view(np.int64), b.view(np.int64)), np.minimum(a.view(np.int64), b.view(np.int64))], 1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    keyed = map_arrow(distinct.select("fp"), make, "key long, fp long, asked boolean")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    schema, signed = "key long, fp long, asked boolean", lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = map_arrow(distinct.select("fp"), make, schema)
+    filed = map_arrow(distinct.select("fp"), lambda b: make(b, (0,)), schema)
+    for parts in PARTS:
+        crowd = through_store(filed.groupBy("key").count().where(f"count > {CROWDED}").select("key"), "crowded")
+        if crowd.isEmpty():
+            break
+        apart = F.array(*[F.xxhash64("key", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(p)))) for i, p in enumerate(parts)])
+        split = lambda df: df.join(crowd, "key", "left_semi").select(F.explode(apart).alias("key"), "fp", "asked")  # noqa: E731, B023
+        keyed, filed = keyed.join(crowd, "key", "left_anti").union(split(keyed)), split(filed)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 
 
 def classes(prints: DataFrame, reach: int = REACH) -> DataFrame:
-    """fp, root (fp of the component) and component_id of each distinct fp of prints (doc_id, fp)."""
-    nodes = through_store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    """fp, n (its rows), root (fp of the component) and component_id of each distinct fp of prints
+    (doc_id, fp)."""
+    nodes = through_store(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     found = components(links(nodes, reach))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = through_store(rooted, "simhash-rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    return meet(rooted, least, "root", f"members > {HOT}").select("fp", "n", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of docs (doc_id, text)."""
     prints = through_store(fingerprints(docs), "simhash-prints")
     by_fp = through_store(classes(prints, reach), "simhash-classes")
-    out = prints.join(by_fp, "fp")
+    out = meet(prints, by_fp, "fp", f"n > {HOT}")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """The rows of docs (doc_id, text, ...) with all their columns, less all but one of each
-    component: that with the smallest doc_id stays (of repeated rows, one of them; where no row of
-    the component has a doc_id, one of them)."""
-    row = docs.withColumn("__k", F.xxhash64("doc_id", "text")).withColumn("__m", F.hash("doc_id", "text"))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_pydict({x: b.column(x) for x in ("__k", "__m", "doc_id")} | {"fp": fp.view(np.int64)})
-
-    slim = row.select("__k", "__m", F.col("doc_id").cast("long"), "text")
-    prints = through_store(map_arrow(slim, run, "__k long, __m int, doc_id long, fp long"), "simhash-prints")
+    component: that with the smallest doc_id stays. Of several with that id (or where no row of the
+    component has one) the least by a hash of all its columns stays; rows that are equal in all
+    columns are copies, of which any is the same.
+
+    Rows are numbered and written once, so all else is done on narrow rows; the texts are read once
+    more, for the last semi-join."""
+    number, fp = fresh(docs, "number", "fp")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
+    every = F.xxhash64(*map(quoted, plain))
+
+    def run(b: pa.RecordBatch) -> pa.Table:
+        found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
+        return pa.Table.from_batches([b]).append_column(fp, pa.array(found.view(np.int64)))
+
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    rows = through_store(map_arrow(rows, run, StructType([*rows.schema.fields, StructField(fp, LongType())])), "simhash-rows")
+    prints = rows.select(F.col(number).alias("number"), F.col(fp).alias("fp"), every.alias("hash"), F.col("doc_id").cast("long").alias("doc_id"))
+    prints = through_store(prints, "simhash-prints")
     by_fp = through_store(classes(prints, reach), "simhash-classes")
-    # the row that stays: of those that have the component's doc_id, the first by the hashes of id
-    # and text; only such rows are grouped, so a large component isn't gathered
-    own = prints.join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = own.groupBy("root").agg(F.min(F.struct("__k", "__m")).alias("x")).select("x.*").distinct()
-    return row.join(stay, ["__k", "__m"]).dropDuplicates(["__k", "__m"]).select(*docs.columns)
+    # only rows that have the component's doc_id are grouped, so a large component isn't gathered
+    own = meet(prints, by_fp, "fp", f"n > {HOT}").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = own.groupBy("root").agg(F.min(F.struct("hash", "number")).alias("x")).select(F.col("x.number").alias(number))
+    return rows.join(stay, number, "left_semi").select(*map(quoted, docs.columns))
