@@ -3,8 +3,9 @@
 Texts are compared lower-cased, with each run of white space as one blank. An item's passages are
 its windows of WINDOW characters, every STRIDE and one at its end (a shorter item is one passage).
 A document is contaminated by an item if a region of it is within the edit budget (RATE of the
-passage's length) of one of the passages; so a copied part of an item of WINDOW + STRIDE characters
-or more is found even if the rest is missing.
+passage's length) of one of the passages; so a copied part of an item of WINDOW + STRIDE - 1
+characters is always found, however little of the item it is, and an item whose words are partly
+replaced is found by the windows that have few of them.
 
 By the q-gram lemma a region within e edits of a passage of m characters shares at least
 m - Q + 1 - Q e of its q-grams, all on diagonals of a band of e either way. So:
@@ -15,32 +16,44 @@ m - Q + 1 - Q e of its q-grams, all on diagonals of a band of e either way. So:
    meet the bound are retained;
 3. retained regions are verified by banded alignment.
 
-All three steps are exact: none drops a region that is within the budget.
+All three steps are exact: none drops a region that is within the budget. Items of fewer than SHORT
+characters say too little for edits: they match where they stand verbatim and aren't part of a longer
+word, found by a look-up of each text's substrings of their lengths.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than SHORTEST characters
-(as compared) are no passages and match nothing; repeated rows give repeated results; a null doc_id
-or item_id is carried; other columns are not looked at. A benchmark of more than BLOCK_CHARS is taken
-in blocks, each against all documents, so what is sent to executors has a fixed bound.
+The benchmark is never on the driver: its passages are cut by executors and written to the shared
+folder in blocks of about BLOCK_CHARS (by hash of the passage, so copies meet and blocks are even); a
+task reads the blocks one after the other, and holds one or two. Documents are read once, whatever
+the benchmark's size. Matches come back as (row, passage), and a join with the table of passages
+tells the items.
+
+Defined cases: null and empty texts and items match nothing; repeated rows, of documents or of the
+benchmark, give repeated results; a null doc_id or item_id is carried; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reckon.llm.common import blocks, map_arrow
+from reckon.llm.common import blocks, map_arrow, map_batches, shared_dir, through_store
 
-Q = 8
+Q = 6
 RATE = 0.1
-WINDOW = 64
-STRIDE = 32
-SHORTEST = 32
-BLOCK_CHARS = 4_000_000
+WINDOW = 40
+STRIDE = 16
+#: Items shorter than this match verbatim only.
+SHORT = 32
+BLOCK_CHARS = 2_000_000
+#: Characters of documents that are held while blocks are read, where there are several.
+HELD_CHARS = 16_000_000
 TABLE_BITS = 22
 #: Positions in a tile: a region of the longest passage reaches over two at most.
 TILE = 128
@@ -49,11 +62,10 @@ MOST_SHARED = 4_000_000
 
 
 class Hit(NamedTuple):
-    item: int
+    passage: int
     start: int
     end: int
     edits: int
-    length: int
 
 
 def compared(text: str | None) -> str:
@@ -61,8 +73,9 @@ def compared(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    """Edits allowed for a passage of m characters: RATE of it, but few enough for a positive bound."""
-    return max(0, min(int(RATE * m), (m - Q) // Q))
+    """Edits allowed for a passage of m characters: RATE of it, but few enough for a positive bound;
+    none for a short one."""
+    return max(0, min(int(RATE * m), (m - Q) // Q)) if m >= SHORT else 0
 
 
 def bound(m: int) -> int:
@@ -72,21 +85,25 @@ def bound(m: int) -> int:
 def passages(text: str) -> list[tuple[int, str]]:
     """(place, passage) of a text as compared."""
     n = len(text)
-    if n < SHORTEST:
-        return []
     if n <= WINDOW:
-        return [(0, text)]
+        return [(0, text)] if n else []
     at = [*range(0, n - WINDOW, STRIDE), n - WINDOW]
     return [(a, text[a : a + WINDOW]) for a in dict.fromkeys(at)]
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
+def _bounded(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] isn't part of a longer word at either end."""
+    cut = lambda i: not 0 < i < len(text) or not (text[i - 1].isalnum() and text[i].isalnum())
+    return cut(start) and cut(end)
+
+
+def _grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit hash of each q-gram."""
-    n = len(codes) - Q + 1
+    n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
-    for i in range(Q):
+    for i in range(q):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
     return h ^ (h >> np.uint64(29))
 
@@ -102,15 +119,16 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of all passages: by hash, the passages and places where they stand."""
 
-    def __init__(self, items: list[str | None]):
-        self.owner, self.texts = [], []
-        for k, text in enumerate(items):
-            for _, p in passages(compared(text)):
-                self.owner.append(k)
-                self.texts.append(p)
-        grams = [_grams(_codes(p)) for p in self.texts]
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.short: dict[int, dict[str, int]] = {}
+        for k, p in enumerate(texts):
+            if len(p) < SHORT:
+                self.short.setdefault(len(p), {})[p] = k
+        self.short_hashes = {m: np.unique([_grams(_codes(p), m)[0] for p in own]) for m, own in self.short.items()}
+        grams = [_grams(_codes(p)) if len(p) >= SHORT else np.empty(0, np.uint64) for p in texts]
         sizes = np.array([len(g) for g in grams], np.int64)
-        h = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        h = np.concatenate([*grams, np.empty(0, np.uint64)])
         where = np.repeat(np.arange(len(grams)), sizes)
         start = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
         order = np.argsort(h, kind="stable")
@@ -178,7 +196,19 @@ class Index:
                 out.append((p, x * half + low))
         return out
 
-    def _verify(self, text: str, regions: list[tuple[int, int]]) -> list[Hit]:
+    def verbatim(self, text: str) -> list[Hit]:
+        """The first place of each short passage where it isn't part of a longer word."""
+        codes, out = _codes(text) if self.short else None, []
+        for m, own in self.short.items():
+            h, found = _grams(codes, m), set()
+            for at in np.nonzero(np.isin(h, self.short_hashes[m]))[0].tolist():
+                k = own.get(text[at : at + m])
+                if k is not None and k not in found and _bounded(text, at, at + m):
+                    found.add(k)
+                    out.append(Hit(k, at, at + m, 0))
+        return out
+
+    def verify(self, text: str, regions: list[tuple[int, int]]) -> list[Hit]:
         hits = []
         for p, diagonal in regions:
             passage, e = self.texts[p], int(self.edits[p])
@@ -186,7 +216,7 @@ class Index:
             end = min(len(text), diagonal + 2 * (e + 1) + len(passage) + e)
             found = align(passage, text[start:end], e, diagonal - start, 2 * (e + 1))
             if found:
-                hits.append(Hit(self.owner[p], start + found[1], start + found[2], found[0], len(passage)))
+                hits.append(Hit(p, start + found[1], start + found[2], found[0]))
         return hits
 
 
@@ -229,10 +259,9 @@ def align(passage: str, region: str, most: int, diagonal: int, width: int) -> tu
     return int(cost[j]), int(begin[j]), int(low + len(a) + j)
 
 
-def search_batch(index: Index, texts: list[str | None]) -> list[list[Hit]]:
-    """The hits of each text."""
-    low = [compared(t) for t in texts]
-    out: list[list[Hit]] = [[] for _ in low]
+def search(index: Index, low: list[str]) -> list[list[Hit]]:
+    """The hits of each text (as compared)."""
+    out: list[list[Hit]] = [index.verbatim(t) for t in low]
     for a, z in blocks(low):
         grams = _grams(_codes("\x00".join(low[a:z])))
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low[a:z]])])
@@ -244,65 +273,102 @@ def search_batch(index: Index, texts: list[str | None]) -> list[list[Hit]]:
                     found[i].update(index.bands(p, pos[of == i] - starts[i], at[of == i]))
         for i, regions in enumerate(found):
             if regions:
-                out[a + i] = index._verify(low[a + i], sorted(regions))
+                out[a + i] += index.verify(low[a + i], sorted(regions))
     return out
 
 
+# -- the benchmark, in blocks in the shared folder --------------------------------------------------
+
+
+def passage_table(benchmark: DataFrame) -> DataFrame:
+    """item_row (its number), item_id and passage, each once for an item, kept in the shared folder."""
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(r, i, p) for r, i, t in zip(*(b.column(c).to_pylist() for c in ("item_row", "item_id", "text"))) for p in dict.fromkeys(p for _, p in passages(compared(t)))]
+        return pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in rows], kind) for k, (c, kind) in enumerate((("item_row", pa.int64()), ("item_id", pa.int64()), ("passage", pa.string())))})
+
+    numbered = benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return through_store(map_arrow(numbered, cut, "item_row long, item_id long, passage string"), "passages")
+
+
+def write_blocks(table: DataFrame) -> tuple[str, int]:
+    """Distinct passages by block below a folder of the shared store: its path, and how many blocks."""
+    total = table.agg(F.sum(F.length("passage"))).first()[0] or 0
+    n = -(-total // BLOCK_CHARS)
+    path = shared_dir(table.sparkSession, "passage-blocks")
+    if n:
+        distinct = table.select("passage", F.pmod(F.xxhash64("passage"), F.lit(n)).cast("int").alias("block")).distinct()
+        distinct.repartition(min(n, 64), "block").write.partitionBy("block").parquet(path)
+    return path, n
+
+
 @lru_cache(maxsize=2)
-def _index(items: tuple[str | None, ...]) -> Index:
-    return Index(list(items))
+def _block(path: str, i: int) -> Index:
+    """The index of a block; one without passages is empty."""
+    store, own = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
+    at = f"{own}/block={i}"
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return Index([])
+    return Index(sorted(pq.read_table(at, filesystem=store, partitioning=None, columns=["passage"]).column(0).to_pylist()))
+
+
+def _held(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """Batches, put together up to HELD_CHARS where there are several blocks to go through."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if n == 1 or size >= HELD_CHARS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_HITS = "doc_id long, item_id long, edits long, matched_chars long, passages long, start long, end long"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, matched_chars, passages, start and end for each document of docs
     (doc_id, text) and item of benchmark (item_id, text) that contaminates it: the edits and length
-    of its closest passage, how many passages match, and the span of all in the text as compared.
+    of its closest passage, how many places match, and the span of all in the text as compared.
     Rows of docs that have no hit give no row."""
-    found = None
-    for names, items in _item_blocks(benchmark):
-
-        def run(b: pa.RecordBatch, names: list = names, items: tuple = items) -> pa.RecordBatch:
-            ids, rows = b.column("doc_id").to_pylist(), []
-            for doc_id, hs in zip(ids, search_batch(_index(items), b.column("text").to_pylist())):
-                by: dict[int, list[Hit]] = {}
-                for h in hs:
-                    by.setdefault(h.item, []).append(h)
-                for k, own in sorted(by.items()):
-                    best = min(own, key=lambda h: (h.edits / h.length, h.start))
-                    rows.append((doc_id, names[k], best.edits, best.length, len({(h.start, h.end) for h in own}), min(h.start for h in own), max(h.end for h in own)))
-            cols = ("doc_id", "item_id", "edits", "matched_chars", "passages", "start", "end")
-            return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(cols)})
-
-        part = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, item_id long, edits long, matched_chars long, passages long, start long, end long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits long, matched_chars long, passages long, start long, end long")
-    return found
-
-
-def _item_blocks(benchmark: DataFrame):
-    """(item_ids, texts) in blocks of about BLOCK_CHARS; items are streamed, not held together."""
-    rows = benchmark.where(F.length("text") >= SHORTEST).select(F.col("item_id").cast("long"), "text")
-    names, items, size = [], [], 0
-    for r in rows.toLocalIterator():
-        names.append(r[0])
-        items.append(r[1])
-        size += len(r[1])
-        if size >= BLOCK_CHARS:
-            yield names, tuple(items)
-            names, items, size = [], [], 0
-    if items:
-        yield names, tuple(items)
+    table = passage_table(benchmark)
+    path, n = write_blocks(table)
+    if not n:
+        return docs.sparkSession.createDataFrame([], _HITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _held(batches, n):
+            rows, ids, low = b.column("row").to_pylist(), b.column("doc_id").to_pylist(), [compared(t) for t in b.column("text").to_pylist()]
+            for i in range(n):
+                index = _block(path, i)
+                found = [(rows[d], ids[d], index.texts[h.passage], h.edits, h.start, h.end) for d, hs in enumerate(search(index, low)) for h in dict.fromkeys(hs)]
+                kinds = {"row": pa.int64(), "doc_id": pa.int64(), "passage": pa.string(), "edits": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+                if found:
+                    yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in found], kind) for k, (c, kind) in enumerate(kinds.items())})
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = map_batches(numbered, run, "row long, doc_id long, passage string, edits long, start long, end long")
+    met = found.join(table, "passage")
+    best = F.min(F.struct((F.col("edits") / F.length("passage")).alias("share"), "start", "edits", F.length("passage").cast("long").alias("length")))
+    by = met.groupBy("row", "doc_id", "item_row", "item_id").agg(best.alias("best"), F.countDistinct("start", "end").alias("passages"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return by.select("doc_id", "item_id", F.col("best.edits").alias("edits"), F.col("best.length").alias("matched_chars"), "passages", "start", "end")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any hit, with all their columns."""
-    kept = docs
-    for _, items in _item_blocks(benchmark):
-
-        def clean(b: pa.RecordBatch, items: tuple = items) -> pa.RecordBatch:
-            found = search_batch(_index(items), b.column("text").to_pylist())
-            return b.filter(pa.array([not h for h in found]))
-
-        kept = map_arrow(kept, clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
-    return kept
+    """The rows of docs without any hit, with all their columns: one pass, nothing is shuffled."""
+    path, n = write_blocks(passage_table(benchmark))
+    if not n:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _held(batches, n):
+            low = [compared(t) for t in b.column("text").to_pylist()]
+            clean = np.ones(len(low), bool)
+            for i in range(n):
+                left = np.nonzero(clean)[0]  # what is found dirty isn't looked at again
+                clean[left] = [not hs for hs in search(_block(path, i), [low[d] for d in left])]
+            yield from b.filter(pa.array(clean)).to_batches()
+
+    return map_batches(docs, run, docs.schema)
