@@ -1,8 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
-Training takes a bounded sample of labelled documents (SAMPLE a language), counts in how many of a
-language's documents each letter trigram stands, and keeps as a language's set the trigrams that
-are frequent in it and not much rarer than in any other language. The sets go into one bit-sliced
+Training takes a bounded sample of labelled documents (SAMPLE a language, of LANGUAGES languages),
+counts in how many of a language's documents each letter trigram stands, and keeps as a language's
+set the trigrams that are frequent in it and not much rarer than in any other language. The sets go into one bit-sliced
 Bloom filter: a slot is a word with a bit for each language, insertion ORs a language's bit into k
 slots, and a look-up ANDs k slots, which gives the mask of all languages whose set may hold the
 trigram. For a text the masks' bits are counted by language; of n look-ups a language with false
@@ -24,17 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from reckon.llm.common import blocks, map_arrow, remainder
+from reckon.llm.common import blocks, fresh, map_arrow, quoted, remainder
 
-#: Most labelled documents used for each language; the sample is drawn by a hash of id and text.
+#: Labelled documents used for each language, at most about; drawn by a hash of id and text.
 SAMPLE = 2000
+#: Languages that are learned at most: those with most labelled documents.
+LANGUAGES = 1024
 #: A trigram is a language's own if it stands in this share of its sampled documents ...
 FREQUENT = 0.002
 #: ... and in at least this share of the documents of the language where it is most frequent.
 RELATIVE = 0.35
-#: Most trigrams of a language, the most frequent; bounds the filter's size.
-MOST = 20_000
 HASHES = 3
 
 
@@ -115,13 +116,13 @@ class Filter:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     """A filter from docs (doc_id, text, lang), all of which may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    n_of = {r["lang"]: r["n"] for r in by_lang.collect()}
     if not n_of:
         return Filter.of([])
-    share = F.lit(None).cast("double")
-    for lang, n in n_of.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    share = docs.sparkSession.createDataFrame([(x, min(1.0, sample / n)) for x, n in n_of.items()], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    picked = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(share), "lang").where(drawn).select("lang", "text")  # LANGUAGES rows at most
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
@@ -151,7 +152,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     rows["rate"] = rows["n"] / rows["lang"].map(took)
     best = rows.groupby("gram")["rate"].transform("max")
     own = rows[(rows["rate"] >= FREQUENT) & (rows["rate"] >= RELATIVE * best)].sort_values(["rate", "gram"], ascending=[False, True])
-    return Filter.of([(lang, own.loc[own["lang"] == lang, "gram"].to_numpy()[:MOST].astype(np.uint64)) for lang in n_of])
+    return Filter.of([(lang, own.loc[own["lang"] == lang, "gram"].to_numpy().astype(np.uint64)) for lang in n_of])
 
 
 def predict(docs: DataFrame, model: Filter, to: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
@@ -177,8 +178,8 @@ def predict(docs: DataFrame, model: Filter, to: tuple[str, str, str] = ("lang_pr
             t = t.append_column(name, x)
         return t
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f", `{to[0]}` string, `{to[1]}` double, `{to[2]}` double"
-    return map_arrow(docs.select(*(F.col(f"`{x}`") for x in names)), run, schema)
+    schema = StructType([*keep, StructField(to[0], StringType()), StructField(to[1], DoubleType()), StructField(to[2], DoubleType())])
+    return map_arrow(docs.select(*map(quoted, names)), run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -201,7 +202,8 @@ def keep_identified(docs: DataFrame, least_coverage: float = LEAST_COVERAGE) ->
     only `und` by lack of letters could be told, so nothing else is rejected."""
     base = docs.select("doc_id", "text", "lang")
     model = train(base.where(remainder("doc_id", 5) != 0))
-    scored = predict(docs, model, ("__lang_pred", "__score", "__coverage"))
     if not model.languages:
-        return scored.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
-    return scored.where((F.col("__lang_pred") != "und") & (F.col("__coverage") >= least_coverage)).select(*docs.columns)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    to = fresh(docs, "lang_pred", "score", "coverage")
+    scored = predict(docs, model, tuple(to))
+    return scored.where((F.col(to[0]) != "und") & (F.col(to[2]) >= least_coverage)).select(*map(quoted, docs.columns))

@@ -207,4 +207,4 @@ def mask(docs: DataFrame) -> DataFrame:
             cols["n_chars"] = pa.array([len(y) if x != y else w for x, y, w in zip(old, new, was)], cols["n_chars"].type)
         return pa.RecordBatch.from_pydict(cols)
 
-    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_arrow(docs, run, docs.schema)

@@ -12,8 +12,9 @@ Labels are learned from a bounded sample of SAMPLE labelled documents at most, d
 
 Defined cases: null and empty texts have all features zero and get that score; without labelled
 rows of both kinds all scores are the share of label 1 (0.5 without any); a doc_id with several
-labels counts as 1 if half of them are; rows with null quality or doc_id are not learned from;
-repeated rows each give a row; other columns are not looked at.
+labels counts as 1 if half of them are, and one with several texts is learned from once (by the
+least of their features); rows with null quality or doc_id are not learned from; repeated rows each
+give a row; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -185,12 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     picked = own.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
-    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "y")  # about `sample` ids
+    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")  # about `sample` ids
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"x": [features(t) for t in b.column("text").to_pylist()], "y": b.column("y")})
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": [features(t) for t in b.column("text").to_pylist()], "y": b.column("y")})
 
-    rows = sorted((r["x"], r["y"]) for r in map_arrow(texts, run, "x array<double>, y int").collect())  # bounded by `sample`
+    one = map_arrow(texts, run, "doc_id long, x array<double>, y int").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    rows = sorted((r["x"], r["y"]) for r in one.collect())  # one for each of the sample's ids
     x = np.array([r for r, _ in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([y for _, y in rows], float))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -215,6 +216,29 @@ def test_links_lose_no_pair_within_reach(spark):
         assert {found.get(v, v) for v in group} == {min(group)}
 
 
+def test_crowded_keys_and_hot_rows_change_nothing(spark, docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    center = int(rng.integers(0, 1 << 63))
+    values = {center ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for a, b, c in rng.integers(0, 64, (250, 3))}
+    values = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = {r["node"]: r["root"] for r in graph.components(simhash.links(df)).collect()}
+    near = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    for module, name in ((simhash, "CROWDED"), (simhash, "HOT"), (graph, "HOT")):
+        monkeypatch.setattr(module, name, 3)
+    assert {r["node"]: r["root"] for r in graph.components(simhash.links(df)).collect()} == want and len(want) > 100
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == near
+
+
+def test_one_of_each_of_ties_and_odd_names(spark):
+    text = "some words that are here twice or more"
+    data = [(1, text, 7, 8, "x"), (1, text, 9, 8, "y"), (1, text, 9, 8, "y"), (2, text + " or", 1, 1, "z"), (3, "entirely other words in this one", 5, 6, "k")]
+    df = spark.createDataFrame(data, "doc_id long, text string, `number` int, fp int, `a``b.c` string")
+    found = [sorted(map(tuple, simhash.one_of_each(x).collect())) for x in (df, df.repartition(5), df.orderBy("number"))]
+    assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == [1, 2, 3] and set(found[0]) <= set(data)
+    assert simhash.one_of_each(df).columns == df.columns
+
+
 def test_forests_of_large_and_small_groups_agree(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
@@ -288,6 +312,18 @@ def test_shards(docs, rows, empty, monkeypatch):
     assert sharding.shuffle_into_shards(empty).collect() == []
 
 
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_EACH", 20)
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    df = spark.createDataFrame([(None, "same")] * 300 + [(5, "other")] * 33 + [(i, "t") for i in range(40)], "doc_id long, text string")
+    numbered = sharding._numbered(df).collect()
+    assert sorted(r["copy"] for r in numbered if r["doc_id"] is None) == list(range(300)) and len(numbered) == 373
+    got = sharding.shuffle_into_shards(df).collect()
+    shards = Counter(r["shard"] for r in got if r["doc_id"] is None)
+    assert len(got) == 373 and len(shards) == 16 and max(shards.values()) <= 24
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s, n in enumerate(sharding.shard_sizes(373, 16)) for k in range(n)]
+
+
 def test_matrix_has_exact_sums_and_the_right_law():
     rng = random.Random(1)
     rows = [rng.randint(0, 50) for _ in range(40)]
@@ -299,6 +335,13 @@ def test_matrix_has_exact_sums_and_the_right_law():
 
     for k in range(5):
         assert abs(draws[k] / 20000 - comb(5, k) * comb(7, 4 - k) / comb(12, 4)) < 0.015
+    spread = np.std([sharding.hypergeometric(3000, 5000, 1000, rng) for _ in range(3000)])
+    assert abs(spread / (1000 * 3 / 8 * 5 / 8 * 7000 / 7999) ** 0.5 - 1) < 0.05
+    large = sharding.communication_matrix([10**9, 2 * 10**9, 5], sharding.shard_sizes(3 * 10**9 + 5, 3), 1)
+    assert [sum(x) for x in large] == [10**9, 2 * 10**9, 5] and [sum(x) for x in zip(*large)] == sharding.shard_sizes(3 * 10**9 + 5, 3)
+    cells = [sharding.communication_matrix([3, 4, 5], [6, 6], k)[0][0] for k in range(4000)]
+    for k in range(4):
+        assert abs(cells.count(k) / 4000 - comb(6, k) * comb(6, 3 - k) / comb(12, 3)) < 0.03
     big = [sharding.hypergeometric(10**10, 3 * 10**10, 10**9, rng) for _ in range(20)]
     assert abs(np.mean(big) / 10**9 - 0.25) < 1e-4
 
@@ -306,20 +349,37 @@ def test_matrix_has_exact_sums_and_the_right_law():
 # -- decontamination ------------------------------------------------------------------------------
 
 
-def edits(a, s):
-    row = [0] * (len(s) + 1)
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(s, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return min(row)
+def edits(passage, codes):
+    """The fewest edits of passage against any region of a text (its code points)."""
+    row, column = np.zeros(len(codes) + 1, np.int64), np.arange(len(codes) + 1)
+    for i, x in enumerate(np.frombuffer(passage.encode("utf-32-le"), np.uint32), 1):
+        new = np.empty_like(row)
+        new[0], new[1:] = i, np.minimum(row[:-1] + (codes != x), row[1:] + 1)
+        row = np.minimum.accumulate(new - column) + column
+    return row.min()
+
+
+def slow_match(passage, low):
+    """Whether a text as compared has a passage, by full alignment; a short one as whole words."""
+    if len(passage) < decontam.SHORT:
+        return re.search(r"(?<!(?=\w)[^_])" * passage[0].isalnum() + re.escape(passage) + r"(?!(?=\w)[^_])" * passage[-1].isalnum(), low) is not None
+    return edits(passage, np.frombuffer(low.encode("utf-32-le"), np.uint32)) <= decontam.budget(len(passage))
+
+
+def slow_hits(data, items):
+    want = Counter()
+    for i, text in data:
+        low = decontam.compared(text)
+        for k, item in items:
+            if any(slow_match(p, low) for _, p in decontam.passages(decontam.compared(item))):
+                want[(i, k)] += 1
+    return want
 
 
 def test_decontamination_as_full_alignment_has_it(spark, empty):
     rng = random.Random(6)
     items = [(k, prose(rng, rng.choice(["en", "es"]), rng.randint(8, 60))) for k in range(15)]
-    items += [(50, None), (51, ""), (52, "too short"), (3, items[3][1]), (None, prose(rng, "de", 30))]
+    items += [(50, None), (51, ""), (52, "too short"), (53, "Yes"), (54, "a sentence of 29 characters."), (55, "\u0130" * 20), (3, items[3][1]), (None, prose(rng, "de", 30))]
     data = []
     for i in range(120):
         text = prose(rng, "en", rng.randint(0, 120))
@@ -331,16 +391,13 @@ def test_decontamination_as_full_alignment_has_it(spark, empty):
             text = text[: len(text) // 2] + "  " + "".join(s) + "\n" + text[len(text) // 2 :]
         data.append((i, text))
     data += [(200, None), (201, ""), (None, items[0][1]), (202, "the " * 20000), (1, data[1][1])]
+    data += [(210, "He said Yes."), (211, "eyes and yest"), (212, "Here is A  sentence of 29\ncharacters. And more."), (213, "see " + "\u0130" * 20 + " there"), (214, "eyes; yes"), (215, "not too shorter"), (216, "x yes" * 9)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.hits(docs, bench).collect()
-    want = Counter()
-    for i, text in data:
-        low = decontam.compared(text)
-        for k, item in items:
-            if any(edits(p, low) <= decontam.budget(len(p)) for _, p in decontam.passages(decontam.compared(item))) and len(low) < 20000:
-                want[(i, k)] += 1
+    want = slow_hits(data, items)
     assert Counter((r["doc_id"], r["item_id"]) for r in got) == want and len(want) > 30
+    assert {(210, 53), (212, 54), (213, 55), (214, 53)} <= set(want) and not {i for i, _ in want} & {211, 215}
     kept = decontam.drop_contaminated(docs, bench)
     dirty = {i for i, _ in want}
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in data if i not in dirty)
@@ -349,13 +406,31 @@ def test_decontamination_as_full_alignment_has_it(spark, empty):
 
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(8)
-    items = [(k, prose(rng, "en", 40)) for k in range(6)]
-    docs = spark.createDataFrame([(k, "Start. " + t + " end.") for k, t in items], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [(k, prose(rng, "en", 40)) for k in range(6)] + [(9, "short one")]
+    data = [(k, "Start. " + t + " end.") for k, t in items] + [(20, prose(rng, "en", 50)), (21, items[0][1] + " " + items[1][1])]
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.hits(docs, bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(decontam, "HELD_CHARS", 500)
     monkeypatch.setattr(decontam, "MOST_SHARED", 50)
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.hits(docs, bench).collect()} == {(k, k) for k in range(6)}
-    assert decontam.drop_contaminated(docs, bench).collect() == []
+    assert sorted(map(tuple, decontam.hits(docs, bench).collect())) == whole
+    assert {r[:2] for r in whole} == set(slow_hits(data, items))
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [20]
+
+
+def test_recall_of_changed_items():
+    """Definition of passages and budget: items with words replaced, and halves of items."""
+    rng = random.Random(5)
+    items = [decontam.compared(prose(rng, "en", rng.randint(14, 60))) for _ in range(100)]
+    words = [w for t in items for w in t.split()]
+    found = Counter()
+    for t in items:
+        for share in (0.1, 0.2):
+            s = " ".join(rng.choice(words) if rng.random() < share else w for w in t.split())
+            found[share] += any(slow_match(p, s) for _, p in decontam.passages(t))
+        half = t[: len(t) // 2] if rng.random() < 0.5 else t[len(t) // 2 :]
+        found["half"] += any(slow_match(p, half) for _, p in decontam.passages(t))
+    assert found[0.1] >= 95 and found[0.2] >= 90 and found["half"] >= 95, found
 
 
 # -- pipeline -------------------------------------------------------------------------------------
