@@ -10,13 +10,12 @@ replaced is found by the windows that have few of them.
 By the q-gram lemma a region within e edits of a passage of m characters shares at least
 m - Q + 1 - Q e of its q-grams, all on diagonals of a band of e either way. So:
 
-1. q-grams shared with each passage are counted in tiles of the text, and pairs of adjoining tiles
-   (no region is longer) that meet the bound are looked at further;
-2. there, they are counted in bands of diagonals that overlap by half, and the regions of bands that
-   meet the bound are retained;
+1. q-grams shared with each passage are counted in bands of diagonals that overlap by half (a diagonal
+   tells where in the text the passage would begin, so a band is also a place);
+2. the regions of bands that meet the bound are retained;
 3. retained regions are verified by banded alignment.
 
-All three steps are exact: none drops a region that is within the budget. Items of fewer than SHORT
+None of these drops a region that is within the budget. Items of fewer than SHORT
 characters say too little for edits: they match where they stand verbatim and aren't part of a longer
 word, found by a look-up of each text's substrings of their lengths.
 
@@ -45,17 +44,17 @@ from pyspark.sql import functions as F
 
 from reckon.llm.common import blocks, map_arrow, map_batches, shared_dir, through_store
 
-Q = 6
-RATE = 0.1
-WINDOW = 40
-STRIDE = 16
+Q = 9
+RATE = 0.06
+WINDOW = 36
+STRIDE = 12
 #: Items shorter than this match verbatim only.
 SHORT = 32
 BLOCK_CHARS = 2_000_000
 #: Characters of documents that are held while blocks are read, where there are several.
 HELD_CHARS = 16_000_000
 TABLE_BITS = 22
-#: Positions in a tile: a region of the longest passage reaches over two at most.
+#: Positions by which portions of a text overlap; no region is longer.
 TILE = 128
 #: Shared q-grams held at a time.
 MOST_SHARED = 4_000_000
@@ -163,38 +162,24 @@ class Index:
             a = again if again > a else z
 
     def regions(self, grams: np.ndarray):
-        """(passage, positions, places in it) of all pairs of adjoining tiles that share q-grams
-        enough with a passage; a region of the passage's budget lies in such a pair."""
+        """(passage, first diagonal, positions, places in it) of all bands that share q-grams enough
+        with a passage. Bands have twice e + 1 diagonals and start at each (e + 1)-th, so one has all
+        diagonals of a path, which are at most e + 1."""
         if not len(self.hash):
             return
-        tiles = len(grams) // TILE + 2
+        steps = len(grams) + 2 * WINDOW
         for pos, p, at in self.shared(grams):
-            key = p * tiles + pos // TILE
+            half = self.edits[p] + 1
+            key = p * steps + (pos - at + WINDOW) // half
             order = np.argsort(key, kind="stable")
-            key, pos, at = key[order], pos[order], at[order]
+            key = key[order]
             head = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
-            own = np.diff(head)
-            tile = key[head[:-1]]
-            beside = np.append((tile[1:] == tile[:-1] + 1) * own[1:], 0)
-            for g in np.nonzero(own + beside >= self.bounds[tile // tiles])[0]:
-                span = slice(head[g], head[g + 1] + beside[g])
-                yield int(tile[g] // tiles), pos[span], at[span]
-
-    def bands(self, p: int, pos: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal) of bands that meet the bound; bands have twice e + 1 diagonals
-        and start at each (e + 1)-th, so one has all diagonals of a path, which are at most e + 1."""
-        half, least = int(self.edits[p]) + 1, int(self.bounds[p])
-        diagonal = pos - at
-        low = int(diagonal.min())
-        first, out = (diagonal - low) // half, []
-        n = np.bincount(first)
-        n = n + np.append(n[1:], 0)
-        for x in np.nonzero(n >= least)[0].tolist():
-            inside = (first == x) | (first == x + 1)
-            # positions and places count once
-            if len(set(pos[inside].tolist())) >= least and len(set(at[inside].tolist())) >= least:
-                out.append((p, x * half + low))
-        return out
+            own, band = np.diff(head), key[head[:-1]]
+            beside = np.append((band[1:] == band[:-1] + 1) * own[1:], 0)
+            for g in np.nonzero(own + beside >= self.bounds[band // steps])[0].tolist():
+                of, k = divmod(int(band[g]), steps)
+                span = order[head[g] : head[g + 1] + beside[g]]
+                yield of, k * (int(self.edits[of]) + 1) - WINDOW, pos[span], at[span]
 
     def verbatim(self, text: str) -> list[Hit]:
         """The first place of each short passage where it isn't part of a longer word."""
@@ -266,11 +251,13 @@ def search(index: Index, low: list[str]) -> list[list[Hit]]:
         grams = _grams(_codes("\x00".join(low[a:z])))
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low[a:z]])])
         found: list[set[tuple[int, int]]] = [set() for _ in range(z - a)]
-        for p, pos, at in index.regions(grams):
-            of = np.searchsorted(starts, pos, "right") - 1  # tiles can reach over texts
-            for i in np.unique(of).tolist():
-                if (of == i).sum() >= index.bounds[p]:
-                    found[i].update(index.bands(p, pos[of == i] - starts[i], at[of == i]))
+        for p, diagonal, pos, at in index.regions(grams):
+            least = index.bounds[p]
+            of = np.searchsorted(starts, pos, "right") - 1  # bands can reach over texts
+            for i in set(of.tolist()):
+                # positions and places count once
+                if len(set(pos[of == i].tolist())) >= least and len(set(at[of == i].tolist())) >= least:
+                    found[i].add((p, diagonal - int(starts[i])))
         for i, regions in enumerate(found):
             if regions:
                 out[a + i] += index.verify(low[a + i], sorted(regions))
