@@ -47,6 +47,13 @@ def test_edited_and_next(docs, rows, empty, spark):
         assert prints.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert len(set(prints.values())) == len(prints)
+    after = {r[0]: order[(k + 1) % len(order)][1] or "" for k, r in enumerate(order)}
+    once = Counter(r[0] for r in rows)
+    for r in got:
+        text, other = texts[r["doc_id"]], after[r["doc_id"]]
+        if once[r["doc_id"]] == 1 and max(len(text), len(other)) < 2000:
+            new = text[: len(text) - len(text) // 4] + other[: len(text) // 4]
+            assert abs(r["near_edited"] - slow_likeness(text, new)) < 1e-9 and abs(r["near_next"] - slow_likeness(text, other)) < 1e-9
     long = [r for r in got if r["n_chars"] > 100]
     # three quarters are alike, less at most one step of a sixteenth
     assert min(r["near_edited"] for r in long) >= 0.75 - 1 / 16 - 0.01 and np.mean([r["near_next"] for r in long]) < 0.1

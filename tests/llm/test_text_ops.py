@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -179,6 +180,117 @@ def test_tables_add_up_to_the_score():
     assert abs(1 / (1 + np.exp(-total)) - m.score(z[:1])[0]) < 1e-12
 
 
+# -- plain versions of language ID and quality --------------------------------------------------
+
+
+def slow_trigrams(text):
+    """Letter trigrams of a text, with a blank for all between words, whose middle is a letter."""
+    words, out = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(), []
+    flat = " " + " ".join(words) + " " if words else ""
+    for i in range(1, len(flat) - 1):
+        if flat[i] != " ":
+            out.append(flat[i - 1 : i + 2])
+    return out
+
+
+def slow_slots(gram, bits):
+    """The places of a trigram in the filter, with whole numbers of Python."""
+    word = 1 << 64
+    h = (ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])) * 0x9E3779B97F4A7C15 % word
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % word
+    return [((h >> (64 - bits)) + i * (h >> 5 | 1)) % word % (1 << bits) for i in range(lang_id.HASHES)]
+
+
+def test_language_id_as_computed_plainly(spark, docs, rows):
+    got = Counter((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9), round(r["coverage"], 9)) for r in lang_id.identify(docs).collect())
+    known = [r for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5]
+    n_of = Counter(r[2] for r in known)
+    langs = sorted(n_of, key=lambda x: (-n_of[x], x))
+    share = {x: Counter(g for r in known if r[2] == x for g in set(slow_trigrams(r[1]))) for x in langs}
+    rate = {x: {g: n / n_of[x] for g, n in share[x].items()} for x in langs}
+    sets = {x: {g for g, v in rate[x].items() if v >= lang_id.FREQUENT and v >= lang_id.RELATIVE * max(rate[y].get(g, 0) for y in langs)} for x in langs}
+    bits = max(12, int(np.ceil(np.log2(max(map(len, sets.values())) * lang_id.HASHES * 3))))
+    marked = {x: {p for g in sets[x] for p in slow_slots(g, bits)} for x in langs}
+    false = {x: (len(marked[x]) / (1 << bits)) ** lang_id.HASHES for x in langs}
+    want = Counter()
+    for r in rows:
+        grams = slow_trigrams(r[1])
+        n, places = len(grams), [slow_slots(g, bits) for g in grams]
+        if not n:
+            want[(str(r[0]), "und", 0.0, 0.0)] += 1
+            continue
+        counts = [max(0, (sum(all(p in marked[x] for p in ps) for ps in places) - false[x] * n) / (1 - false[x])) for x in langs]
+        best = counts.index(max(counts))
+        want[(str(r[0]), langs[best], round(counts[best] / max(sum(counts), 1e-12), 9) if sum(counts) else 0.0, round(min(1, counts[best] / n), 9))] += 1
+    assert got == want
+
+
+def slow_features(text):
+    text = text or ""
+    n, words, lines = len(text), text.split(), [x for x in text.split("\n") if x.strip()]
+    if not n:
+        return [0.0] * len(quality.FEATURES)
+    w, k = max(1, len(words)), max(1, len(lines))
+    of = lambda f: sum(map(f, text))
+    plain = set(".,;:'\"()!?-_")
+    most = lambda xs: max((xs.count(x) for x in set(xs)), default=0)
+    return [
+        np.log(1 + n), np.log(1 + len(words)), sum(map(len, words)) / w, min(max(map(len, words), default=0), 200),
+        of(lambda c: "A" <= c <= "Z") / n, of(lambda c: "a" <= c <= "z") / n, of(lambda c: "0" <= c <= "9") / n, of(lambda c: c in " \t\n\v\f\r") / n,
+        of(lambda c: "!" <= c <= "~" and not c.isalnum() and c not in plain) / n, of(lambda c: c in "!?") / n, text.count(",") / w, text.count(".") / w,
+        len(set(words)) / w, most(words) / w, sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / w,
+        np.log(1 + len(lines)), len(words) / k, len(set(lines)) / k, most(lines) / k, words.count("|") / w,
+        sum(not x.isalpha() for x in set(words)) / max(1, len(set(words))), sum(len(c.encode()) - 1 for c in text) / n,
+    ]
+
+
+def test_features_as_counted_plainly(rows):
+    texts = [r[1] for r in rows if len(r[1] or "") < 5000] + ["a|b | c\n\n\tX\x0bY\u00a0z!? 12.5% ~", "\n", "é" * 300, "no no no\nno no no\nyes"]
+    for t in texts:
+        assert np.allclose(quality.features(t), slow_features(t), atol=1e-12), t
+
+
+def slow_tree(g, h, leaves):
+    """The same tree by trying each cut of each leaf."""
+    gain = lambda part: sum(g[i] for i in part) ** 2 / (sum(h[i] for i in part) + quality.SMOOTH)
+    parts = [list(range(len(g)))]
+    for _ in range(leaves - 1):
+        cuts = [(gain(p[:c]) + gain(p[c:]) - gain(p), -k, -c) for k, p in enumerate(parts) for c in range(1, len(p))]
+        if not cuts or max(cuts)[0] <= 1e-9:
+            break
+        _, k, c = max(cuts)
+        parts[-k : 1 - k] = [parts[-k][: -c], parts[-k][-c:]] if k else [parts[0][: -c], parts[0][-c:]]
+    out = [0.0] * len(g)
+    for p in parts:
+        for i in p:
+            out[i] = sum(g[j] for j in p) / (sum(h[j] for j in p) + quality.SMOOTH)
+    return out
+
+
+def test_trees_and_boosting_as_computed_plainly():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 12):
+        g, h = rng.normal(size=n), rng.random(n) + 0.1
+        assert np.allclose(quality._leaves(g, h, quality.LEAVES), slow_tree(g.tolist(), h.tolist(), quality.LEAVES))
+    # one round over the features, row by row
+    x, y = rng.normal(size=(60, 3)), (rng.random(60) < 0.4).astype(float)
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1]).tolist())) for j in range(3)]
+    total, tables = [float(np.log(y.mean() / (1 - y.mean())))] * 60, [[0.0] * (len(c) + 1) for c in cuts]
+    for _ in range(3):
+        for j in range(3):
+            b = [sum(v >= c for c in cuts[j]) for v in x[:, j]]
+            q = [1 / (1 + np.exp(-t)) for t in total]
+            g, h = ([sum(f(i) for i in range(60) if b[i] == k) for k in range(len(tables[j]))] for f in (lambda i: y[i] - q[i], lambda i: q[i] * (1 - q[i])))
+            step = [quality.RATE * v for v in slow_tree(g, h, quality.LEAVES)]
+            tables[j] = [a + s for a, s in zip(tables[j], step)]
+            total = [t + step[k] for t, k in zip(total, b)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "ROUNDS", 3)
+        m.setattr(quality, "PAIR_ROUNDS", 0)
+        found = quality.fit(x, y)
+    assert all(np.allclose(a, b) for a, b in zip(found.tables, tables))
+
+
 # -- licences -------------------------------------------------------------------------------------
 
 
