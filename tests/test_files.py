@@ -36,6 +36,8 @@ def test_workbook_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("001", "2024-01-05", "1234.50", "12.5%", "text", "=1+1", "1234567890123456789"), (None, "2024-01-05 10:20:30", "5", "", "", "plain", "7")], ", ".join(f"`{c}` string" for c in cols))
     told = workbook.write_workbook(str(tmp_path / "x.xlsx"), {"数据": df, "two": df.limit(0)}, most=1)
     assert told == {"数据": (1, 2), "two": (0, 0)}
+    cut = {s.name: reader.table_of(s)[1] for s in reader.sheets((tmp_path / "x.xlsx").read_bytes())}
+    assert [r for _, r in cut[workbook.CUT]] == [["数据", "1", "2", "1/2"]]
     workbook.write_workbook(str(tmp_path / "x.xlsx"), {"two": df.limit(0), "数据": df})
     back, meta = reader.read_sheet(spark, f"file://{tmp_path}/x.xlsx")
     assert meta["sheet"] == "数据" and back.columns == ["_row", *cols]
@@ -60,6 +62,11 @@ def test_formulas_and_titles():
     assert headers == ["id", "sum"] and rows == [(4, ["1", "=A4+1"])] and own.formulas == 1
 
 
+def test_text_without_readings():
+    item = reader.ElementTree.fromstring('<si xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><r><t>東</t></r><r><t>京</t></r><rPh sb="0" eb="2"><t>トウキョウ</t></rPh></si>')
+    assert reader._text_of(item) == "東京"
+
+
 def test_csv_is_escaped(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", " +cmd", None), ("plain", "-5", "\tx")], "`=h` string, b string, c string")
     workbook.write_csv(df, f"file://{tmp_path}/out")
@@ -82,13 +89,24 @@ def test_ddl_and_literals(spark):
         assert tuple(got) == (sql, error), (column, value)
     with pytest.raises(ValueError):
         literals.match_columns(["a", "A"], cols)
+    number = by["n"]
+    table, cols = literals.parse_ddl("""create table "s"."t" (`a` varchar(20) COMMENT 'x) y', "a b" int not null, key varchar(9), `index` int, KEY k (b), DUPLICATE KEY(k1), AGGREGATE KEY (k1), UNIQUE KEY u (a),
+      PRIMARY KEY (a), CONSTRAINT c CHECK (b > 0), tags array<int> DEFAULT 'a,(b', n numeric(5))""")
+    assert table == "s.t" and [(c.name, c.nullable) for c in cols] == [("a", True), ("a b", False), ("key", True), ("index", True), ("tags", True), ("n", True)]
+    assert (cols[-1].precision, cols[-1].scale) == (5, 0) and literals.unmatched(["A", "z"], cols) == {"headers": ["z"], "columns": ["a b", "key", "index", "tags", "n"]}
+    for bad in ("create table t", "select 1", "create table t (primary key (a))"):
+        with pytest.raises(ValueError):
+            literals.parse_ddl(bad)
+    assert literals.quoted_table("sales.order") == "`sales`.`order`"
+    floats = spark.createDataFrame([(1.2345678901234568e18,), (12.5,), (float("nan"),)], "v double")
+    assert [r[0]["error"] for r in floats.select(literals.literal(floats["v"], number, True)).collect()] == ["not_exact", None, "not_a_number"]
 
 
 def test_inserts(spark):
     cols = literals.parse_ddl("create table t (id int, name varchar(9))")[1]
     df = spark.createDataFrame([(f"{i}", f"n{i}" if i % 2 else None) for i in range(7)] + [("", " ")], "ID string, NAME string")
     got = literals.inserts(df, "t", cols, ["ID"], 3).orderBy("batch").collect()
-    assert [r["sql"].count("\n(") for r in got] == [3, 3, 1] and got[0]["sql"].startswith("INSERT INTO t (`id`, `name`) VALUES\n(0, NULL),\n(1, 'n1')")
+    assert [r["sql"].count("\n(") for r in got] == [3, 3, 1] and got[0]["sql"].startswith("INSERT INTO `t` (`id`, `name`) VALUES\n(0, NULL),\n(1, 'n1')")
     with pytest.raises(Exception, match="not_a_number"):
         literals.inserts(spark.createDataFrame([("x", "y")], "id string, name string"), "t", cols, ["id"]).collect()
 
@@ -107,7 +125,14 @@ def test_display(spark):
 
 def test_blocks(spark):
     b = [{"text": "交 易 日 期", "x": 0.1, "y": 0.1, "w": 0.1, "h": 0.02}, {"text": "a b", "x": 0.5, "y": 0.101, "w": 0.1, "h": 0.02}, {"text": "1", "x": 0.11, "y": 0.2, "w": 0.1, "h": 0.02}]
-    assert blocks.grid(b) == [["交易日期", "a b"], ["1", ""]] and blocks.grid([]) == []
+    schema = "image string, text string, x double, y double, w double, h double"
+    got = blocks.tables(spark.createDataFrame([("i", x["text"], x["x"], x["y"], x["w"], x["h"]) for x in b], schema))
+    assert [(r["row"], r["cells"]) for r in got.orderBy("row").collect()] == [(1, ["交易日期", "a b"]), (2, ["1", ""])]
+    assert blocks.tables(spark.createDataFrame([], schema)).collect() == []
+    # slanted rows, two blocks in a cell, a null text, a column that is filled too seldom, no place
+    rows = [("j", f"r{r}", 0.1 + 0.001 * r, 0.05 * r, 0.1, 0.02) for r in range(20)] + [("j", "x", 0.13, 0.0, 0.1, 0.02), ("j", "y", 0.5, 0.0, 0.1, 0.02), ("j", None, 0.9, 0.3, 0.1, 0.02), ("j", "?", None, 0.3, 0.1, 0.02)]
+    got = blocks.tables(spark.createDataFrame(rows, schema), column_gap=0.04).orderBy("row").collect()
+    assert [r["cells"] for r in got] == [["r0 x"]] + [[f"r{r}"] for r in range(1, 20)]
     df = spark.createDataFrame([("i", "a", 0.1, 0.1, 0.2), ("i", "b", 0.2, 0.2, 0.9)], "image string, text string, x double, y double, conf double")
     r = blocks.quality(df).first()
     assert (r["blocks"], r["mean_conf"], r["low"]) == (2, 0.55, ["a"])

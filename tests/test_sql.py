@@ -31,6 +31,8 @@ def test_logic(spark):
     assert logic.risk_list(structure.structure(spark, "select 1 as x from a join b on a.k = b.k"), structure.structure(spark, "select 1 as x from a inner join b on a.k = b.k")) == []
     rules = [r["rule"] for r in logic.risks(spark, "select sum(x) as s from a join b on a.k = b.k", "select sum(x) as s from a join b on a.k = b.k2 group by k").collect()]
     assert rules == ["join_condition", "aggregate_without_group", "group_by"]
+    fields = [r for r in logic.risks(spark, "select a, b as x from t", "select a, b as y from t").collect()]
+    assert [(r["rule"], r[4], r[5]) for r in fields] == [("fields", "x", "y")]
     assert {r["kind"] for r in logic.text_diff(spark, a, b).collect()} >= {"hunk", "add", "del"}
 
 
@@ -41,7 +43,7 @@ def test_layers(spark):
 
 @pytest.mark.parametrize(
     "sql, level",
-    [("select ';drop' as x limit 1", "safe"), ("select 1; select 2", "blocked"), ("", "blocked"), ("select a from t --comment", "warning"), ("select * from t limit 5", "warning"), ("/*M! drop */ select 1 limit 1", "blocked"), ("insert into t select 1", "blocked"), ("explain select 1", "safe"), ("select a from {{t}} limit 1", "blocked"), ("# select 1", "blocked")],
+    [("select ';drop' as x limit 1", "safe"), ("select 1; select 2", "blocked"), ("", "blocked"), ("select a from t --comment", "warning"), ("select * from t limit 5", "warning"), ("/*M! drop */ select 1 limit 1", "blocked"), ("insert into t select 1", "blocked"), ("explain select 1", "safe"), ("select a from {{t}} limit 1", "blocked"), ("# select 1", "blocked"), ("select 1;", "warning"), ("select 1;;", "blocked"), ("select a from t limit 10001", "warning"), ("with x as (select 1 as a) select a from x limit 3", "safe"), ("select `set` from t limit 1", "blocked"), ("desc t", "safe"), ("select \"drop\" as x limit 1", "safe")],
 )
 def test_guard(sql, level):
     assert guard.level(sql) == level
@@ -54,6 +56,9 @@ def test_guarded_query(spark):
     assert guard.query(spark, "select id from seven", 6)[1]
     with pytest.raises(guard.NotReadOnly):
         guard.query(spark, "drop table seven")
+    assert guard.query(spark, "(select id from seven limit 2)")[0].count() == 2  # by its plan a query
+    told = {s: guard.findings(s, spark) for s in ("analyze table seven compute statistics", "show tables", "refresh table seven", "cache table seven")}
+    assert {s for s, found in told.items() if ("blocked", "not_a_query") in found} == set(told) - {"show tables"}
 
 
 def test_bounds_and_ranges(spark):
@@ -76,6 +81,25 @@ def test_time_filter_binds_as_and_in_every_branch(spark):
     assert rewrite.count(spark, "select p from ev group by p").first()[0] == 2
 
 
+def test_ranges_give_way_and_the_session_stays(spark):
+    spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int)) as ts, id % 2 as p, id as v from range(20)").createOrReplaceTempView("ev")
+    cases = [  # query, mode, rows within 2024-01-03 to 2024-01-06
+        ("select v from ev where ts between '2024-01-10' and '2024-01-11' and p = 0", "replaced", [2, 4]),
+        ("select v from ev where date(ts) = '2024-01-10'", "replaced", [2, 3, 4, 5]),
+        ("select v from ev where hour(ts) = 0 and ts is not null", "pushed_down", [2, 3, 4, 5]),
+        ("select v from ev where ts > '2024-01-10' or p = 0", "pushed_down", [2, 4]),
+        ("with ev as (select * from ev where ts = '2024-01-10' and v < 5) select v from ev", "replaced", [2, 3, 4]),
+        ("with a as (select ts, v from ev), b as (select v from a where v > 2) select b.v from b union all select v from a", "pushed_down", [2, 3, 3, 4, 4, 5, 5]),
+        ("select v from (with ev as (select * from ev where ts >= '2025-01-01') select ts, v from ev) x", "replaced", [2, 3, 4, 5]),
+        ("select e.v from ev e join ev f on e.v = f.v where e.ts >= '2024-01-04' and f.ts >= '2024-01-05'", "replaced", [4, 5]),
+    ]
+    for sql, mode, want in cases:
+        df, how = rewrite.filter_where_seen(spark, sql, "e.ts" if "e.ts" in sql else "ts", "2024-01-03", "2024-01-06")
+        assert (how, sorted(r[0] for r in df.collect())) == (mode, want), sql
+    assert rewrite.detail(spark, "with ev as (select * from ev where v < 3) select p, count(*) from ev group by p").count() == 3
+    assert spark.table("ev").count() == 20
+
+
 def test_packing():
     assert slicing.pack([(1, 3), (2, 3), (3, 0), (4, 9), (5, 1), (6, 4)], 5) == [(1, 1, 3, False), (2, 2, 3, False), (4, 4, 9, True), (5, 6, 5, False)]
     assert slicing.pack([], 5) == []
@@ -133,7 +157,8 @@ def test_catalogs(spark):
 
 def test_schema_text(spark):
     cols = spark.createDataFrame([("t", "b", "int", 2, False), ("t", "a", "bigint", 1, True), ("s", "x", "string", 1, False)], "table string, name string, type string, pos int, is_key boolean")
-    assert catalog.schema_text(cols).first()[0] == "table s (x string)\ntable t (a bigint PRIMARY KEY, b int)"
+    assert tuple(catalog.schema_text(cols).first()) == ("table s (x string)\ntable t (a bigint PRIMARY KEY, b int)", 2)
+    assert tuple(catalog.schema_text(cols, 1).first()) == ("table s (x string)\n... and 1 more tables", 2)
 
 
 def test_result_diff_by_bare_and_aliased_keys(spark):
