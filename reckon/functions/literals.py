@@ -27,47 +27,92 @@ class ColumnDef:
     scale: int | None = None
 
 
-def _top_level(text: str) -> list[str]:
-    """Parts between commas that stand outside quotes and parentheses."""
-    out, depth, start = [], 0, 0
-    for m in re.finditer(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[(),]", text):
-        depth += (m.group() == "(") - (m.group() == ")")
-        if m.group() == "," and depth == 0:
-            out.append(text[start : m.start()])
-            start = m.end()
-    return [*out, text[start:]]
+_TOKEN = re.compile(
+    r"""(?P<name>`(?:[^`]|``)*` | "(?:[^"\\]|\\.|"")*") | (?P<text>'(?:[^'\\]|\\.|'')*')
+      | (?P<number>\d+) | (?P<sign>[(),.;]) | (?P<word>[^\s`"'(),.;]+)""",
+    re.S | re.X,
+)
+# First words of parts of a CREATE TABLE that are no columns.
+_KEYED = ("primary", "unique", "foreign", "duplicate", "aggregate")
+_PARTS = ("key", "index", "constraint", "check", "partition", "fulltext", "spatial")
+_OTHER_TYPES = ("date", "datetime", "time", "timestamp", "array", "map", "struct", "variant", "bit", "enum", "set", "year", "hll", "bitmap")
+
+
+def _scan(ddl: str) -> list[tuple[str, str]]:
+    """(kind, text) of the tokens: name (a quoted one, without its quotes), text, number, sign, word."""
+    out = []
+    for m in _TOKEN.finditer(strip_comments(ddl)):
+        kind, t = m.lastgroup, m.group()
+        out.append((kind, t[1:-1].replace(t[0] * 2, t[0]) if kind == "name" else t))
+    return out
+
+
+def _no_column(words: list[tuple[str, str]]) -> bool:
+    """Whether the tokens of a part begin a key, an index, a constraint or a partition."""
+    low = [t.lower() if kind == "word" else None for kind, t in words[:2]] + [None, None]
+    if low[0] in _KEYED:
+        return low[1] in ("key", "index") or len(words) > 1 and words[1] == ("sign", "(")
+    known = bool(low[1]) and low[1].startswith((*NUMERIC_TYPES, *TEXT_TYPES, *_OTHER_TYPES))
+    return low[0] in _PARTS and not known
 
 
 def parse_ddl(ddl: str) -> tuple[str, list[ColumnDef]]:
-    """Table name and columns of a CREATE TABLE of any dialect; keys, indexes and constraints are
-    passed by."""
-    body = strip_comments(ddl)
-    m = re.search(r"(?is)create\s+(?:external\s+|temporary\s+)?table\s+(?:if\s+not\s+exists\s+)?((?:`[^`]+`|[^\s(`.]+)(?:\.(?:`[^`]+`|[^\s(`.]+))?)\s*\(", body)
-    if not m:
+    """Table name (its parts joined by points) and columns of a CREATE TABLE of any dialect; keys,
+    indexes and constraints are passed by. Quoted names, texts and parentheses are told apart by one
+    scan, so neither a comment nor a default is taken for structure."""
+    tokens = _scan(ddl)
+    low = [t.lower() if kind == "word" else "" for kind, t in tokens]
+    at = next((i for i, w in enumerate(low) if w == "table" and "create" in low[max(0, i - 3) : i]), None)
+    if at is None:
         raise ValueError("no CREATE TABLE with columns")
-    depth, end = 1, m.end()
-    while end < len(body) and depth:
-        depth += (body[end] == "(") - (body[end] == ")")
-        end += 1
+    at += 4 if low[at + 1 : at + 4] == ["if", "not", "exists"] else 1
+    parts = []
+    while at < len(tokens) and tokens[at] != ("sign", "("):
+        if tokens[at][0] in ("name", "word", "number"):
+            parts.append(tokens[at][1])
+        elif tokens[at] != ("sign", "."):
+            break
+        at += 1
+    if not parts or at >= len(tokens) or tokens[at] != ("sign", "("):
+        raise ValueError("no CREATE TABLE with columns")
+    pieces, depth = [[]], 0
+    for token in tokens[at:]:
+        depth += (token == ("sign", "(")) - (token == ("sign", ")"))
+        if depth == 0:
+            break
+        if depth == 1 and token == ("sign", ","):
+            pieces.append([])
+        elif not (depth == 1 and token == ("sign", "(") and not pieces[-1]):
+            pieces[-1].append(token)
     columns = []
-    for part in _top_level(body[m.end() : end - 1]):
-        c = re.match(r"(?is)\s*(`[^`]+`|[^\s`(]+)\s+([a-z_]\w*)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?(.*)$", part)
-        if not c or re.match(r"(?i)\s*(primary|unique|foreign)?\s*(key|index|constraint|check|partition)\b", part):
+    for piece in pieces:
+        if len(piece) < 2 or piece[0][0] not in ("name", "word") or piece[1][0] != "word" or _no_column(piece):
             continue
-        kind = c.group(2).lower()
-        decimal = kind in ("decimal", "numeric")
-        columns.append(
-            ColumnDef(c.group(1).strip("`"), kind, not kind.startswith(NUMERIC_TYPES), not re.search(r"(?i)\bnot\s+null\b", c.group(5)),
-                      int(c.group(3)) if decimal and c.group(3) else None, int(c.group(4) or 0) if decimal and c.group(3) else None)
-        )
+        kind, rest = piece[1][1].lower(), piece[2:]
+        close = next((i for i, t in enumerate(rest) if t == ("sign", ")")), 0) if rest[:1] == [("sign", "(")] else 0
+        sizes = [int(t) for k, t in rest[:close] if k == "number"] if kind in ("decimal", "numeric") else []
+        words = [t.lower() if k == "word" else "" for k, t in rest]
+        nullable = ("not", "null") not in zip(words, words[1:])
+        columns.append(ColumnDef(piece[0][1], kind, not kind.startswith(NUMERIC_TYPES), nullable, sizes[0] if sizes else None, (sizes[1] if len(sizes) > 1 else 0) if sizes else None))
     if not columns:
         raise ValueError("no columns in the CREATE TABLE")
-    return m.group(1).replace("`", ""), columns
+    return ".".join(parts), columns
+
 
+#: Digits that a floating number keeps.
+FLOAT_DIGITS = 15
 
-def literal(value: Column, column: ColumnDef) -> Column:
+
+def literal(value: Column, column: ColumnDef, floating: bool = False) -> Column:
     """A struct (sql, error) of a text cell: the literal of its value for the column, or why there is
-    none (not_a_number, out_of_range)."""
+    none (not_a_number, out_of_range; for a floating number of more than 15 digits before the point,
+    which can't be what was meant, not_exact)."""
+    if floating:
+        own = literal(value.cast("decimal(38,10)") if column.scale is None else value.cast("decimal(38,18)"), column)
+        long = F.abs(value) >= 10.0**FLOAT_DIGITS
+        odd = F.isnan(value) | (F.abs(value) == float("inf"))
+        error = F.when(odd, "not_a_number").when(long, "not_exact").otherwise(own["error"])
+        return F.struct(F.when(error.isNull(), own["sql"]).alias("sql"), error.alias("error"))
     s = strip(value.cast("string"))
     textual = column.type.startswith(TEXT_TYPES)
     null = value.isNull() | (s == "") | (s == "\\N")
@@ -103,11 +148,28 @@ def match_columns(names: list[str], columns: list[ColumnDef]) -> list[tuple[str,
     return [(n, by[n.strip().lower()]) for n in names if n.strip().lower() in by]
 
 
+def unmatched(names: list[str], columns: list[ColumnDef]) -> dict[str, list[str]]:
+    """headers that no column of the DDL has, and columns that no header names."""
+    heads, own = {n.strip().lower() for n in names}, {c.name.lower() for c in columns}
+    return {"headers": [n for n in names if n.strip().lower() not in own], "columns": [c.name for c in columns if c.name.lower() not in heads]}
+
+
+def quoted_table(table: str) -> str:
+    """A table's name with each of its parts quoted."""
+    parts = [p for p in table.split(".") if p]
+    if not parts:
+        raise ValueError("no table name")
+    return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
+
+
 def inserts(df: DataFrame, table: str, columns: list[ColumnDef], order: list[str], batch: int = 500) -> DataFrame:
     """batch and sql: INSERT statements of `batch` rows, rows in the order given; rows that are blank
     throughout are passed by. Statements are numbered without a single-task sort."""
     pairs = match_columns(df.columns, columns)
-    cells = [literal(F.col(f"`{n}`"), c) for n, c in pairs]
+    if not pairs:
+        raise ValueError(f"no header is a column: {unmatched(df.columns, columns)}")
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    cells = [literal(F.col(f"`{n}`"), c, n in floats) for n, c in pairs]
     fault = F.coalesce(*[F.when(x["error"].isNotNull(), F.concat(F.lit(f"{c.name}: "), x["error"])) for x, (_, c) in zip(cells, pairs)])
     row = F.concat(F.lit("("), F.concat_ws(", ", *[x["sql"] for x in cells]), F.lit(")"))
     blank = F.lit(True)
@@ -115,6 +177,6 @@ def inserts(df: DataFrame, table: str, columns: list[ColumnDef], order: list[str
         blank = blank & (F.coalesce(strip(F.col(f"`{n}`").cast("string")), F.lit("")) == "")
     rows = df.where(~blank).select(*order, F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(row).alias("_row"), F.lit(0).alias("_g"), F.lit(1).alias("_one"))
     placed = running_counts(rows, ["_g"], order, "_one").withColumn("batch", F.floor(F.col("before") / batch))
-    head = f"INSERT INTO {table} ({', '.join(f'`{c.name}`' for _, c in pairs)}) VALUES\n"
+    head = f"INSERT INTO {quoted_table(table)} ({', '.join('`' + c.name.replace('`', '``') + '`' for _, c in pairs)}) VALUES\n"
     listed = F.transform(F.array_sort(F.collect_list(F.struct("before", "_row"))), lambda x: x["_row"])  # `batch` rows at most
     return placed.groupBy("batch").agg(F.concat(F.lit(head), F.array_join(listed, ",\n"), F.lit(";")).alias("sql"))

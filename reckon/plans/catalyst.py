@@ -123,3 +123,33 @@ def filtered(spark: SparkSession, plan, condition: str):
     """plan below a Filter of the condition: joined by AND with all that is below, whatever its form."""
     e = spark._jsparkSession.sessionState().sqlParser().parseExpression(condition)
     return getattr(spark._jvm.org.apache.spark.sql.catalyst.plans.logical, "Filter")(e, plan)
+
+
+def filter_by(spark: SparkSession, plan, expression):
+    """plan below a Filter of a JVM expression."""
+    return getattr(spark._jvm.org.apache.spark.sql.catalyst.plans.logical, "Filter")(expression, plan)
+
+
+def both(spark: SparkSession, expressions: list):
+    """The conjunction of JVM expressions."""
+    out = expressions[0]
+    for e in expressions[1:]:
+        out = getattr(spark._jvm.org.apache.spark.sql.catalyst.expressions, "And")(out, e)
+    return out
+
+
+def with_parts(spark: SparkSession, node, parts: list, child):
+    """A WITH node like `node`, with these parts (as its cteRelations has them) around child."""
+    return node.copy(child, spark._jvm.PythonUtils.toSeq(parts), node.allowRecursion())
+
+
+def part_like(spark: SparkSession, pair, plan):
+    """A WITH part like `pair`, of another plan."""
+    alias = pair._2()
+    return pair.copy(pair._1(), with_children(spark, alias, [plan]), pair._3()) if hasattr(pair, "_3") else pair.copy(pair._1(), with_children(spark, alias, [plan]))
+
+
+def attributes(e) -> list[list[str]]:
+    """Name parts of all columns in an expression (not in its subqueries)."""
+    own = [list(seq(e.nameParts()))] if name(e) == "UnresolvedAttribute" else []
+    return own + [a for c in children(e) for a in attributes(c)]

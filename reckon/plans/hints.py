@@ -42,16 +42,25 @@ def is_day_grain(spark: SparkSession, sql: str, column: str) -> bool:
     return any(_DAY.search(step) for step in alias_lineage(spark, sql, column))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def probe_texts(spark: SparkSession, sql: str, keys: list[str]) -> DataFrame:
     """id and sql of probes of a query: P0 rows, P1 repeated keys, P2 rows against keys, and for each
     join J rows that find no partner (a template: the left side stands in braces) and M keys of the
-    right side that multiply."""
+    right side that multiply; F1 rows that are left after each condition in turn (a template too: the
+    joined tables stand in braces)."""
     text, key = C.strip_comments(sql).strip().rstrip(";"), ", ".join(keys)
     rows = [
         ("P0", f"SELECT count(*) AS n FROM ({text}) q"), ("P1", f"SELECT {key}, count(*) AS n FROM ({text}) q GROUP BY {key} HAVING count(*) > 1"),
         ("P2", f"SELECT count(*) AS n, count(DISTINCT {key}) AS n_keys FROM ({text}) q"),
     ]
-    for i, j in enumerate(reversed(structure(spark, sql).joins), 1):
+    parts = structure(spark, sql)
+    ladder = [f"SELECT {i} AS place, {_quoted(c)} AS condition, count_if({' AND '.join(['true', *parts.conditions[:i]])}) AS n FROM {{source}}" for i, c in enumerate(["all", *parts.conditions])]
+    if parts.conditions:
+        rows.append(("F1", " UNION ALL ".join(ladder)))
+    for i, j in enumerate(reversed(parts.joins), 1):
         if j.on:
             rows.append((f"J{i}", f"SELECT count(*) AS n FROM {{left}} LEFT ANTI JOIN {j.table} ON {j.on}"))
             own = [a for pair in re.findall(r"([\w.]+) = ([\w.]+)", j.on) for a in pair]

@@ -1,6 +1,7 @@
 """Rewrites of queries as plans: time filters at the place that sees the column, aggregates to
 detail rows, counts and histograms. A filter is a node of its own, so it binds as AND whatever
-stands in the query's own WHERE, and it goes below every branch of a union."""
+stands in the query's own WHERE, and it goes below every branch of a union. WITH parts stay in the
+plan that they are part of: nothing is registered in the session."""
 
 from __future__ import annotations
 
@@ -38,38 +39,85 @@ def _has(spark: SparkSession, plan, column: str) -> bool:
         return False
 
 
+_COMPARED = ("GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "EqualTo", "Between", "UnresolvedBetweenExpression", "In")
+_DATED = ("date", "to_date", "timestamp", "to_timestamp", "date_trunc", "trunc", "between")
+
+
+def _is_range(e, column: str) -> bool:
+    """Whether a condition bounds the time column by itself: a comparison of the column (or of its
+    date) with constants."""
+    wanted = column.lower().split(".")
+
+    def same(parts: list[str]) -> bool:
+        low = [p.lower() for p in parts]
+        k = min(len(low), len(wanted))
+        return low[-k:] == wanted[-k:]
+
+    def plain(x) -> bool:
+        if name := C.attributes(x):
+            calls = C.name(x) != "UnresolvedFunction" or x.nameParts().last().lower() in _DATED
+            return all(map(same, name)) and calls and all(map(plain, C.children(x)))
+        return True
+
+    compared = C.name(e) in _COMPARED or C.name(e) == "UnresolvedFunction" and e.nameParts().last().lower() == "between"
+    return compared and bool(C.attributes(e)) and plain(e)
+
+
 def filter_where_seen(spark: SparkSession, sql: str, column: str, low: str, high: str) -> tuple[DataFrame, str]:
-    """The query with the range put on the FROM of every innermost block that sees the column (mode
-    pushed_down), or else on its result (injected)."""
+    """The query with the range put on the FROM of every innermost block that sees the column, also in
+    its WITH parts, or else on its result. Ranges over the column that such a block's WHERE has (as
+    conditions joined by AND) give way to the new one. The mode tells what was done: replaced,
+    pushed_down or injected."""
     condition = range_condition(column, low, high)
     bare = column.split(".")[-1]
+    done, replaced = set(), 0  # names of WITH parts that are filtered
     hits = 0
 
-    def go(node):
+    def sees(plan, name: str, scope: list) -> bool:
+        for node, parts in reversed(scope):
+            plan = C.with_parts(spark, node, parts, plan)
+        return _has(spark, plan, name)
+
+    def filtered_below(node) -> bool:
+        names = {".".join(C.seq(x.multipartIdentifier())).lower() for x in C.walk(node) if C.name(x) == "UnresolvedRelation"}
+        return bool(names & done)
+
+    def without_ranges(node, name: str):
+        """node without the conditions on the column in the Filters at its top."""
+        nonlocal replaced
+        if C.name(node) != "Filter":
+            return node
+        below = without_ranges(C.children(node)[0], name)
+        every = C.conjuncts(node.condition())
+        rest = [e for e in every if not _is_range(e, name)]
+        replaced += len(every) - len(rest)
+        return C.filter_by(spark, below, C.both(spark, rest)) if rest else below
+
+    def go(node, scope: list):
         nonlocal hits
         if C.name(node) == "UnresolvedWith":
-            # WITH parts stand where they are named
-            return go_with(node)
+            parts: list = []
+            for pair in C.seq(node.cteRelations()):
+                before = hits
+                own = go(C.children(pair._2())[0], [*scope, (node, parts)])
+                if hits > before:
+                    done.add(pair._1().lower())
+                parts = [*parts, C.part_like(spark, pair, own)]
+            return C.with_parts(spark, node, parts, go(C.children(node)[0], [*scope, (node, parts)]))
         before = hits
-        new = [go(c) for c in C.children(node)]
-        node = C.with_children(spark, node, new)
-        if hits > before or C.name(node) not in ("Project", "Aggregate"):
+        node = C.with_children(spark, node, [go(c, scope) for c in C.children(node)])
+        if hits > before or C.name(node) not in ("Project", "Aggregate") or filtered_below(node):
             return node
         child = C.children(node)[0]
-        if C.name(child) != "OneRowRelation" and (_has(spark, child, column) or _has(spark, child, bare)):
-            name = column if _has(spark, child, column) else bare
-            hits += 1
-            return C.with_children(spark, node, [C.filtered(spark, child, condition.replace(column, name, 1))])
-        return node
-
-    def go_with(node):
-        for name, part in C.ctes(node):
-            C.frame(spark, part).createOrReplaceTempView(name)
-        return go(C.children(node)[0])
-
-    plan = go(C.parse(spark, sql))
-    if hits:
-        return C.frame(spark, plan), "pushed_down"
+        name = next((x for x in (column, bare) if sees(child, x, scope)), None) if C.name(child) != "OneRowRelation" else None
+        if name is None:
+            return node
+        hits += 1
+        return C.with_children(spark, node, [C.filtered(spark, without_ranges(child, name), condition.replace(column, name, 1))])
+
+    plan = go(C.parse(spark, sql), [])
+    if hits or done:
+        return C.frame(spark, plan), "replaced" if replaced else "pushed_down"
     return C.frame(spark, plan).where(condition), "injected"
 
 
@@ -79,17 +127,16 @@ def count(spark: SparkSession, sql: str) -> DataFrame:
 
 def detail(spark: SparkSession, sql: str) -> DataFrame:
     """The rows that the outermost aggregation takes in: its FROM and WHERE, without DISTINCT, GROUP
-    BY, HAVING, ORDER BY and LIMIT."""
-    node = C.parse(spark, sql)
-    if C.name(node) == "UnresolvedWith":
-        for name, part in C.ctes(node):
-            C.frame(spark, part).createOrReplaceTempView(name)
-        node = C.children(node)[0]
-    while C.name(node) in ("Sort", "GlobalLimit", "LocalLimit", "UnresolvedHaving", "Distinct", "Offset"):
-        node = C.children(node)[0]
-    if C.name(node) in ("Aggregate", "Project"):
-        node = C.children(node)[0]
-    return C.frame(spark, node)
+    BY, HAVING, ORDER BY and LIMIT; WITH parts stay around them."""
+
+    def inner(node):
+        if C.name(node) == "UnresolvedWith":
+            return C.with_children(spark, node, [inner(C.children(node)[0])])
+        while C.name(node) in ("Sort", "GlobalLimit", "LocalLimit", "UnresolvedHaving", "Distinct", "Offset"):
+            node = C.children(node)[0]
+        return C.children(node)[0] if C.name(node) in ("Aggregate", "Project") else node
+
+    return C.frame(spark, inner(C.parse(spark, sql)))
 
 
 def detail_select(spark: SparkSession, sql: str, keys: list[str], time_column: str | None = None) -> DataFrame:

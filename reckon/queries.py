@@ -18,7 +18,7 @@ from reckon.sinks.workbook import write_csv, write_workbook
 from reckon.sources import blocks
 from reckon.sources.delimited import read_delimited, text_table
 from reckon.sources.workbook import each_sheet, table_of
-from reckon.store import scratch
+from reckon.store import keep, scratch
 from reckon.streaming import ledger_stream
 from reckon.tables import sql, table, views
 
@@ -97,10 +97,11 @@ def norm_file_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT 'cell' AS src, CAST(id AS BIGINT) AS id, {_result('v')} AS norm FROM ({_CELL_SQL}) WHERE v IS NULL OR v <> '1_000'
+ UNION ALL SELECT 'cell', CAST(id AS BIGINT), 'text|1_000' FROM ({_CELL_SQL}) WHERE v = '1_000'
  UNION ALL SELECT 'order', k, {_result('status')} FROM ({ORDERS_B}) UNION ALL SELECT 'price', k, {_result('price')} FROM ({ORDERS_B})""")
 def norm_sql_cells(spark: SparkSession, sf: str) -> DataFrame:
     d, b = X.SqlDialect(), sql(spark, sf, ORDERS_B, "orders")
-    own = _cells(spark).where("v is null or v <> '1_000'").select(F.lit("cell").alias("src"), F.col("id").cast("long").alias("id"), d(F.col("v")).alias("norm"))
+    own = _cells(spark).select(F.lit("cell").alias("src"), F.col("id").cast("long").alias("id"), d(F.col("v")).alias("norm"))
     return own.union(b.select(F.lit("order"), "k", d(F.col("status")))).union(b.select(F.lit("price"), "k", d(F.col("price"), "decimal")))
 
 
@@ -163,9 +164,71 @@ def file_diff_only_b(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).only("b")
 
 
-@query("SELECT 'diff' AS level, 'missing_in_b,missing_in_a,unmatched_duplicates,cells' AS cause")
+#: Causes of differing rows, from counts of groups; pairs of rows left over differ in a cell.
+_VERDICT = """, s AS (SELECT coalesce(sum(na), 0) AS ra, coalesce(sum(nb), 0) AS rb, coalesce(sum(least(na, nb)), 0) AS m, coalesce(sum(CASE WHEN nb = 0 THEN na ELSE 0 END), 0) AS oa, coalesce(sum(CASE WHEN na = 0 THEN nb ELSE 0 END), 0) AS ob,
+  coalesce(sum(CASE WHEN na > 0 AND nb > 0 THEN abs(na - nb) ELSE 0 END), 0) AS u, coalesce(sum(least(na - exact, nb - exact)), 0) AS c, coalesce(sum(CASE WHEN na > 0 AND nb > 0 AND na + nb > 2 THEN 1 ELSE 0 END), 0) AS dup FROM g)
+ SELECT '{case}' AS "case", CASE WHEN oa + ob + u + c > 0 OR {structure} THEN 'diff' WHEN {columns} = 0 OR dup > 0 OR m = 0 THEN 'warn' ELSE 'ok' END AS level,
+ CASE WHEN oa + ob + u + c > 0 THEN concat_ws(',', CASE WHEN oa > 0 THEN 'missing_in_b' END, CASE WHEN ob > 0 THEN 'missing_in_a' END, CASE WHEN u > 0 THEN 'unmatched_duplicates' END, CASE WHEN c > 0 THEN 'cells' END)
+  WHEN {structure} THEN 'structure' WHEN {columns} = 0 THEN 'key_only' WHEN dup > 0 THEN 'duplicate_keys' WHEN m = 0 THEN 'empty' ELSE 'equal' END AS cause FROM s"""
+
+
+def _verdict(case: str, a: str, b: str, keys: list[str], values: list[str], structure: bool = False) -> str:
+    return _contents(_file, a, b, keys, values) + _VERDICT.format(case=case, columns=len(values), structure=str(structure).lower())
+
+
+@query(_verdict("lines", LINES_A, LINES_B, ["k1", "k2"], ["qty", "rf", "price"]))
 def file_diff_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return verdicts.file_verdict(lines(spark, sf).stats())
+    return verdicts.file_verdict(lines(spark, sf).stats()).select(F.lit("lines").alias("case"), "level", "cause")
+
+
+#: A pair for each verdict: (a, b, keys, compared, whether columns differ).
+_CASES = {
+    "equal": (ORDERS_A, ORDERS_A, ["k"], ["price", "status", "priority"], False),
+    "duplicate_keys": (LINES_A, f"SELECT * FROM ({LINES_A}) AS x", ["k1", "k2"], ["qty", "rf", "price"], False),
+    "key_only": (f"SELECT k FROM ({ORDERS_A}) AS x", f"SELECT k FROM ({ORDERS_A}) AS x", ["k"], [], False),
+    "empty": (f"SELECT * FROM ({ORDERS_A}) AS x WHERE k < 0", f"SELECT * FROM ({ORDERS_A}) AS x WHERE k < 0", ["k"], ["price", "status", "priority"], False),
+    "structure": (ORDERS_A, f"SELECT k, price, status, priority AS prio FROM ({ORDERS_A}) AS x", ["k"], ["price", "status"], True),
+    "lost": (ORDERS_A, f"SELECT * FROM ({ORDERS_A}) AS x WHERE k % 97 <> 0", ["k"], ["price", "status", "priority"], False),
+    "surplus": (f"SELECT * FROM ({LINES_A}) AS x UNION ALL SELECT * FROM ({LINES_A}) AS y WHERE k2 = 1", LINES_A, ["k1", "k2"], ["qty", "rf", "price"], False),
+    "cells": (ORDERS_A, f"SELECT k, price, status || CASE WHEN k % 50 = 0 THEN 'x' ELSE '' END AS status, priority FROM ({ORDERS_A}) AS x", ["k"], ["price", "status", "priority"], False),
+}
+
+
+def _case(spark: SparkSession, sf: str, name: str, dialect: X.Dialect) -> KeyedDiff:
+    a, b, keys, _, _ = _CASES[name]
+    return KeyedDiff(*[sql(spark, sf, q, "orders", "lineitem") for q in (a, b)], keys, dialect)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_verdict(name, a, b, keys, values, structure)})" for name, (a, b, keys, values, structure) in _CASES.items()))
+def file_verdict_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict of a file diff for a pair of each kind."""
+    return _union([verdicts.file_verdict(_case(spark, sf, name, X.FileDialect()).stats()).select(F.lit(name).alias("case"), "level", "cause") for name in _CASES])
+
+
+_RESULT_VERDICT = """, s AS (SELECT coalesce(sum(least(na, nb)), 0) AS m, coalesce(sum(na - least(na, nb)), 0) AS oa, coalesce(sum(nb - least(na, nb)), 0) AS ob, coalesce(sum(least(na - exact, nb - exact)), 0) AS c,
+  coalesce(sum(CASE WHEN na > 1 OR nb > 1 THEN 1 ELSE 0 END), 0) AS dup FROM g), v AS (
+ SELECT CASE WHEN {structure} THEN 'diff' WHEN {columns} = 0 THEN 'warn' WHEN oa + ob + c > 0 THEN 'diff' WHEN m = 0 OR dup > 0 THEN 'warn' ELSE 'ok' END AS level,
+ CASE WHEN {structure} THEN 'structure' WHEN {columns} = 0 THEN 'key_only' WHEN oa + ob + c > 0 THEN concat_ws(',', CASE WHEN oa > 0 AND ob = 0 THEN 'lost_in_b' END, CASE WHEN ob > 0 AND oa = 0 THEN 'more_in_b' END, CASE WHEN oa > 0 AND ob > 0 THEN 'own_keys' END, CASE WHEN c > 0 THEN 'values' END)
+  WHEN m = 0 THEN 'empty' WHEN dup > 0 THEN 'duplicate_keys' ELSE 'equal' END AS cause FROM s)
+ SELECT '{case}' AS "case", q AS qualifier, CASE WHEN q <> 'none' AND level = 'ok' THEN 'warn' ELSE level END AS level, CASE q WHEN 'none' THEN '' ELSE q || ',' END || cause AS cause FROM v, (VALUES ('none'), ('sample_only'), ('scan_incomplete')) AS w(q)"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_contents(_result, a, b, keys, values) + _RESULT_VERDICT.format(case=name, columns=len(values), structure=str(structure).lower())})" for name, (a, b, keys, values, structure) in _CASES.items()))
+def sql_verdict_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict of a result diff for a pair of each kind, as it is and lowered by qualifiers."""
+    parts = []
+    for name in _CASES:
+        own = keep(verdicts.sql_verdict(_case(spark, sf, name, X.SqlDialect()).stats()), "verdict")
+        for q, v in (("none", own), ("sample_only", verdicts.sampled(own)), ("scan_incomplete", verdicts.incomplete(own, 1))):
+            parts.append(v.select(F.lit(name).alias("case"), F.lit(q).alias("qualifier"), "level", "cause"))
+    return _union(parts)
 
 
 def _order_cells(norm: Callable[[str], str]) -> str:
@@ -374,11 +437,37 @@ def slice_audit(spark: SparkSession, sf: str) -> DataFrame:
     return slicing.audit(e, "ts", slicing.plan(e, "ts", 200))
 
 
-@query()
+_REFINED = """WITH RECURSIVE m AS (SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS s, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1),
+ h AS (SELECT CAST(date_trunc('hour', s) AS TIMESTAMP) AS s, sum(n) AS n FROM m GROUP BY 1), d AS (SELECT CAST(date_trunc('day', s) AS TIMESTAMP) AS s, sum(n) AS n FROM m GROUP BY 1),
+ g AS (SELECT 1 AS lv, TIMESTAMP '1970-01-01' AS parent, s, n FROM d UNION ALL SELECT 2, d.s, h.s, h.n FROM h JOIN d ON d.s = CAST(date_trunc('day', h.s) AS TIMESTAMP) AND d.n > 200
+  UNION ALL SELECT 3, h.s, m.s, m.n FROM m JOIN h ON h.s = CAST(date_trunc('hour', m.s) AS TIMESTAMP) AND h.n > 200),
+ o AS (SELECT *, row_number() OVER (PARTITION BY lv, parent ORDER BY s) AS i FROM g),
+ p AS (SELECT lv, parent, i, s, n, CAST(n AS BIGINT) AS total, CAST(0 AS BIGINT) AS k FROM o WHERE i = 1
+  UNION ALL SELECT o.lv, o.parent, o.i, o.s, o.n, CAST(CASE WHEN p.total + o.n <= 200 THEN p.total + o.n ELSE o.n END AS BIGINT), CASE WHEN p.total + o.n <= 200 THEN p.k ELSE p.k + 1 END FROM p JOIN o ON o.lv = p.lv AND o.parent = p.parent AND o.i = p.i + 1),
+ q AS (SELECT lv, min(s) AS a, max(s) AS z, CAST(sum(n) AS BIGINT) AS n, sum(n) > 200 AS over FROM p GROUP BY lv, parent, k),
+ t AS (SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INTEGER) AS slice, CASE lv WHEN 1 THEN 'day' WHEN 2 THEN 'hour' ELSE 'minute' END AS grain, a AS start,
+  z + CASE lv WHEN 1 THEN INTERVAL 1 DAY WHEN 2 THEN INTERVAL 1 HOUR ELSE INTERVAL 1 MINUTE END - INTERVAL 1 MICROSECOND AS "end", n, over FROM q WHERE lv = 3 OR NOT over)"""
+
+
+@query(f"{_REFINED} SELECT * FROM t")
 def time_slices_refined_batch200(spark: SparkSession, sf: str) -> DataFrame:
     return slicing.plan(table(spark, sf, "events"), "ts", 200)
 
 
+@query(f'{_REFINED} SELECT event_id, slice FROM events JOIN t ON ts BETWEEN start AND "end"')
+def slice_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of a range, slice by slice, in one scan."""
+    e = table(spark, sf, "events")
+    return slicing.fetch(e, "ts", slicing.plan(e, "ts", 200)).select("event_id", "slice")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE ts >= '2024-01-03') AS BIGINT) AS planned, CAST(count(*) FILTER (WHERE ts >= '2024-01-03') AS BIGINT) AS fetched, CAST(0 AS BIGINT) AS still_over, CAST(0 AS BIGINT) AS mismatched, 'plan_not_total,fetched_not_total' AS issues, false AS complete FROM events")
+def slice_audit_incomplete(spark: SparkSession, sf: str) -> DataFrame:
+    """The account of slices that leave out the first days."""
+    e = table(spark, sf, "events")
+    return slicing.audit(e, "ts", slicing.plan(e.where("ts >= '2024-01-03'"), "ts", 1_000_000_000))
+
+
 # -- keys --------------------------------------------------------------------------------------------
 
 
@@ -407,7 +496,7 @@ def _round(cells: DataFrame, keep: str) -> DataFrame:
     return c.select(F.col("key").alias("pk"), F.col("column").alias("col"), F.col("value_a").alias("a"), F.col("value_b").alias("b"), F.lit("diff").alias("kind"))
 
 
-_ROUNDS = ("0, 1", "0, 2", "1, 2")
+_ROUNDS = ("0, 1", "0, 2, 3", "1, 2, 3")
 
 
 def _ledger(spark: SparkSession, sf: str, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +513,7 @@ _LEDGER = f"""WITH d AS (SELECT key, "column" AS col, value_a, value_b, CAST(key
  l AS (SELECT key AS pk, col, value_a AS a, value_b AS b, 'diff' AS kind, CASE WHEN q IN (0, 1) THEN 'r1' ELSE 'r2' END AS first_seen,
   CASE q WHEN 0 THEN 'r2' ELSE 'r3' END AS last_seen,
   CASE q WHEN 0 THEN CASE WHEN scoped THEN '已修复' ELSE '未修复' END WHEN 1 THEN CASE WHEN scoped THEN '又出现' ELSE '未修复' END ELSE '未修复' END AS state, '' AS tag, scoped, q
-  FROM d WHERE q < 3)"""
+  FROM d)"""
 
 
 @query(f"{_LEDGER} SELECT pk, col, a, b, kind, first_seen, last_seen, state, tag FROM l")
@@ -536,6 +625,27 @@ def time_filter_pushed_down(spark: SparkSession, sf: str) -> DataFrame:
     return rewrite.filter_where_seen(spark, q, "ts", "2024-01-05", "2024-01-07")[0]
 
 
+@query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id < 50 AND ts >= '2024-01-05' AND ts < '2024-01-25' GROUP BY event_type
+ UNION ALL SELECT 'whole table', CAST(count(*) AS BIGINT) FROM events""")
+def time_filter_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """A WITH part that has the name of a table and a range of one day, which is widened to twenty;
+    the table is as before."""
+    views(spark, sf, "events")
+    q = "WITH events AS (SELECT event_type, ts FROM events WHERE ts >= '2024-01-10' AND ts < '2024-01-11' AND user_id < 50) SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+    found, mode = rewrite.filter_where_seen(spark, q, "ts", "2024-01-05", "2024-01-24")
+    if mode != "replaced":
+        raise ValueError(f"the range was {mode}")
+    return found.union(spark.sql("SELECT 'whole table', count(*) FROM events"))
+
+
+@query("SELECT 'detail' AS kind, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey < 100 UNION ALL SELECT 'whole table', CAST(count(*) AS BIGINT) FROM orders")
+def detail_of_shadowed_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Detail rows of a WITH part that has a table's name; the table is as before."""
+    views(spark, sf, "orders")
+    rows = rewrite.detail(spark, "WITH orders AS (SELECT * FROM orders WHERE o_orderkey < 100) SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+    return rows.agg(F.lit("detail").alias("kind"), F.count("*").alias("n")).union(spark.sql("SELECT 'whole table', count(*) FROM orders"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 5)")
 def wrapped_count(spark: SparkSession, sf: str) -> DataFrame:
     views(spark, sf, "orders")
@@ -593,12 +703,26 @@ def insert_literals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT '(''' || n_name || ''', ' || n_nationkey || ')' AS x, n_name, (row_number() OVER (ORDER BY n_name) - 1) // 10 AS batch FROM nation)
- SELECT CAST(batch AS BIGINT) AS batch, 'INSERT INTO t (`id`, `n`) VALUES' || chr(10) || string_agg(x, ',' || chr(10) ORDER BY n_name) || ';' AS sql FROM r GROUP BY batch""")
+ SELECT CAST(batch AS BIGINT) AS batch, 'INSERT INTO `t` (`id`, `n`) VALUES' || chr(10) || string_agg(x, ',' || chr(10) ORDER BY n_name) || ';' AS sql FROM r GROUP BY batch""")
 def insert_script(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.col("n_name").alias("ID"), F.col("n_nationkey").cast("string").alias("n"))
     return literals.inserts(n, "t", literals.parse_ddl(_DDL)[1], ["ID"], 10)
 
 
+_ODD_DDL = """CREATE TABLE IF NOT EXISTS `dw`.`or``der` ( -- a comment, with (signs)
+ `na me` varchar(20) NOT NULL COMMENT 'x) y, not null', "k b" int, amount decimal(10,2) DEFAULT '0', key int, DUPLICATE KEY(`na me`), INDEX i (amount)) ENGINE=OLAP"""
+
+
+@query(r"""WITH r AS (SELECT '(''' || n_name || ''', ' || n_nationkey || ', ' || CAST(CAST(n_regionkey AS DECIMAL(10,2)) AS VARCHAR) || ')' AS x, n_name, (row_number() OVER (ORDER BY n_name) - 1) // 10 AS batch FROM nation)
+ SELECT CAST(batch AS BIGINT) AS batch, 'INSERT INTO `dw`.`or``der` (`na me`, `k b`, `amount`) VALUES' || chr(10) || string_agg(x, ',' || chr(10) ORDER BY n_name) || ';' AS sql FROM r GROUP BY batch""")
+def insert_script_odd_names(spark: SparkSession, sf: str) -> DataFrame:
+    name, columns = literals.parse_ddl(_ODD_DDL)
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("NA ME"), F.col("n_nationkey").cast("string").alias("K B"), F.col("n_regionkey").cast("string").alias("amount"), F.lit("").alias("other"))
+    if literals.unmatched(n.columns, columns) != {"headers": ["other"], "columns": ["key"]}:
+        raise ValueError("headers and columns are matched otherwise")
+    return literals.inserts(n, name, columns, ["NA ME"], 10)
+
+
 _EXPORT = [
     ("id", "42"), ("qty", "42"), ("qty", "007"), ("qty", "1,234.50"), ("price", "1234.5"), ("qty", "12.5%"), ("qty", "2024-01-05"), ("qty", "2024/1/5 10:20"), ("qty", "1234567890123456"),
     ("qty", "$12"), ("qty", "1.5e3"), ("note", "=1+1"), ("note", " +cmd"), ("note", ""), ("note", "plain"), ("qty", "2024年1月5日"), ("订单编号", "-5"), ("qty", "1.234567890123456789"), ("qty", "1e5"),
@@ -696,6 +820,10 @@ _REL = {
     "rel_grouping_sets": ("lineitem", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INTEGER) AS g, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
     "rel_window_topk": ("orders", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn FROM orders) WHERE rn <= 3"),
     "rel_set_ops": ("customer supplier", "SELECT 'intersect' AS kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier) UNION ALL SELECT 'except', CAST(count(*) AS BIGINT) FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 10)"),
+    "rel_rollup_average": ("lineitem", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_linestatus) AS INTEGER) AS g, round(avg(l_quantity), 4) AS avg_qty, CAST(min(l_linenumber) AS INTEGER) AS least, CAST(max(l_linenumber) AS INTEGER) AS most, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
+    "rel_join_lateral": ("customer orders", "SELECT c_custkey, CAST(x.top AS DECIMAL(18,2)) AS top FROM customer, LATERAL (SELECT max(o_totalprice) AS top FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') x"),
+    "rel_join_interval": ("orders", "SELECT a.o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate BETWEEN a.o_orderdate - INTERVAL 90 DAY AND a.o_orderdate GROUP BY a.o_orderkey"),
+    "rel_join_asof": ("events", "SELECT event_id, last_one FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_one FROM events) WHERE last_one IS NOT NULL"),
     "rel_distinct": ("part", "SELECT DISTINCT p_brand, p_size FROM part"),
     "rel_top_orders": ("orders", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"),
 }
