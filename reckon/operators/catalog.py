@@ -33,7 +33,8 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         .when(F.col("a.type") != F.col("b.type"), LENGTH_DIFF).when(F.col("a.nullable") != F.col("b.nullable"), NULLABLE_DIFF).otherwise("")
     )
     status = F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").when(kind != "", "differs").otherwise("same")
-    return both.select(F.coalesce("a.name", "b.name").alias("name"), status.alias("status"), kind.alias("kind"), F.col("a.type").alias("type_a"), F.col("b.type").alias("type_b"), F.col("a.nullable").alias("nullable_a"), F.col("b.nullable").alias("nullable_b"))
+    out = both.select(F.coalesce("a.name", "b.name").alias("name"), status.alias("status"), kind.alias("kind"), F.col("a.type").alias("type_a"), F.col("b.type").alias("type_b"), F.col("a.nullable").alias("nullable_a"), F.col("b.nullable").alias("nullable_b"))
+    return out.orderBy(F.lower("name"))
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -72,13 +73,17 @@ def catalog_diff(a: DataFrame, b: DataFrame, rule: Rule | None = None) -> DataFr
 
 
 def schema_text(columns: DataFrame, most_tables: int = 80) -> DataFrame:
-    """One row, text: `table t (c type PRIMARY KEY, ...)` a line for each of the first tables by name,
-    from columns (table, name, type, pos, is_key)."""
+    """One row: text, `table t (c type PRIMARY KEY, ...)` a line for each of the first tables by name,
+    from columns (table, name, type, pos, is_key), with a last line for those that are left out; and
+    tables, how many there are."""
     item = F.concat_ws(" ", "name", "type", F.when(F.col("is_key"), "PRIMARY KEY"))
     per = columns.groupBy("table").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("t")))), lambda x: x["t"]), ", ").alias("cols"))
+    total = columns.agg(F.countDistinct("table").alias("tables"))
     per = per.orderBy("table").limit(most_tables)
     line = F.concat(F.lit("table "), F.col("table"), F.lit(" ("), F.col("cols"), F.lit(")"))
-    return per.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    one = per.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).join(total, how="cross")  # one row by one row
+    left = F.col("tables") - most_tables
+    return one.select(F.when(left > 0, F.concat("text", F.lit("\n... and "), left.cast("string"), F.lit(" more tables"))).otherwise(F.col("text")).alias("text"), "tables")
 
 
 def ordered_sample(df: DataFrame, columns: list[str], keys: list[str], limit: int, where: str | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 Rows are normalised by a dialect and counted by key and content first (partial counts before the
 shuffle, so a key or a content with a third of all rows is a handful of rows in it). Contents that
 both sides have pair exactly, as often as the rarer side has them. Of what is left of a key, one row
-against one pairs by itself; small groups pair by least total number of differing columns (a
-Hungarian assignment, on executors); groups of more than `exact_limit` rows on a side pair in order
+against one pairs by itself; groups of up to two rows a side take the cheaper way (in the JVM), other
+small groups pair by least total number of differing columns (a Hungarian assignment, on executors);
+groups of more than `exact_limit` rows on a side pair in order
 of their contents, and are reported as approximate. Rows beyond the other side's count are unmatched.
 
 Since rows are taken by counts, results don't depend on the order of the input, and need no row
@@ -28,6 +29,8 @@ from reckon.ship import ship
 from reckon.store import keep
 
 EXACT_LIMIT = 200
+#: Keys with more rows left (at most rows / HOT of them) are met by broadcast.
+HOT = 1_000_000
 
 
 class DiffError(ValueError):
@@ -75,21 +78,33 @@ class KeyedDiff:
         mine = [F.lit(int(side == x)).cast("long").alias(f"n{x}") for x in "ab"]
         return df.select(norm(self.keys).alias("k"), norm(self.compare).alias("v"), *mine, *[(raw if side == x else none).alias(f"raw_{x}") for x in "ab"])
 
+    def _counted(self, content: list[Column], part: str = "") -> DataFrame:
+        """One aggregation over the rows of both sides, so the sides aren't joined: counts of each
+        content of each key, and the least raw row (or `part` of it) of each side."""
+        both = self._rows(self.a, "a").union(self._rows(self.b, "b"))
+        return both.groupBy("k", *content).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), *[F.min(f"raw_{x}{part}").alias(f"raw_{x}") for x in "ab"])
+
     @cached_property
     def contents(self) -> DataFrame:
-        """k, v, na, nb, raw_a, raw_b of each content of each key: one aggregation over the rows of
-        both sides, so the sides aren't joined. raw_x is the least raw row of side x."""
-        both = self._rows(self.a, "a").union(self._rows(self.b, "b"))
-        return both.groupBy("k", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.min("raw_a").alias("raw_a"), F.min("raw_b").alias("raw_b"))
+        """k, na, nb, key_a, key_b (raw keys) of each content of each key, and of those that the sides
+        have unequally often v, raw_a and raw_b (raw contents). Kept: pairings and counts read it, and
+        what is equal is kept without its content."""
+        unequal = F.col("na") != F.col("nb")
+        own = [F.when(unequal, F.col(c)).alias(n) for c, n in (("v", "v"), ("raw_a.v", "raw_a"), ("raw_b.v", "raw_b"))]
+        return keep(self._counted([F.col("v")]).select("k", "na", "nb", F.col("raw_a.k").alias("key_a"), F.col("raw_b.k").alias("key_b"), *own), "contents")
 
     @cached_property
     def groups(self) -> DataFrame:
-        """Counts of each key: rows, exact pairs, rows left over, and the key's raw text (A's first)."""
+        """Counts of each key: rows, exact pairs, rows left over, and the key's raw text (A's first).
+        Where contents aren't at hand, contents are told apart by 128 bits of hashes, so only keys,
+        counts and hashes are shuffled."""
+        hashes = [F.xxhash64(F.lit(i), "v").alias(f"h{i}") for i in (1, 2)]
+        counted = self.contents if "contents" in self.__dict__ else self._counted(hashes, ".k").withColumnsRenamed({"raw_a": "key_a", "raw_b": "key_b"})
         exact = F.least("na", "nb")
-        return self.contents.groupBy("k").agg(
+        return counted.groupBy("k").agg(
             F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(exact).alias("exact"),
             F.sum(F.col("na") - exact).alias("left_a"), F.sum(F.col("nb") - exact).alias("left_b"),
-            F.coalesce(F.min("raw_a.k"), F.min("raw_b.k")).alias("raw_key"),
+            F.coalesce(F.min("key_a"), F.min("key_b")).alias("raw_key"),
         )
 
     @property
@@ -102,11 +117,11 @@ class KeyedDiff:
 
     @property
     def _few(self) -> str:
-        return f"least(left_a, left_b) > 0 and greatest(left_a, left_b) between 2 and {self.exact_limit}"
+        return f"least(left_a, left_b) > 0 and greatest(left_a, left_b) between 3 and {self.exact_limit}"
 
     @property
     def _many(self) -> str:
-        return f"least(left_a, left_b) > 0 and greatest(left_a, left_b) > {self.exact_limit}"
+        return f"least(left_a, left_b) > 0 and greatest(left_a, left_b) > greatest(2, {self.exact_limit})"
 
     def key_column(self) -> Column:
         """The key's text from raw_key and k."""
@@ -118,18 +133,39 @@ class KeyedDiff:
         """k, side, v, raw (content), n: contents beyond the other side's count, of shared keys, with
         the key's counts of both sides."""
         own = F.array(
-            F.struct(F.lit("a").alias("side"), (F.col("na") - F.col("nb")).alias("n"), F.col("raw_a.v").alias("raw")),
-            F.struct(F.lit("b").alias("side"), (F.col("nb") - F.col("na")).alias("n"), F.col("raw_b.v").alias("raw")),
+            F.struct(F.lit("a").alias("side"), (F.col("na") - F.col("nb")).alias("n"), F.col("raw_a").alias("raw")),
+            F.struct(F.lit("b").alias("side"), (F.col("nb") - F.col("na")).alias("n"), F.col("raw_b").alias("raw")),
         )
         more = self.contents.where("na <> nb").select("k", "v", F.explode(own).alias("x")).where("x.n > 0").select("k", "x.side", "v", "x.raw", "x.n")
-        g = self.groups.where(self._shared).select("k", "left_a", "left_b", "raw_key")
-        return keep(more.join(g, "k"), "left")  # only what differs; all pairings read it
+        g = self.groups.where(self._shared & ((F.col("left_a") > 0) | (F.col("left_b") > 0))).select("k", "left_a", "left_b", "raw_key")
+        # keys with very many rows left are few, and are met by broadcast; the others by shuffle
+        many = F.greatest("left_a", "left_b") > HOT
+        few = F.broadcast(g.where(many))
+        met = more.join(few, "k").union(more.join(F.broadcast(g.where(many).select("k")), "k", "left_anti").join(g.where(~many), "k"))
+        return keep(met, "left")  # only what differs; all pairings read it
 
     def _one_to_one(self) -> DataFrame:
         one = self.left.where("left_a = 1 and left_b = 1")
         a, b = (one.where(F.col("side") == s).select("k", "raw_key", F.col("v").alias(f"v_{s}"), F.col("raw").alias(f"raw_{s}")) for s in "ab")
         return a.join(b.drop("raw_key"), "k").withColumn("n", F.lit(1).cast("long"))
 
+    def _two(self) -> DataFrame:
+        """Pairs of keys with two rows left on a side (and one or two on the other): the cheaper of
+        the two ways to pair them."""
+        of = lambda side: F.flatten(F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("v", "raw", "n")))), lambda x: F.array_repeat(F.struct(x["v"].alias("v"), x["raw"].alias("raw")), x["n"].cast("int"))))
+        some = self.left.where("least(left_a, left_b) > 0 and greatest(left_a, left_b) = 2").groupBy("k", "raw_key").agg(of("a").alias("a"), of("b").alias("b"))
+        a, b = ([F.get(side, i) for i in (0, 1)] for side in "ab")
+        cost = lambda x, y: F.aggregate(F.zip_with(x["v"], y["v"], lambda p, q: (p != q).cast("int")), F.lit(0), lambda acc, d: acc + d)
+        pair = lambda x, y: F.struct(x["v"].alias("v_a"), x["raw"].alias("raw_a"), y["v"].alias("v_b"), y["raw"].alias("raw_b"))
+        either = lambda p, q, x, y: F.when(p <= q, x).otherwise(y)
+        both = either(cost(a[0], b[0]) + cost(a[1], b[1]), cost(a[0], b[1]) + cost(a[1], b[0]), F.array(pair(a[0], b[0]), pair(a[1], b[1])), F.array(pair(a[0], b[1]), pair(a[1], b[0])))
+        found = (
+            F.when(F.size("a") == 1, F.array(either(cost(a[0], b[0]), cost(a[0], b[1]), pair(a[0], b[0]), pair(a[0], b[1]))))
+            .when(F.size("b") == 1, F.array(either(cost(a[0], b[0]), cost(a[1], b[0]), pair(a[0], b[0]), pair(a[1], b[0])))).otherwise(both)
+        )
+        return some.select("k", "raw_key", F.explode(found).alias("p")).select("k", "raw_key", "p.*").withColumn("n", F.lit(1).cast("long"))
+
     def _assigned(self) -> DataFrame:
         some = self.left.where(self._few)
         cols = "k array<string>, raw_key array<string>, v_a array<string>, raw_a array<string>, v_b array<string>, raw_b array<string>, n long"
@@ -169,7 +205,7 @@ class KeyedDiff:
     def pairs(self) -> DataFrame:
         """k, raw_key, contents and raw contents of both sides, n: pairs of rows that differ."""
         cols = ("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
-        own = self._one_to_one().select(*cols)
+        own = self._one_to_one().select(*cols).union(self._two().select(*cols))
         for which, pairing in ((self._few, self._assigned), (self._many, self._in_order)):
             if not self.left.where(which).isEmpty():
                 own = own.union(pairing().select(*cols))

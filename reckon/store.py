@@ -12,9 +12,12 @@ _kept: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or below a temporary folder where that is unset."""
+    """A fresh path below spark.checkpoint.dir; where that is unset and all runs in one process, below
+    a temporary folder. On a cluster such a folder would be each machine's own, so it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="reckon-"))
     return f"{base.rstrip('/')}/reckon/{purpose}-{uuid.uuid4().hex}"
 
