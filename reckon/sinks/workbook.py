@@ -95,9 +95,19 @@ def _parts(rows: Iterable, most: int) -> Iterable[Iterable]:
         yield chain([first], islice(rows, most - 1))
 
 
+#: Fixed value: the title of the sheet that tells which sheets don't have all their rows.
+CUT = "截断说明"
+
+
+def _cut_rows(told: dict[str, tuple[int, int]]) -> list[list[dict]]:
+    cell = lambda kind, text: {"kind": kind, "text": text, "format": None}
+    return [[cell("text", title), cell("number", str(n)), cell("number", str(total)), cell("text", f"{n}/{total}")] for title, (n, total) in told.items() if n < total]
+
+
 def write_workbook(path: str, sheets: dict[str, DataFrame], most: int = SHEET_ROWS, split: bool = False) -> dict[str, tuple[int, int]]:
     """Writes each table to a sheet, in the order given; returns (written, total) rows of each. With
-    split, rows beyond most go to further sheets ("title (2)", ...), so all are written."""
+    split, rows beyond most go to further sheets ("title (2)", ...), so all are written; else they are
+    left out, and a last sheet in the file tells of which sheets, and how many of how many there are."""
     styles, told = _Styles(), {}
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         titles = []
@@ -112,6 +122,11 @@ def write_workbook(path: str, sheets: dict[str, DataFrame], most: int = SHEET_RO
                 with z.open(f"xl/worksheets/sheet{len(titles)}.xml", "w") as out:
                     for part in _sheet(df.columns, rows, styles):
                         out.write(part.encode())
+        if cut := _cut_rows(told):
+            titles.append(CUT)
+            with z.open(f"xl/worksheets/sheet{len(titles)}.xml", "w") as out:
+                for part in _sheet(["sheet", "written", "total", "rows"], cut, styles):
+                    out.write(part.encode())
         z.writestr("xl/styles.xml", styles.xml())
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_TYPES}/spreadsheetml/2006/main" xmlns:r="{_TYPES}/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(titles, 1)) + "</sheets></workbook>")
         rel = f"{_TYPES}/officeDocument/2006/relationships"

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reckon.plans import guard
 
@@ -84,6 +85,12 @@ def query(spark: SparkSession, connection: Connection, sql: str, cluster: str =
     return reader.option("query", sql.strip().rstrip(";")).load()
 
 
+def databases(spark: SparkSession, connection: Connection, cluster: str = "", system: tuple[str, ...] = ("information_schema", "mysql", "performance_schema", "sys", "_statistics_")) -> DataFrame:
+    """name of each database but those of the system, by name."""
+    named = query(spark, connection, "SELECT schema_name AS name FROM information_schema.schemata", cluster)
+    return named.where(~F.lower("name").isin(*system)).orderBy("name")
+
+
 def information(spark: SparkSession, connection: Connection, db: str, what: str = "tables", cluster: str = "") -> DataFrame:
     """Tables (name, rows, type) or columns (table, name, type, nullable, pos, is_key) of a database, from
     its information_schema."""

@@ -1,7 +1,8 @@
 """Workbooks (OOXML) read with the standard library: sheets, header rows, formulas without values.
 
-A workbook is one archive and so one task's work; many are read side by side. A sheet's declared
-dimension isn't looked at, so a wrong one does no harm.
+A workbook is one archive, read as a whole by the driver, whose memory bounds its size (a format for
+people's tables, of a million rows a sheet at most). A sheet's declared dimension isn't looked at, so
+a wrong one does no harm.
 """
 
 from __future__ import annotations
@@ -70,7 +71,11 @@ def _date(serial: float) -> str:
 
 
 def _text_of(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    """The text below a node, in runs or not, without phonetic readings."""
+    if node.tag == f"{_MAIN}rPh":
+        return ""
+    own = node.text or "" if node.tag == f"{_MAIN}t" else ""
+    return own + "".join(map(_text_of, node))
 
 
 def sheets(data: bytes) -> list[Sheet]:
