@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reckon.llm.common import through_store
+
 UNKNOWN = "unknown"
 CONFIDENT = 0.6
 COVERED = 0.6
@@ -195,7 +197,7 @@ def train(texts: dict[str, list[str]]) -> Classifier:
     w, b = _fit(rows, target, len(column), len(families), ROUNDS)
     b = b.astype(float) / temperature
     b[-1] += bias
-    weights = {g: tuple((w[i].astype(float) / temperature).round(3).tolist()) for g, i in column.items() if np.abs(w[i]).max() > 1e-5}
+    weights = {g: tuple((w[i].astype(float) / temperature).round(2).tolist()) for g, i in column.items() if np.abs(w[i]).max() > 1e-5}
     seen: dict[str, set[str]] = {}
     for family, own in texts.items():
         for p in own:
@@ -352,8 +354,8 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     rows = paragraphs(docs).where(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + F.get(lead, x)) >= need)
 
     def logit(c: int) -> Column:
-        own = _numbers([0, *t.weights[c::k]], "double")
-        return F.aggregate("e", F.lit(m.intercepts[c]), lambda acc, x: acc + F.get(own, x))
+        own = _numbers([0, *(round(100 * w) for w in t.weights[c::k])], "int")  # hundredths
+        return F.aggregate("e", F.lit(0), lambda acc, x: acc + F.get(own, x)) / 100 + F.lit(m.intercepts[c])
 
     z = F.array(*map(logit, range(k)))
     rows = rows.withColumn("z", z).withColumn("top", F.array_max("z"))
@@ -379,7 +381,8 @@ def scan(docs: DataFrame) -> DataFrame:
     n_unconfirmed (blocks by family), and score (highest probability of a confirmed paragraph, else
     0) of each row of docs (doc_id, text). A block that confirms a family isn't counted as
     unconfirmed for it."""
-    found = scan_paragraphs(docs).where(F.col("family") != UNKNOWN)
+    # kept: a job of one stage for the plan that holds the arrays, small plans for the rest
+    found = through_store(scan_paragraphs(docs).where(F.col("family") != UNKNOWN), "licence-paragraphs")
     blocks = found.groupBy("doc_id", "text_hash", "block", "family").agg(
         F.max("confirmed").alias("confirmed"), F.max(F.when(F.col("confirmed"), F.round("probability", 6))).alias("score")
     )
