@@ -40,7 +40,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from reckon.llm.common import fresh, map_arrow, meet, quoted, through_store
 from reckon.llm.graph import components
@@ -312,18 +311,16 @@ def one_of_each(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Rows are numbered and written once, so all else is done on narrow rows; the texts are read once
     more, for the last semi-join."""
-    number, fp = fresh(docs, "number", "fp")
+    (number,) = fresh(docs, "number")
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
-    every = F.xxhash64(*map(quoted, plain))
+    rows = through_store(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
 
-    def run(b: pa.RecordBatch) -> pa.Table:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-        return pa.Table.from_batches([b]).append_column(fp, pa.array(found.view(np.int64)))
+        return pa.RecordBatch.from_pydict({x: b.column(x) for x in ("number", "hash", "doc_id")} | {"fp": found.view(np.int64)})
 
-    rows = docs.withColumn(number, F.monotonically_increasing_id())
-    rows = through_store(map_arrow(rows, run, StructType([*rows.schema.fields, StructField(fp, LongType())])), "simhash-rows")
-    prints = rows.select(F.col(number).alias("number"), F.col(fp).alias("fp"), every.alias("hash"), F.col("doc_id").cast("long").alias("doc_id"))
-    prints = through_store(prints, "simhash-prints")
+    slim = rows.select(F.col(number).alias("number"), F.xxhash64(*map(quoted, plain)).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = through_store(map_arrow(slim, run, "number long, hash long, doc_id long, fp long"), "simhash-prints")
     by_fp = through_store(classes(prints, reach), "simhash-classes")
     # only rows that have the component's doc_id are grouped, so a large component isn't gathered
     own = meet(prints, by_fp, "fp", f"n > {HOT}").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
