@@ -74,18 +74,19 @@ def ctes(node) -> list[tuple[str, object]]:
 def expression_plans(node) -> Iterator[object]:
     """Plans of subqueries in a node's expressions."""
 
-    def within(e) -> Iterator[object]:
-        if name(e) in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery"):
-            if name(e) == "InSubquery":
-                yield from within(e.query())
-                return
-            yield e.plan()
-            return
-        for c in children(e):
-            yield from within(c)
-
     for e in seq(node.expressions()):
-        yield from within(e)
+        yield from expression_plans_of(e)
+
+
+def expression_plans_of(e) -> Iterator[object]:
+    """Plans of subqueries in an expression."""
+    if name(e) == "InSubquery":
+        yield from expression_plans_of(e.query())
+    elif name(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        yield e.plan()
+    else:
+        for c in children(e):
+            yield from expression_plans_of(c)
 
 
 def walk(node) -> Iterator[object]:
@@ -125,6 +126,21 @@ def filtered(spark: SparkSession, plan, condition: str):
     return getattr(spark._jvm.org.apache.spark.sql.catalyst.plans.logical, "Filter")(e, plan)
 
 
+def expression(spark: SparkSession, text: str):
+    """The JVM expression of a text."""
+    return spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+
+
+def having_by(spark: SparkSession, plan, condition):
+    """plan below a HAVING of a JVM expression."""
+    return getattr(spark._jvm.org.apache.spark.sql.catalyst.analysis, "UnresolvedHaving")(condition, plan)
+
+
+def joined_on(spark: SparkSession, node, condition):
+    """A Join node like `node`, with this JVM expression as its ON."""
+    return node.copy(node.left(), node.right(), node.joinType(), spark._jvm.scala.Option.apply(condition), node.hint())
+
+
 def filter_by(spark: SparkSession, plan, expression):
     """plan below a Filter of a JVM expression."""
     return getattr(spark._jvm.org.apache.spark.sql.catalyst.plans.logical, "Filter")(expression, plan)

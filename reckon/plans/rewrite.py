@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.plans import catalyst as C
+from reckon.plans.scopes import Names, Scopes, Seen, one, relation
 
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
@@ -32,93 +33,76 @@ def range_condition(column: str, low: str, high: str, day_text: bool = False) ->
     return f"{column} BETWEEN TIMESTAMP_NTZ '{a}' AND TIMESTAMP_NTZ '{z}'"
 
 
-def _has(spark: SparkSession, plan, column: str) -> bool:
-    try:
-        return bool(C.frame(spark, plan).select(F.col(column)).columns)
-    except Exception:  # the analyzer can't resolve the column here
-        return False
-
-
-_COMPARED = ("GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "EqualTo", "Between", "UnresolvedBetweenExpression", "In")
-_DATED = ("date", "to_date", "timestamp", "to_timestamp", "date_trunc", "trunc", "between")
-
-
-def _is_range(e, column: str) -> bool:
-    """Whether a condition bounds the time column by itself: a comparison of the column (or of its
-    date) with constants."""
-    wanted = column.lower().split(".")
-
-    def same(parts: list[str]) -> bool:
-        low = [p.lower() for p in parts]
-        k = min(len(low), len(wanted))
-        return low[-k:] == wanted[-k:]
-
-    def plain(x) -> bool:
-        if name := C.attributes(x):
-            calls = C.name(x) != "UnresolvedFunction" or x.nameParts().last().lower() in _DATED
-            return all(map(same, name)) and calls and all(map(plain, C.children(x)))
-        return True
-
-    compared = C.name(e) in _COMPARED or C.name(e) == "UnresolvedFunction" and e.nameParts().last().lower() == "between"
-    return compared and bool(C.attributes(e)) and plain(e)
-
-
 def filter_where_seen(spark: SparkSession, sql: str, column: str, low: str, high: str) -> tuple[DataFrame, str]:
     """The query with the range put on the FROM of every innermost block that sees the column, also in
-    its WITH parts, or else on its result. Ranges over the column that such a block's WHERE has (as
-    conditions joined by AND) give way to the new one. The mode tells what was done: replaced,
-    pushed_down or injected."""
-    condition = range_condition(column, low, high)
-    bare = column.split(".")[-1]
-    done, replaced = set(), 0  # names of WITH parts that are filtered
-    hits = 0
-
-    def sees(plan, name: str, scope: list) -> bool:
-        for node, parts in reversed(scope):
-            plan = C.with_parts(spark, node, parts, plan)
-        return _has(spark, plan, name)
+    its WITH parts, or else on its result. Ranges over the column that the query has itself give way,
+    in whichever block they stand and by whatever name it has there: conditions joined by AND in WHERE,
+    HAVING or ON that compare it, its date or a text of its date with constants get the new bounds.
+
+    The mode tells what was done: replaced, pushed_down or injected; with +range_left if a range over
+    the column is still there (under OR or NOT). Where several tables of a block have the column, it must
+    be named with its table (scopes.Ambiguous)."""
+    plan = C.parse(spark, sql)
+    scopes = Scopes.of_query(spark, plan, column)
+    done: set[str] = set()  # names of WITH parts that are filtered
+    hits = replaced = left = 0
 
     def filtered_below(node) -> bool:
-        names = {".".join(C.seq(x.multipartIdentifier())).lower() for x in C.walk(node) if C.name(x) == "UnresolvedRelation"}
-        return bool(names & done)
-
-    def without_ranges(node, name: str):
-        """node without the conditions on the column in the Filters at its top."""
-        nonlocal replaced
-        if C.name(node) != "Filter":
-            return node
-        below = without_ranges(C.children(node)[0], name)
-        every = C.conjuncts(node.condition())
-        rest = [e for e in every if not _is_range(e, name)]
-        replaced += len(every) - len(rest)
-        return C.filter_by(spark, below, C.both(spark, rest)) if rest else below
-
-    def go(node, scope: list):
+        return bool({relation(x).lower() for x in C.walk(node) if C.name(x) == "UnresolvedRelation"} & done)
+
+    def within(seen: Seen):
+        return C.expression(spark, range_condition(seen.text, low, high, seen.grain == "day"))
+
+    def bounded(condition, names: Names):
+        """The condition with new bounds in place of its own."""
+        nonlocal replaced, left
+        out, new = [], {}
+        for e in C.conjuncts(condition):
+            if seen := scopes.range_over(e, names):
+                replaced += 1
+                new[seen.text] = within(seen)
+            else:
+                left += scopes.ranges_within(e, names)
+                out.append(e)
+        return C.both(spark, out + list(new.values())) if new else condition
+
+    def go(node) -> tuple[object, Names]:
         nonlocal hits
-        if C.name(node) == "UnresolvedWith":
-            parts: list = []
+        kind = C.name(node)
+        if kind == "UnresolvedWith":
+            outer, parts = dict(scopes.parts), []
             for pair in C.seq(node.cteRelations()):
                 before = hits
-                own = go(C.children(pair._2())[0], [*scope, (node, parts)])
+                own, given = go(C.children(pair._2())[0])
+                scopes.parts[pair._1().lower()] = given
                 if hits > before:
                     done.add(pair._1().lower())
-                parts = [*parts, C.part_like(spark, pair, own)]
-            return C.with_parts(spark, node, parts, go(C.children(node)[0], [*scope, (node, parts)]))
-        before = hits
-        node = C.with_children(spark, node, [go(c, scope) for c in C.children(node)])
-        if hits > before or C.name(node) not in ("Project", "Aggregate") or filtered_below(node):
-            return node
-        child = C.children(node)[0]
-        name = next((x for x in (column, bare) if sees(child, x, scope)), None) if C.name(child) != "OneRowRelation" else None
-        if name is None:
-            return node
-        hits += 1
-        return C.with_children(spark, node, [C.filtered(spark, without_ranges(child, name), condition.replace(column, name, 1))])
-
-    plan = go(C.parse(spark, sql), [])
+                parts.append(C.part_like(spark, pair, own))
+            child, given = go(C.children(node)[0])
+            scopes.parts = outer
+            return C.with_parts(spark, node, parts, child), given
+        before, kids = hits, [go(c) for c in C.children(node)]
+        names = [n for _, n in kids]
+        node = C.with_children(spark, node, [k for k, _ in kids])
+        given = scopes.above(node, names)
+        if kind == "Filter":
+            node = C.filter_by(spark, kids[0][0], bounded(node.condition(), names[0]))
+        elif kind == "UnresolvedHaving":
+            node = C.having_by(spark, kids[0][0], bounded(node.havingCondition(), names[0]))
+        elif kind == "Join" and node.condition().isDefined():
+            node = C.joined_on(spark, node, bounded(node.condition().get(), names[0] + names[1]))
+        if hits > before or kind not in ("Project", "Aggregate") or filtered_below(node) or not kids:
+            return node, given
+        if seen := one(names[0].times(), column):
+            hits += 1
+            node = C.with_children(spark, node, [C.filter_by(spark, kids[0][0], within(seen))])
+        return node, given
+
+    plan, given = go(plan)
+    rest = "+range_left" if left else ""
     if hits or done:
-        return C.frame(spark, plan), "replaced" if replaced else "pushed_down"
-    return C.frame(spark, plan).where(condition), "injected"
+        return C.frame(spark, plan), ("replaced" if replaced else "pushed_down") + rest
+    return C.frame(spark, plan).where(range_condition(column, low, high)), "injected" + rest
 
 
 def count(spark: SparkSession, sql: str) -> DataFrame:

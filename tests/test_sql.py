@@ -4,7 +4,7 @@ import pytest
 
 from reckon import api
 from reckon.operators import catalog, naming, slicing
-from reckon.plans import catalyst, guard, logic, rewrite, structure
+from reckon.plans import catalyst, guard, logic, rewrite, scopes, structure
 
 
 def test_comments_and_dialect():
@@ -87,7 +87,7 @@ def test_ranges_give_way_and_the_session_stays(spark):
         ("select v from ev where ts between '2024-01-10' and '2024-01-11' and p = 0", "replaced", [2, 4]),
         ("select v from ev where date(ts) = '2024-01-10'", "replaced", [2, 3, 4, 5]),
         ("select v from ev where hour(ts) = 0 and ts is not null", "pushed_down", [2, 3, 4, 5]),
-        ("select v from ev where ts > '2024-01-10' or p = 0", "pushed_down", [2, 4]),
+        ("select v from ev where ts > '2024-01-10' or p = 0", "pushed_down+range_left", [2, 4]),
         ("with ev as (select * from ev where ts = '2024-01-10' and v < 5) select v from ev", "replaced", [2, 3, 4]),
         ("with a as (select ts, v from ev), b as (select v from a where v > 2) select b.v from b union all select v from a", "pushed_down", [2, 3, 3, 4, 4, 5, 5]),
         ("select v from (with ev as (select * from ev where ts >= '2025-01-01') select ts, v from ev) x", "replaced", [2, 3, 4, 5]),
@@ -179,3 +179,52 @@ def test_query_diff(spark):
     ready = api.sql_prepare(spark, "select id, ts as order_time from qa where order_time > '2024-01-02'", "2024-03-01")
     assert ready["range"] == ("2024-01-02", "2024-01-02") and ready["time_columns"].first()["column"] == "order_time"
     assert api.detail(spark, "select id, ts from qa", ["id"], "ts", "2024-01-02", "2024-01-04", 2).count() == 2
+
+
+def test_ranges_give_way_in_every_block(spark):
+    spark.sql("select id, id % 5 as v, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, int(id)) as ts from range(96)").createOrReplaceTempView("hours")
+    cases = [
+        ("SELECT count(*) FROM (SELECT id, ts FROM hours WHERE ts < '2024-01-01 03:00') q WHERE ts < '2024-01-01 02:00'", "ts", 72),
+        ("SELECT count(*) FROM hours a JOIN hours b ON a.id = b.id AND a.ts < '2024-01-02'", "a.ts", 72),
+        ("SELECT count(*) FROM hours WHERE date_format(ts, 'yyyy-MM-dd') = '2024-01-01' AND id >= 0", "ts", 72),
+        ("SELECT sum(n) FROM (SELECT date(ts) AS d, count(*) AS n FROM hours GROUP BY date(ts)) x WHERE x.d = '2024-01-01'", "ts", 72),
+        ("SELECT sum(n) FROM (SELECT date_format(ts, 'yyyy-MM-dd') AS d, count(*) AS n FROM hours GROUP BY 1 HAVING d < '2024-01-02') WHERE d LIKE '2024-01-01%'", "ts", 72),
+        ("WITH w AS (SELECT ts AS t2, id FROM hours WHERE ts < '2024-01-01 05:00') SELECT count(*) FROM w WHERE t2 >= '2024-01-01 04:00'", "ts", 72),
+        ("SELECT count(*) FROM hours a JOIN hours b USING (id) WHERE a.ts < '2024-01-02' AND b.ts >= '2024-01-02'", "a.ts", 48),
+        ("SELECT count(*) FROM (SELECT t2 FROM (SELECT *, ts AS t2 FROM hours) WHERE substr(t2, 1, 10) = '2024-01-02') WHERE year(t2) = 2024 AND t2 IN ('2024-01-01')", "ts", 72),
+    ]
+    for sql, column, want in cases:
+        df, mode = rewrite.filter_where_seen(spark, sql, column, "2024-01-01", "2024-01-03")
+        assert (mode, df.first()[0]) == ("replaced", want), sql
+    df, mode = rewrite.filter_where_seen(spark, "SELECT count(*) FROM hours WHERE NOT ts < '2024-01-02' AND id > 0", "ts", "2024-01-01", "2024-01-03")
+    assert (mode, df.first()[0]) == ("pushed_down+range_left", 48)
+    with pytest.raises(scopes.Ambiguous, match="a.ts or b.ts"):
+        rewrite.filter_where_seen(spark, "SELECT count(*) FROM hours a JOIN hours b ON a.id = b.id", "ts", "2024-01-01", "2024-01-03")
+
+
+def test_time_columns_know_their_block(spark):
+    scope = lambda sql: {r["column"]: r["scope"] for r in structure.time_columns(spark, sql).collect()}
+    one = scope("SELECT k, n FROM (SELECT k, count(*) AS n FROM (SELECT k, ts AS event_time, load_date FROM none.t WHERE load_date > '2024') a GROUP BY k, event_time) b")
+    assert one == {"event_time": "pushdown", "load_date": "pushdown"}
+    two = scope("WITH c AS (SELECT k, pay_date FROM none.t WHERE ship_date > '2024') SELECT k FROM c WHERE pay_date > '2024'")
+    assert two == {"pay_date": "top", "ship_date": "pushdown"}
+
+
+def test_same_meaning_is_no_risk(spark):
+    f = "SELECT t.a FROM x.t t LEFT JOIN x.u u ON {on} WHERE {where}"
+    base = dict(on="t.i = u.i", where="t.a = 1")
+    same = [
+        dict(where="1 = t.a"), dict(on="u.i = t.i"), dict(where="t.a IN (1)"), dict(where="t.a = 1.0"), dict(where="NOT (t.a <> 1)"), dict(where="t.a >= 1 AND t.a <= 1"), dict(where="(t.a = 1) AND t.a < 5"),
+    ]
+    risk = lambda x, y: [r["rule"] for r in logic.risks(spark, x, y).collect()]
+    for change in same:
+        assert risk(f.format(**base), f.format(**base | change)) == [], change
+    other = [dict(where="t.a = 2"), dict(where="t.a <= 1"), dict(where="u.a = 1"), dict(where="t.a = 1 OR t.b = 2"), dict(where="t.a = '1'"), dict(where="NOT t.a = 1")]
+    for change in other:
+        assert risk(f.format(**base), f.format(**base | change)) == ["conditions"], change
+    assert risk(f.format(**base), f.format(**base | dict(on="t.i = u.j"))) == ["join_condition"]
+    assert risk("SELECT x.a FROM t x WHERE x.a BETWEEN 1 AND 5 GROUP BY x.a, x.b", "SELECT y.a FROM t y WHERE y.a >= 1 AND 5 >= y.a GROUP BY y.b, y.a") == []
+    assert risk("SELECT a FROM t WHERE a > 3 AND a > 1", "SELECT a FROM t WHERE t.a > 3") == []
+    assert risk("SELECT a FROM t WHERE a > 3 AND a > 1", "SELECT a FROM t WHERE a > 1") == ["conditions"]
+    assert risk("SELECT x.a FROM t x JOIN t y ON x.i = y.p WHERE x.a = 1", "SELECT q.a FROM t q JOIN t r ON r.p = q.i WHERE q.a = 1") == []
+    assert risk("SELECT x.a FROM t x JOIN t y ON x.i = y.p WHERE x.a = 1", "SELECT x.a FROM t x JOIN t y ON x.i = y.p WHERE y.a = 1") == ["conditions"]
