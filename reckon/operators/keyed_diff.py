@@ -1,12 +1,15 @@
 """Keyed difference of two tables, with duplicate keys paired by content.
 
-Rows are normalised by a dialect and counted by key and content first (partial counts before the
-shuffle, so a key or a content with a third of all rows is a handful of rows in it). Contents that
-both sides have pair exactly, as often as the rarer side has them. Of what is left of a key, one row
-against one pairs by itself; groups of up to two rows a side take the cheaper way (in the JVM), other
-small groups pair by least total number of differing columns (a Hungarian assignment, on executors);
-groups of more than `exact_limit` rows on a side pair in order
-of their contents, and are reported as approximate. Rows beyond the other side's count are unmatched.
+Rows are normalised by a dialect and counted by 128 bits of hashes of their key and as many of their
+content: a hash aggregation of numbers alone, with partial counts before the shuffle, so a key or a
+content with a third of all rows is a handful of rows in it, and nothing is sorted. Texts are fetched
+afterwards, by the hashes, only for what differs. Contents that both sides have pair exactly, as often
+as the rarer side has them. Of what is left of a key, one row against one pairs by itself; groups of
+up to two rows a side take the cheaper way (in the JVM), other small groups pair by least total number
+of differing columns (a Hungarian assignment, on executors). In groups of more than `exact_limit` rows
+on a side, rows that are alike but for one column pair first, then those but for two, and the rest in
+order of content; such groups are reported as approximate. Rows beyond the other side's count are
+unmatched.
 
 Since rows are taken by counts, results don't depend on the order of the input, and need no row
 numbers. The raw value shown for a content is the least raw row that has it.
@@ -16,13 +19,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reckon.functions.cells import Dialect, FileDialect, key_text, kind_of
+from reckon.functions.names import quoted
 from reckon.operators import ranks
 from reckon.operators.assignment import assign, pair_costs
 from reckon.ship import ship
@@ -31,6 +36,11 @@ from reckon.store import keep
 EXACT_LIMIT = 200
 #: Keys with more rows left (at most rows / HOT of them) are met by broadcast.
 HOT = 1_000_000
+#: Hashes of a key and of a content.
+KEY, CONTENT = ("hk1", "hk2"), ("hv1", "hv2")
+#: Rounds of proposals, and how many sets of columns a row is looked up without, at most.
+ROUNDS, MOST_LOST = 3, 60
+_PAIR = ("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
 
 
 class DiffError(ValueError):
@@ -69,44 +79,43 @@ class KeyedDiff:
         if self.compare is None:
             self.compare = [c for c in common_columns(self.a, self.b) if c not in self.keys]
 
-    def _rows(self, df: DataFrame, side: str) -> DataFrame:
-        """k, v (normalised key and content) and the raw key and content, as a row of one side."""
+    def _side(self, side: str) -> DataFrame:
+        """One side's rows: hashes of key and content, side, k and v (normalised key and content),
+        raw_k and raw (as they came)."""
+        df = self.a if side == "a" else self.b
         kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-        norm = lambda cs: F.array(*[self.dialect(F.col(f"`{c}`"), kind[c]) for c in cs]).cast("array<string>")
-        raw = F.struct(*[F.array(*[F.col(f"`{c}`").cast("string") for c in cs]).cast("array<string>").alias(n) for n, cs in (("k", self.keys), ("v", self.compare))])
-        none = F.lit(None).cast("struct<k:array<string>,v:array<string>>")
-        mine = [F.lit(int(side == x)).cast("long").alias(f"n{x}") for x in "ab"]
-        return df.select(norm(self.keys).alias("k"), norm(self.compare).alias("v"), *mine, *[(raw if side == x else none).alias(f"raw_{x}") for x in "ab"])
-
-    def _counted(self, content: list[Column], part: str = "") -> DataFrame:
-        """One aggregation over the rows of both sides, so the sides aren't joined: counts of each
-        content of each key, and the least raw row (or `part` of it) of each side."""
-        both = self._rows(self.a, "a").union(self._rows(self.b, "b"))
-        return both.groupBy("k", *content).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), *[F.min(f"raw_{x}{part}").alias(f"raw_{x}") for x in "ab"])
+        norm = lambda cs: F.array(*[self.dialect(quoted(c), kind[c]) for c in cs]).cast("array<string>")
+        raw = lambda cs: F.array(*[quoted(c).cast("string") for c in cs]).cast("array<string>")
+        own = df.select(F.lit(side).alias("side"), norm(self.keys).alias("k"), norm(self.compare).alias("v"), raw(self.keys).alias("raw_k"), raw(self.compare).alias("raw"))
+        return own.select(*[F.xxhash64(F.lit(i), c).alias(f"h{c}{i}") for c in "kv" for i in (1, 2)], "*")
 
     @cached_property
-    def contents(self) -> DataFrame:
-        """k, na, nb, key_a, key_b (raw keys) of each content of each key, and of those that the sides
-        have unequally often v, raw_a and raw_b (raw contents). Kept: pairings and counts read it, and
-        what is equal is kept without its content."""
-        unequal = F.col("na") != F.col("nb")
-        own = [F.when(unequal, F.col(c)).alias(n) for c, n in (("v", "v"), ("raw_a.v", "raw_a"), ("raw_b.v", "raw_b"))]
-        return keep(self._counted([F.col("v")]).select("k", "na", "nb", F.col("raw_a.k").alias("key_a"), F.col("raw_b.k").alias("key_b"), *own), "contents")
+    def tally(self) -> DataFrame:
+        """The hashes of each content of each key, na and nb: how many rows each side has. One
+        aggregation over the rows of both sides, so the sides aren't joined. Kept."""
+        both = [self._side(s).select(*KEY, *CONTENT, *[F.lit(int(s == x)).cast("long").alias(f"n{x}") for x in "ab"]) for s in "ab"]
+        return keep(both[0].union(both[1]).groupBy(*KEY, *CONTENT).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")), "tally")
 
     @cached_property
     def groups(self) -> DataFrame:
-        """Counts of each key: rows, exact pairs, rows left over, and the key's raw text (A's first).
-        Where contents aren't at hand, contents are told apart by 128 bits of hashes, so only keys,
-        counts and hashes are shuffled."""
-        hashes = [F.xxhash64(F.lit(i), "v").alias(f"h{i}") for i in (1, 2)]
-        counted = self.contents if "contents" in self.__dict__ else self._counted(hashes, ".k").withColumnsRenamed({"raw_a": "key_a", "raw_b": "key_b"})
+        """Counts of each key (by its hashes): rows, exact pairs, rows left over."""
         exact = F.least("na", "nb")
-        return counted.groupBy("k").agg(
+        return self.tally.groupBy(*KEY).agg(
             F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(exact).alias("exact"),
             F.sum(F.col("na") - exact).alias("left_a"), F.sum(F.col("nb") - exact).alias("left_b"),
-            F.coalesce(F.min("key_a"), F.min("key_b")).alias("raw_key"),
         )
 
+    def named(self, some: DataFrame | None = None) -> DataFrame:
+        """some (rows of groups, all if none are given) with k and raw_key: the key, normalised and
+        as it came (the least of A's, or else of B's)."""
+        texts = self._side("a").union(self._side("b")).select(*KEY, "side", "k", "raw_k")
+        if some is not None:
+            some = keep(some, "keys")
+            texts = texts.join(some.select(*KEY), list(KEY), "left_semi")
+        first = Window.partitionBy(*KEY).orderBy("side", "raw_k")
+        texts = texts.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*KEY, "k", F.col("raw_k").alias("raw_key"))
+        return texts if some is None else some.join(texts, list(KEY))
+
     @property
     def _shared(self) -> Column:
         return (F.col("na") > 0) & (F.col("nb") > 0)
@@ -132,17 +141,22 @@ class KeyedDiff:
     def left(self) -> DataFrame:
         """k, side, v, raw (content), n: contents beyond the other side's count, of shared keys, with
         the key's counts of both sides."""
-        own = F.array(
-            F.struct(F.lit("a").alias("side"), (F.col("na") - F.col("nb")).alias("n"), F.col("raw_a").alias("raw")),
-            F.struct(F.lit("b").alias("side"), (F.col("nb") - F.col("na")).alias("n"), F.col("raw_b").alias("raw")),
-        )
-        more = self.contents.where("na <> nb").select("k", "v", F.explode(own).alias("x")).where("x.n > 0").select("k", "x.side", "v", "x.raw", "x.n")
-        g = self.groups.where(self._shared & ((F.col("left_a") > 0) | (F.col("left_b") > 0))).select("k", "left_a", "left_b", "raw_key")
+        own = F.array(F.struct(F.lit("a").alias("side"), (F.col("na") - F.col("nb")).alias("n")), F.struct(F.lit("b").alias("side"), (F.col("nb") - F.col("na")).alias("n")))
+        more = self.tally.where("na <> nb").select(*KEY, *CONTENT, F.explode(own).alias("x")).where("x.n > 0").select(*KEY, *CONTENT, "x.*")
+        g = self.named(self.groups.where(self._shared & ((F.col("left_a") > 0) | (F.col("left_b") > 0))).select(*KEY, "left_a", "left_b"))
+        g = keep(g, "left-keys")
         # keys with very many rows left are few, and are met by broadcast; the others by shuffle
         many = F.greatest("left_a", "left_b") > HOT
-        few = F.broadcast(g.where(many))
-        met = more.join(few, "k").union(more.join(F.broadcast(g.where(many).select("k")), "k", "left_anti").join(g.where(~many), "k"))
-        return keep(met, "left")  # only what differs; all pairings read it
+        key, few = list(KEY), F.broadcast(g.where(many))
+        counted = more.join(few, key).union(more.join(F.broadcast(g.where(many).select(*key)), key, "left_anti").join(g.where(~many), key))
+        counted = keep(counted, "left-counts")
+        # the texts of these contents: of rows that are equal by the dialect, the least as it came
+        at = [*KEY, *CONTENT, "side"]
+        rows = self._side("a").union(self._side("b")).join(counted.select(*at), at, "left_semi")
+        least = Window.partitionBy(*at).orderBy("raw_k", "raw")
+        texts = rows.withColumn("_first", F.row_number().over(least)).where("_first = 1").select(*at, "v", "raw")
+        met = counted.join(texts, at)
+        return keep(met.select("k", "side", "v", "raw", "n", "left_a", "left_b", "raw_key"), "left")  # only what differs; all pairings read it
 
     def _one_to_one(self) -> DataFrame:
         one = self.left.where("left_a = 1 and left_b = 1")
@@ -183,32 +197,74 @@ class KeyedDiff:
         ship(self.a.sparkSession)
         return some.groupBy("k").applyInPandas(pair, cols)
 
-    def _in_order(self) -> DataFrame:
-        """Pairs of groups beyond the limit: the n-th row by content of one side with the n-th of
-        the other, as spans of equal contents, so rows aren't multiplied out. Spans are placed by
-        distributed running counts."""
-        many = self.left.where(self._many)
-        placed = keep(ranks.running_counts(many.withColumn("g", F.struct("k", "side")), ["g"], ["v"], "n"), "in-order")
+    def _zip(self, some: DataFrame, group: list[str]) -> DataFrame:
+        """Pairs of the n-th row by content of one side of a group with the n-th of the other, up to
+        the group's `top`, as spans of equal contents, so rows aren't multiplied out. Spans are placed
+        by distributed running counts."""
+        placed = keep(ranks.running_counts(some.withColumn("g", F.struct(*group, "side")), ["g"], ["v"], "n"), "in-order")
         # placed: before (rows of the group before this content) and n; spans meet where they overlap
-        cut = placed.select("k", "raw_key", "side", "v", "raw", F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"), F.least("left_a", "left_b").alias("top")).where("lo < top")
+        cut = placed.select(*group, "raw_key", "side", "v", "raw", F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"), "top").where("lo < top")
         cut = cut.withColumn("hi", F.least("hi", "top"))
         # each span goes to the blocks of ranks that it touches, so a key's spans meet block by block
         width = 128
         blocks = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-        a, b = (blocks.where(F.col("side") == s).select("k", "block", "raw_key", F.col("v").alias(f"v_{s}"), F.col("raw").alias(f"raw_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}")) for s in "ab")
-        met = a.join(b.drop("raw_key"), ["k", "block"]).where("lo_a < hi_b and lo_b < hi_a")
+        a, b = (blocks.where(F.col("side") == s).select(*group, "block", "raw_key", F.col("v").alias(f"v_{s}"), F.col("raw").alias(f"raw_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}")) for s in "ab")
+        met = a.join(b.drop("raw_key"), [*group, "block"]).where("lo_a < hi_b and lo_b < hi_a")
         start = F.greatest("lo_a", "lo_b", F.col("block") * width)
         end = F.least("hi_a", "hi_b", (F.col("block") + 1) * width)
-        return met.withColumn("n", end - start).where("n > 0").select("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
+        return met.withColumn("n", end - start).where("n > 0").select(*_PAIR)
+
+    def _in_order(self) -> DataFrame:
+        """Pairs of groups beyond the limit, in order of content."""
+        return self._zip(self.left.where(self._many).withColumn("top", F.least("left_a", "left_b")), ["k"])
+
+    def _proposals(self, some: DataFrame, lost: list[tuple[int, ...]]) -> DataFrame:
+        """Pairs of rows of a key that are equal but for one of the sets of columns `lost`. Each content
+        chooses one such set that has partners (that with the fewest), and pairs with those on the
+        other side that chose the same; so a row is taken once."""
+        less = [F.struct(F.lit(i).alias("c"), *[F.xxhash64(F.lit(seed), *[F.col("v")[j] for j in range(len(self.compare)) if j not in out]).alias(f"s{seed}") for seed in (1, 2)]) for i, out in enumerate(lost)]
+        each = some.select("k", "side", "v", "n", F.explode(F.array(*less)).alias("x")).select("k", "side", "v", "n", "x.*")
+        at = ["k", "c", "s1", "s2"]
+        of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+        top = lambda df: df.groupBy(*at).agg(F.least(of("a"), of("b")).alias("top")).where("top > 0")
+        chosen = each.join(top(each), at).groupBy("k", "side", "v").agg(F.min(F.struct("top", "c", "s1", "s2")).alias("x")).select("k", "side", "v", "x.c", "x.s1", "x.s2")
+        taking = keep(some.drop("top").join(chosen, ["k", "side", "v"]), "proposals")
+        return keep(self._zip(taking.join(top(taking), at), at), "alike")
+
+    def _alike(self) -> DataFrame:
+        """Pairs of groups beyond the limit: rows alike but for one column, then but for two, then in
+        order. A key that has more differing cells so than in order alone is paired in order."""
+        names, some, found = range(len(self.compare)), self.left.where(self._many), []
+        for out in (1, 2):
+            lost = list(combinations(names, out))
+            for _ in range(ROUNDS if len(names) > out and len(lost) <= MOST_LOST else 0):
+                pairs = self._proposals(some, lost)
+                if pairs.isEmpty():
+                    break
+                found.append(pairs)
+                used = pairs.select("k", F.lit("a").alias("side"), F.col("v_a").alias("v"), F.col("n").alias("used")).union(pairs.select("k", F.lit("b"), "v_b", "n"))
+                used = used.groupBy("k", "side", "v").agg(F.sum("used").alias("used"))
+                rest = some.join(used, ["k", "side", "v"], "left").withColumn("n", F.col("n") - F.coalesce("used", F.lit(0))).drop("used")
+                some = keep(rest.where("n > 0"), "rest")
+        if not found:
+            return self._in_order()
+        of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+        top = some.groupBy("k").agg(F.least(of("a"), of("b")).alias("top")).where("top > 0")
+        own = self._zip(some.join(F.broadcast(top), "k"), ["k"])  # keys of over `exact_limit` rows each
+        for pairs in found:
+            own = own.union(pairs)
+        own, ordered = keep(own, "alike"), keep(self._in_order(), "in-order")
+        cells = lambda df, name: df.groupBy("k").agg(F.sum(differing() * F.col("n")).alias(name))
+        worse = keep(cells(own, "x").join(cells(ordered, "y"), "k").where("x > y").select("k"), "worse")
+        return own.join(worse, "k", "left_anti").union(ordered.join(worse, "k", "left_semi"))
 
     @cached_property
     def pairs(self) -> DataFrame:
         """k, raw_key, contents and raw contents of both sides, n: pairs of rows that differ."""
-        cols = ("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
-        own = self._one_to_one().select(*cols).union(self._two().select(*cols))
-        for which, pairing in ((self._few, self._assigned), (self._many, self._in_order)):
+        own = self._one_to_one().select(*_PAIR).union(self._two().select(*_PAIR))
+        for which, pairing in ((self._few, self._assigned), (self._many, self._alike)):
             if not self.left.where(which).isEmpty():
-                own = own.union(pairing().select(*cols))
+                own = own.union(pairing().select(*_PAIR))
         return keep(own, "pairs")
 
     def cells(self) -> DataFrame:
@@ -223,7 +279,8 @@ class KeyedDiff:
         mine, other = (F.col("na"), F.col("nb")) if side == "a" else (F.col("nb"), F.col("na"))
         n = mine - F.least("na", "nb")
         kind = F.when(other == 0, f"only_in_{side}").otherwise(f"unmatched_{side}")
-        return self.groups.where(n > 0).select(self.key_column().alias("key"), kind.alias("type"), n.cast("long").alias("n"))
+        own = self.groups.where(n > 0).select(*KEY, kind.alias("type"), n.cast("long").alias("n"))
+        return self.named(own).select(self.key_column().alias("key"), "type", "n")
 
     def counts(self) -> DataFrame:
         """One row of statistics that need no pairing."""
@@ -255,11 +312,16 @@ class KeyedDiff:
         return self.counts().join(cells, how="cross")  # one row by one row
 
 
+def differing() -> Column:
+    """How many columns of a pair (v_a, v_b) differ."""
+    return F.aggregate(F.zip_with("v_a", "v_b", lambda p, q: (p != q).cast("int")), F.lit(0), lambda acc, d: acc + d)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str], dialect: Dialect) -> DataFrame:
     """key and n of each key that several rows have."""
     kind = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    norm = F.array(*[dialect(F.col(f"`{c}`"), kind[c]) for c in keys])
-    raw = F.array(*[F.col(f"`{c}`").cast("string") for c in keys])
+    norm = F.array(*[dialect(quoted(c), kind[c]) for c in keys])
+    raw = F.array(*[quoted(c).cast("string") for c in keys])
     g = df.select(norm.alias("k"), raw.alias("raw")).groupBy("k").agg(F.count("*").alias("n"), F.min("raw").alias("raw_key")).where("n > 1")
     return g.select(key_text([dialect.key_part(F.col("raw_key")[i], F.col("k")[i]) for i in range(len(keys))]).alias("key"), "n")
 
@@ -274,18 +336,18 @@ def log_rows(diff: KeyedDiff) -> DataFrame:
     out = cells.select(level.alias("level"), reason.alias("reason"), "key", "column", "n")
     for side in "ab":
         own = diff.only(side).select(F.lit("high").alias("level"), F.col("type").alias("reason"), "key", F.lit("").alias("column"), "n")
-        dup = diff.groups.where(f"n{side} > 1").select(F.lit("high").alias("level"), F.lit(f"duplicate_key_{side}").alias("reason"), diff.key_column().alias("key"), F.lit("").alias("column"), F.col(f"n{side}").alias("n"))
+        dup = diff.named(diff.groups.where(f"n{side} > 1")).select(F.lit("high").alias("level"), F.lit(f"duplicate_key_{side}").alias("reason"), diff.key_column().alias("key"), F.lit("").alias("column"), F.col(f"n{side}").alias("n"))
         out = out.union(own).union(dup)
     return out
 
 
-def keys_in_scope(diff: KeyedDiff, most_diffs: int = 2000, most_only: int = 500) -> DataFrame:
-    """Keys of which all differences are among those returned (the first most_diffs cells and
-    most_only rows of each side, by key and column): only these may be closed in a ledger."""
-    late = lambda df, n, *order: ranks.beyond(df, n, list(order))
-    cut = late(diff.cells(), most_diffs, "key", "column").select("key")
-    for side in "ab":
-        cut = cut.union(late(diff.only(side), most_only, "key").select("key"))
-    return diff.groups.select(diff.key_column().alias("key")).join(cut.distinct(), "key", "left_anti")
-
-
+def keys_in_scope(diff: KeyedDiff, most_diffs: int | None = None, most_only: int | None = None) -> DataFrame:
+    """key: those of which all differences are known, so that they may be closed in a ledger. That is
+    all keys of both sides, unless the caller passes on only the first most_diffs cells or most_only
+    rows of each side (by key and column): then keys with more than that are left out."""
+    keys = diff.named().select(diff.key_column().alias("key"))
+    cut = [ranks.beyond(diff.cells(), most_diffs, ["key", "column"]).select("key")] if most_diffs is not None else []
+    cut += [ranks.beyond(diff.only(side), most_only, ["key"]).select("key") for side in "ab" if most_only is not None]
+    for late in cut:
+        keys = keys.join(late.distinct(), "key", "left_anti")
+    return keys

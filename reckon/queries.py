@@ -286,7 +286,7 @@ def assignment_cost(spark: SparkSession, sf: str) -> DataFrame:
     """Least total of differing columns of keys of which one side has a single row left (SQL can
     express those; larger groups are held to brute force in tests)."""
     d = lines(spark, sf)
-    single = d.groups.where("least(left_a, left_b) = 1").select("k")
+    single = d.left.where("least(left_a, left_b) = 1").select("k")
     cost = F.size(F.filter(F.arrays_zip("v_a", "v_b"), lambda x: x["v_a"] != x["v_b"])) * F.col("n")
     return d.pairs.join(single, "k", "left_semi").groupBy("k").agg(F.sum(cost).cast("long").alias("cost")).select(F.to_json("k").alias("key"), "cost")
 
@@ -638,6 +638,37 @@ def time_filter_replaced(spark: SparkSession, sf: str) -> DataFrame:
     return found.union(spark.sql("SELECT 'whole table', count(*) FROM events"))
 
 
+def _widened(spark: SparkSession, sf: str, q: str, column: str) -> DataFrame:
+    views(spark, sf, "events")
+    found, mode = rewrite.filter_where_seen(spark, q, column, "2024-01-05", "2024-01-24")
+    if mode != "replaced":
+        raise ValueError(f"the range was {mode}")
+    return found
+
+
+_WIDE = "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-25' GROUP BY event_type"
+
+
+@query(_WIDE)
+def time_filter_outer_block(spark: SparkSession, sf: str) -> DataFrame:
+    """A range in an inner block by one name, and a narrower one in the outer block by another."""
+    return _widened(spark, sf, "SELECT event_type, count(*) AS n FROM (SELECT event_type, ts AS at FROM events WHERE ts < '2024-01-10') e WHERE e.at < '2024-01-08' GROUP BY event_type", "ts")
+
+
+@query(_WIDE)
+def time_filter_in_join(spark: SparkSession, sf: str) -> DataFrame:
+    """A range in the ON of a join of a table with itself, of one of its two places."""
+    return _widened(spark, sf, "SELECT a.event_type, count(*) AS n FROM events a JOIN events b ON a.event_id = b.event_id AND a.ts < '2024-01-06' GROUP BY a.event_type", "a.ts")
+
+
+@query(_WIDE)
+def time_filter_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges over texts of the date, in WHERE and by an alias in the block outside."""
+    q = """SELECT event_type, sum(n) AS n FROM (SELECT event_type, date_format(ts, 'yyyy-MM-dd') AS day, count(*) AS n FROM events
+ WHERE date_format(ts, 'yyyy-MM-dd') = '2024-01-06' GROUP BY event_type, date_format(ts, 'yyyy-MM-dd')) e WHERE day BETWEEN '2024-01-06' AND '2024-01-07' GROUP BY event_type"""
+    return _widened(spark, sf, q, "ts")
+
+
 @query("SELECT 'detail' AS kind, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey < 100 UNION ALL SELECT 'whole table', CAST(count(*) AS BIGINT) FROM orders")
 def detail_of_shadowed_table(spark: SparkSession, sf: str) -> DataFrame:
     """Detail rows of a WITH part that has a table's name; the table is as before."""
