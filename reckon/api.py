@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.functions.cells import FileDialect, SqlDialect
-from reckon.operators import catalog, key_guess, keyed_diff, naming, slicing, verdicts
+from reckon.operators import catalog, key_guess, keyed_diff, naming, verdicts, verified
 from reckon.operators.keyed_diff import KeyedDiff, common_columns
 from reckon.plans import catalyst, guard, logic, rewrite, structure
 from reckon.sources.delimited import read_table
@@ -86,20 +86,28 @@ def result_diff(a: DataFrame, b: DataFrame, keys: list[str], sql_a: str = "", sq
     return Comparison(diff, stats, verdicts.sql_verdict(stats), keyed_diff.keys_in_scope(diff), {"ambiguous": twice, "keys": {"a": keys_a, "b": keys_b}})
 
 
-def query_diff(spark: SparkSession, sql_a: str, sql_b: str, keys: list[str], time_column: str | None = None, start: str = "", end: str = "", batch: int = 500) -> Comparison:
-    """Two queries' results over a time range, with the account of slices of both sides; verdict and
-    scope are lowered if that isn't complete."""
-    sides, issues = [], 0
+def query_diff(spark: SparkSession, sql_a: str, sql_b: str, keys: list[str], time_column: str | None = None, start: str = "", end: str = "", batch: int = 1_000_000) -> Comparison:
+    """Two queries' results over a time range, fetched by slices; verdict and scope are lowered if not
+    all rows came that the slices were planned for."""
+    sides: list[verified.Source] = []
     for sql in (sql_a, sql_b):
-        if guard.level(sql) == "blocked":
-            raise guard.NotReadOnly(str(guard.findings(sql)))
+        if guard.level(sql, spark) == "blocked":
+            raise guard.NotReadOnly(str(guard.findings(sql, spark)))
         df = rewrite.filter_where_seen(spark, sql, time_column, start, end)[0] if time_column else spark.sql(catalyst.dialect(sql))
-        sides.append(df)
-        bare = (time_column or "").split(".")[-1]
-        if bare in df.columns and dict(df.dtypes)[bare].startswith(("timestamp", "date")):
-            account = slicing.audit(df, bare, slicing.plan(df, bare, batch)).first()
-            issues += len([x for x in account["issues"].split(",") if x and x != "slices_over"])
-    found = result_diff(*sides, keys, sql_a, sql_b)
+        sides.append(verified.Frame(df))
+    bare = resolve_column(time_column, sides[0].df.columns) if time_column else None
+    if bare is None or bare not in sides[1].df.columns:
+        return result_diff(sides[0].df, sides[1].df, keys, sql_a, sql_b)
+    return source_diff(*sides, keys, bare, batch, sql_a, sql_b)
+
+
+def source_diff(a: verified.Source, b: verified.Source, keys: list[str], time_column: str, batch: int = 1_000_000, sql_a: str = "", sql_b: str = "") -> Comparison:
+    """Two sources (tables of databases, DataFrames) fetched by slices and compared; the notes have
+    both accounts. Rows that were planned and didn't come lower the verdict and empty the scope."""
+    got = [verified.fetch(side, time_column, batch) for side in (a, b)]
+    found = result_diff(got[0].rows, got[1].rows, keys, sql_a, sql_b)
+    issues = sum(len(g.issues) for g in got)
+    found.notes["fetched"] = {"a": got[0], "b": got[1]}
     found.verdict = verdicts.incomplete(found.verdict, issues)
     if issues:
         found.scope = found.scope.limit(0)
@@ -127,7 +135,7 @@ def sql_prepare(spark: SparkSession, sql: str, today: str) -> dict:
     the text."""
     return {
         "time_columns": structure.time_columns(spark, sql), "keys": structure.key_candidates(spark, sql), "range": rewrite.date_range(sql, today),
-        "layers": logic.layers(spark, sql), "guard": guard.findings(sql), "structure": structure.structure(spark, sql),
+        "layers": logic.layers(spark, sql), "guard": guard.findings(sql, spark), "structure": structure.structure(spark, sql),
     }
 
 

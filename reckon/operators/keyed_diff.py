@@ -38,8 +38,8 @@ EXACT_LIMIT = 200
 HOT = 1_000_000
 #: Hashes of a key and of a content.
 KEY, CONTENT = ("hk1", "hk2"), ("hv1", "hv2")
-#: Rounds of proposals, and how many sets of columns a row is looked up without, at most.
-ROUNDS, MOST_LOST = 3, 60
+#: Rounds of proposals without one column and without two, and how many such sets there may be.
+ROUNDS, MOST_LOST = {1: 2, 2: 1}, 60
 _PAIR = ("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
 
 
@@ -237,7 +237,7 @@ class KeyedDiff:
         names, some, found = range(len(self.compare)), self.left.where(self._many), []
         for out in (1, 2):
             lost = list(combinations(names, out))
-            for _ in range(ROUNDS if len(names) > out and len(lost) <= MOST_LOST else 0):
+            for _ in range(ROUNDS[out] if len(names) > out and len(lost) <= MOST_LOST else 0):
                 pairs = self._proposals(some, lost)
                 if pairs.isEmpty():
                     break

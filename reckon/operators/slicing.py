@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reckon.functions.names import fresh, quoted
 from reckon.operators import ranks
 from reckon.ship import ship
 from reckon.store import keep
@@ -54,7 +55,7 @@ def pack(segments: list[tuple[object, int]], batch: int) -> list[tuple[object, o
 
 def _minutes(df: DataFrame, column: str, grain: str = "minute") -> DataFrame:
     """t (null for rows without a time) and n."""
-    return df.groupBy(F.date_trunc(grain, column).cast("timestamp_ntz").alias("t")).agg(F.count("*").alias("n"))
+    return df.groupBy(F.date_trunc(grain, quoted(column)).cast("timestamp_ntz").alias("t")).agg(F.count("*").alias("n"))
 
 
 _SPAN = {"day": timedelta(days=1), "hour": timedelta(hours=1), "minute": timedelta(minutes=1)}
@@ -106,11 +107,15 @@ def _placed(minutes: DataFrame, slices: DataFrame) -> DataFrame:
     return minutes.where("t is not null").withColumn("at", F.explode(keys)).select("*", "at.grain", "at.segment").drop("at").join(segments, ["grain", "segment"]).drop("grain", "segment")
 
 
-def fetch(df: DataFrame, column: str, slices: DataFrame) -> DataFrame:
-    """The rows of df that fall into slices (as plan makes them), with the number of their slice: all
-    slices in one scan, in place of one query for each."""
-    at = _placed(_minutes(df, column).select("t"), slices).select(F.col("t").alias("_minute"), "slice")
-    return df.join(at, F.date_trunc("minute", column).cast("timestamp_ntz") == F.col("_minute")).drop("_minute")
+def fetch(df: DataFrame, column: str, slices: DataFrame, name: str = "slice") -> DataFrame:
+    """The rows of df that fall into slices (as plan makes them), with the number of their slice (as
+    `name`, or with underscores before it if df has such a column): all slices in one scan, in place of
+    one query for each. Rows without a time are in none, and come with a null; rows whose time is
+    outside all slices are left out."""
+    name, minute = fresh(df, name, "minute")
+    at = _placed(_minutes(df, column).select("t"), slices).select(F.col("t").alias(minute), F.col("slice").alias(name))
+    timed = df.where(quoted(column).isNotNull()).join(at, F.date_trunc("minute", quoted(column)).cast("timestamp_ntz") == F.col(minute)).drop(minute)
+    return timed.union(df.where(quoted(column).isNull()).withColumn(name, F.lit(None).cast("int")))
 
 
 def audit(df: DataFrame, column: str, slices: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reckon import api
 from reckon.functions import cells as X
 from reckon.functions import export, literals
-from reckon.operators import catalog, key_guess, keyed_diff, ledger, naming, probes, slicing, verdicts
+from reckon.operators import catalog, key_guess, keyed_diff, ledger, naming, probes, slicing, verdicts, verified
 from reckon.operators.keyed_diff import KeyedDiff
 from reckon.plans import guard, logic, rewrite, structure
 from reckon.sinks.workbook import write_csv, write_workbook
@@ -296,11 +297,14 @@ _FLAG_B = f"SELECT {_FLAG} AS rf, CAST(CASE WHEN l_partkey % 50 = 0 THEN l_quant
 _FLAG_G = _contents(_file, _FLAG_A, _FLAG_B, ["rf"], ["qty", "price"])
 
 
-@query(f"""{_FLAG_G}, l AS (SELECT c.n_rf, n_qty, n_price, c.na - least(c.na, c.nb) AS ra, c.nb - least(c.na, c.nb) AS rb FROM c JOIN g USING (n_rf) WHERE g.na > 0 AND g.nb > 0),
+_IN_ORDER = f"""{_FLAG_G}, l AS (SELECT c.n_rf, n_qty, n_price, c.na - least(c.na, c.nb) AS ra, c.nb - least(c.na, c.nb) AS rb FROM c JOIN g USING (n_rf) WHERE g.na > 0 AND g.nb > 0),
  x AS (SELECT n_rf, n_qty, n_price, row_number() OVER (PARTITION BY n_rf ORDER BY n_qty, n_price) AS rn FROM l, LATERAL (SELECT unnest(range(ra))) WHERE ra > 0),
  y AS (SELECT n_rf, n_qty, n_price, row_number() OVER (PARTITION BY n_rf ORDER BY n_qty, n_price) AS rn FROM l, LATERAL (SELECT unnest(range(rb))) WHERE rb > 0)
  SELECT x.n_rf AS key, CAST(count(*) AS BIGINT) AS pairs, CAST(sum((CASE WHEN x.n_qty <> y.n_qty THEN 1 ELSE 0 END) + (CASE WHEN x.n_price <> y.n_price THEN 1 ELSE 0 END)) AS BIGINT) AS cells
- FROM x JOIN y USING (n_rf, rn) GROUP BY x.n_rf HAVING count(*) > 200""")
+ FROM x JOIN y USING (n_rf, rn) GROUP BY x.n_rf HAVING count(*) > 200"""
+
+
+@query(_IN_ORDER)
 def approx_pairing(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs and differing cells of groups too large for assignment, paired in order of content."""
     d = KeyedDiff(sql(spark, sf, _FLAG_A, "lineitem"), sql(spark, sf, _FLAG_B, "lineitem"), ["rf"])
@@ -308,6 +312,15 @@ def approx_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return d._in_order().groupBy("k").agg(F.sum("n").cast("long").alias("pairs"), F.sum(cost).cast("long").alias("cells")).where("pairs > 200").select(F.col("k")[0].alias("key"), "pairs", "cells")
 
 
+@query(f"SELECT key, pairs, cells AS ordered_cells, true AS not_more, true AS fewer FROM ({_IN_ORDER})")
+def likeness_pairing(spark: SparkSession, sf: str) -> DataFrame:
+    """The same groups, paired by likeness: as many pairs, and fewer differing cells than in order."""
+    d = KeyedDiff(sql(spark, sf, _FLAG_A, "lineitem"), sql(spark, sf, _FLAG_B, "lineitem"), ["rf"])
+    sums = lambda df, name: df.groupBy("k").agg(F.sum("n").cast("long").alias(f"pairs_{name}"), F.sum(keyed_diff.differing() * F.col("n")).cast("long").alias(f"{name}_cells"))
+    both = sums(d._in_order(), "ordered").join(sums(d._alike(), "like"), "k").where("pairs_ordered > 200")
+    return both.select(F.col("k")[0].alias("key"), F.col("pairs_like").alias("pairs"), "ordered_cells", (F.col("like_cells") <= F.col("ordered_cells")).alias("not_more"), (F.col("like_cells") < F.col("ordered_cells")).alias("fewer"))
+
+
 # -- schemas, catalogs, names ------------------------------------------------------------------------
 
 _COLS_A = [("o_orderkey", "bigint", False), ("o_custkey", "bigint", True), ("o_orderstatus", "varchar(10)", True), ("o_totalprice", "decimal(18,2)", True), ("O_CLERK", "string", True), ("tags", "array<int>", True)]
@@ -461,6 +474,38 @@ def slice_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return slicing.fetch(e, "ts", slicing.plan(e, "ts", 200)).select("event_id", "slice")
 
 
+_LOST = "ts >= '2024-01-10 03:00:00' AND ts < '2024-01-10 04:00:00' AND event_id % 2 = 0"
+
+
+class _Loses(verified.Frame):
+    """A source that loses rows of one hour when they are fetched."""
+
+    def rows(self, column: str, slices: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return verified.Frame(self.df.where(f"NOT ({_LOST})")).rows(column, slices)
+
+
+@query(f"""SELECT 'whole' AS side, CAST(count(*) AS BIGINT) AS planned, CAST(count(*) AS BIGINT) AS fetched, CAST(0 AS BIGINT) AS mismatched, true AS complete FROM events
+ UNION ALL SELECT 'loses', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (NOT ({_LOST})) AS BIGINT), CAST(1 AS BIGINT), false FROM events""")
+def verified_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """The accounts of a source that gives all its rows, and of one that loses some of one slice."""
+    e = table(spark, sf, "events")
+    parts = []
+    for name, kind in (("whole", verified.Frame), ("loses", _Loses)):
+        account = verified.fetch(kind(e), "ts", 5000).account
+        parts.append(account.select(F.lit(name).alias("side"), "planned", "fetched", "mismatched", "complete"))
+    return _union(parts)
+
+
+@query(f"""SELECT CAST(count(*) FILTER ({_LOST}) AS BIGINT) AS lost, 'diff' AS level, 'scan_incomplete,lost_in_b' AS cause, CAST(0 AS BIGINT) AS in_scope FROM events""")
+def verified_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """A comparison of which one side loses rows of a slice: no key may be closed by it."""
+    e = table(spark, sf, "events")
+    found = api.source_diff(verified.Frame(e), _Loses(e), ["event_id"], "ts", 5000)
+    lost = found.notes["fetched"]["b"].account.select((F.col("planned") - F.col("fetched")).alias("lost"))
+    scope = found.scope.agg(F.count("*").alias("in_scope"))
+    return lost.join(found.verdict.select("level", "cause"), how="cross").join(scope, how="cross")  # one row each
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE ts >= '2024-01-03') AS BIGINT) AS planned, CAST(count(*) FILTER (WHERE ts >= '2024-01-03') AS BIGINT) AS fetched, CAST(0 AS BIGINT) AS still_over, CAST(0 AS BIGINT) AS mismatched, 'plan_not_total,fetched_not_total' AS issues, false AS complete FROM events")
 def slice_audit_incomplete(spark: SparkSession, sf: str) -> DataFrame:
     """The account of slices that leave out the first days."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.plans import guard
@@ -72,12 +72,28 @@ def parse_profiles(text: str) -> tuple[tuple[str, str], ...]:
     return tuple(out.items())
 
 
+def _reader(spark: SparkSession, connection: Connection, cluster: str, db: str) -> DataFrameReader:
+    reader = spark.read.format("jdbc").option("url", connection.on(cluster, db)).option("user", connection.user).option("password", connection.password).option("queryTimeout", connection.timeout)
+    return reader.option("driver", connection.driver) if connection.driver else reader
+
+
+def table(spark: SparkSession, connection: Connection, name: str, cluster: str = "", db: str = "", predicates: list[str] | None = None) -> DataFrame:
+    """The rows of a table; with predicates, a statement and a partition for each."""
+    if predicates is None or not predicates:
+        return _reader(spark, connection, cluster, db).option("dbtable", name).load()
+    own = {k: v for k, v in (("user", connection.user), ("password", connection.password), ("driver", connection.driver), ("queryTimeout", str(connection.timeout))) if v}
+    return spark.read.jdbc(connection.on(cluster, db), name, predicates=predicates, properties=own)
+
+
+def quoted(spark: SparkSession, url: str, name: str) -> str:
+    """A column's name as the database takes it, exactly."""
+    return getattr(spark._jvm.org.apache.spark.sql.jdbc, "JdbcDialects").get(url).quoteIdentifier(name)
+
+
 def query(spark: SparkSession, connection: Connection, sql: str, cluster: str = "", db: str = "", partition: dict | None = None) -> DataFrame:
     """The rows of a read-only query in the database. partition: Spark's partitionColumn, lowerBound,
     upperBound and numPartitions, to read it in parallel (then sql must be a table's name)."""
-    reader = spark.read.format("jdbc").option("url", connection.on(cluster, db)).option("user", connection.user).option("password", connection.password).option("queryTimeout", connection.timeout)
-    if connection.driver:
-        reader = reader.option("driver", connection.driver)
+    reader = _reader(spark, connection, cluster, db)
     if partition:
         return reader.options(dbtable=sql, **{k: str(v) for k, v in partition.items()}).load()
     if guard.level(sql) == "blocked":

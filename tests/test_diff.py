@@ -216,3 +216,51 @@ def test_name_hits():
 def test_pair_costs():
     a, b = np.array([["x", "y"]], object), np.array([["x", "z"], ["q", "r"]], object)
     assert pair_costs(a, b).tolist() == [[1, 2]]
+
+
+def _pairs_are_sound(d, a, b):
+    """Every pair has rows of both sides, each as often as it is there at most, and none are equal."""
+    from collections import Counter
+
+    rows = [r for r in d._alike().collect()]
+    assert all(r["v_a"] != r["v_b"] and r["n"] > 0 for r in rows)
+    for side, df in (("a", a), ("b", b)):
+        left = Counter()
+        for r in d.left.where(f"side = '{side}'").collect():
+            left[tuple(r["k"]), tuple(r["v"])] += r["n"]
+        used = Counter()
+        for r in rows:
+            used[tuple(r["k"]), tuple(r[f"v_{side}"])] += r["n"]
+        assert all(left[k] >= n for k, n in used.items())
+    return sum(r["n"] for r in rows), sum(r["n"] * sum(x != y for x, y in zip(r["v_a"], r["v_b"])) for r in rows)
+
+
+def test_large_groups_pair_by_likeness(spark):
+    import random
+
+    rng = random.Random(1)
+    base = [(f"k{i % 2}", f"c{rng.randint(0, 400):04}", f"d{rng.randint(0, 30)}", f"e{i}") for i in range(160)]
+    changed = [(k, f"z{rng.randint(0, 999)}" if rng.random() < 0.3 else c, d if rng.random() < 0.8 else "x", e if rng.random() < 0.7 else "y") for k, c, d, e in base]
+    a, b = (spark.createDataFrame(x, "id string, c string, d string, e string") for x in (base + base[:20], changed[:140]))
+    d = KeyedDiff(a, b, ["id"], FileDialect(), exact_limit=5)
+    n, cells = _pairs_are_sound(d, a, b)
+    ordered = d._in_order().collect()
+    in_order = sum(r["n"] * sum(x != y for x, y in zip(r["v_a"], r["v_b"])) for r in ordered)
+    assert n == sum(r["n"] for r in ordered) and cells < in_order
+    assert d.counts().first()["approximate_groups"] == 2
+
+
+def test_diffs_sort_nothing_to_count(spark):
+    a = spark.range(50).selectExpr("id % 7 as `k``y.x`", "id as v")
+    d = KeyedDiff(a, a.where("v > 3"), ["k`y.x"], FileDialect())
+    plan = d.counts()._jdf.queryExecution().executedPlan().toString() + d._side("a").union(d._side("b")).groupBy("hk1", "hv1").count()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert {r["key"] for r in d.only("a").collect()} == {"0", "1", "2", "3"}
+
+
+def test_all_keys_are_in_scope_unless_cut(spark):
+    a = spark.range(40).selectExpr("cast(id as string) as id", *[f"'x' as c{i}" for i in range(4)])
+    b = spark.range(40).selectExpr("cast(id as string) as id", *[f"'y' as c{i}" for i in range(4)])
+    d = KeyedDiff(a, b, ["id"])
+    assert keyed_diff.keys_in_scope(d).count() == 40
+    assert keyed_diff.keys_in_scope(d, most_diffs=10).count() == 2
