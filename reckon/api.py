@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckon.functions.cells import FileDialect, SqlDialect
-from reckon.operators import catalog, key_guess, keyed_diff, naming, verdicts, verified
+from reckon.functions.names import quoted
+from reckon.operators import catalog, key_guess, keyed_diff, naming, sampling, verdicts, verified
 from reckon.operators.keyed_diff import KeyedDiff, common_columns
-from reckon.plans import catalyst, guard, logic, rewrite, structure
+from reckon.plans import catalyst, empties, guard, logic, rewrite, structure
 from reckon.sources.delimited import read_table
 
 
@@ -108,6 +109,9 @@ def source_diff(a: verified.Source, b: verified.Source, keys: list[str], time_co
     found = result_diff(got[0].rows, got[1].rows, keys, sql_a, sql_b)
     issues = sum(len(g.issues) for g in got)
     found.notes["fetched"] = {"a": got[0], "b": got[1]}
+    counts = [g.account.first()["fetched"] for g in got]
+    if bool(counts[0]) != bool(counts[1]) and (sql := sql_b if counts[0] else sql_a):
+        found.notes["emptied"] = empties.steps(got[0].rows.sparkSession, sql)
     found.verdict = verdicts.incomplete(found.verdict, issues)
     if issues:
         found.scope = found.scope.limit(0)
@@ -115,18 +119,19 @@ def source_diff(a: verified.Source, b: verified.Source, keys: list[str], time_co
 
 
 def table_diff(a: DataFrame, b: DataFrame, keys: list[str] | None = None, limit: int = 500, where_a: str | None = None, where_b: str | None = None) -> dict:
-    """Schemas, counts and, given keys, an ordered sample's difference (whole, if neither side has
-    more than `limit` rows)."""
+    """Schemas, counts and, given keys, the difference of a sample: all rows of the same `limit` keys of
+    both sides (of all keys, if there are no more), with the share of differing keys and its bounds."""
     out: dict = {"schema": catalog.schema_diff(catalog.columns_of(a), catalog.columns_of(b))}
     own = [df.where(w) if w else df for df, w in ((a, where_a), (b, where_b))]
-    counts = [df.count() for df in own]
-    out["rows"] = tuple(counts)
+    out["rows"] = tuple(df.count() for df in own)
     if keys:
         common = common_columns(*own)
-        found = result_diff(*[catalog.ordered_sample(df, common, keys, limit) for df in own], keys)
-        if max(counts) > limit:
+        drawn = sampling.draw(*[df.select(*map(quoted, common)) for df in own], keys, limit, SqlDialect())
+        found = result_diff(drawn.a, drawn.b, keys)
+        if not drawn.whole:
             found.verdict = verdicts.sampled(found.verdict)
-        out["sample"], out["sampled"] = found, max(counts) > limit
+            found.scope = found.scope.limit(0)
+        out["sample"], out["sampled"], out["share"] = found, not drawn.whole, sampling.share(found.diff)
     return out
 
 

@@ -1,41 +1,94 @@
-"""Which common column may be the key of two tables."""
+"""Which columns may be the key of two tables, and which sets of columns of one."""
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckon.functions.cells import KEY_HINTS, MEASURE_HINTS, name_hit, strip
+from reckon.functions.names import quoted
 
 DECIMAL = r"^-?[0-9]+\.[0-9]+$"
 
 
+#: Sketches have 2 ** LG_K cells (a relative error of 0.8 %); estimates count as within SLACK.
+LG_K, SLACK = 14, 0.05
+#: Sets of columns that are looked at in one pass.
+SETS_A_PASS = 200
+
+
+def _sketched(df: DataFrame, sets: list[tuple[str, ...]], cell) -> list[int]:
+    """Estimates of how many distinct values each set of columns has, in one pass for SETS_A_PASS."""
+    out: list[int] = []
+    for at in range(0, len(sets), SETS_A_PASS):
+        some = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*map(cell, cs)), LG_K)).alias(f"d{i}") for i, cs in enumerate(sets[at : at + SETS_A_PASS])]
+        out += list(df.agg(*some).first())
+    return out
+
+
 def guess_keys(a: DataFrame, b: DataFrame, most: int = 4) -> DataFrame:
     """column, unique_rate, blank, score, measure and is_unique of the best common columns.
 
     unique_rate is the lesser of both sides' parts of distinct values (blank is a value); key-like
     names gain, measure-like names and columns of mostly decimals lose, columns further left gain a
-    little. Each side is one aggregation over all columns; the decimal part is taken over all rows."""
+    little. One aggregation of each side counts blanks and decimals and sketches the distinct values of
+    all columns; exact distinct counts are made only of columns that can be among the best by their
+    sketches."""
+    spark = a.sparkSession
     common = [c for c in a.columns if c in set(b.columns)]
     if not common:
-        return a.sparkSession.createDataFrame([], "column string, unique_rate double, blank long, score double, measure boolean, is_unique boolean")
-    cell = lambda c: strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
-
-    def profile(df: DataFrame, side: str) -> DataFrame:
-        # long form, so the distinct counts are two plain aggregations with partial counts
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), cell(c).alias("v")) for i, c in enumerate(common)]))
-        counts = df.select(each.alias("x")).groupBy("x.pos", "x.v").agg(F.count("*").alias("n"))
-        sums = counts.groupBy("pos").agg(F.count("*").alias("d"), F.sum("n").alias("n"), F.sum(F.when(F.col("v") == "", F.col("n")).otherwise(0)).alias("blank"), F.sum(F.when(F.col("v").rlike(DECIMAL), F.col("n")).otherwise(0)).alias("decimal"))
-        return sums.select("pos", *[F.col(c).alias(f"{c}_{side}") for c in ("d", "n", "blank", "decimal")])
-
-    both = profile(a, "a").join(profile(b, "b"), "pos")
-    pick = lambda test: reduce(lambda acc, i: acc | (F.col("pos") == i), [i for i, c in enumerate(common) if test(c)], F.lit(False))
+        return spark.createDataFrame([], "column string, unique_rate double, blank long, score double, measure boolean, is_unique boolean")
+    cell = lambda c: strip(F.coalesce(quoted(c).cast("string"), F.lit("")))
+
+    def profile(df: DataFrame) -> list[tuple[int, int, int, int]]:
+        """(rows, about how many distinct, blank, decimal) of each column."""
+        sums = [[F.hll_sketch_estimate(F.hll_sketch_agg(cell(c), LG_K)), F.count_if(cell(c) == ""), F.count_if(cell(c).rlike(DECIMAL))] for c in common]
+        n, *flat = df.agg(F.count("*").alias("n"), *[x.alias(f"c{i}_{j}") for i, own in enumerate(sums) for j, x in enumerate(own)]).first()
+        return [(n, *flat[3 * i : 3 * i + 3]) for i in range(len(common))]
+
+    sides = profile(a), profile(b)
+    if not all(p[0][0] for p in sides):
+        return spark.createDataFrame([], "column string, unique_rate double, blank long, score double, measure boolean, is_unique boolean")
+    plus, measure = [], []
+    for i, c in enumerate(common):
+        measure.append(sides[0][i][3] > sides[0][i][0] * 0.5 or name_hit(c, MEASURE_HINTS))
+        plus.append(0.35 * name_hit(c, KEY_HINTS) - 0.8 * measure[i] + max(0.0, 0.05 - 0.01 * i))
+    about = [min(p[i][1] / p[i][0] for p in sides) for i in range(len(common))]
+    floor = sorted((min(1.0, r * (1 - SLACK)) + x for r, x in zip(about, plus)), reverse=True)[:most][-1]
+    can = [i for i, (r, x) in enumerate(zip(about, plus)) if min(1.0, r * (1 + SLACK)) + x >= floor - 1e-4]
+
+    def distinct(df: DataFrame, side: str) -> DataFrame:
+        # long form, so the counts are two plain aggregations with partial counts
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), cell(common[i]).alias("v")) for i in can]))
+        return df.select(each.alias("x")).select("x.*").distinct().groupBy("pos").agg(F.count("*").alias(f"d_{side}"))
+
+    known = [(i, common[i], *(p[i][0] for p in sides), sum(p[i][2] for p in sides), plus[i], measure[i]) for i in can]
+    facts = spark.createDataFrame(known, "pos int, column string, n_a long, n_b long, blank long, plus double, measure boolean")
+    both = facts.join(distinct(a, "a"), "pos").join(distinct(b, "b"), "pos")
     rate = F.least(F.col("d_a") / F.col("n_a"), F.col("d_b") / F.col("n_b"))
-    measure = (F.col("decimal_a") > F.col("n_a") * 0.5) | pick(lambda c: name_hit(c, MEASURE_HINTS))
-    score = rate + F.when(pick(lambda c: name_hit(c, KEY_HINTS)), 0.35).otherwise(0.0) - F.when(measure, 0.8).otherwise(0.0) + F.greatest(F.lit(0.0), F.lit(0.05) - F.col("pos") * F.lit(0.01))
-    blank = F.col("blank_a") + F.col("blank_b")
-    names = F.array(*map(F.lit, common))
-    out = both.select(F.get(names, F.col("pos")).alias("column"), F.round(rate, 4).alias("unique_rate"), blank.alias("blank"), F.round(score, 4).alias("score"), measure.alias("measure"), ((rate >= 0.999) & (blank == 0)).alias("is_unique"), "pos")
+    out = both.select("column", F.round(rate, 4).alias("unique_rate"), "blank", F.round(rate + F.col("plus"), 4).alias("score"), "measure", ((rate >= 0.999) & (F.col("blank") == 0)).alias("is_unique"), "pos")
     return out.orderBy(F.desc("score"), "blank", "pos").limit(most).drop("pos")
+
+
+def composite_keys(df: DataFrame, most_columns: int = 3) -> DataFrame:
+    """columns (comma-joined, in df's order) and size of each least set of up to most_columns columns
+    that tells all rows apart (null is a value). Level by level: a set is looked at only if no part of it
+    is a key already, and if its columns' distinct values could make as many combinations as there are
+    rows; of those, a sketch of the combination rules out most, and what is left is counted exactly. No rows
+    have no key."""
+    spark, names = df.sparkSession, df.columns
+    cell = quoted
+    n = df.count()
+    keys: list[tuple[str, ...]] = []
+    single = dict(zip(names, _sketched(df, [(c,) for c in names], cell))) if n else {}
+    for size in range(1, most_columns + 1):
+        sets = [s for s in combinations(names, size) if not any(set(k) <= set(s) for k in keys)]
+        sets = [s for s in sets if prod((1 + SLACK) * single.get(c, 0) for c in s) >= n]
+        about = _sketched(df, sets, cell) if n else []
+        for s, d in zip(sets, about):
+            if d >= (1 - SLACK) * n and df.groupBy(*map(quoted, s)).count().where("count > 1").isEmpty():
+                keys.append(s)
+    return spark.createDataFrame([(",".join(k), len(k)) for k in keys], "columns string, size int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from itertools import combinations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from reckon import api
 from reckon.functions import cells as X
 from reckon.functions import export, literals
-from reckon.operators import catalog, key_guess, keyed_diff, ledger, naming, probes, slicing, verdicts, verified
+from reckon.operators import catalog, key_guess, keyed_diff, ledger, ledger_store, naming, probes, sampling, slicing, verdicts, verified
 from reckon.operators.keyed_diff import KeyedDiff
-from reckon.plans import guard, logic, rewrite, structure
+from reckon.plans import empties, guard, logic, rewrite, structure
 from reckon.sinks.workbook import write_csv, write_workbook
 from reckon.sources import blocks
 from reckon.sources.delimited import read_delimited, text_table
@@ -533,6 +534,19 @@ def key_guess_orders(spark: SparkSession, sf: str) -> DataFrame:
     return key_guess.guess_keys(d.a, d.b)
 
 
+
+_LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+_SETS = [c for n in (1, 2, 3) for c in combinations(_LINE_COLUMNS, n)]
+_IS_KEY = " UNION ALL ".join(f"SELECT '{','.join(c)}' AS columns, {len(c)} AS size, count(*) = (SELECT count(*) FROM lineitem) AS is_key FROM (SELECT DISTINCT {', '.join(c)} FROM lineitem)" for c in _SETS)
+
+
+@query(f"""WITH s AS ({_IS_KEY}) SELECT columns, size FROM s WHERE is_key AND NOT EXISTS (SELECT 1 FROM s AS p WHERE p.is_key AND p.size < s.size
+ AND len(list_intersect(string_split(p.columns, ','), string_split(s.columns, ','))) = p.size)""")
+def composite_keys_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """The least sets of up to three columns that tell all lines apart."""
+    return key_guess.composite_keys(table(spark, sf, "lineitem").select(*_LINE_COLUMNS))
+
+
 # -- ledger ------------------------------------------------------------------------------------------
 
 
@@ -571,6 +585,49 @@ def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.summary(*_ledger(spark, sf, 3))
 
 
+@query(f"{_LEDGER} SELECT pk, col, a, b, kind, first_seen, last_seen, state, tag FROM l")
+def ledger_store_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rounds in a store of buckets, each given twice."""
+    scope = sql(spark, sf, "SELECT CAST(o_orderkey AS STRING) AS pk FROM orders WHERE o_orderkey % 3 = 0", "orders")
+    cells = orders(spark, sf).cells()
+    store = ledger_store.Store(spark, scratch(spark, "ledger"))
+    for i in range(3):
+        for _ in range(2):
+            store.merge(i, _round(cells, _ROUNDS[i]), scope, f"r{i + 1}")
+    return store.entries()
+
+
+# -- samples, empty results ------------------------------------------------------------------------
+
+_LACKS = f"SELECT * FROM ({ORDERS_B}) AS y WHERE k > 400"
+
+
+@query("SELECT CAST(2000 AS BIGINT) AS keys, true AS within, true AS narrow")
+def sample_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of differing keys by a coordinated sample of 2,000, held against that of all keys; one
+    side lacks the first keys."""
+    a, b = sql(spark, sf, ORDERS_A, "orders"), sql(spark, sf, _LACKS, "orders")
+    drawn = sampling.draw(a, b, ["k"], 2000)
+    got = sampling.share(KeyedDiff(drawn.a, drawn.b, ["k"]))
+    true = sampling.share(KeyedDiff(a, b, ["k"])).select(F.col("share").alias("true_share"))
+    both = got.join(true, how="cross")  # one row by one row
+    return both.select("keys", F.col("true_share").between(F.col("low"), F.col("high")).alias("within"), (F.col("high") - F.col("low") < 0.06).alias("narrow"))
+
+
+_STEPS = ["o_totalprice > 1000", "o_orderstatus = 'Q'", "o_custkey % 2 = 0"]
+_EMPTY = "WITH o AS (SELECT * FROM orders WHERE o_orderkey > 0) SELECT o_orderkey, o_totalprice FROM o WHERE " + " AND ".join(_STEPS)
+
+
+@query(f"""SELECT 0 AS place, '(o_orderkey > 0)' AS condition, count(*) AS rows_in, count(*) FILTER (o_orderkey > 0) AS alone, count(*) FILTER (o_orderkey > 0) AS kept, count(*) AS without, false AS cause FROM orders
+ UNION ALL SELECT 1, '(o_totalprice > 1000)', count(*), count(*) FILTER ({_STEPS[0]}), count(*) FILTER ({_STEPS[0]}), 0, false FROM orders
+ UNION ALL SELECT 2, '(o_orderstatus = ''Q'')', count(*), 0, 0, count(*) FILTER ({_STEPS[0]} AND {_STEPS[2]}), true FROM orders
+ UNION ALL SELECT 3, '((o_custkey % 2) = 0)', count(*), count(*) FILTER ({_STEPS[2]}), 0, 0, false FROM orders""")
+def empty_result_cause(spark: SparkSession, sf: str) -> DataFrame:
+    """The condition that leaves a query without rows, among all its conditions."""
+    views(spark, sf, "orders")
+    return empties.steps(spark, _EMPTY).drop("kind")
+
+
 # -- SQL texts ---------------------------------------------------------------------------------------
 
 SQL_A = """WITH base AS (SELECT o_orderkey, o_custkey, o_orderdate FROM ods.orders WHERE o_orderstatus = 'F' -- done

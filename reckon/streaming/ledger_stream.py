@@ -1,7 +1,8 @@
 """A ledger kept by a stream: each micro-batch of differences is a round.
 
-Every round writes a new version of the ledger below the path, named by its batch number, so a batch
-that runs again after a failure starts from the version before it and writes the same one.
+The ledger is a store in buckets (operators/ledger_store.py), and a round's number is its batch's, so
+a batch writes only the buckets that it touches, and one that runs again after a failure either finds
+its round done or writes it whole.
 """
 
 from __future__ import annotations
@@ -10,24 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reckon.operators import ledger
+from reckon.operators.ledger_store import Store
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest version below path (older than batch `before`), or an empty ledger."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = []
-    if fs.exists(at):
-        for s in fs.listStatus(at):
-            name = s.getPath().getName()
-            if name.startswith("round=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                versions.append(int(name.split("=")[1]))
-    versions = [v for v in versions if before is None or v < before]
-    if not versions:
-        return spark.createDataFrame([], ledger.SCHEMA)
-    return spark.read.schema(ledger.SCHEMA).parquet(f"{path}/round={max(versions)}")
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger below path, or an empty one."""
+    return Store(spark, path).entries()
 
 
 def start(diffs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -40,6 +29,6 @@ def start(diffs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         if label is None:
             return
         real = batch.where("col <> ''").select("pk", "col", "a", "b", "kind")
-        ledger.merge(current(spark, path, number), real, batch.select("pk"), label).write.mode("overwrite").parquet(f"{path}/round={number}")
+        Store(spark, path).merge(number, real, batch.select("pk"), label)
 
     return diffs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
