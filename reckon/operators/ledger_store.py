@@ -1,6 +1,6 @@
 """The ledger as a store in buckets, of which a round rewrites only those that it touches.
 
-Entries lie by hash of pk in BUCKETS folders. A round reads the buckets of its differences and of its
+Entries lie by hash of pk in as many folders as the ledger has buckets. A round reads the buckets of its differences and of its
 scope, writes them anew below a folder of its own, and then writes a manifest that says where each
 bucket is; the manifest's appearance is what makes the round count. A reader takes the newest manifest,
 so it sees a round whole or not at all, and a round that fails leaves files that nobody reads. A round is
@@ -19,15 +19,16 @@ from reckon.operators import ledger
 BUCKETS = 1024
 
 
-def bucket(pk: Column | str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(pk) if isinstance(pk, str) else pk, F.lit(""))), F.lit(BUCKETS)).cast("int")
+def bucket(pk: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(pk) if isinstance(pk, str) else pk, F.lit(""))), F.lit(buckets)).cast("int")
 
 
 class Store:
-    """A ledger below a path of any file system that Spark reads."""
+    """A ledger below a path of any file system that Spark reads. buckets counts for a new one; a ledger
+    keeps the number that it has."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.jvm = spark._jvm
         self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -47,12 +48,14 @@ class Store:
         if not known:
             return {}
         text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/manifests/{known[-1]}.json", wholetext=True).collect())
-        return {int(k): v for k, v in json.loads(text).items()}
+        held = json.loads(text)
+        self.buckets = held["buckets"]
+        return {int(k): v for k, v in held["folders"].items()}
 
     def _swap(self, number: int, new: dict[int, str]) -> None:
         """Writes a manifest under another name and renames it, so it is there whole or not at all."""
         out = self.fs.create(self._at(f"manifests/{number}.json.part"), True)
-        out.write(bytearray(json.dumps(new).encode()))
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "folders": new}).encode()))
         out.close()
         if not self.fs.rename(self._at(f"manifests/{number}.json.part"), self._at(f"manifests/{number}.json")):
             raise RuntimeError(f"round {number} was written by another writer")
@@ -71,9 +74,9 @@ class Store:
         if number in self.rounds():
             return 0
         now = self.manifest(number)
-        touched = sorted(r[0] for r in diffs.select("pk").union(scope.select("pk")).select(bucket("pk")).distinct().collect())  # at most BUCKETS
+        touched = sorted(r[0] for r in diffs.select("pk").union(scope.select("pk")).select(bucket("pk", self.buckets)).distinct().collect())  # at most as many as there are buckets
         before = self._read([now[b] for b in touched if b in now])
-        after = ledger.merge(before, diffs, scope, label).withColumn("bucket", bucket("pk"))
+        after = ledger.merge(before, diffs, scope, label).withColumn("bucket", bucket("pk", self.buckets))
         after.repartition(max(1, min(len(touched), 64)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/round={number}")
         wrote = {b: f"round={number}/bucket={b}" for b in touched if self.fs.exists(self._at(f"round={number}/bucket={b}"))}
         self._swap(number, now | wrote)

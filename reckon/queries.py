@@ -590,7 +590,7 @@ def ledger_store_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The same rounds in a store of buckets, each given twice."""
     scope = sql(spark, sf, "SELECT CAST(o_orderkey AS STRING) AS pk FROM orders WHERE o_orderkey % 3 = 0", "orders")
     cells = orders(spark, sf).cells()
-    store = ledger_store.Store(spark, scratch(spark, "ledger"))
+    store = ledger_store.Store(spark, scratch(spark, "ledger"), 32)
     for i in range(3):
         for _ in range(2):
             store.merge(i, _round(cells, _ROUNDS[i]), scope, f"r{i + 1}")
@@ -619,9 +619,9 @@ _EMPTY = "WITH o AS (SELECT * FROM orders WHERE o_orderkey > 0) SELECT o_orderke
 
 
 @query(f"""SELECT 0 AS place, '(o_orderkey > 0)' AS condition, count(*) AS rows_in, count(*) FILTER (o_orderkey > 0) AS alone, count(*) FILTER (o_orderkey > 0) AS kept, count(*) AS without, false AS cause FROM orders
- UNION ALL SELECT 1, '(o_totalprice > 1000)', count(*), count(*) FILTER ({_STEPS[0]}), count(*) FILTER ({_STEPS[0]}), 0, false FROM orders
- UNION ALL SELECT 2, '(o_orderstatus = ''Q'')', count(*), 0, 0, count(*) FILTER ({_STEPS[0]} AND {_STEPS[2]}), true FROM orders
- UNION ALL SELECT 3, '((o_custkey % 2) = 0)', count(*), count(*) FILTER ({_STEPS[2]}), 0, 0, false FROM orders""")
+ UNION ALL SELECT 1, '(o_totalprice > 1000)', count(*), count(*) FILTER ({_STEPS[0]}), count(*) FILTER ({_STEPS[0]}), 0, false FROM orders WHERE o_orderkey > 0
+ UNION ALL SELECT 2, '(o_orderstatus = ''Q'')', count(*), 0, 0, count(*) FILTER ({_STEPS[0]} AND {_STEPS[2]}), true FROM orders WHERE o_orderkey > 0
+ UNION ALL SELECT 3, '((o_custkey % 2) = 0)', count(*), count(*) FILTER ({_STEPS[2]}), 0, 0, false FROM orders WHERE o_orderkey > 0""")
 def empty_result_cause(spark: SparkSession, sf: str) -> DataFrame:
     """The condition that leaves a query without rows, among all its conditions."""
     views(spark, sf, "orders")
@@ -937,7 +937,7 @@ def ledger_stream_rounds(spark: SparkSession, sf: str) -> DataFrame:
     for i in (0, 1):
         one = _round(cells, _ROUNDS[i]).withColumn("round", F.lit(f"r{i + 1}"))
         one.coalesce(1).write.mode("append").parquet(source)
-        ledger_stream.start(spark.readStream.schema(schema).parquet(source), target, f"{target}-checkpoint").awaitTermination()
+        ledger_stream.start(spark.readStream.schema(schema).parquet(source), target, f"{target}-checkpoint", 32).awaitTermination()
     return ledger_stream.current(spark, target)
 
 

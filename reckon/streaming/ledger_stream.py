@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reckon.operators.ledger_store import Store
+from reckon.operators.ledger_store import BUCKETS, Store
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +19,7 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return Store(spark, path).entries()
 
 
-def start(diffs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start(diffs: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Merges the stream diffs (pk, col, a, b, kind, and round: a label) into the ledger at path.
     Rows with an empty col say only that their pk was looked at in the round."""
 
@@ -29,6 +29,6 @@ def start(diffs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         if label is None:
             return
         real = batch.where("col <> ''").select("pk", "col", "a", "b", "kind")
-        Store(spark, path).merge(number, real, batch.select("pk"), label)
+        Store(spark, path, buckets).merge(number, real, batch.select("pk"), label)
 
     return diffs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -203,7 +203,7 @@ def test_ledger_of_a_stream(spark, tmp_path):
     schema = ledger.DIFF_SCHEMA + ", round string"
     for i, rows in enumerate(([("1", "c", "a", "b", "diff", "r0"), ("2", "c", "a", "b", "diff", "r0")], [("1", "", None, None, "", "r1"), ("2", "c", "a", "x", "diff", "r1")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        ledger_stream.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+        ledger_stream.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", 16).awaitTermination()
         assert ledger_stream.current(spark, f"{tmp_path}/out").count() == 2, i
     got = {r["pk"]: (r["state"], r["b"]) for r in ledger_stream.current(spark, f"{tmp_path}/out").collect()}
     assert got == {"1": (ledger.FIXED, "b"), "2": (ledger.OPEN, "x")}
