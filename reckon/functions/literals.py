@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckon.functions.cells import strip
+from reckon.functions.names import quoted
 from reckon.operators.ranks import running_counts
 from reckon.plans.catalyst import strip_comments
 
@@ -34,7 +35,7 @@ _TOKEN = re.compile(
 )
 # First words of parts of a CREATE TABLE that are no columns.
 _KEYED = ("primary", "unique", "foreign", "duplicate", "aggregate")
-_PARTS = ("key", "index", "constraint", "check", "partition", "fulltext", "spatial")
+_PARTS = ("key", "index", "constraint", "check", "partition", "fulltext", "spatial", "exclude", "period", "like")
 _OTHER_TYPES = ("date", "datetime", "time", "timestamp", "array", "map", "struct", "variant", "bit", "enum", "set", "year", "hll", "bitmap")
 
 
@@ -48,12 +49,17 @@ def _scan(ddl: str) -> list[tuple[str, str]]:
 
 
 def _no_column(words: list[tuple[str, str]]) -> bool:
-    """Whether the tokens of a part begin a key, an index, a constraint or a partition."""
+    """Whether the tokens of a part begin a key, an index, a constraint or a partition. A column that is
+    called as such a part has a type after its name: a whole word of the types, and then its size, an
+    attribute or nothing; an index has a list of names."""
     low = [t.lower() if kind == "word" else None for kind, t in words[:2]] + [None, None]
     if low[0] in _KEYED:
         return low[1] in ("key", "index") or len(words) > 1 and words[1] == ("sign", "(")
-    known = bool(low[1]) and low[1].startswith((*NUMERIC_TYPES, *TEXT_TYPES, *_OTHER_TYPES))
-    return low[0] in _PARTS and not known
+    if low[0] not in _PARTS:
+        return False
+    typed = low[1] in (*NUMERIC_TYPES, *TEXT_TYPES, *_OTHER_TYPES)
+    listed = len(words) > 3 and words[2] == ("sign", "(") and words[3][0] in ("word", "name")
+    return not typed or listed
 
 
 def parse_ddl(ddl: str) -> tuple[str, list[ColumnDef]]:

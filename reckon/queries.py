@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from itertools import combinations
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +14,10 @@ from reckon.functions import export, literals
 from reckon.operators import catalog, key_guess, keyed_diff, ledger, ledger_store, naming, probes, sampling, slicing, verdicts, verified
 from reckon.operators.keyed_diff import KeyedDiff
 from reckon.plans import empties, guard, logic, rewrite, structure
-from reckon.sinks.workbook import write_csv, write_workbook
+from reckon.sinks.workbook import write_csv, write_workbooks
 from reckon.sources import blocks
 from reckon.sources.delimited import read_delimited, text_table
-from reckon.sources.workbook import each_sheet, table_of
+from reckon.sources.workbook import read_workbooks
 from reckon.store import keep, scratch
 from reckon.streaming import ledger_stream
 from reckon.tables import sql, table, views
@@ -324,23 +322,24 @@ def likeness_pairing(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- schemas, catalogs, names ------------------------------------------------------------------------
 
-_COLS_A = [("o_orderkey", "bigint", False), ("o_custkey", "bigint", True), ("o_orderstatus", "varchar(10)", True), ("o_totalprice", "decimal(18,2)", True), ("O_CLERK", "string", True), ("tags", "array<int>", True)]
-_COLS_B = [("o_orderkey", "bigint", True), ("o_custkey", "int", True), ("O_OrderStatus", "varchar(20)", True), ("o_totalprice", "decimal(18,2)", True), ("o_comment", "string", True), ("tags", "array<string>", True)]
-
-
 def _values(rows: list[tuple]) -> str:
     cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
     return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 
-@query(f"""WITH a AS (SELECT * FROM (VALUES {_values(_COLS_A)}) AS t(name, type, nullable)), b AS (SELECT * FROM (VALUES {_values(_COLS_B)}) AS t(name, type, nullable)),
- j AS (SELECT coalesce(a.name, b.name) AS name, a.type AS type_a, b.type AS type_b, a.nullable AS nullable_a, b.nullable AS nullable_b,
-  CASE WHEN a.name IS NULL OR b.name IS NULL THEN '' WHEN trim(lower(regexp_extract(a.type, '^[^(<]*'))) <> trim(lower(regexp_extract(b.type, '^[^(<]*'))) THEN '类型不同'
-   WHEN a.type <> b.type THEN '仅长度/精度不同' WHEN a.nullable <> b.nullable THEN '可空性不同' ELSE '' END AS kind, a.name AS an, b.name AS bn
-  FROM a FULL JOIN b ON lower(a.name) = lower(b.name))
- SELECT name, CASE WHEN bn IS NULL THEN 'only_a' WHEN an IS NULL THEN 'only_b' WHEN kind <> '' THEN 'differs' ELSE 'same' END AS status, kind, type_a, type_b, nullable_a, nullable_b FROM j""")
+_CHANGED = "SELECT o_orderkey, CAST(o_custkey AS INT) AS o_custkey, o_orderstatus AS O_OrderStatus, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, CAST(o_totalprice AS DECIMAL(10,4)) AS price, CAST(o_orderdate AS DATE) AS day, o_orderpriority FROM orders"
+_ORIGINAL = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice, o_totalprice AS price, CAST(o_orderdate AS DATE) AS o_orderdate, coalesce(o_orderpriority, '') AS o_orderpriority FROM orders"
+_SCHEMA_ROWS = [
+    ("day", "only_b", "", None, "date", None, True), ("o_custkey", "differs", "类型不同", "bigint", "int", True, True), ("o_orderdate", "only_a", "", "date", None, True, None),
+    ("o_orderkey", "same", "", "bigint", "bigint", True, True), ("o_orderpriority", "differs", "可空性不同", "string", "string", False, True), ("o_orderstatus", "same", "", "string", "string", True, True),
+    ("o_totalprice", "differs", "仅长度/精度不同", "decimal(12,2)", "decimal(18,2)", True, True), ("price", "differs", "类型不同", "double", "decimal(10,4)", True, True),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_values(_SCHEMA_ROWS)}) AS t(name, status, kind, type_a, type_b, nullable_a, nullable_b)")
 def schema_diff(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (spark.createDataFrame(rows, "name string, type string, nullable boolean") for rows in (_COLS_A, _COLS_B))
+    """The schema of orders and of a changed form of it."""
+    a, b = (catalog.columns_of(sql(spark, sf, q, "orders")) for q in (_ORIGINAL, _CHANGED))
     return catalog.schema_diff(a, b)
 
 
@@ -382,16 +381,17 @@ def table_name_map(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_TARGETS = [("target_shop_orders",), ("target_shop_eu_orders",), ("target_shop_eu_",), ("target_crm_a_b",), ("target_x_y",), ("other",), ("target_shop",)]
-_DBS = [("shop",), ("shop_eu",), ("crm",)]
-_SPLIT = f"""WITH t AS (SELECT * FROM (VALUES {_values(_TARGETS)}) AS t(name)), d AS (SELECT * FROM (VALUES {_values(_DBS)}) AS d(db)),
+_TARGETS = """SELECT CASE WHEN c_custkey % 7 = 0 THEN 'other_' WHEN c_custkey % 11 = 0 THEN 'target_none_' ELSE 'target_' || lower(c_mktsegment) END
+ || CASE c_custkey % 4 WHEN 0 THEN '_eu_t' WHEN 1 THEN '_' WHEN 2 THEN '_eu_' ELSE '' END || c_custkey AS name FROM customer"""
+_DBS = "SELECT DISTINCT lower(c_mktsegment) AS name FROM customer UNION SELECT DISTINCT lower(c_mktsegment) || '_eu' AS name FROM customer WHERE length(c_mktsegment) > 8"
+_SPLIT = f"""WITH t AS ({_TARGETS}), d AS (SELECT name AS db FROM ({_DBS})),
  m AS (SELECT t.name, d.db, row_number() OVER (PARTITION BY t.name ORDER BY length(d.db) DESC) AS rn FROM t JOIN d ON starts_with(t.name, 'target_' || d.db || '_')),
  s AS (SELECT t.name, coalesce(m.db, '') AS db, coalesce(substr(t.name, length('target_' || m.db || '_') + 1), '') AS source FROM t LEFT JOIN m ON m.name = t.name AND m.rn = 1)"""
 
 
 @query(f"{_SPLIT} SELECT * FROM s")
 def prefix_split(spark: SparkSession, sf: str) -> DataFrame:
-    return naming.split_by_database(spark.createDataFrame(_TARGETS, "name string"), spark.createDataFrame(_DBS, "name string"))
+    return naming.split_by_database(sql(spark, sf, _TARGETS, "customer"), sql(spark, sf, _DBS, "customer"))
 
 
 @query(f"{_SPLIT} SELECT CASE WHEN starts_with(name, 'target_') THEN split_part(substr(name, 8), '_', 1) ELSE '(none)' END AS word, CAST(count(*) AS BIGINT) AS n FROM s WHERE db = '' GROUP BY 1")
@@ -868,9 +868,22 @@ _EXPORT_OUT = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{t}', {'NULL' if f is None else chr(39) + f + chr(39)})" for i, (k, t, f) in enumerate(_EXPORT_OUT)) + ") AS t(id, kind, text, format)")
+#: Cells of customers by key modulo 6, and what they are: kind, text, format.
+_CELL_KINDS = (
+    ("CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING)", "'number'", "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING)", "'#,##0.00'"), ("'0' || c_custkey", "'text'", "'0' || c_custkey", "'@'"),
+    ("c_custkey || '%'", "'percent'", "CAST(c_custkey AS STRING)", "'0%'"), ("'1,' || (100 + c_custkey % 900)", "'number'", "'1' || (100 + c_custkey % 900)", "'#,##0'"),
+    ("'2024-01-' || (10 + c_custkey % 20)", "'date'", "'2024-01-' || (10 + c_custkey % 20)", "'yyyy-mm-dd'"), ("'=' || c_name", "'text'", "chr(39) || '=' || c_name", "NULL"),
+)
+
+
+def _by_six(k: int) -> str:
+    return "CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN {own[k]}" for i, own in enumerate(_CELL_KINDS)) + " END"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{k}', '{t}', {'NULL' if f is None else chr(39) + f + chr(39)})" for i, (k, t, f) in enumerate(_EXPORT_OUT)) + f") AS t(id, kind, text, format) UNION ALL SELECT c_custkey, {_by_six(1)}, {_by_six(2).replace('STRING', 'VARCHAR')}, {_by_six(3)} FROM customer")
 def export_cell_kind(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, h, v) for i, (h, v) in enumerate(_EXPORT)], "id int, h string, v string")
+    rows = spark.createDataFrame([(-1 - i, h, v) for i, (h, v) in enumerate(_EXPORT)], "id long, h string, v string")
+    rows = rows.union(sql(spark, sf, f"SELECT c_custkey AS id, 'qty' AS h, {_by_six(0)} AS v FROM customer", "customer"))
     x = F.lit(None)
     for h in dict.fromkeys(h for h, _ in _EXPORT):
         x = F.when(F.col("h") == h, export.cell_kind(F.col("v"), h)).otherwise(x)
@@ -899,33 +912,40 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read_delimited(spark, file, ",")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS priority FROM orders WHERE o_orderkey <= 200")
+def _through_workbooks(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = scratch(spark, "xlsx")
+    write_workbooks(rows, path, rows.columns[:1])
+    return read_workbooks(spark, path, rows.columns)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment FROM customer")
 def xlsx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows that its SQL asks for, out of the workbook of all orders."""
-    return xlsx_round_trip_all(spark, sf).where("CAST(id AS BIGINT) <= 200")
+    return _through_workbooks(spark, table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS priority FROM orders")
 def xlsx_round_trip_all(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("priority"))
-    back = scratch(spark, "xlsx")
-    with tempfile.NamedTemporaryFile(suffix=".xlsx") as file:  # written and read by the driver, which holds one sheet's rows
-        write_workbook(file.name, {"orders": rows.orderBy("id")}, split=True)
-        for sheet in each_sheet(Path(file.name).read_bytes()):
-            headers, found = table_of(sheet)
-            spark.createDataFrame([tuple(r) for _, r in found], ", ".join(f"`{h}` string" for h in headers)).write.mode("append").parquet(back)
-    return spark.read.parquet(back)
+    return _through_workbooks(spark, table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("priority")))
 
 
-@query("SELECT * FROM (VALUES (2, '1', 'a, b', '2'), (3, '', '', ''), (4, '3', 'c', '')) AS t(_row, 编号, 备注, 金额)")
+@query("SELECT CAST(2 * row_number() OVER (ORDER BY n_nationkey) AS INT) AS _row, CAST(n_nationkey AS VARCHAR) AS 编号, n_name || ', ' || n_regionkey AS 备注, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'x' END AS 金额 FROM nation UNION ALL SELECT CAST(1 + 2 * row_number() OVER (ORDER BY n_nationkey) AS INT), '', '', '' FROM nation WHERE n_nationkey < (SELECT max(n_nationkey) FROM nation)")
 def text_table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return text_table(spark, "\n编号,备注,金额\n1,\"a, b\",2\n\n3,c,\n")
+    """The nations as pasted text, with a blank line between each two."""
+    lines = [f'{r["n_nationkey"]},"{r["n_name"]}, {r["n_regionkey"]}",{"" if r["n_nationkey"] % 3 == 0 else "x"}' for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
+    return text_table(spark, "\n编号,备注,金额\n" + "\n\n".join(lines) + "\n")
+
+
+_BLOCKS = "SELECT CAST(event_id - event_id % 12 AS STRING) AS image, event_type || event_id AS text, CAST((event_id % 12 - event_id % 3) / 3 AS INT) AS r, CAST(event_id % 3 AS INT) AS c FROM events"
 
 
-@query("SELECT * FROM (VALUES ('i', 1, ['c00', 'c01', 'c02']), ('i', 2, ['c10', 'c11', 'c12']), ('i', 3, ['c20', 'c21', 'c22'])) AS t(image, \"row\", cells)")
+@query(f"""WITH b AS ({_BLOCKS.replace('STRING', 'VARCHAR')}), rs AS (SELECT DISTINCT image, r FROM b), cs AS (SELECT DISTINCT image, c FROM b)
+ SELECT rs.image, CAST(row_number() OVER (PARTITION BY rs.image ORDER BY rs.r) AS INT) AS "row", list(coalesce(b.text, '') ORDER BY cs.c) AS cells
+ FROM rs JOIN cs USING (image) LEFT JOIN b ON b.image = rs.image AND b.r = rs.r AND b.c = cs.c GROUP BY rs.image, rs.r""")
 def block_tables(spark: SparkSession, sf: str) -> DataFrame:
-    cells = [("i", f"c{r}{c}", 0.1 + 0.2 * c + 0.001 * r, 0.1 * r, 0.05, 0.04) for r in range(3) for c in range(3)]
-    return blocks.tables(spark.createDataFrame(cells, "image string, text string, x double, y double, w double, h double"))
+    """Events as blocks of images, twelve on each, in rows that lean a little."""
+    b = sql(spark, sf, _BLOCKS, "events")
+    place = {"x": 0.1 + 0.2 * F.col("c") + 0.001 * F.col("r"), "y": 0.1 * F.col("r"), "w": F.lit(0.05), "h": F.lit(0.04)}
+    return blocks.tables(b.withColumns(place).select("image", "text", "x", "y", "w", "h"))
 
 
 @query(f"{_LEDGER} SELECT pk, col, a, b, kind, first_seen, CASE q WHEN 1 THEN 'r1' ELSE 'r2' END AS last_seen, '未修复' AS state, tag FROM l")

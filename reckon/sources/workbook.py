@@ -15,8 +15,11 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from reckon.ship import ship
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 #: Rows of a sheet that are looked at to choose among sheets.
@@ -182,3 +185,20 @@ def list_sheets(spark: SparkSession, path: str) -> DataFrame:
     """name, rows, cols and filled of each sheet."""
     found = sheets(_bytes(spark, path))
     return spark.createDataFrame([(s.name, len(s.grid), max(map(len, s.grid), default=0), s.filled) for s in found], "name string, rows int, cols int, filled int")
+
+
+def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The rows of all workbooks below path as text, by executors, a file at a time: of each sheet those
+    of the columns that it has, null for others. Blank rows are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                for sheet in each_sheet(data):
+                    headers, rows = table_of(sheet)
+                    at = [headers.index(c) if c in headers else None for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([None if k is None else r[k] for _, r in rows], pa.string()) for k in at], names=[f"c{k}" for k in range(len(columns))])
+
+    ship(spark)
+    return files.mapInArrow(read, ", ".join(f"c{k} string" for k in range(len(columns)))).toDF(*columns)
