@@ -28,16 +28,21 @@ SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range
 
 
 def kind_of(data_type: T.DataType) -> str:
-    """text, whole or decimal numbers, or other: what a column's cells can look like as text."""
+    """text, whole numbers, plain decimals (of up to six places, which Spark writes without an exponent),
+    decimals, or other: what a column's cells can look like as text."""
     if isinstance(data_type, T.StringType):
         return "text"
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "whole"
-    return "decimal" if isinstance(data_type, T.DecimalType) and data_type.scale > 0 else "other"
+    if isinstance(data_type, T.DecimalType) and data_type.scale > 0:
+        return "plain" if data_type.scale <= 6 else "decimal"
+    return "other"
 
 
 def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(SPACE))
+    """c without outer white space; a text that begins and ends with visible ASCII has none."""
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.when(visible(c) & visible(F.right(c, F.lit(1))), c).otherwise(F.trim(c, F.lit(SPACE)))
 
 
 def trim_number(c: Column) -> Column:
@@ -67,8 +72,8 @@ class FileDialect:
         s = F.coalesce(c.cast("string"), F.lit(""))
         if kind == "whole":
             return s
-        if kind == "decimal":
-            return s if self.strict_numeric else trim_number(s)
+        if kind in ("plain", "decimal"):
+            return s if self.strict_numeric else _short(s) if kind == "plain" else trim_number(s)
         if self.trim_whitespace:
             s = strip(s)
         low = F.lower(s)
@@ -129,6 +134,8 @@ class SqlDialect:
         number, s = F.lit("number|"), c.cast("string")
         if kind == "whole":
             return F.coalesce(F.concat(number, s), F.lit("null|"))
+        if kind == "plain":
+            return F.coalesce(F.concat(number, _short(s)), F.lit("null|"))
         if kind == "decimal":  # of one kind, without outer white space or leading zeros
             return F.when(c.isNull(), "null|").when(_plain_decimal(s), F.concat(number, _short(s))).otherwise(let(s, of))
         first = F.substr(s, F.lit(1), F.lit(1))
