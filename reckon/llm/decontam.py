@@ -1,11 +1,13 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared lower-cased, with each run of white space as one blank. An item's passages are
-its windows of WINDOW characters, every STRIDE and one at its end (a shorter item is one passage).
-A document is contaminated by an item if a region of it is within the edit budget (RATE of the
-passage's length) of one of the passages; so a copied part of an item of WINDOW + STRIDE - 1
-characters is always found, however little of the item it is, and an item whose words are partly
-replaced is found by the windows that have few of them.
+its windows of WINDOW characters, every STRIDE and one at its end (a shorter item is one passage). A
+passage is found in a document if a region is within the edit budget (RATE of the passage's length).
+A document is contaminated by an item if the passages found, with the q-grams that the item shares with
+the region around them (its own length before and after), cover COVER characters of the item, or PART
+of it if that is less. So one passage alone, which may be a turn of phrase ("which of the following
+statements is true"), is no proof, unless the item is little longer; while an item whose words are
+partly replaced is found by one passage that has few of them and by what is left between the others.
 
 By the q-gram lemma a region within e edits of a passage of m characters shares at least
 m - Q + 1 - Q e of its q-grams, all on diagonals of a band of e either way. So:
@@ -20,10 +22,9 @@ characters say too little for edits: they match where they stand verbatim and ar
 word, found by a look-up of each text's substrings of their lengths.
 
 The benchmark is never on the driver: its passages are cut by executors and written to the shared
-folder in blocks of about BLOCK_CHARS (by hash of the passage, so copies meet and blocks are even); a
-task reads the blocks one after the other, and holds one or two. Documents are read once, whatever
-the benchmark's size. Matches come back as (row, passage), and a join with the table of passages
-tells the items.
+folder in blocks of about BLOCK_CHARS (by hash of the item, so all passages of an item are in one
+block, and blocks are even); a task reads the blocks one after the other, and holds one or two.
+Documents are read once, whatever the benchmark's size, and nothing is shuffled.
 
 Defined cases: null and empty texts and items match nothing; repeated rows, of documents or of the
 benchmark, give repeated results; a null doc_id or item_id is carried; other columns are not looked at.
@@ -31,6 +32,7 @@ benchmark, give repeated results; a null doc_id or item_id is carried; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -48,6 +50,9 @@ Q = 9
 RATE = 0.06
 WINDOW = 36
 STRIDE = 12
+#: Characters of an item that passages must cover, and the part of a short one.
+COVER = 52
+PART = 0.8
 #: Items shorter than this match verbatim only.
 SHORT = 32
 BLOCK_CHARS = 2_000_000
@@ -264,39 +269,112 @@ def search(index: Index, low: list[str]) -> list[list[Hit]]:
     return out
 
 
+# -- items ------------------------------------------------------------------------------------------
+
+
+class Item(NamedTuple):
+    row: int
+    item_id: int | None
+    length: int
+
+
+class Block:
+    """Items with the index of their passages; places: of each passage, the items that have it and
+    where it stands in them; grams: the q-grams of each item."""
+
+    def __init__(self, rows: list[tuple[int, int | None, str, int, str]]):
+        """rows: (item_row, item_id, the item's text with its first passage and else '', at, passage)."""
+        whole = {r[0]: (r[1], r[2]) for r in rows if r[2]}
+        self.items = [Item(row, item_id, len(text)) for row, (item_id, text) in whole.items()]
+        self.grams = [_grams(_codes(text)) for _, text in whole.values()]
+        number = {x.row: i for i, x in enumerate(self.items)}
+        self.index = Index(sorted({r[4] for r in rows}))
+        of = {p: k for k, p in enumerate(self.index.texts)}
+        self.places: list[list[tuple[int, int]]] = [[] for _ in self.index.texts]
+        for row, _, _, at, passage in rows:
+            self.places[of[passage]].append((number[row], at))
+
+    def proven(self, text: str, hits: list[Hit]) -> dict[int, list[Hit]]:
+        """The items (by number) that passages found in a text prove, with these."""
+        found: dict[int, list[tuple[int, Hit]]] = {}
+        for h in hits:
+            for item, at in self.places[h.passage]:
+                found.setdefault(item, []).append((at, h))
+        out = {}
+        for i, own in found.items():
+            n = self.items[i].length
+            has = np.zeros(n, bool)
+            for at, h in own:
+                has[at : at + len(self.index.texts[h.passage])] = True
+            if has.sum() < needed(n):
+                starts, ends = [h.start for _, h in own], [h.end for _, h in own]
+                for a, z in _joined([(max(0, a - n), min(len(text), z + n)) for a, z in zip(starts, ends)]):
+                    for at in np.nonzero(np.isin(self.grams[i], _grams(_codes(text[a:z]))))[0].tolist():
+                        has[at : at + Q] = True
+            if has.sum() >= needed(n):
+                out[i] = [h for _, h in own]
+        return out
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans with those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def needed(length: int) -> int:
+    """Characters of an item of this length that must be found."""
+    return min(COVER, math.ceil(PART * length)) if length >= SHORT else length
+
+
 # -- the benchmark, in blocks in the shared folder --------------------------------------------------
 
 
 def passage_table(benchmark: DataFrame) -> DataFrame:
-    """item_row (its number), item_id and passage, each once for an item, kept in the shared folder."""
+    """item_row (its number), item_id, item (its text as compared, beside its first passage only), at and
+    passage: each passage once for an item, kept in the shared folder."""
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(r, i, p) for r, i, t in zip(*(b.column(c).to_pylist() for c in ("item_row", "item_id", "text"))) for p in dict.fromkeys(p for _, p in passages(compared(t)))]
-        return pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in rows], kind) for k, (c, kind) in enumerate((("item_row", pa.int64()), ("item_id", pa.int64()), ("passage", pa.string())))})
+        rows = []
+        for r, i, t in zip(*(b.column(c).to_pylist() for c in ("item_row", "item_id", "text"))):
+            low = compared(t)
+            first: dict[str, int] = {}
+            for at, p in passages(low):
+                first.setdefault(p, at)
+            rows += [(r, i, low if at == 0 else "", at, p) for p, at in first.items()]
+        kinds = {"item_row": pa.int64(), "item_id": pa.int64(), "item": pa.string(), "at": pa.int32(), "passage": pa.string()}
+        return pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in rows], kind) for k, (c, kind) in enumerate(kinds.items())})
 
     numbered = benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col("item_id").cast("long").alias("item_id"), "text")
-    return through_store(map_arrow(numbered, cut, "item_row long, item_id long, passage string"), "passages")
+    return through_store(map_arrow(numbered, cut, "item_row long, item_id long, item string, at int, passage string"), "passages")
 
 
 def write_blocks(table: DataFrame) -> tuple[str, int]:
-    """Distinct passages by block below a folder of the shared store: its path, and how many blocks."""
+    """Passages by block below a folder of the shared store: its path, and how many blocks."""
     total = table.agg(F.sum(F.length("passage"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     path = shared_dir(table.sparkSession, "passage-blocks")
     if n:
-        distinct = table.select("passage", F.pmod(F.xxhash64("passage"), F.lit(n)).cast("int").alias("block")).distinct()
-        distinct.repartition(min(n, 64), "block").write.partitionBy("block").parquet(path)
+        by_block = table.withColumn("block", F.pmod(F.xxhash64("item_row"), F.lit(n)).cast("int"))
+        by_block.repartition(min(n, 64), "block").write.partitionBy("block").parquet(path)
     return path, n
 
 
 @lru_cache(maxsize=2)
-def _block(path: str, i: int) -> Index:
-    """The index of a block; one without passages is empty."""
+def _block(path: str, i: int) -> Block:
+    """A block; one without passages is empty."""
     store, own = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1))
     at = f"{own}/block={i}"
     if store.get_file_info(at).type == fs.FileType.NotFound:
-        return Index([])
-    return Index(sorted(pq.read_table(at, filesystem=store, partitioning=None, columns=["passage"]).column(0).to_pylist()))
+        return Block([])
+    names = ["item_row", "item_id", "item", "at", "passage"]
+    t = pq.read_table(at, filesystem=store, partitioning=None, columns=names)
+    return Block(sorted(zip(*(t.column(c).to_pylist() for c in names)), key=lambda r: (r[0], r[3])))
 
 
 def _held(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
@@ -320,31 +398,31 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (doc_id, text) and item of benchmark (item_id, text) that contaminates it: the edits and length
     of its closest passage, how many places match, and the span of all in the text as compared.
     Rows of docs that have no hit give no row."""
-    table = passage_table(benchmark)
-    path, n = write_blocks(table)
+    path, n = write_blocks(passage_table(benchmark))
     if not n:
         return docs.sparkSession.createDataFrame([], _HITS)
+    names = [x.split()[0] for x in _HITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _held(batches, n):
-            rows, ids, low = b.column("row").to_pylist(), b.column("doc_id").to_pylist(), [compared(t) for t in b.column("text").to_pylist()]
+            ids, low = b.column("doc_id").to_pylist(), [compared(t) for t in b.column("text").to_pylist()]
             for i in range(n):
-                index = _block(path, i)
-                found = [(rows[d], ids[d], index.texts[h.passage], h.edits, h.start, h.end) for d, hs in enumerate(search(index, low)) for h in dict.fromkeys(hs)]
-                kinds = {"row": pa.int64(), "doc_id": pa.int64(), "passage": pa.string(), "edits": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+                block, found = _block(path, i), []
+                for d, hs in enumerate(search(block.index, low)):
+                    for item, own in block.proven(low[d], hs).items() if hs else ():
+                        length = lambda h: len(block.index.texts[h.passage])  # noqa: B023, E731
+                        best = min(own, key=lambda h: (h.edits / length(h), h.start, h.edits, length(h)))
+                        places = {(h.start, h.end) for h in own}
+                        found.append((ids[d], block.items[item].item_id, best.edits, length(best), len(places), min(a for a, _ in places), max(z for _, z in places)))
                 if found:
-                    yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in found], kind) for k, (c, kind) in enumerate(kinds.items())})
+                    yield pa.RecordBatch.from_pydict({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate(names)})
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = map_batches(numbered, run, "row long, doc_id long, passage string, edits long, start long, end long")
-    met = found.join(table, "passage")
-    best = F.min(F.struct((F.col("edits") / F.length("passage")).alias("share"), "start", "edits", F.length("passage").cast("long").alias("length")))
-    by = met.groupBy("row", "doc_id", "item_row", "item_id").agg(best.alias("best"), F.countDistinct("start", "end").alias("passages"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return by.select("doc_id", "item_id", F.col("best.edits").alias("edits"), F.col("best.length").alias("matched_chars"), "passages", "start", "end")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _HITS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any hit, with all their columns: one pass, nothing is shuffled."""
+    """The rows of docs that no item contaminates, with all their columns: one pass, nothing is
+    shuffled."""
     path, n = write_blocks(passage_table(benchmark))
     if not n:
         return docs
@@ -355,7 +433,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             clean = np.ones(len(low), bool)
             for i in range(n):
                 left = np.nonzero(clean)[0]  # what is found dirty isn't looked at again
-                clean[left] = [not hs for hs in search(_block(path, i), [low[d] for d in left])]
+                block = _block(path, i)
+                clean[left] = [not (hs and block.proven(low[d], hs)) for d, hs in zip(left, search(block.index, [low[d] for d in left]))]
             yield from b.filter(pa.array(clean)).to_batches()
 
     return map_batches(docs, run, docs.schema)

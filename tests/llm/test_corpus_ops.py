@@ -373,14 +373,28 @@ def slow_match(passage, low):
     return edits(passage, np.frombuffer(low.encode("utf-32-le"), np.uint32)) <= decontam.budget(len(passage))
 
 
+def slow_found(item, low):
+    """How many characters of an item passages found by full alignment cover (both as compared)."""
+    found, seen = set(), set()
+    for at, p in decontam.passages(item):
+        if p not in seen and slow_match(p, low):
+            found |= set(range(at, at + len(p)))
+        seen.add(p)
+    return len(found)
+
+
 def slow_hits(data, items):
-    want = Counter()
+    """Pairs that must be found (passages alone cover enough), and those that may (some passage is found
+    and the text around can have the rest)."""
+    must, may = Counter(), Counter()
     for i, text in data:
         low = decontam.compared(text)
         for k, item in items:
-            if any(slow_match(p, low) for _, p in decontam.passages(decontam.compared(item))):
-                want[(i, k)] += 1
-    return want
+            own = decontam.compared(item)
+            n = slow_found(own, low)
+            must[(i, k)] += n > 0 and n >= decontam.needed(len(own))
+            may[(i, k)] += n > 0
+    return +must, +may
 
 
 def test_decontamination_as_full_alignment_has_it(spark, empty):
@@ -402,8 +416,9 @@ def test_decontamination_as_full_alignment_has_it(spark, empty):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.hits(docs, bench).collect()
-    want = slow_hits(data, items)
-    assert Counter((r["doc_id"], r["item_id"]) for r in got) == want and len(want) > 30
+    must, may = slow_hits(data, items)
+    want = Counter((r["doc_id"], r["item_id"]) for r in got)
+    assert must <= want <= may and len(must) > 30
     assert {(210, 53), (212, 54), (213, 55), (214, 53)} <= set(want) and not {i for i, _ in want} & {211, 215}
     kept = decontam.drop_contaminated(docs, bench)
     dirty = {i for i, _ in want}
@@ -421,23 +436,54 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "HELD_CHARS", 500)
     monkeypatch.setattr(decontam, "MOST_SHARED", 50)
     assert sorted(map(tuple, decontam.hits(docs, bench).collect())) == whole
-    assert {r[:2] for r in whole} == set(slow_hits(data, items))
+    assert {r[:2] for r in whole} == set(slow_hits(data, items)[0])
     assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [20]
 
 
 def test_recall_of_changed_items():
-    """Definition of passages and budget: items with words replaced, and halves of items."""
+    """Items with words replaced, and halves of items, each within other text."""
     rng = random.Random(5)
-    items = [decontam.compared(prose(rng, "en", rng.randint(14, 60))) for _ in range(100)]
-    words = [w for t in items for w in t.split()]
-    found = Counter()
-    for t in items:
-        for share in (0.1, 0.2):
-            s = " ".join(rng.choice(words) if rng.random() < share else w for w in t.split())
-            found[share] += any(slow_match(p, s) for _, p in decontam.passages(t))
+    items = [decontam.compared(prose(rng, "en", rng.randint(14, 60))) for _ in range(200)]
+    words, found = [w for t in items for w in t.split()], Counter()
+    rows = []
+    for k, t in enumerate(items):
+        first = dict.fromkeys(p for _, p in decontam.passages(t))
+        rows += [(k, k, t if j == 0 else "", t.index(p), p) for j, p in enumerate(first)]
+    block = decontam.Block(rows)
+    other = lambda: " ".join(rng.choice(words) for _ in range(30))
+    for k, t in enumerate(items):
         half = t[: len(t) // 2] if rng.random() < 0.5 else t[len(t) // 2 :]
-        found["half"] += any(slow_match(p, half) for _, p in decontam.passages(t))
-    assert found[0.1] >= 95 and found[0.2] >= 90 and found["half"] >= 95, found
+        changed = {share: " ".join(rng.choice(words) if rng.random() < share else w for w in t.split()) for share in (0.1, 0.2)}
+        for name, s in (changed | {"half": half, "none": other()}).items():
+            low = f"{other()} {s} {other()}"
+            found[name] += k in block.proven(low, decontam.search(block.index, [low])[0])
+    assert found[0.1] >= 190 and found[0.2] >= 180 and found["half"] >= 180 and not found["none"], found
+
+
+#: Turns of phrase that stand in questions and in any text.
+PHRASES = (
+    "which of the following statements is true", "which of the following is not an example of", "the president of the united states of america", "what is the most likely reason for this",
+    "at the end of the nineteenth century", "according to the information in the passage", "as a result of the industrial revolution", "in the first half of the twentieth century",
+    "one of the most important characteristics of", "the author of the passage would most likely agree", "a quick brown fox jumps over the lazy dog", "on the other hand it is important to note that",
+    "for the purpose of this question assume that", "the government of the united kingdom and", "all of the above answers are correct", "none of the above answers are correct",
+    "the secretary general of the united nations", "the second law of thermodynamics states that", "how many of the following are prime numbers", "select the answer that best completes the sentence",
+    "the speed of light in a vacuum is constant", "what was the main cause of the first world war", "the chief executive officer of the company", "it has been shown in a number of studies that",
+    "this work is licensed under the terms of the",
+)
+
+
+def test_turns_of_phrase_prove_nothing(spark):
+    """A hundred documents with a phrase that an item begins, ends or goes on with."""
+    rng = random.Random(3)
+    tails = [" of cells that take part in photosynthesis in the leaves of most plants?", " when a body of two kilograms slides down a slope of thirty degrees?"]
+    items = [(2 * i + k, (p + t if (i + k) % 3 else t.strip("? ") + " " + p + "?").capitalize()) for i, p in enumerate(PHRASES) for k, t in enumerate(tails)]
+    items += [(900, "Which of the following statements is true about photosynthesis in green plants?"), (901, "Who was the president of the united states of america in 1850?")]
+    docs = [(n, prose(rng, "en", 20) + " " + p + (". Nobody knows. " if n % 2 else " ") + prose(rng, "en", 20)) for n, p in enumerate(PHRASES * 4)]
+    docs += [(200, "Which of the following statements is true? Nobody knows."), (201, "The president of the united states of america is coming to dinner.")]
+    copies = [(1000 + k, prose(rng, "en", 10) + " " + t + " " + prose(rng, "en", 10)) for k, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"] for r in decontam.hits(spark.createDataFrame(docs + copies, "doc_id long, text string"), bench).collect()}
+    assert got == {i for i, _ in copies}
 
 
 # -- pipeline -------------------------------------------------------------------------------------
