@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reckon.llm import shingles
 from reckon.llm.common import fresh, map_arrow, meet, quoted, through_store
 from reckon.llm.graph import components
 
@@ -208,11 +209,11 @@ def _forest(filed: np.ndarray, asked: np.ndarray, reach: int) -> tuple[np.ndarra
     return a[same], b[same]
 
 
-def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of whole keys from batches that are sorted by key."""
+def _all(batches: Iterator[pa.RecordBatch], columns: int = 3) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of whole keys from batches that are sorted by key, their first column."""
     kept: list[np.ndarray] | None = None
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
         if kept is not None:
             cols = [np.concatenate(x) for x in zip(kept, cols)]
         if not len(cols[0]):
@@ -284,11 +285,11 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
 
 
-def classes(prints: DataFrame, reach: int = REACH) -> DataFrame:
+def classes(prints: DataFrame, reach: int = REACH, more: DataFrame | None = None) -> DataFrame:
     """fp, n (its rows), root (fp of the component) and component_id of each distinct fp of prints
-    (doc_id, fp)."""
+    (doc_id, fp). more: further links (a, b) between fp."""
     nodes = through_store(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    found = components(links(nodes, reach))
+    found = components(links(nodes, reach) if more is None else links(nodes, reach).union(more))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = through_store(rooted, "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
@@ -305,9 +306,10 @@ def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def one_of_each(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """The rows of docs (doc_id, text, ...) with all their columns, less all but one of each
-    component: that with the smallest doc_id stays. Of several with that id (or where no row of the
-    component has one) the least by a hash of all its columns stays; rows that are equal in all
-    columns are copies, of which any is the same.
+    component: that with the smallest doc_id stays. Documents are linked by their fingerprints, and
+    where they are near copies by five-word shingles (shingles.py). Of several rows with that id (or where
+    no row of the component has one) the least by a hash of all its columns, each with whether it is null,
+    stays; rows that are equal in all columns are copies, of which any is the same.
 
     Rows are numbered and written once, so all else is done on narrow rows; the texts are read once
     more, for the last semi-join."""
@@ -316,13 +318,16 @@ def one_of_each(docs: DataFrame, reach: int = REACH) -> DataFrame:
     rows = through_store(docs.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_pydict({x: b.column(x) for x in ("number", "hash", "doc_id")} | {"fp": found.view(np.int64)})
-
-    slim = rows.select(F.col(number).alias("number"), F.xxhash64(*map(quoted, plain)).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = through_store(map_arrow(slim, run, "number long, hash long, doc_id long, fp long"), "simhash-prints")
-    by_fp = through_store(classes(prints, reach), "simhash-classes")
+        texts = b.column("text").to_pylist()
+        found = np.array([fingerprint(t) for t in texts], np.uint64)
+        sketches = [shingles.sketch(t.encode("utf-8", "surrogatepass").lower().split() if t else []) for t in texts]
+        return pa.RecordBatch.from_pydict({x: b.column(x) for x in ("number", "hash", "doc_id")} | {"fp": found.view(np.int64)} | shingles.columns(sketches))
+
+    parts = [x for c in plain for x in (quoted(c).isNull(), quoted(c))]  # Spark's hash passes nulls by
+    slim = rows.select(F.col(number).alias("number"), F.xxhash64(*parts).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = through_store(map_arrow(slim, run, f"number long, hash long, doc_id long, fp long, {shingles.SCHEMA}"), "simhash-prints")
+    by_fp = through_store(classes(prints, reach, shingles.links(prints)), "simhash-classes")
     # only rows that have the component's doc_id are grouped, so a large component isn't gathered
-    own = meet(prints, by_fp, "fp", f"n > {HOT}").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = meet(prints.select("number", "hash", "doc_id", "fp"), by_fp, "fp", f"n > {HOT}").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = own.groupBy("root").agg(F.min(F.struct("hash", "number")).alias("x")).select(F.col("x.number").alias(number))
     return rows.join(stay, number, "left_semi").select(*map(quoted, docs.columns))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from reckon.llm import decontam, fingerprint, graph, sharding, simhash, warc
+from reckon.llm import decontam, fingerprint, graph, sharding, shingles, simhash, warc
 from tests.llm.conftest import SCHEMA, prose
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -195,7 +195,11 @@ def test_one_of_each(clashing, rows, empty):
     for r, root in zip(rows, roots):
         if root not in least or (r[0] is not None and (least[root] is None or r[0] < least[root])):
             least[root] = r[0]
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, least.values()))
+    got, by_fingerprint = {r["doc_id"] for r in kept.collect()}, set(least.values())
+    assert kept.count() == len(got) and got <= by_fingerprint
+    texts = {r[0]: shingle_set(r[1]) for r in rows if r[1]}
+    for i in by_fingerprint - got:  # near copies by shingles, beyond the fingerprints' reach
+        assert max(len(texts[i] & y) / len(texts[i] | y) for j, y in texts.items() if j != i) >= 0.7
     assert simhash.one_of_each(empty).collect() == []
 
 
@@ -244,6 +248,9 @@ def test_one_of_each_of_ties_and_odd_names(spark):
     found = [sorted(map(tuple, simhash.one_of_each(x).collect())) for x in (df, df.repartition(5), df.orderBy("number"))]
     assert found[0] == found[1] == found[2] and [r[0] for r in found[0]] == [1, 2, 3] and set(found[0]) <= set(data)
     assert simhash.one_of_each(df).columns == df.columns
+    odd = [(1, "one and the same text of some words", None, "a"), (1, "one and the same text of some words", "a", None)]
+    both = [spark.createDataFrame(x, "doc_id long, text string, p string, q string") for x in (odd, odd[::-1])]
+    assert simhash.one_of_each(both[0]).collect() == simhash.one_of_each(both[1]).collect()
 
 
 def test_forests_of_large_and_small_groups_agree(monkeypatch):
@@ -299,6 +306,62 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def shingle_set(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def test_near_copies_by_shingles_are_found(spark):
+    """Of pairs with five-word Jaccard of 0.8 or more nine of ten at least; of unlike ones none."""
+    rng, data, pairs = random.Random(9), [], []
+    for i in range(0, 600, 2):
+        words = prose(rng, "en", rng.randint(30, 300)).split()
+        changed = list(words)
+        for _ in range(max(1, round(len(words) * (rng.uniform(0.003, 0.05) if i % 6 else 0.15)))):
+            changed[rng.randrange(len(words))] = "other" + str(rng.random())
+        data += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+        x, y = shingle_set(data[-2][1]), shingle_set(data[-1][1])
+        pairs.append((i, len(x & y) / len(x | y)))
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    near = [i for i, j in pairs if j >= 0.8]
+    far = [i for i, j in pairs if j < 0.6]
+    assert len(near) > 60 and len(far) > 30 and {i for i, _ in pairs} <= kept
+    assert sum(i + 1 not in kept for i in near) >= 0.9 * len(near) and sum(i + 1 not in kept for i in far) <= 0.1 * len(far)
+
+
+def test_sketches_and_forests():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (5, 4), np.uint64)
+    bits = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, (n, 4), np.uint64)) for b, n in zip(base, (900, 3, 1, 40, 2))])
+    filed = rng.random(len(bits)) < 0.5
+    order = np.argsort(~filed, kind="stable")
+    bits, n = bits[order], int(filed.sum())
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2) <= 8
+    near[n:, n:] = False
+    want = np.arange(len(bits))
+    for _ in range(12):
+        want = np.array([want[np.nonzero(row)[0]].min() if row.any() else w for row, w in zip(near | near.T | np.eye(len(bits), dtype=bool), want)])
+    got = np.arange(len(bits))
+    a, b = shingles.forest(bits, n, 8)
+    got[b] = got[a]
+    same = lambda x: {frozenset(np.nonzero(x == v)[0].tolist()) for v in set(x.tolist())}
+    assert same(got) == same(want)
+    words = [b"w%d" % i for i in range(400)]
+    x, y = shingles.sketch(words)[2], shingles.sketch(words[:360] + [b"z%d" % i for i in range(40)])[2]
+    true = 356 / (396 + 40)
+    assert abs(1 - 2 * np.bitwise_count(x ^ y).sum() / 256 - true) < 0.15 and (shingles.sketch([])[2] == shingles.sketch([])[2]).all()
+
+
+def test_crowded_shingle_keys_are_split(spark, monkeypatch):
+    rng = random.Random(2)
+    text = prose(rng, "en", 120).split()
+    data = [(i, " ".join(w if rng.random() > 0.004 else "x" + str(rng.random()) for w in text)) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    whole = simhash.one_of_each(df).count()
+    monkeypatch.setattr(shingles, "CROWDED", 5)
+    assert whole <= 3 and simhash.one_of_each(df).count() <= 3
+
+
 # -- sharding -------------------------------------------------------------------------------------
 
 
