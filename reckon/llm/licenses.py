@@ -1,8 +1,8 @@
 """Licence scans: a trained paragraph classifier with template comparison.
 
 Training (driver, fixed size): a sparse multinomial logistic regression over word 1- and 2-grams. Its
-examples are the paragraphs in licence_texts: notices and full texts of licence families, and for the
-class `unknown` those of other licences and prose (contracts, terms of service, talk about licences).
+examples are the paragraphs in licence_texts: notices and full texts of licence families, short notices
+made of names and forms (NAMES, FORMS), and for the class `unknown` those of other licences and prose (contracts, terms of service, talk about licences).
 Weights are driven to zero by soft thresholding. Probabilities are calibrated, by a temperature and a
 bias of the class unknown, on folds left out of training: variants of the families' paragraphs, and
 other licences as a whole; below CONFIDENT a paragraph is unknown. The winning family is confirmed by template
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from reckon.llm.common import through_store
 
 UNKNOWN = "unknown"
-CONFIDENT = 0.6
+CONFIDENT = 0.5
 COVERED = 0.6
 #: Least weight that a piece of a template must share with it (a rare n-gram weighs about 2).
 LEAST = 8.0
@@ -47,6 +47,8 @@ SPARSE = 5e-5
 #: Of paragraphs with more n-grams, pairs are learned only if another paragraph has them.
 PAIRS_OF = 60
 FOLDS = 2
+#: What a short notice counts beside a paragraph; there are many of them.
+NOTICE = 0.3
 
 _WORDS = re.compile(r"[^a-z0-9]+")
 
@@ -80,6 +82,51 @@ def paragraphs_of() -> dict[str, list[str]]:
     return {f.name[:-4]: [p for p in f.read_text(encoding="utf-8").split("\n\n") if p.strip()] for f in files}
 
 
+# Names and identifiers of licences, as short notices have them.
+NAMES = {
+    "mit": ("MIT", "MIT License", "Expat License"),
+    "apache-2.0": ("Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 license"),
+    "bsd": ("BSD-3-Clause", "BSD-2-Clause", "BSD License", "3-clause BSD license", "New BSD License", "Simplified BSD License"),
+    "bsl-1.0": ("BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "gpl": ("GPL-3.0", "GPL-2.0", "GPL-3.0-or-later", "GPL-2.0-only", "GPLv3", "GPLv2", "GNU GPL v3", "GNU General Public License v3.0", "GNU General Public License version 2"),
+    "lgpl": ("LGPL-2.1", "LGPL-3.0", "LGPL-3.0-or-later", "LGPLv3", "GNU LGPL v2.1", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License version 2.1"),
+    "agpl": ("AGPL-3.0", "AGPL-3.0-or-later", "AGPLv3", "GNU AGPL v3", "GNU Affero General Public License v3.0", "GNU Affero General Public License version 3"),
+    "mpl-2.0": ("MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "epl-2.0": ("EPL-2.0", "EPL 2.0", "Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "isc": ("ISC", "ISC License"),
+    "zlib": ("Zlib", "zlib License", "zlib/libpng License"),
+    "unlicense": ("Unlicense", "The Unlicense"),
+    "cc0": ("CC0-1.0", "CC0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+    "cc-by": ("CC-BY-4.0", "CC BY 4.0", "Creative Commons Attribution 4.0 International License", "CC-BY-3.0"),
+    "cc-by-sa": ("CC-BY-SA-4.0", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-3.0"),
+    "cc-by-nc": ("CC-BY-NC-4.0", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-3.0"),
+}
+OTHER_NAMES = (
+    "CDDL-1.0", "Common Development and Distribution License 1.1", "Artistic-2.0", "Artistic License 2.0", "EUPL-1.2", "European Union Public Licence 1.2", "OFL-1.1", "SIL Open Font License 1.1",
+    "MS-PL", "Microsoft Public License", "SSPL-1.0", "Server Side Public License", "CPL-1.0", "Common Public License 1.0", "Sleepycat", "Sleepycat License", "QPL-1.0", "Q Public License", "WTFPL",
+    "PostgreSQL License", "PostgreSQL", "Python-2.0", "Python Software Foundation License", "OpenSSL", "OpenSSL License", "AFL-3.0", "Academic Free License 3.0", "Ruby License", "Vim License",
+    "PHP-3.01", "PHP License 3.01", "IPL-1.0", "IBM Public License 1.0", "OSL-3.0", "Open Software License 3.0", "ECL-2.0", "Educational Community License 2.0", "NCSA", "Elastic License 2.0",
+    "Business Source License 1.1", "BUSL-1.1", "Open Data Commons Open Database License", "ODbL-1.0", "Commercial License", "Enterprise License 2.0", "Nokia Open Source License", "Sun Public License 1.0",
+)
+#: Short notices, as they are written about any licence.
+FORMS = (
+    "Licensed under {}.", "Licensed under the {}.", "License: {}", "SPDX-License-Identifier: {}", "This project is licensed under the {}.", "Released under the {}.", "Distributed under the {}.",
+    "This software is released under the terms of the {}.", "@license {}", "Code is available under the {}, see the LICENSE file.", "The source code is licensed {}.", "Published under {}.",
+)
+
+
+def notices(forms: tuple[str, ...] = FORMS) -> dict[str, list[str]]:
+    """Short notices by family, and of _other_licences."""
+    own = {family: [f.format(n) for n in names for f in forms] for family, names in NAMES.items()}
+    return own | {"_other_licences": [f.format(n) for n in OTHER_NAMES for f in forms]}
+
+
+def examples(forms: tuple[str, ...] = FORMS) -> dict[str, list[str]]:
+    """What is learned from: the paragraphs in licence_texts, and short notices."""
+    more = notices(forms)
+    return {family: own + more.get(family, []) for family, own in paragraphs_of().items()}
+
+
 def variants(paragraph: str) -> list[str]:
     """A paragraph, its beginning and end, as they stand in texts that wrap or shorten it, and the
     whole with each fifth word lost."""
@@ -121,10 +168,10 @@ class _Rows:
         return out
 
 
-def _fit(rows: list[list[int]], y: np.ndarray, columns: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit(rows: list[list[int]], y: np.ndarray, counts: np.ndarray, columns: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts by proximal gradient steps with momentum."""
     x, one = _Rows(rows), np.eye(k, dtype=np.float32)[y]
-    share = (1 / np.bincount(y, minlength=k).clip(1))[y] ** 0.5  # rare families count for more
+    share = counts * (1 / np.bincount(y, counts, k).clip(1))[y] ** 0.5  # rare families count for more
     share = (share / share.sum()).astype(np.float32)[:, None]
     w, b = np.zeros((columns, k), np.float32), np.zeros(k, np.float32)
     v, last, gradient = w.copy(), w.copy(), np.zeros_like(w)
@@ -163,10 +210,12 @@ def train(texts: dict[str, list[str]]) -> Classifier:
     """A classifier of paragraphs by family; names that begin with _ are examples of unknown."""
     names = [f for f in texts if not f.startswith("_")]
     families = (*names, UNKNOWN)
-    x, y, fold = [], [], []
+    x, y, fold, counts = [], [], [], []
+    short = {n for own in notices().values() for n in own}
     for family, own in texts.items():
         for i, p in enumerate(own):
             for j, v in enumerate(variants(p)):
+                counts.append(NOTICE if p in short else 1.0)
                 x.append(ngrams(v))
                 y.append(families.index(family if family in names else UNKNOWN))
                 # known paragraphs are left out as variants, other licences in runs, so as a whole
@@ -175,6 +224,7 @@ def train(texts: dict[str, list[str]]) -> Classifier:
     for i in range(0, len(prose), 3):  # long texts, of which each word is there once
         x.append(set().union(*(ngrams(p) for p in prose[i : i + 20])))
         y.append(len(names))
+        counts.append(1.0)
         fold.append(i % FOLDS)
     # pairs that stand in a single long paragraph tell no more than their words
     kept, once = set(), set()
@@ -185,16 +235,16 @@ def train(texts: dict[str, list[str]]) -> Classifier:
             once |= grams
     x = [grams & kept for grams in x]
     column = {g: i for i, g in enumerate(sorted(set().union(*x)))}
-    rows, target, fold = [sorted(column[g] for g in grams) for grams in x], np.array(y), np.array(fold)
+    rows, target, fold, counts = [sorted(column[g] for g in grams) for grams in x], np.array(y), np.array(fold), np.array(counts, np.float32)
     z = np.zeros((len(x), len(families)))
     for f in range(FOLDS):
         own = np.nonzero(fold != f)[0]
-        w, b = _fit([rows[i] for i in own], target[own], len(column), len(families), ROUNDS // 2)
+        w, b = _fit([rows[i] for i in own], target[own], counts[own], len(column), len(families), ROUNDS // 2)
         out = np.nonzero(fold == f)[0]
         if len(out):
             z[out] = _Rows([rows[i] for i in out]).times(w) + b
     temperature, bias = _calibrated(z, target)
-    w, b = _fit(rows, target, len(column), len(families), ROUNDS)
+    w, b = _fit(rows, target, counts, len(column), len(families), ROUNDS)
     b = b.astype(float) / temperature
     b[-1] += bias
     weights = {g: tuple((w[i].astype(float) / temperature).round(2).tolist()) for g, i in column.items() if np.abs(w[i]).max() > 1e-5}
@@ -210,7 +260,7 @@ def train(texts: dict[str, list[str]]) -> Classifier:
 
 @lru_cache(maxsize=1)
 def classifier() -> Classifier:
-    return train(paragraphs_of())
+    return train(examples())
 
 
 def classify(paragraph: str, m: Classifier | None = None) -> tuple[str, float, bool]:

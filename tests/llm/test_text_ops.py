@@ -376,3 +376,27 @@ def test_hashes_and_their_two_places(spark):
     assert [r["h"] % (1 << 64) for r in got] == [licenses.gram_hash(g) for g in grams]
     t = licenses._tables()
     assert sum(e > 0 for side in t.entries for e in side) == len(set(licenses.classifier().weights) | set(licenses.classifier().idf))
+
+
+def test_short_notices_in_forms_not_learned():
+    """Nine of ten short notices at least, in forms left out of training, come back confirmed, and none
+    as another family; nor does any of other licences, of which the names are learned, or of made-up ones."""
+    held = ("This project is licensed under the {}.", "Released under the {}.", "License: {}", "SPDX-License-Identifier: {}", "Licensed under {}.")
+    m = licenses.train(licenses.examples(tuple(f for f in licenses.FORMS if f not in held)))
+    found = [(family, licenses.classify(f.format(n), m)) for family, names in licenses.NAMES.items() for n in names for f in held]
+    assert sum(got[0] == family and got[2] for family, got in found) >= 0.9 * len(found)
+    assert not [x for x in found if x[1][2] and x[1][0] != x[0]]
+    others = [*licenses.OTHER_NAMES, "Zope Public License 2.1", "Foo Public License 2.0", "Acme-1.0", "Beerware", "Netscape Public License"]
+    assert not [n for n in others for f in held if licenses.classify(f.format(n), m)[2]]
+
+
+def test_families_left_out_of_training():
+    """Notices of a family that was never seen are rarely confirmed as another."""
+    wrong = total = 0
+    for family in ("zlib", "epl-2.0"):
+        texts = licenses.examples()
+        own = texts.pop(family)
+        m = licenses.train(texts)
+        wrong += sum(licenses.classify(p, m)[2] for p in own)
+        total += len(own)
+    assert wrong <= 0.1 * total, (wrong, total)
