@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_kept: dict[str, list[str]] = {}
+_given: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
@@ -19,21 +19,22 @@ def scratch(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="reckon-"))
-    return f"{base.rstrip('/')}/reckon/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/reckon/{purpose}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def keep(df: DataFrame, purpose: str) -> DataFrame:
     """df written once and read back: one computation for all who read it, and a short lineage."""
     path = scratch(df.sparkSession, purpose)
-    _kept.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> int:
-    """Deletes all tables that this application has kept; returns how many. DataFrames that read
-    them are of no use afterwards."""
-    paths = _kept.pop(spark.sparkContext.applicationId, [])
+    """Deletes all that this application has kept or written below paths from scratch (tables, archives,
+    blocks, workbooks); returns how many paths. DataFrames that read them are of no use afterwards."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
     for p in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

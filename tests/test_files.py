@@ -164,9 +164,31 @@ def test_workbook_of_all_orders(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/orders.parquet")
     want = sorted((str(r[0]), f"{r[1]}", r[2]) for r in df.collect())
     assert sorted(map(tuple, queries.QUERIES["xlsx_round_trip_all"](spark, str(tmp_path)).collect())) == want
-    assert sorted(r["id"] for r in queries.QUERIES["xlsx_round_trip"](spark, str(tmp_path)).collect()) == [str(i) for i in range(190, 201)]
+    spark.sql("SELECT id AS c_custkey, concat('Customer ', id) AS c_name, 'AUTO' AS c_mktsegment FROM range(60)").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(int(r["id"]) for r in queries.QUERIES["xlsx_round_trip"](spark, str(tmp_path)).collect()) == list(range(60))
     told = workbook.write_workbook(str(tmp_path / "x.xlsx"), {"orders": df.orderBy("o_orderkey"), "none": df.limit(0)}, most=50, split=True)
     assert told == {"orders": (110, 110), "none": (0, 0)}
     found = reader.sheets((tmp_path / "x.xlsx").read_bytes())
     assert [(s.name, len(s.grid) - 1) for s in found] == [("orders", 50), ("orders (2)", 50), ("orders (3)", 10), ("none", 0)]
     assert [r[0] for s in found for _, r in reader.table_of(s)[1]] == [str(i) for i in range(190, 300)]
+
+
+def test_workbooks_by_executors(spark, tmp_path):
+    from reckon.sinks.workbook import write_workbooks
+    from reckon.sources.workbook import read_workbooks
+
+    df = spark.range(500).selectExpr("id as `order``id`", "concat('n', id % 7) as name", "if(id % 5 = 0, null, concat('=x', id)) as note")
+    assert write_workbooks(df, f"file://{tmp_path}/books", ["order`id"], most=120) == 500
+    files = sorted(p.name for p in (tmp_path / "books").iterdir() if p.suffix == ".xlsx")
+    assert len(files) == 5
+    back = read_workbooks(spark, f"file://{tmp_path}/books", ["order`id", "name", "note", "none"])
+    want = sorted((str(i), f"n{i % 7}", None if i % 5 == 0 else f"'=x{i}", None) for i in range(500))
+    assert sorted(tuple(r) for r in back.collect()) == want
+    assert write_workbooks(df.limit(0), f"file://{tmp_path}/none", ["name"]) == 0
+
+
+def test_indexes_named_like_types_are_no_columns():
+    names = lambda ddl: [c.name for c in literals.parse_ddl(ddl)[1]]
+    parts = "KEY date_idx (created), INDEX int_x (id), KEY text_key (id), CONSTRAINT set_fk FOREIGN KEY (id) REFERENCES u (id), EXCLUDE USING gist (c WITH &&), PERIOD FOR span (a, b), KEY date (created), INDEX `int` (id)"
+    assert names(f"CREATE TABLE t (id int, created date, {parts})") == ["id", "created"]
+    assert names("CREATE TABLE t (key varchar(20), index int NOT NULL, period date, partition decimal(5,2), `check` text)") == ["key", "index", "period", "partition", "check"]
