@@ -10,8 +10,8 @@ multiples of a step, the least power of two that makes at most GRID of them.
 
 The likeness of two texts is taken from the texts' prefix arrays, not from their fingerprints. A code
 point is shared if it lies in the longest common prefix or suffix, or in a span of at least SPAN code
-points that stands anywhere in the other text: the hashes of all spans of SPAN are looked up among
-the other's. Likeness is the lesser of both texts' shared code points, by the length of the longer
+points that stands anywhere in the other text: the hashes of all spans of SPAN that reach out of
+both are looked up among the other's. Likeness is the lesser of both texts' shared code points, by the length of the longer
 text: 1 for equal texts. The order of shared spans doesn't count, so texts with the same long spans
 in another order are alike too.
 
@@ -42,7 +42,7 @@ GRID = 32
 #: The least length of a span within both texts that counts as shared.
 SPAN = 16
 #: Rows aimed at for one range of doc_id, and the most ranges.
-RANGE_ROWS = 2_000
+RANGE_ROWS = 250
 MOST_RANGES = 20_000
 
 _powers = {(k, sign): np.ones(1, np.uint64) for k in (0, 1) for sign in (1, -1)}
@@ -59,19 +59,27 @@ def powers(k: int, n: int, sign: int = 1) -> np.ndarray:
     return have[:n]
 
 
+def _slot(windows: np.ndarray, slots: int) -> np.ndarray:
+    return (windows & np.uint64(slots - 1)).view(np.int64)
+
+
 class PrefixHash:
     """Prefix arrays of one text; answers for any spans of it and of others."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, base: "PrefixHash | None" = None, common: int = 0):
+        """Of text; where its first `common` code points are those of base, base's arrays are taken over."""
         text = text or ""
-        self.n = len(text)
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.n, self.base, self.common = len(text), base, common
+        c = np.frombuffer(text[common:].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         self.sums = []
         for k, prime in enumerate(PRIMES):
             p = np.uint64(prime)
             s = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(c * powers(k, self.n) % p, out=s[1:])  # under 2^31 each: no overflow below 2^33 of them
-            self.sums.append(s % p)
+            if common:
+                s[: common + 1] = base.sums[k][: common + 1]
+            np.cumsum(c * powers(k, self.n)[common:] % p, out=s[common + 1 :])  # under 2^31 each: no overflow below 2^33 of them
+            s[common + 1 :] = (s[common + 1 :] + s[common]) % p
+            self.sums.append(s)
 
     def span(self, a: int, z: int) -> tuple[int, int]:
         """The hash of text[a:z], the same wherever the span stands."""
@@ -104,25 +112,44 @@ class PrefixHash:
         return low
 
     @cached_property
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all spans of SPAN code points, by place and sorted."""
+    def windows(self) -> np.ndarray:
+        """The hashes of all spans of SPAN code points, by place."""
         n = max(0, self.n - SPAN + 1)
         out = np.zeros(n, np.uint64)
-        for k, s in enumerate(self.sums if n else ()):
+        have = max(0, min(n, self.common - SPAN + 1))
+        for k, s in enumerate(self.sums if n > have else ()):
             p = np.uint64(PRIMES[k])
-            out = (out << np.uint64(31)) | (s[SPAN:] + p - s[:n]) % p * powers(k, n, -1) % p
-        return out, np.sort(out)
+            out[have:] = (out[have:] << np.uint64(31)) | (s[have + SPAN :] + p - s[have:n]) % p * powers(k, n, -1)[have:] % p
+        if have:
+            out[:have] = self.base.windows[:have]
+        return out
 
-    def shared(self, other: "PrefixHash") -> np.ndarray:
-        """Whether each code point lies in a span of SPAN that other has too."""
-        mine, theirs = self.windows[0], other.windows[1]
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Which of a power of two of slots the windows' low bits fall into: eight or more for each."""
+        out = np.zeros(1 << max(8, (8 * len(self.windows)).bit_length()), bool)
+        out[_slot(self.windows, len(out))] = True
+        return out
+
+    def shared(self, other: "PrefixHash", a: int, z: int) -> np.ndarray:
+        """Whether each code point from a to z lies in a span of SPAN that other has too. What falls
+        into no slot of other's is passed over; the rest, and what of other falls into its slots,
+        meet sorted."""
+        start = max(0, a - SPAN + 1)
+        mine, theirs = self.windows[start:z], other.windows
         if not len(mine) or not len(theirs):
-            return np.zeros(self.n, bool)
-        starts = np.flatnonzero(theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine)
-        edges = np.zeros(self.n + 1, np.int64)
-        edges[starts] += 1
-        edges[starts + SPAN] -= 1
-        return np.cumsum(edges[:-1]) > 0
+            return np.zeros(z - a, bool)
+        maybe = np.flatnonzero(other.slots[_slot(mine, len(other.slots))])
+        if len(maybe):
+            mine = mine[maybe]
+            taken = np.zeros(len(other.slots), bool)
+            taken[_slot(mine, len(taken))] = True
+            theirs = np.sort(theirs[taken[_slot(theirs, len(taken))]])
+            maybe = maybe[theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine]
+        edges = np.zeros(self.n - start + 1, np.int64)
+        edges[maybe] += 1
+        edges[maybe + SPAN] -= 1
+        return np.cumsum(edges)[a - start : z - start] > 0
 
     def likeness(self, other: "PrefixHash") -> float:
         longer, shorter = max(self.n, other.n), min(self.n, other.n)
@@ -132,10 +159,7 @@ class PrefixHash:
         tail = min(self.suffix(other), shorter - head)
         covered = []
         for one, two in ((self, other), (other, self)):
-            own = one.shared(two)
-            own[:head] = True
-            own[one.n - tail :] = True
-            covered.append(int(own.sum()))
+            covered.append(head + tail + int(one.shared(two, head, one.n - tail).sum()))
         return min(covered) / longer
 
     def fingerprint(self) -> "Fingerprint":
@@ -243,7 +267,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
             mine = PrefixHash(text)
             if last is not None and last[0] == part:
                 new = edited(last[2], text)
-                theirs = PrefixHash(new)
+                theirs = PrefixHash(new, last[3], len(last[2]) - len(last[2]) // 4)
                 sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((last[1], len(last[2]), sha, last[4], theirs.fingerprint().text(), last[3].likeness(theirs), last[3].likeness(mine)))
                 size += 1
