@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-Training takes a bounded sample of labelled documents (SAMPLE a language, of LANGUAGES languages),
-counts in how many of a language's documents each letter trigram stands, and keeps as a language's
+Training takes a bounded sample of labelled documents (SAMPLE a language, of the LANGUAGES languages
+with most documents; documents in others are predicted as one of these or `und`), counts in how many of a language's documents each letter trigram stands, and keeps as a language's
 set the trigrams that are frequent in it and not much rarer than in any other language. The sets go into one bit-sliced
 Bloom filter: a slot is a word with a bit for each language, insertion ORs a language's bit into k
 slots, and a look-up ANDs k slots, which gives the mask of all languages whose set may hold the
@@ -146,12 +146,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Filter:
             out_n.append(n.astype(np.int64))
         return pa.RecordBatch.from_pydict({"lang": pa.array(out_l, pa.string()), "gram": np.concatenate(out_g), "n": np.concatenate(out_n)})
 
-    grams = map_arrow(picked, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = grams.toPandas()  # bounded: trigrams of at most SAMPLE documents a language
     took = {r["lang"]: r["n"] for r in picked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rows["rate"] = rows["n"] / rows["lang"].map(took)
+    sizes = docs.sparkSession.createDataFrame(list(took.items()), "lang string, took long")
+    grams = map_arrow(picked, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # what is rare in a language is in no set of its, and never the most frequent: it stays out of the driver
+    frequent = grams.join(F.broadcast(sizes), "lang").select("lang", "gram", (F.col("n") / F.col("took")).alias("rate")).where(F.col("rate") >= FREQUENT)  # LANGUAGES rows at most
+    rows = frequent.toPandas()  # of a language at most 1 / FREQUENT times the mean trigrams of its documents
     best = rows.groupby("gram")["rate"].transform("max")
-    own = rows[(rows["rate"] >= FREQUENT) & (rows["rate"] >= RELATIVE * best)].sort_values(["rate", "gram"], ascending=[False, True])
+    own = rows[rows["rate"] >= RELATIVE * best].sort_values(["rate", "gram"], ascending=[False, True])
     return Filter.of([(lang, own.loc[own["lang"] == lang, "gram"].to_numpy().astype(np.uint64)) for lang in n_of])
 
 
