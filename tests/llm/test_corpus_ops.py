@@ -16,6 +16,27 @@ from tests.llm.conftest import SCHEMA, prose
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
+def test_arrays_taken_over_and_shared_spans():
+    rng = random.Random(4)
+    for _ in range(150):
+        a = "".join(rng.choice("aé𝄞") for _ in range(rng.randint(0, 120)))
+        cut = rng.randint(0, len(a))
+        b = a[:cut] + "".join(rng.choice("aé") for _ in range(rng.randint(0, 40))) + a[10:40]
+        x, fresh = fingerprint.PrefixHash(a), fingerprint.PrefixHash(b)
+        y = fingerprint.PrefixHash(b, x, cut)
+        assert all((s == t).all() for s, t in zip(y.sums, fresh.sums)) and (y.windows == fresh.windows).all()
+        assert y.fingerprint().text() == fresh.fingerprint().text()
+        spans = {a[i : i + fingerprint.SPAN] for i in range(len(a) - fingerprint.SPAN + 1)}
+        want = np.zeros(len(b), bool)
+        for i in range(len(b) - fingerprint.SPAN + 1):
+            if b[i : i + fingerprint.SPAN] in spans:
+                want[i : i + fingerprint.SPAN] = True
+        low, high = sorted(rng.randint(0, len(b)) for _ in range(2))
+        assert (y.shared(x, 0, len(b)) == want).all()
+        inside = y.shared(x, low, high)  # of spans that reach out of low to high, all points within count
+        assert len(inside) == high - low and (inside == want[low:high]).all()
+
+
 def test_span_equality_and_extensions():
     rng = random.Random(1)
     for _ in range(200):
@@ -382,6 +403,43 @@ def test_shards(docs, rows, empty, monkeypatch):
     assert sharding.shuffle_into_shards(empty).collect() == []
 
 
+def test_shards_by_hand(docs, rows, monkeypatch):
+    """Every place computed again, row by row, but for the matrix's draws (whose law has its own test)."""
+    monkeypatch.setattr(sharding, "ROWS_EACH", 5)
+    seed = 3
+    counts = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    items = [(*ids, copy) for ids, n in counts.items() for copy in range(n)]
+
+    def signed(item, salt):  # hashes chained through the values, nulls passed over
+        h = 42
+        for value, width in (*((v, 8) for v in item), (seed, 4), (salt, 4)):
+            if value is not None:
+                h = xxhash.xxh64(value.to_bytes(width, "little", signed=True), seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    def by(item):
+        return (item[0] is not None, item[0] or 0, *item[1:])
+
+    parts = -(-len(items) // 5)
+    held = {}
+    for x in items:
+        held.setdefault(signed(x, 1) % parts, []).append(x)
+    order = sorted(held)
+    matrix = sharding.communication_matrix([len(held[p]) for p in order], sharding.shard_sizes(len(items), 16), seed)
+    dealt = [[] for _ in range(16)]
+    for p, line in zip(order, matrix):
+        own = iter(sorted(held[p], key=lambda x: (signed(x, 2), by(x))))
+        for k, n in enumerate(line):
+            dealt[k] += [next(own) for _ in range(n)]
+    buckets = -(-len(items) // (16 * 5))
+    want = []
+    for k, own in enumerate(dealt):
+        own.sort(key=lambda x: ((signed(x, 3) % (1 << 64) >> 20) % buckets, signed(x, 3), by(x)))
+        want += [(*x[:3], k, slot) for slot, x in enumerate(own)]
+    got = sharding.shuffle_into_shards(docs, seed=seed).collect()
+    assert buckets > 1 and Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == Counter(want)
+
+
 def test_repeated_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_EACH", 20)
     monkeypatch.setattr(sharding, "COPIES", 7)
