@@ -1,8 +1,10 @@
 """Language identification by language-bitmask n-gram filters.
 
 Training takes a bounded sample of labelled documents (SAMPLE a language, of the LANGUAGES languages
-with most documents; documents in others are predicted as one of these or `und`), counts in how many of a language's documents each letter trigram stands, and keeps as a language's
-set the trigrams that are frequent in it and not much rarer than in any other language. The sets go into one bit-sliced
+with most documents; documents in others are predicted as one of these or `und`), counts in how
+many of a language's documents each letter trigram stands, and keeps as a language's set the
+trigrams that are frequent in it and not much rarer than in any other language. Trigrams that are
+rare in a language are left out before the driver sees any. The sets go into one bit-sliced
 Bloom filter: a slot is a word with a bit for each language, insertion ORs a language's bit into k
 slots, and a look-up ANDs k slots, which gives the mask of all languages whose set may hold the
 trigram. For a text the masks' bits are counted by language; of n look-ups a language with false
