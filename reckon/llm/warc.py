@@ -2,8 +2,8 @@
 
 Headers (page id, digest and size of the payload, no payload) are shuffled by payload digest and
 reduced to the smallest page_id of each digest; a page whose payload of at least MIN_BYTES has a
-smaller-numbered original is a revisit record that refers to it, without payload; all others are
-response records. Records are written with fresh headers, as plain text records whose separator is
+smaller-numbered original is a revisit record that refers to it by record id, target and date,
+without payload; all others are response records. Records are written with fresh headers, as plain text records whose separator is
 the record end of the format (two CRLF), by Spark's own writer into the shared folder, gzip-compressed
 by default; so any store that Spark writes will do, and failed tasks are written again. Reading back
 parses every record by its Content-Length and checks the payload against its digest.
@@ -45,13 +45,21 @@ def headers(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
 
 
+def _safe(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"[\x00-\x1f\x7f]", "%0A"), " ", "%20")
+
+
 def originals(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """payload_digest and original (smallest page_id) of each payload that comes more than once.
+    """payload_digest, original (smallest page_id) and target (its url, of several the least) of each
+    payload that comes more than once.
 
     Counts and minima are taken before the shuffle, so a payload that a third of the pages share
     is one row from each task."""
-    h = headers(pages).where(F.col("payload_bytes") >= min_bytes)
-    return h.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").select("payload_digest", "original")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    h = pages.where(F.octet_length(html) >= min_bytes).select(F.sha2(html, 256).alias("payload_digest"), F.col("page_id").cast("long").alias("page_id"), _safe(F.col("url")).alias("url"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    found = h.groupBy("payload_digest").agg(least.alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
+    return found.select("payload_digest", F.col("least.page_id").alias("original"), F.col("least.url").alias("target"))
 
 
 def _record_id(digest: Column, page: Column) -> Column:
@@ -69,14 +77,14 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """record (the text of a WARC record less its final two CRLF) of each row of pages
     (page_id, url, html)."""
     row = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace("url", r"[\x00-\x1f\x7f]", "%0A"), " ", "%20").alias("url"),
+        F.col("page_id").cast("long").alias("page_id"), _safe(F.col("url")).alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
     )
     row = row.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
     # A payload shared by very many pages is met in SALTS parts.
     first = originals(pages, min_bytes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     row = row.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    first = first.select(F.col("payload_digest").alias("digest"), "salt", "original")
+    first = first.select(F.col("payload_digest").alias("digest"), "salt", "original", "target")
     row = row.join(first, ["digest", "salt"], "left")
     revisit = (F.col("bytes") >= min_bytes) & F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.when(~revisit, _line("Content-Length", F.col("bytes"))).otherwise(""), F.lit("\r\n"))
@@ -86,6 +94,7 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         _line("WARC-Record-ID", _record_id(F.col("digest"), F.col("page_id"))), _line("WARC-Date", F.lit(DATE)), _line("WARC-Target-URI", F.col("url")),
         F.when(revisit, _line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
         F.when(revisit, _line("WARC-Refers-To", _record_id(F.col("digest"), F.col("original")))).otherwise(""),
+        F.when(revisit, F.concat(_line("WARC-Refers-To-Target-URI", F.col("target")), _line("WARC-Refers-To-Date", F.lit(DATE)))).otherwise(""),
         F.when(revisit, _line("X-Refers-To-Page", F.col("original"))).otherwise(""),
         _line("X-Page", F.col("page_id")), _line("X-Payload-Bytes", F.col("bytes")), _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), _line("Content-Length", F.octet_length("block")), F.lit("\r\n"),

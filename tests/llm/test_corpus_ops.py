@@ -158,6 +158,14 @@ def test_warc_of_nothing_and_damage(spark):
     assert warc.round_trip(none).collect() == []
     one = spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string")
     text = (warc.records(one).collect()[0][0] + "\r\n\r\n").encode()
+    same = [(3, "http://e.org/c d", "y" * 120), (2, "http://e.org/b", "y" * 120), (5, None, "w" * 120), (6, "u", "w" * 120)]
+    heads = {}
+    for r in warc.records(spark.createDataFrame(same, "page_id long, url string, html string")).collect():
+        head, _ = next(warc.parse((r[0] + "\r\n\r\n").encode()))
+        heads[int(head["X-Page"])] = head
+    assert heads[3]["WARC-Refers-To"] == heads[2]["WARC-Record-ID"] and heads[3]["WARC-Refers-To-Target-URI"] == heads[2]["WARC-Target-URI"]
+    assert heads[3]["WARC-Refers-To-Date"] == heads[2]["WARC-Date"] and "WARC-Refers-To-Target-URI" not in heads[2]
+    assert "WARC-Refers-To-Target-URI" not in heads[6] and heads[6]["WARC-Refers-To"] == heads[5]["WARC-Record-ID"]
     assert len(list(warc.parse(text))) == 1
     with pytest.raises(ValueError):
         list(warc.parse(text[:-3]))
