@@ -97,7 +97,9 @@ def predicate(column: str, start, end) -> str:
 
 @dataclass
 class Fetched:
-    """rows: those that came; slices: slice, start, end, n (planned) and got; account: one row."""
+    """rows: those that came; slices: slice, start, end, n (planned) and got; account: one row, in which
+    mismatched counts slices, and gaps the stretches of adjacent slices among these. How many slices
+    an hour is cut into depends on how many rows it has; a stretch that loses rows stays one gap."""
 
     rows: DataFrame
     slices: DataFrame
@@ -116,10 +118,13 @@ def fetch(source: Source, column: str, batch: int, grains: tuple[str, ...] = sli
     planned = keep(slicing.plan(times, "t", batch, grains).union(untimed), "planned")
     rows, got = source.rows(column, planned)
     met = keep(planned.join(got, "slice", "full_outer").withColumns({"n": F.coalesce("n", F.lit(0)), "got": F.coalesce("got", F.lit(0))}), "account")
+    bad = met.where("n <> got").select("slice")
+    after = bad.where(F.col("slice") != UNTIMED).select((F.col("slice") + 1).alias("slice"))
+    gaps = bad.join(after, "slice", "left_anti").agg(F.count("*").alias("gaps"))  # the first slice of each
     one = met.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for c, name in (("n", "planned"), ("got", "fetched"))],
         F.count_if(F.coalesce("over", F.lit(False))).alias("still_over"), F.count_if(F.col("n") != F.col("got")).alias("mismatched"),
     )
     issue = F.array(F.when(F.col("still_over") > 0, "slices_over"), F.when(F.col("mismatched") > 0, "slice_mismatch"), F.when(F.col("planned") != F.col("fetched"), "fetched_not_planned"))
-    one = one.withColumn("issues", F.array_join(F.filter(issue, lambda x: x.isNotNull()), ",")).withColumn("complete", F.col("mismatched") == 0)
+    one = one.withColumn("issues", F.array_join(F.filter(issue, lambda x: x.isNotNull()), ",")).withColumn("complete", F.col("mismatched") == 0).join(gaps, how="cross")  # one row each
     return Fetched(rows, met, one)

@@ -58,3 +58,30 @@ def test_query_diff_takes_texts_as_times(spark):
     assert found.verdict.first()["level"] == "diff" and found.scope.count() == 20
     found = api.source_diff(verified.Frame(spark.table("by_day")), verified.Frame(spark.table("by_day")), ["id"], "day", 3)
     assert found.verdict.first()["level"] == "ok" and found.notes["fetched"]["a"].account.first()["planned"] == 20
+
+
+def test_a_gap_is_one_in_however_many_slices(spark):
+    """Rows of one hour are lost; the hour is one slice, or is cut into several; rows without a time are no neighbours."""
+    df = spark.sql("select id, if(id % 100 = 99, null, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 18)) as ts from range(2000)")
+
+    class Loses(verified.Frame):
+        def rows(self, column, slices):
+            return verified.Frame(self.df.where(lost)).rows(column, slices)
+
+    for lost, batch, many, gaps in (
+        ("coalesce(hour(ts) <> 3, true)", 200, False, 1), ("coalesce(hour(ts) <> 3, true)", 20, True, 1), ("coalesce(hour(ts) not in (3, 6), true)", 20, True, 2),
+        ("coalesce(hour(ts) > 0, false)", 20, True, 2), ("true", 20, False, 0),
+    ):
+        account = verified.fetch(Loses(df), "ts", batch).account.first()
+        assert account["gaps"] == gaps and (account["mismatched"] > gaps) == many and account["complete"] == (gaps == 0)
+
+
+def test_verified_fetch_by_its_sql_when_an_hour_is_several_slices(spark, tmp_path):
+    import duckdb
+
+    from reckon import queries
+
+    at = str(tmp_path / "events.parquet")
+    duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-10 02:00:00' + i * INTERVAL 600 MILLISECOND AS ts FROM range(18000) t(i)) TO '{at}'")
+    want = duckdb.sql(queries.SQL["verified_fetch"].replace("FROM events", f"FROM '{at}'")).fetchall()
+    assert sorted(map(tuple, queries.verified_fetch(spark, str(tmp_path)).collect())) == sorted(want)
