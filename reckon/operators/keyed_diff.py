@@ -3,7 +3,8 @@
 Rows are normalised by a dialect and counted by 128 bits of hashes of their key and as many of their
 content: a hash aggregation of numbers alone, with partial counts before the shuffle, so a key or a
 content with a third of all rows is a handful of rows in it, and nothing is sorted. Texts are fetched
-afterwards, by the hashes, only for what differs. Contents that both sides have pair exactly, as often
+afterwards, by the hashes, only for what differs. Two sides with equal sums of hashes are equal, and are
+counted by one side alone. Verdicts are told by counts, and pair rows only where blank cells may decide. Contents that both sides have pair exactly, as often
 as the rarer side has them. Of what is left of a key, one row against one pairs by itself; groups of
 up to two rows a side take the cheaper way (in the JVM), other small groups pair by least total number
 of differing columns (a Hungarian assignment, on executors). In groups of more than `exact_limit` rows
@@ -18,8 +19,9 @@ numbers. The raw value shown for a content is the least raw row that has it.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,10 @@ HOT = 1_000_000
 KEY, CONTENT = ("hk1", "hk2"), ("hv1", "hv2")
 #: Rounds of proposals without one column and without two, and how many such sets there may be.
 ROUNDS, MOST_LOST = {1: 2, 2: 1}, 60
+#: Cells without a value, by either dialect.
+BLANK = ("", "null|", "empty|")
+#: What counts are taken beside: pairs of rows left over, keys of which such rows have blank cells.
+_SIGNS = ("_pairs", "_blanks")
 _PAIR = ("k", "raw_key", "v_a", "raw_a", "v_b", "raw_b", "n")
 
 
@@ -89,20 +95,54 @@ class KeyedDiff:
         own = df.select(F.lit(side).alias("side"), norm(self.keys).alias("k"), norm(self.compare).alias("v"), raw(self.keys).alias("raw_k"), raw(self.compare).alias("raw"))
         return own.select(*[F.xxhash64(F.lit(i), c).alias(f"h{c}{i}") for c in "kv" for i in (1, 2)], "*")
 
+    @cached_property
+    def _equal(self) -> bool:
+        """Whether both sides have the same rows, as often: as many, and with the same sums of four 30-bit
+        parts of hashes. Scans that shuffle nothing; hashes are made only where counts are equal."""
+        if self.a.count() != self.b.count():
+            return False
+        parts = [F.shiftright(F.shiftleft(F.xxhash64(F.lit(i), *KEY, *CONTENT), cut), 34) for i in (1, 2) for cut in (0, 30)]
+        own = [tuple(self._side(s).select(*KEY, *CONTENT).agg(F.count("*"), *map(F.sum, parts)).first()) for s in "ab"]
+        return own[0] == own[1]
+
+    def _tallied(self) -> DataFrame:
+        """tally, not kept."""
+        blank = reduce(or_, [F.col("v")[i].isin(*BLANK) for i in range(len(self.compare))], F.lit(False)).alias("blank")
+        if self._equal:
+            n = F.count("*")
+            return self._side("a").select(*KEY, *CONTENT, blank).groupBy(*KEY, *CONTENT).agg(n.alias("na"), n.alias("nb"), F.max("blank").alias("blank"))
+        both = [self._side(s).select(*KEY, *CONTENT, blank, *[F.lit(int(s == x)).cast("long").alias(f"n{x}") for x in "ab"]) for s in "ab"]
+        return both[0].union(both[1]).groupBy(*KEY, *CONTENT).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.max("blank").alias("blank"))
+
     @cached_property
     def tally(self) -> DataFrame:
-        """The hashes of each content of each key, na and nb: how many rows each side has. One
-        aggregation over the rows of both sides, so the sides aren't joined. Kept."""
-        both = [self._side(s).select(*KEY, *CONTENT, *[F.lit(int(s == x)).cast("long").alias(f"n{x}") for x in "ab"]) for s in "ab"]
-        return keep(both[0].union(both[1]).groupBy(*KEY, *CONTENT).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")), "tally")
+        """The hashes of each content of each key, na and nb: how many rows each side has, and blank:
+        whether a cell is. One aggregation over the rows of both sides, so the sides aren't joined. Kept."""
+        return keep(self._tallied(), "tally")
 
     @cached_property
     def groups(self) -> DataFrame:
-        """Counts of each key (by its hashes): rows, exact pairs, rows left over."""
+        """Counts of each key (by its hashes): rows, exact pairs, rows left over, and whether some of
+        these have blank cells."""
+        return self._grouped(self.tally)
+
+    def _once(self) -> DataFrame:
+        """groups for a single use: nothing is kept for it."""
+        if "tally" in self.__dict__:
+            return self.groups
+        if not self._equal:
+            return self._grouped(self._tallied())
+        n, none = F.col("na"), F.lit(0).cast("long")
+        own = self._side("a").groupBy(*KEY).agg(F.count("*").alias("na"))
+        return own.select(*KEY, "na", n.alias("nb"), n.alias("exact"), none.alias("left_a"), none.alias("left_b"), F.lit(False).alias("blank"))
+
+    @staticmethod
+    def _grouped(tally: DataFrame) -> DataFrame:
         exact = F.least("na", "nb")
-        return self.tally.groupBy(*KEY).agg(
+        return tally.groupBy(*KEY).agg(
             F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(exact).alias("exact"),
             F.sum(F.col("na") - exact).alias("left_a"), F.sum(F.col("nb") - exact).alias("left_b"),
+            F.max(F.col("blank") & (F.col("na") != F.col("nb"))).alias("blank"),
         )
 
     def named(self, some: DataFrame | None = None) -> DataFrame:
@@ -284,12 +324,15 @@ class KeyedDiff:
 
     def counts(self) -> DataFrame:
         """One row of statistics that need no pairing."""
+        return self._counts().drop(*_SIGNS)
+
+    def _counts(self) -> DataFrame:
         both = self._shared
         one = both & (F.col("na") == 1) & (F.col("nb") == 1)
         dup = both & ~one
         total = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, c)), F.lit(0)).cast("long")
         na, nb, least = F.col("na"), F.col("nb"), F.least("na", "nb")
-        own = self.groups.agg(
+        own = self._once().agg(
             total(na).alias("rows_a"), total(nb).alias("rows_b"), F.count_if(one).alias("unique_keys"), F.count_if(dup).alias("dup_keys"),
             F.count_if(self._approximate).alias("approximate_groups"), total(na, dup).alias("dup_rows_a"), total(nb, dup).alias("dup_rows_b"),
             total(least).alias("matched"), total(na, nb == 0).alias("truly_only_a"), total(nb, na == 0).alias("truly_only_b"),
@@ -297,14 +340,24 @@ class KeyedDiff:
             total(na - least).alias("only_a"), total(nb - least).alias("only_b"), total(F.col("exact")).alias("exact"),
             F.count_if(na > 1).alias("duplicate_keys_a"), F.count_if(nb > 1).alias("duplicate_keys_b"),
             total(na, na > 1).alias("duplicate_rows_a"), total(nb, nb > 1).alias("duplicate_rows_b"),
+            total(F.least("left_a", "left_b")).alias("_pairs"), F.count_if((F.least("left_a", "left_b") > 0) & F.col("blank")).alias("_blanks"),
         )
         set_a, set_b = set(self.a.columns), set(self.b.columns)
         long = lambda x: F.lit(x).cast("long")
         return own.withColumns({"cmp_cols": long(len(self.compare)), "only_cols_a": long(len(set_a - set_b)), "only_cols_b": long(len(set_b - set_a)), "ambiguous_cols": long(0)})
 
+    def signs(self, flips: bool = True) -> DataFrame:
+        """counts with diff_cells and null_flip (where asked for), of which only tells whether they are
+        over zero, as verdicts ask. Rows left over on both sides of a key differ in a cell, however they
+        are paired; whether a blank one is among these cells takes pairing where such rows have any."""
+        own = keep(self._counts(), "signs")
+        if flips and own.first()["_blanks"]:
+            return self.stats()
+        return own.withColumnsRenamed({"_pairs": "diff_cells", "_blanks": "null_flip"}).withColumn("null_flip", F.lit(0).cast("long"))
+
     def stats(self) -> DataFrame:
         """counts with diff_cells and null_flip (differing cells of which one or both are blank)."""
-        blank = lambda c: F.col(c).isin("", "null|", "empty|")
+        blank = lambda c: F.col(c).isin(*BLANK)
         cells = self.cells().agg(
             F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("diff_cells"),
             F.coalesce(F.sum(F.when(blank("norm_a") | blank("norm_b"), F.col("n"))), F.lit(0)).cast("long").alias("null_flip"),

@@ -264,3 +264,22 @@ def test_all_keys_are_in_scope_unless_cut(spark):
     d = KeyedDiff(a, b, ["id"])
     assert keyed_diff.keys_in_scope(d).count() == 40
     assert keyed_diff.keys_in_scope(d, most_diffs=10).count() == 2
+
+
+def test_verdicts_are_told_by_counts_alone(spark, monkeypatch):
+    """No rows are paired for a verdict, unless blank cells of rows left over may decide."""
+    of = lambda rows: spark.createDataFrame(rows, "k int, v string, w string")
+    whole = of([(1, "a", "x"), (1, "b", "x"), (2, "c", "y"), (3, "d", None)])
+    paired = []
+    stats = KeyedDiff.stats
+    monkeypatch.setattr(KeyedDiff, "stats", lambda self: paired.append(1) or stats(self))
+    for b, pairs, cause in (
+        (of([(1, "a", "x"), (1, "b", "x"), (2, "z", "y"), (3, "d", None)]), False, "values"), (of([(1, "a", "x"), (1, "b", "x"), (2, "c", None), (3, "d", None)]), True, "null_flip"),
+    ):
+        d = KeyedDiff(whole, b, ["k"], SqlDialect())
+        paired.clear()
+        got = verdicts.sql_verdict(d.signs()).first()
+        assert bool(paired) == pairs and tuple(got) == ("diff", cause)
+        paired.clear()
+        got = verdicts.file_verdict(KeyedDiff(whole, b, ["k"]).signs(flips=False)).first()
+        assert not paired and tuple(got) == ("diff", "cells")
