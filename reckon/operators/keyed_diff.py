@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from reckon.functions.cells import Dialect, FileDialect, key_text, kind_of
 from reckon.functions.names import quoted
-from reckon.operators import ranks
+from reckon.operators import ranks, sieve
 from reckon.operators.assignment import assign, pair_costs
 from reckon.ship import ship
 from reckon.store import keep
@@ -145,15 +145,16 @@ class KeyedDiff:
             F.max(F.col("blank") & (F.col("na") != F.col("nb"))).alias("blank"),
         )
 
-    def named(self, some: DataFrame | None = None) -> DataFrame:
+    def named(self, some: DataFrame | None = None, sides: str = "ab") -> DataFrame:
         """some (rows of groups, all if none are given) with k and raw_key: the key, normalised and
-        as it came (the least of A's, or else of B's)."""
-        texts = self._side("a").union(self._side("b")).select(*KEY, "side", "k", "raw_k")
+        as it came (the least of A's, or else of B's; `sides` tells which can have it)."""
+        texts = reduce(DataFrame.union, [self._side(s) for s in sides]).select(*KEY, "side", "k", "raw_k")
         if some is not None:
             some = keep(some, "keys")
-            texts = texts.join(some.select(*KEY), list(KEY), "left_semi")
+            texts = sieve.sift(texts, some, KEY)
         first = Window.partitionBy(*KEY).orderBy("side", "raw_k")
-        texts = texts.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*KEY, "k", F.col("raw_k").alias("raw_key"))
+        # a key's texts are few, however many rows have it
+        texts = texts.distinct().withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*KEY, "k", F.col("raw_k").alias("raw_key"))
         return texts if some is None else some.join(texts, list(KEY))
 
     @property
@@ -177,13 +178,20 @@ class KeyedDiff:
         parts = [self.dialect.key_part(F.col("raw_key")[i], F.col("k")[i]) for i in range(len(self.keys))]
         return key_text(parts)
 
+    @cached_property
+    def _odd(self) -> DataFrame:
+        """The rows of tally of which one side has more; only these are kept where tally isn't."""
+        return self.tally.where("na <> nb") if "tally" in self.__dict__ else keep(self._tallied().where("na <> nb"), "odd")
+
     @cached_property
     def left(self) -> DataFrame:
-        """k, side, v, raw (content), n: contents beyond the other side's count, of shared keys, with
-        the key's counts of both sides."""
+        """k, side, v, raw (content), n: contents beyond the other side's count, of keys with such rows on
+        both sides, with the key's counts of both sides. Told by such contents alone: the others
+        have nothing left."""
         own = F.array(F.struct(F.lit("a").alias("side"), (F.col("na") - F.col("nb")).alias("n")), F.struct(F.lit("b").alias("side"), (F.col("nb") - F.col("na")).alias("n")))
-        more = self.tally.where("na <> nb").select(*KEY, *CONTENT, F.explode(own).alias("x")).where("x.n > 0").select(*KEY, *CONTENT, "x.*")
-        g = self.named(self.groups.where(self._shared & ((F.col("left_a") > 0) | (F.col("left_b") > 0))).select(*KEY, "left_a", "left_b"))
+        more = self._odd.select(*KEY, *CONTENT, F.explode(own).alias("x")).where("x.n > 0").select(*KEY, *CONTENT, "x.*")
+        of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"left_{side}")
+        g = self.named(more.groupBy(*KEY).agg(of("a"), of("b")).where("least(left_a, left_b) > 0"), "a")
         g = keep(g, "left-keys")
         # keys with very many rows left are few, and are met by broadcast; the others by shuffle
         many = F.greatest("left_a", "left_b") > HOT
@@ -192,9 +200,9 @@ class KeyedDiff:
         counted = keep(counted, "left-counts")
         # the texts of these contents: of rows that are equal by the dialect, the least as it came
         at = [*KEY, *CONTENT, "side"]
-        rows = self._side("a").union(self._side("b")).join(counted.select(*at), at, "left_semi")
+        rows = sieve.sift(self._side("a").union(self._side("b")).select(*at, "raw_k", "raw", "v"), counted, at)
         least = Window.partitionBy(*at).orderBy("raw_k", "raw")
-        texts = rows.withColumn("_first", F.row_number().over(least)).where("_first = 1").select(*at, "v", "raw")
+        texts = rows.distinct().withColumn("_first", F.row_number().over(least)).where("_first = 1").select(*at, "v", "raw")
         met = counted.join(texts, at)
         return keep(met.select("k", "side", "v", "raw", "n", "left_a", "left_b", "raw_key"), "left")  # only what differs; all pairings read it
 
@@ -357,6 +365,7 @@ class KeyedDiff:
 
     def stats(self) -> DataFrame:
         """counts with diff_cells and null_flip (differing cells of which one or both are blank)."""
+        self.tally  # kept, as both cells and counts are told by it
         blank = lambda c: F.col(c).isin(*BLANK)
         cells = self.cells().agg(
             F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("diff_cells"),

@@ -283,3 +283,26 @@ def test_verdicts_are_told_by_counts_alone(spark, monkeypatch):
         paired.clear()
         got = verdicts.file_verdict(KeyedDiff(whole, b, ["k"]).signs(flips=False)).first()
         assert not paired and tuple(got) == ("diff", "cells")
+
+
+def test_texts_are_fetched_for_what_differs_alone(spark, monkeypatch):
+    """Rows that both sides share are held back by a filter before the shuffle that fetches texts; the pairs
+    are the same as without a filter."""
+    from reckon.operators import sieve
+
+    a = spark.range(3000).selectExpr("id", "cast(id % 7 as string) as v", "'x' as w")
+    b = a.selectExpr("id", "case when id % 10 = 0 then 'z' else v end as v", "case when id % 15 = 0 then null else w end as w")
+    got = []
+    for few in (sieve.FEW, 10):
+        monkeypatch.setattr(sieve, "FEW", few)
+        got.append(sorted(map(tuple, KeyedDiff(a, b, ["id"]).cells().collect())))
+    assert got[0] == got[1] and len(got[0]) == 500
+    some = a.where("id % 10 = 0").select("id")
+    passed = sieve.sift(a, some, ["id"])
+    assert some.join(passed, "id", "left_anti").isEmpty() and passed.count() < 300 + 300
+
+
+def test_keys_without_rows_left_on_both_sides_are_not_paired(spark):
+    d = diff(spark, [("1", "x"), ("1", "y"), ("2", "x"), ("3", "p"), ("3", "q")], [("1", "x"), ("3", "p"), ("3", "r")])
+    assert {r["k"][0] for r in d.left.collect()} == {"3"}
+    assert (d.stats().first()["matched"], d.stats().first()["diff_cells"]) == (3, 1)
