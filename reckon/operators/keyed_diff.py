@@ -390,17 +390,20 @@ def duplicate_keys(df: DataFrame, keys: list[str], dialect: Dialect) -> DataFram
 
 def log_rows(diff: KeyedDiff) -> DataFrame:
     """level, reason, key, column, n: the findings of a result diff. The reasons are codes."""
+    diff.tally  # kept, as both cells and rows are told by it
     cells = diff.cells()
     kind = lambda c: F.when(F.col(c) == "null|", "null").when(F.col(c) == "empty|", "empty")
     a, b = kind("norm_a"), kind("norm_b")
     reason = F.when(a.isNotNull() & b.isNotNull(), "blank_kinds").when(a.isNotNull(), F.concat(F.lit("a_"), a)).when(b.isNotNull(), F.concat(F.lit("b_"), b)).otherwise("value")
     level = F.when(reason == "value", "mid").otherwise("high")
     out = cells.select(level.alias("level"), reason.alias("reason"), "key", "column", "n")
-    for side in "ab":
-        own = diff.only(side).select(F.lit("high").alias("level"), F.col("type").alias("reason"), "key", F.lit("").alias("column"), "n")
-        dup = diff.named(diff.groups.where(f"n{side} > 1")).select(F.lit("high").alias("level"), F.lit(f"duplicate_key_{side}").alias("reason"), diff.key_column().alias("key"), F.lit("").alias("column"), F.col(f"n{side}").alias("n"))
-        out = out.union(own).union(dup)
-    return out
+    # a key's findings of rows are told in one pass over the keys that have any
+    least = F.least("na", "nb")
+    found = [F.when(F.col(mine) > least, F.struct(F.when(F.col(other) == 0, f"only_in_{s}").otherwise(f"unmatched_{s}").alias("reason"), (F.col(mine) - least).alias("n"))) for s, mine, other in (("a", "na", "nb"), ("b", "nb", "na"))]
+    found += [F.when(F.col(f"n{s}") > 1, F.struct(F.lit(f"duplicate_key_{s}").alias("reason"), F.col(f"n{s}").alias("n"))) for s in "ab"]
+    some = diff.groups.where("na <> nb or na > 1 or nb > 1").select(*KEY, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"))
+    rows = diff.named(some).select(diff.key_column().alias("key"), F.explode("found").alias("x"))
+    return out.union(rows.select(F.lit("high"), "x.reason", "key", F.lit(""), F.col("x.n").cast("long")))
 
 
 def keys_in_scope(diff: KeyedDiff, most_diffs: int | None = None, most_only: int | None = None) -> DataFrame:

@@ -306,3 +306,13 @@ def test_keys_without_rows_left_on_both_sides_are_not_paired(spark):
     d = diff(spark, [("1", "x"), ("1", "y"), ("2", "x"), ("3", "p"), ("3", "q")], [("1", "x"), ("3", "p"), ("3", "r")])
     assert {r["k"][0] for r in d.left.collect()} == {"3"}
     assert (d.stats().first()["matched"], d.stats().first()["diff_cells"]) == (3, 1)
+
+
+def test_logs_name_keys_in_one_pass(spark, monkeypatch):
+    named = []
+    of = KeyedDiff.named
+    monkeypatch.setattr(KeyedDiff, "named", lambda self, *x: named.append(1) or of(self, *x))
+    d = diff(spark, [("1", "x"), ("2", "x"), ("2", "x"), ("5", "n")], [("1", "y"), ("2", "x"), ("4", "q"), ("4", "q"), ("5", "n")], dialect=SqlDialect())
+    got = {(r["level"], r["reason"], r["key"], r["n"]) for r in keyed_diff.log_rows(d).collect()}
+    assert got == {("mid", "value", "1", 1), ("high", "unmatched_a", "2", 1), ("high", "duplicate_key_a", "2", 2), ("high", "only_in_b", "4", 2), ("high", "duplicate_key_b", "4", 2)}
+    assert len(named) == 2  # of rows left over, and of the findings
