@@ -18,6 +18,8 @@ DECIMAL = r"^-?[0-9]+\.[0-9]+$"
 LG_K, SLACK = 14, 0.05
 #: Sets of columns that are looked at in one pass.
 SETS_A_PASS = 200
+#: One in so many hashes is looked at first (a power of two).
+SLICES = 64
 
 
 def _sketched(df: DataFrame, sets: list[tuple[str, ...]], cell) -> list[int]:
@@ -73,22 +75,43 @@ def guess_keys(a: DataFrame, b: DataFrame, most: int = 4) -> DataFrame:
     return out.orderBy(F.desc("score"), "blank", "pos").limit(most).drop("pos")
 
 
+def _repeating(df: DataFrame, sets: list[tuple[str, ...]]) -> set[int]:
+    """Which of sets have rows alike among those whose hash by the set is divisible by SLICES. Rows that are
+    alike have one hash, so these are no keys; the others may be. All sets in one pass, and a few
+    rows in a hundred for each are shuffled."""
+    names = df.columns
+    row = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+    own = [[names.index(c) for c in s] for s in sets]
+    hashes = F.array(*[F.xxhash64(*[f"c{i}" for i in s]) for s in own])
+    some = row.select("*", F.posexplode(hashes).alias("s", "h")).where(F.col("h").bitwiseAND(F.lit(SLICES - 1)) == 0)
+    of = [F.when(F.col("s").isin([j for j, s in enumerate(own) if i in s]), F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))]
+    again = some.select("s", *of).groupBy("s", *[f"c{i}" for i in range(len(names))]).count().where("count > 1")
+    return {r["s"] for r in again.select("s").distinct().collect()}
+
+
+def _is_key(df: DataFrame, columns: tuple[str, ...]) -> bool:
+    """Whether no two rows of df are alike in columns. Hashes that are all different prove it; if some
+    are not, the values themselves are counted."""
+    repeated = lambda x: not x.count().where("count > 1").isEmpty()
+    own = [quoted(c) for c in columns]
+    return not repeated(df.groupBy(F.xxhash64(*own).alias("h"))) or not repeated(df.groupBy(*own))
+
+
 def composite_keys(df: DataFrame, most_columns: int = 3) -> DataFrame:
     """columns (comma-joined, in df's order) and size of each least set of up to most_columns columns
     that tells all rows apart (null is a value). Level by level: a set is looked at only if no part of it
     is a key already, and if its columns' distinct values could make as many combinations as there are
-    rows; of those, a sketch of the combination rules out most, and what is left is counted exactly. No rows
-    have no key."""
+    rows. Rows alike in a slice of hashes disprove most of those at once; what is left is counted
+    over all rows. No rows have no key."""
     spark, names = df.sparkSession, df.columns
-    cell = quoted
     n = df.count()
     keys: list[tuple[str, ...]] = []
-    single = dict(zip(names, _sketched(df, [(c,) for c in names], cell))) if n else {}
+    single = dict(zip(names, _sketched(df, [(c,) for c in names], quoted))) if n else {}
     for size in range(1, most_columns + 1):
         sets = [s for s in combinations(names, size) if not any(set(k) <= set(s) for k in keys)]
-        sets = [s for s in sets if prod((1 + SLACK) * single.get(c, 0) for c in s) >= n]
-        about = _sketched(df, sets, cell) if n else []
-        for s, d in zip(sets, about):
-            if d >= (1 - SLACK) * n and df.groupBy(*map(quoted, s)).count().where("count > 1").isEmpty():
-                keys.append(s)
+        sets = [s for s in sets if prod((1 + SLACK) * single.get(c, 0) for c in s) >= n] if n else []
+        for at in range(0, len(sets), SETS_A_PASS):
+            some = sets[at : at + SETS_A_PASS]
+            no = _repeating(df, some)
+            keys += [s for i, s in enumerate(some) if i not in no and _is_key(df, s)]
     return spark.createDataFrame([(",".join(k), len(k)) for k in keys], "columns string, size int")

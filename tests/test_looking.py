@@ -33,6 +33,19 @@ def test_composite_keys(spark):
     assert key_guess.composite_keys(df.union(df)).count() == 0 and key_guess.composite_keys(df.limit(0)).count() == 0
 
 
+def test_near_keys_are_disproved_together(spark, monkeypatch):
+    """Sets that all but tell rows apart are disproved in one pass, so only keys are counted over all rows;
+    nulls, and values that have one hash, are still told apart."""
+    counted = []
+    of = key_guess._is_key
+    monkeypatch.setattr(key_guess, "_is_key", lambda df, s: counted.append(s) or of(df, s))
+    df = spark.range(20000).selectExpr("id div 2 as a", "id % 19000 as b", "(id * 7) % 19500 as c", "id % 2 as d")
+    assert [r["columns"] for r in key_guess.composite_keys(df).collect()] == ["a,b", "a,c", "a,d", "b,c"]
+    assert set(counted) == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")}
+    nulls = spark.createDataFrame([(None, 1), (1, None), (1, 1)], "a int, b int")
+    assert of(nulls, ("a", "b")) and not of(nulls.union(nulls.limit(1)), ("a", "b"))
+
+
 def test_only_likely_columns_are_counted(spark):
     a = spark.range(2000).selectExpr("id as order_id", "id % 3 as x", "id % 5 as y", "id % 7 as z", "id % 2 as w", "id % 11 as q", "concat('t', id div 2) as t")
     got = {r["column"]: r["unique_rate"] for r in key_guess.guess_keys(a, a).collect()}
