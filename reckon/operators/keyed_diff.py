@@ -266,6 +266,11 @@ class KeyedDiff:
         """Pairs of groups beyond the limit, in order of content."""
         return self._zip(self.left.where(self._many).withColumn("top", F.least("left_a", "left_b")), ["k"])
 
+    @cached_property
+    def _ordered(self) -> DataFrame:
+        """_in_order for several uses. Kept."""
+        return keep(self._in_order(), "ordered")
+
     def _proposals(self, some: DataFrame, lost: list[tuple[int, ...]]) -> DataFrame:
         """Pairs of rows of a key that are equal but for one of the sets of columns `lost`. Each content
         chooses one such set that has partners (that with the fewest), and pairs with those on the
@@ -301,7 +306,7 @@ class KeyedDiff:
         own = self._zip(some.join(F.broadcast(top), "k"), ["k"])  # keys of over `exact_limit` rows each
         for pairs in found:
             own = own.union(pairs)
-        own, ordered = keep(own, "alike"), keep(self._in_order(), "in-order")
+        own, ordered = keep(own, "alike"), self._ordered
         cells = lambda df, name: df.groupBy("k").agg(F.sum(differing() * F.col("n")).alias(name))
         worse = keep(cells(own, "x").join(cells(ordered, "y"), "k").where("x > y").select("k"), "worse")
         return own.join(worse, "k", "left_anti").union(ordered.join(worse, "k", "left_semi"))

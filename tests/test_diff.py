@@ -316,3 +316,20 @@ def test_logs_name_keys_in_one_pass(spark, monkeypatch):
     got = {(r["level"], r["reason"], r["key"], r["n"]) for r in keyed_diff.log_rows(d).collect()}
     assert got == {("mid", "value", "1", 1), ("high", "unmatched_a", "2", 1), ("high", "duplicate_key_a", "2", 2), ("high", "only_in_b", "4", 2), ("high", "duplicate_key_b", "4", 2)}
     assert len(named) == 2  # of rows left over, and of the findings
+
+
+def test_pairs_in_order_are_made_once(spark, tmp_path, monkeypatch):
+    """likeness_pairing holds pairs by likeness against those in order, which pairing by likeness asks for too."""
+    import duckdb
+
+    from reckon import queries
+
+    at = str(tmp_path / "lineitem.parquet")
+    duckdb.sql(f"""COPY (SELECT i AS l_orderkey, i % 2000 AS l_partkey, 1 AS l_linenumber, CAST(i % 7 AS DOUBLE) AS l_quantity, 900 + i / 4 AS l_extendedprice, 'NA'[1 + i // 2000 % 2] AS l_returnflag FROM range(30000) t(i)) TO '{at}'""")
+    made = []
+    of = KeyedDiff._in_order
+    monkeypatch.setattr(KeyedDiff, "_in_order", lambda self: made.append(1) or of(self))
+    want = duckdb.sql(queries.SQL["likeness_pairing"].replace("FROM lineitem", f"FROM '{at}'")).fetchall()
+    got = queries.likeness_pairing(spark, str(tmp_path)).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+    assert len(made) == 1
