@@ -7,6 +7,7 @@ come with them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +22,18 @@ from reckon.sources.delimited import read_table
 
 @dataclass
 class Comparison:
-    """A difference with its verdict; scope: the keys whose every difference is known."""
+    """A difference with its verdict, which is told by counts; stats are made when they are used; scope:
+    the keys whose every difference is known."""
 
     diff: KeyedDiff
-    stats: DataFrame
     verdict: DataFrame
     scope: DataFrame
     notes: dict
 
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.diff.stats().withColumn("ambiguous_cols", F.lit(len(self.notes.get("ambiguous", []))).cast("long"))
+
 
 def open_pair(spark: SparkSession, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Two files as tables, and the columns that may be their key."""
@@ -40,8 +45,7 @@ def file_diff(a: DataFrame, b: DataFrame, keys: list[str], **options: bool) -> C
     """Two tables compared by the file dialect (options: case_sensitive, trim_whitespace,
     null_equals_empty, strict_numeric)."""
     diff = KeyedDiff(a, b, keys, FileDialect(**options))
-    stats = diff.stats()
-    return Comparison(diff, stats, verdicts.file_verdict(stats), keyed_diff.keys_in_scope(diff), {})
+    return Comparison(diff, verdicts.file_verdict(diff.signs(flips=False)), keyed_diff.keys_in_scope(diff), {})
 
 
 def resolve_column(name: str, columns: list[str]) -> str | None:
@@ -83,8 +87,8 @@ def result_diff(a: DataFrame, b: DataFrame, keys: list[str], sql_a: str = "", sq
     twice = sorted(set(twice_a) | set(twice_b))
     a, b = a.drop(*[c for c in twice if c in a.columns]), b.drop(*[c for c in twice if c in b.columns])
     diff = KeyedDiff(a, b, keys_a, SqlDialect())
-    stats = diff.stats().withColumn("ambiguous_cols", F.lit(len(twice)).cast("long"))
-    return Comparison(diff, stats, verdicts.sql_verdict(stats), keyed_diff.keys_in_scope(diff), {"ambiguous": twice, "keys": {"a": keys_a, "b": keys_b}})
+    signs = diff.signs().withColumn("ambiguous_cols", F.lit(len(twice)).cast("long"))
+    return Comparison(diff, verdicts.sql_verdict(signs), keyed_diff.keys_in_scope(diff), {"ambiguous": twice, "keys": {"a": keys_a, "b": keys_b}})
 
 
 def query_diff(spark: SparkSession, sql_a: str, sql_b: str, keys: list[str], time_column: str | None = None, start: str = "", end: str = "", batch: int = 1_000_000) -> Comparison:

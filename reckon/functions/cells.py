@@ -29,14 +29,16 @@ SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range
 
 def kind_of(data_type: T.DataType) -> str:
     """text, whole numbers, plain decimals (of up to six places, which Spark writes without an exponent),
-    decimals, or other: what a column's cells can look like as text."""
+    decimals, times (dates among them), reals, or other: what a column's cells can look like as text."""
     if isinstance(data_type, T.StringType):
         return "text"
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "whole"
     if isinstance(data_type, T.DecimalType) and data_type.scale > 0:
         return "plain" if data_type.scale <= 6 else "decimal"
-    return "other"
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "time"
+    return "real" if isinstance(data_type, (T.FloatType, T.DoubleType)) else "other"
 
 
 def plain_strip(c: Column) -> Column:
@@ -63,6 +65,11 @@ def _plain_decimal(s: Column) -> Column:
     return s.rlike(r"^-?[0-9]+\.[0-9]+$")
 
 
+def _fraction(s: Column) -> Column:
+    """Whether s is a plain number with a point that isn't zero, but for zeros at its end."""
+    return s.rlike(r"^-?([1-9][0-9]*\.[0-9]+|0\.0*[1-9][0-9]*)$")
+
+
 @dataclass(frozen=True)
 class FileDialect:
     """Equality of file cells: null and blank are one; by default case, outer white space, words
@@ -75,7 +82,7 @@ class FileDialect:
 
     def __call__(self, c: Column, kind: str = "text") -> Column:
         s = F.coalesce(c.cast("string"), F.lit(""))
-        if kind == "whole":
+        if kind in ("whole", "time"):
             return s
         if kind in ("plain", "decimal"):
             return s if self.strict_numeric else _short(s) if kind == "plain" else trim_number(s)
@@ -121,7 +128,7 @@ def plain_number(s: Column) -> Column:
         return let(let(parts, moved), lambda y: F.when(x.startswith("-") & (y != "0"), F.concat(F.lit("-"), y)).otherwise(y))
 
     plain = s.rlike(r"^(0|-?[1-9][0-9]*)$")
-    return F.when(plain, s).when(s.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"), let(s, of))
+    return F.when(plain, s).when(_fraction(s), _short(s)).when(s.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"), let(s, of))
 
 
 @dataclass(frozen=True)
@@ -143,9 +150,13 @@ class SqlDialect:
             return F.coalesce(F.concat(number, _short(s)), F.lit("null|"))
         if kind == "decimal":  # of one kind, without outer white space or leading zeros
             return F.when(c.isNull(), "null|").when(_plain_decimal(s), F.concat(number, _short(s))).otherwise(let(s, of))
-        first = F.substr(s, F.lit(1), F.lit(1))
-        word = first.rlike("[A-Za-z]") & (strip(s) == s)  # no number starts so
-        return F.when(c.isNull(), "null|").when(word, F.concat(F.lit("text|"), s)).otherwise(let(strip(s), of))
+        if kind == "time":
+            return F.coalesce(F.concat(F.lit("text|"), s), F.lit("null|"))
+        if kind == "real":  # without outer white space
+            return F.when(c.isNull(), "null|").when(_fraction(s), F.concat(number, _short(s))).otherwise(let(s, of))
+        first = F.ascii(s)
+        word = first.between(33, 126) & ~first.between(48, 57) & ~first.isin(*map(ord, "+-."))  # no number starts so
+        return F.when(c.isNull(), "null|").when(word, F.concat(F.lit("text|"), strip(s))).otherwise(let(strip(s), of))
 
     def key_part(self, raw: Column, norm: Column) -> Column:
         return F.when(norm == "null|", KEY_NULL).when(norm == "empty|", KEY_EMPTY).otherwise(F.substr(norm, F.instr(norm, "|") + 1))

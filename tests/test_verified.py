@@ -3,6 +3,7 @@
 import pytest
 
 from reckon import api
+from reckon.functions.cells import SqlDialect, kind_of
 from reckon.operators import verified
 from reckon.sources import jdbc
 
@@ -85,3 +86,26 @@ def test_verified_fetch_by_its_sql_when_an_hour_is_several_slices(spark, tmp_pat
     duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-10 02:00:00' + i * INTERVAL 600 MILLISECOND AS ts FROM range(18000) t(i)) TO '{at}'")
     want = duckdb.sql(queries.SQL["verified_fetch"].replace("FROM events", f"FROM '{at}'")).fetchall()
     assert sorted(map(tuple, queries.verified_fetch(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_a_comparison_is_told_by_counts(spark, monkeypatch):
+    """Verdicts of comparisons pair no rows and make no statistics; times and reals are normalised by plain expressions."""
+    from reckon.operators.keyed_diff import KeyedDiff
+
+    df = spark.sql("select id, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) as ts, id / 4 as x from range(60)")
+    made = []
+    of = KeyedDiff.stats
+    monkeypatch.setattr(KeyedDiff, "stats", lambda self: made.append(1) or of(self))
+    found = api.source_diff(verified.Frame(df), verified.Frame(df.where("id <> 5")), ["id"], "ts", 20)
+    assert tuple(found.verdict.first()) == ("diff", "lost_in_b") and found.scope.count() == 60 and not made
+    assert (found.stats.first()["only_a"], found.stats.first()["ambiguous_cols"], len(made)) == (1, 0, 1)
+    assert "transform" not in df.select(found.diff.dialect(df["ts"], kind_of(df.schema["ts"].dataType)))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_times_and_reals_as_results(spark):
+    df = spark.sql("""select * from values (1, 0.0D, date'2024-01-02', timestamp_ntz'2024-01-02 03:04:05.600'), (2, -0.0D, null, null), (3, -0.5D, date'0001-01-01', timestamp_ntz'0001-01-01'),
+     (4, 100.0D, null, null), (5, 1e20D, null, null), (6, 1.5e-7D, null, null), (7, double('NaN'), null, null), (8, null, null, null), (9, 29.27D, null, null) as t(id, x, d, ts)""")
+    d = SqlDialect()
+    got = {r[0]: tuple(r)[1:] for r in df.select("id", *[d(df[c], kind_of(df.schema[c].dataType)) for c in ("x", "d", "ts")]).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["number|0", "number|0", "number|-0.5", "number|100", "number|100000000000000000000", "number|0.00000015", "text|NaN", "null|", "number|29.27"]
+    assert got[1][1:] == ("text|2024-01-02", "text|2024-01-02 03:04:05.6") and got[2][1:] == ("null|", "null|") and got[3][1:] == ("text|0001-01-01", "text|0001-01-01 00:00:00")
